@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgrid.operators.dedup import POSITION_KEY, keep_first_batch, new_positions
@@ -69,22 +70,24 @@ class PositionLog:
 
         With ``order`` the batch holds several payloads, inserted in the order of that column.
         """
-        received, inserted = Observation(), Observation()
-        n = F.count(F.lit(1)).alias("n")
-        rows = batch.observe(received, n)
-        if order:
-            rows = keep_first_batch(rows.distinct(), batch, order)
-        fresh = new_positions(rows.select(*POSITIONS.names), self.known_keys(batch_id))
-        (
-            fresh.observe(inserted, n)
-            .withColumn("event_date", F.to_date("api_timestamp"))
-            .withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date", "batch_id")
-            .parquet(self.path)
-        )
-        return Inserted(received.get.get("n", 0), inserted.get.get("n", 0))
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            received = batch.count()
+            rows = keep_first_batch(batch.distinct(), batch, order) if order else batch
+            fresh = new_positions(rows.select(*POSITIONS.names), self.known_keys(batch_id))
+            (
+                fresh.withColumn("event_date", F.to_date("api_timestamp"))
+                .withColumn("batch_id", F.lit(batch_id).cast("long"))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("event_date", "batch_id")
+                .parquet(self.path)
+            )
+        finally:
+            batch.unpersist()
+        # A count without columns reads file footers only.
+        inserted = self.stored().filter(F.col("batch_id") == batch_id).count()
+        return Inserted(received, inserted)
 
     def compact_keys(self, through: int) -> None:
         """Write one set of distinct keys for all batches up to ``through``, as a new generation.
