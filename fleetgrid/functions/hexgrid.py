@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Kilometres per degree on the local plane.
@@ -35,20 +35,38 @@ class HexGrid:
     def km_per_lon(self) -> float:
         return KM_PER_DEGREE_LON_AT_EQUATOR * math.cos(math.radians(self.origin_lat))
 
-    def axial(self, lon: Column, lat: Column) -> tuple[Column, Column]:
-        """Axial coordinates of the cell that holds a point."""
-        x = (lon - self.origin_lon) * self.km_per_lon
-        y = (lat - self.origin_lat) * KM_PER_DEGREE_LAT
-        qf = (x * (SQRT3 / 3) - y / 3) / self.edge_km
-        rf = y * (2 / 3) / self.edge_km
-        sf = -qf - rf
-        q, r, s = _nearest(qf), _nearest(rf), _nearest(sf)
+    def with_cells(self, df: DataFrame, lon: Column, lat: Column) -> DataFrame:
+        """Add the axial coordinates ``q, r`` of the cell that holds each point.
+
+        The steps are separate projections, so that each intermediate value is computed once per row.
+        """
+        x, y, qf, rf, sf = (F.col(c) for c in ("_x", "_y", "_qf", "_rf", "_sf"))
+        q, r, s = F.col("_q"), F.col("_r"), F.col("_s")
         dq, dr, ds = F.abs(q - qf), F.abs(r - rf), F.abs(s - sf)
         # The coordinate with the largest rounding error follows from the other two.
         q_worst = (dq > dr) & (dq > ds)
         return (
-            F.when(q_worst, -r - s).otherwise(q),
-            F.when(~q_worst & (dr > ds), -q - s).otherwise(r),
+            df.withColumns(
+                {
+                    "_x": (lon - self.origin_lon) * self.km_per_lon,
+                    "_y": (lat - self.origin_lat) * KM_PER_DEGREE_LAT,
+                }
+            )
+            .withColumns(
+                {
+                    "_qf": (x * (SQRT3 / 3) - y / 3) / self.edge_km,
+                    "_rf": y * (2 / 3) / self.edge_km,
+                }
+            )
+            .withColumn("_sf", -qf - rf)
+            .withColumns({"_q": _nearest(qf), "_r": _nearest(rf), "_s": _nearest(sf)})
+            .withColumns(
+                {
+                    "q": F.when(q_worst, -r - s).otherwise(q),
+                    "r": F.when(~q_worst & (dr > ds), -q - s).otherwise(r),
+                }
+            )
+            .drop("_x", "_y", "_qf", "_rf", "_sf", "_q", "_r", "_s")
         )
 
     def cell_id(self, q: Column, r: Column) -> Column:

@@ -112,16 +112,15 @@ def avg_speeds(
     grid: HexGrid = HexGrid(),
 ) -> DataFrame:
     """Mean speed and number of observations per hexagon and hour of day."""
-    rows = look_back(positions, span, as_of)
-    q, r = grid.axial(F.col("lon").try_cast("double"), F.col("lat").try_cast("double"))
+    rows = look_back(positions, span, as_of).select(
+        F.col("lon").try_cast("double").alias("_lon"),
+        F.col("lat").try_cast("double").alias("_lat"),
+        F.hour(TIME).alias("hour_of_day"),
+        F.col("speedKmHr").try_cast("float").alias("_speed"),
+    )
+    located = rows.filter(F.col("_lon").isNotNull() & F.col("_lat").isNotNull())
     return (
-        rows.select(
-            q.alias("q"),
-            r.alias("r"),
-            F.hour(TIME).alias("hour_of_day"),
-            F.col("speedKmHr").try_cast("float").alias("_speed"),
-        )
-        .filter(F.col("q").isNotNull())
+        grid.with_cells(located, F.col("_lon"), F.col("_lat"))
         .groupBy("q", "r", "hour_of_day")
         .agg(F.avg("_speed").alias("speed"), F.count(F.lit(1)).alias("num_observations"))
         .withColumn("hex_id", grid.cell_id(F.col("q"), F.col("r")))

@@ -158,8 +158,8 @@ def avg_speeds_hour(spark: SparkSession, folder: str) -> DataFrame:
 def hex_boundary(spark: SparkSession, folder: str) -> DataFrame:
     """Corners of every occupied hexagon."""
     rows = tables.positions(spark, folder)
-    axial_q, axial_r = GRID.axial(F.col("lon").cast("double"), F.col("lat").cast("double"))
-    cells = rows.select(axial_q.alias("q"), axial_r.alias("r")).distinct()
+    placed = GRID.with_cells(rows, F.col("lon").cast("double"), F.col("lat").cast("double"))
+    cells = placed.select("q", "r").distinct()
     corners = cells.select("q", "r", F.posexplode(GRID.ring(F.col("q"), F.col("r"))))
     return corners.select(
         "q",
