@@ -47,8 +47,10 @@ def parse_wkt(text: Column) -> Column:
 
     ``rings`` always has three levels (ring, point, ordinate), so one column holds all three types.
     """
-    name = F.upper(F.regexp_extract(text, r"^\s*([A-Za-z]+)\s*\(", 1))
-    body = F.regexp_extract(text, r"^\s*[A-Za-z]+\s*\(+(.*?)\)+\s*$", 1)
+    name = F.regexp_extract(text, r"^\s*([A-Za-z]+)\s*\(+[^()]", 1)
+    names = F.create_map(*[F.lit(v) for pair in GEOJSON_TYPES.items() for v in pair])
+    kind = F.try_element_at(names, F.upper(name))
+    body = F.regexp_extract(text, r"\(+(.*?)\)+\s*$", 1)
     rings = F.transform(
         F.split(body, r"\)\s*,\s*\("),
         lambda ring: F.transform(
@@ -56,16 +58,11 @@ def parse_wkt(text: Column) -> Column:
             lambda xy: F.transform(F.split(F.trim(xy), r"\s+"), lambda v: v.try_cast("double")),
         ),
     )
-    names = F.create_map(*[F.lit(v) for pair in GEOJSON_TYPES.items() for v in pair])
-    return F.when(
-        name.isin(list(GEOJSON_TYPES)) & (body != ""),
-        F.struct(F.try_element_at(names, name).alias("type"), rings.alias("rings")),
-    )
+    return F.when(kind.isNotNull(), F.struct(kind.alias("type"), rings.alias("rings")))
 
 
-def wkt_geojson(text: Column) -> Column:
-    """GeoJSON text of a WKT geometry."""
-    shape = parse_wkt(text)
+def shape_geojson(shape: Column) -> Column:
+    """GeoJSON text of a parsed WKT column."""
     kind, rings = shape["type"], shape["rings"]
 
     def written(coordinates: Column) -> Column:

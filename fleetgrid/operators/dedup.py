@@ -12,14 +12,25 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgrid.session import broadcast_if_small
+
 POSITION_KEY = ("id", "lat", "lon")
 
 
-def new_positions(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Distinct rows of ``batch`` at positions that ``stored`` does not hold yet."""
-    keys = stored.select(*POSITION_KEY).dropna()
-    known = batch.distinct().join(keys, list(POSITION_KEY), "left_anti")
-    return known.select(*batch.columns)
+def new_positions(
+    batch: DataFrame, stored: DataFrame, batch_rows: int | None = None
+) -> DataFrame:
+    """Distinct rows of ``batch`` at positions that ``stored`` does not hold yet.
+
+    The stored side is the whole history. It is first cut to the positions the batch asks for: a batch
+    known to have few rows is broadcast for that, so the history is scanned but not shuffled.
+    """
+    key = list(POSITION_KEY)
+    asked = batch.select(*key).dropna().distinct()
+    if batch_rows is not None:
+        asked = broadcast_if_small(asked, batch_rows)
+    known = stored.select(*key).join(asked, key, "left_semi")
+    return batch.distinct().join(known, key, "left_anti").select(*batch.columns)
 
 
 def keep_first_batch(rows: DataFrame, log: DataFrame, batch: str) -> DataFrame:

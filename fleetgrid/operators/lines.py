@@ -23,9 +23,9 @@ def ordered_lines(
     extra: Sequence[Column] = (),
     line_points: int = GROUP_ROWS,
 ) -> DataFrame:
-    """One line per key: ``key, part, start, points, n_points`` and the ``extra`` aggregates.
+    """One line per key: ``key, part, parts, start, points, n_points`` and the ``extra`` aggregates.
 
-    A key with more than ``line_points`` points comes as several rows, numbered by ``part``. Each part
+    A key with more than ``line_points`` points comes as ``parts`` rows, numbered by ``part``. Each part
     starts with the last point of the part before it, so the parts joined in order are the whole line;
     ``start`` is the position of a part's first point. ``n_points`` and the extra aggregates always describe the whole line. Rows without coordinates add
     no point but count in the extra aggregates.
@@ -34,16 +34,27 @@ def ordered_lines(
     sort_keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order_by)]
     place = F.when(xy.isNotNull(), F.struct(*sort_keys, xy.alias("_xy")))
     listed = F.sort_array(F.collect_list(place))
-    lines = usual.groupBy(key).agg(
-        F.lit(0).cast("long").alias("part"),
-        F.lit(0).cast("long").alias("start"),
-        F.transform(listed, lambda p: p["_xy"]).alias("points"),
-        F.count(xy).alias("n_points"),
-        *extra,
+    # Rows go to their key's task first: lists do not get smaller by combining before a shuffle.
+    lines = (
+        usual.repartition(key)
+        .groupBy(key)
+        .agg(
+            F.transform(listed, lambda p: p["_xy"]).alias("points"),
+            F.count(xy).alias("n_points"),
+            *extra,
+        )
+        .withColumns(
+            {
+                "part": F.lit(0).cast("long"),
+                "parts": F.lit(1).cast("long"),
+                "start": F.lit(0).cast("long"),
+            }
+        )
     )
     if large is None:
         return lines
-    return lines.unionByName(_lines_in_parts(large, key, order_by, xy, extra, line_points))
+    split = _lines_in_parts(large, key, order_by, xy, extra, line_points)
+    return lines.unionByName(split.select(*lines.columns))
 
 
 def _lines_in_parts(
@@ -75,5 +86,5 @@ def _lines_in_parts(
             F.transform("_list", lambda p: p["_xy"]).alias("points"),
         )
     )
-    columns = [key, "part", "start", "points", *[c for c in whole.columns if c != key]]
-    return join_groups(parts, whole, [key]).select(*columns)
+    needed = F.greatest(F.lit(1), F.ceil((F.col("n_points") - 1) / line_points))
+    return join_groups(parts, whole, [key]).withColumn("parts", needed.cast("long"))

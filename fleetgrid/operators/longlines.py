@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgrid.functions.simplify import segment_distance_column
-from fleetgrid.session import durable
+from fleetgrid.session import broadcast_if_small, durable
 
 
 def simplify_points(points: DataFrame, key: str, tolerance: float) -> DataFrame:
@@ -18,15 +18,15 @@ def simplify_points(points: DataFrame, key: str, tolerance: float) -> DataFrame:
     segment of any length needs no task of its own, and hands each point to its new segment. Segments
     within the tolerance close. Rounds end with the last open segment.
     """
-    ends = points.groupBy(key).agg(
-        F.min_by(F.struct("pos", "x", "y"), "pos").alias("a"),
-        F.max_by(F.struct("pos", "x", "y"), "pos").alias("b"),
+    ends = durable(
+        points.groupBy(key).agg(
+            F.min_by(F.struct("pos", "x", "y"), "pos").alias("a"),
+            F.max_by(F.struct("pos", "x", "y"), "pos").alias("b"),
+        )
     )
-    kept = [
-        durable(ends.select(key, F.explode(F.array_distinct(F.array("a", "b"))).alias("p")))
-    ]
+    kept = [ends.select(key, F.explode(F.array_distinct(F.array("a", "b"))).alias("p"))]
     opened = durable(
-        points.join(ends, key).filter(
+        points.join(broadcast_if_small(ends), key).filter(
             (F.col("pos") > F.col("a.pos")) & (F.col("pos") < F.col("b.pos"))
         )
     )
@@ -45,13 +45,14 @@ def simplify_points(points: DataFrame, key: str, tolerance: float) -> DataFrame:
             .filter(F.col("far") > tolerance)
             .select(key, "start", "m")
         )
-        if splits.isEmpty():
+        count = splits.count()
+        if not count:
             break
         kept.append(splits.select(key, F.col("m").alias("p")))
         left = F.col("pos") < F.col("m.pos")
         opened = durable(
             opened.withColumn("start", F.col("a.pos"))
-            .join(splits, [key, "start"])
+            .join(broadcast_if_small(splits, count), [key, "start"])
             .filter(F.col("pos") != F.col("m.pos"))
             .select(
                 key,

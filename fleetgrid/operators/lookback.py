@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TIME = "api_timestamp"
+DATE = "event_date"
 
 
 def now_or(as_of: datetime | None) -> Column:
@@ -22,13 +23,17 @@ def look_back(
 ) -> DataFrame:
     """Rows no older than ``span`` before ``as_of``.
 
-    The bound has the type of the time column and folds to a literal, so it reaches the file scan.
+    The bound has the type of the time column and folds to a literal, so it reaches the file scan. A
+    log with its ``event_date`` partition column is cut to the dates in question as well.
     """
     kind = df.schema[time].dataType.simpleString()
     seconds = F.lit(span.total_seconds()).cast("decimal(18,6)")
     zero = F.lit(0)
     bound = now_or(as_of) - F.make_dt_interval(zero, zero, zero, seconds)
-    return df.filter(F.col(time) >= bound.cast(kind))
+    recent = df.filter(F.col(time) >= bound.cast(kind))
+    if DATE in df.columns:
+        recent = recent.filter(F.col(DATE) >= bound.cast("date"))
+    return recent
 
 
 def at_hour(df: DataFrame, as_of: datetime | None = None, hour: str = "hour_of_day") -> DataFrame:

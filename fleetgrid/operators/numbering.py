@@ -9,10 +9,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgrid.session import durable
+from fleetgrid.session import broadcast_if_small, durable
 
 # A group up to this many rows is handled by one task; larger ones take the spread-out way.
-GROUP_ROWS = 500_000
+GROUP_ROWS = 1_000_000
 
 
 def tie_columns(df: DataFrame, used: Sequence[str]) -> list[str]:
@@ -29,8 +29,11 @@ def tie_columns(df: DataFrame, used: Sequence[str]) -> list[str]:
 def oversize_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` rows, or None when there are none.
 
-    One pass over the key columns; counts combine before the shuffle, so a hot key is no hot spot.
+    A table of that size or less needs only its row count. Otherwise one pass over the key columns
+    decides; counts combine before the shuffle, so a hot key is no hot spot.
     """
+    if df.count() <= limit:
+        return None
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
     return large if large.take(1) else None
 
@@ -51,7 +54,7 @@ def divide_by_size(
     large = oversize_groups(df, keys, limit)
     if large is None:
         return df, None
-    large = durable(large)
+    large = broadcast_if_small(durable(large))
     return join_groups(df, large, keys, "left_anti"), join_groups(df, large, keys, "left_semi")
 
 
@@ -85,8 +88,8 @@ def number_rows(
     )
     earlier = Window.partitionBy(*keys).orderBy("_part")
     before = F.sum("_rows").over(earlier) - F.col("_rows") - F.col("_first")
-    starts = blocks.select("_part", *keys, before.alias("_shift"))
-    return join_groups(placed, starts, ["_part", *keys]).select(
+    starts = durable(blocks.select("_part", *keys, before.alias("_shift")))
+    return join_groups(placed, broadcast_if_small(starts), ["_part", *keys]).select(
         *df.columns, (F.col("_at") + F.col("_shift")).alias(name)
     )
 

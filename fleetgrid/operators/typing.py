@@ -31,10 +31,17 @@ def epoch_millis(text: Column) -> Column:
 INFERRED = ("boolean", "bigint", "double")
 
 
+# Forms of numbers in text; looking at the form first is much cheaper than a failed cast.
+FORMS = {
+    "bigint": r"^\s*[+-]?[0-9]+\s*$",
+    "double": r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$",
+}
+
+
 def _fits(name: str, kind: str) -> Column:
     if kind == "boolean":
         return F.col(name).isin("true", "false")
-    return F.col(name).try_cast(kind).isNotNull()
+    return F.col(name).rlike(FORMS[kind]) & F.col(name).try_cast(kind).isNotNull()
 
 
 def infer_types(df: DataFrame) -> DataFrame:

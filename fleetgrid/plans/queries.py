@@ -72,7 +72,16 @@ def current_paths(
         ],
         line_points,
     ).filter(F.col("n_points") > 1)
-    return paths.withColumn("geometry", line(F.col("points"))).drop("points")
+    return paths.select(
+        "id",
+        "part",
+        "parts",
+        "start",
+        "n_points",
+        "avgSpeedKmHr",
+        "lastHeading",
+        line(F.col("points")).alias("geometry"),
+    )
 
 
 def vehicle_markers(
@@ -188,7 +197,7 @@ def build_routes(
         coordinate(F.col("shape_pt_lon"), F.col("shape_pt_lat")),
         line_points=line_points,
     )
-    return lines.select("shape_id", "part", "start", "n_points", "points")
+    return lines.select("shape_id", "part", "parts", "start", "n_points", "points")
 
 
 def routes(
@@ -201,12 +210,11 @@ def routes(
     Lines held in one row are simplified in Arrow batches. Lines stored in several parts go through
     rounds of Spark jobs, since the parts cannot be simplified one by one.
     """
-    in_one_row = F.size("points") == F.col("n_points")
-    whole = routes_table.filter(in_one_row)
+    whole = routes_table.filter(F.col("parts") == 1)
     short = whole.select(
         "shape_id", "part", line(simplify(tolerance)(F.col("points"))).alias("geometry")
     )
-    split = routes_table.filter(~in_one_row)
+    split = routes_table.filter(F.col("parts") > 1)
     if split.isEmpty():
         return short
     numbered = split.select(

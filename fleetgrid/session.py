@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of short columns that every executor may hold a copy of.
+BROADCAST_ROWS = 200_000
 
 
 def build_session(
@@ -49,3 +53,12 @@ def durable(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Hint a broadcast when ``df`` has at most ``BROADCAST_ROWS`` rows; else leave the join to Spark.
+
+    Without a known row count ``df`` is counted, so it should be durable or cheap.
+    """
+    count = df.count() if rows is None else rows
+    return F.broadcast(df) if count <= BROADCAST_ROWS else df

@@ -74,10 +74,14 @@ class PositionLog:
         try:
             received = batch.count()
             rows = keep_first_batch(batch.distinct(), batch, order) if order else batch
-            fresh = new_positions(rows.select(*POSITIONS.names), self.known_keys(batch_id))
+            fresh = new_positions(
+                rows.select(*POSITIONS.names), self.known_keys(batch_id), received
+            )
+            # Rebalancing gives files of even size, also when one date holds most rows.
             (
                 fresh.withColumn("event_date", F.to_date("api_timestamp"))
                 .withColumn("batch_id", F.lit(batch_id).cast("long"))
+                .hint("rebalance")
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("event_date", "batch_id")

@@ -12,7 +12,7 @@ from fleetgrid.functions.geometry import (
     parse_wkt,
     point,
     polygon,
-    wkt_geojson,
+    shape_geojson,
     x_of,
 )
 from fleetgrid.functions.hexgrid import KM_PER_DEGREE_LAT, HexGrid
@@ -66,14 +66,14 @@ def test_geometries_as_geojson(spark):
     ],
 )
 def test_wkt(spark, wkt, wanted):
-    assert json.loads(value(spark, wkt_geojson(F.lit(wkt)))) == wanted
+    assert json.loads(value(spark, shape_geojson(parse_wkt(F.lit(wkt))))) == wanted
 
 
 @pytest.mark.parametrize("wkt", ["", "POINT", "CIRCLE(0 0)", "POINT EMPTY", None])
 def test_other_text_is_no_geometry(spark, wkt):
     text = F.lit(wkt).cast("string")
     assert value(spark, parse_wkt(text)) is None
-    assert value(spark, wkt_geojson(text)) is None
+    assert value(spark, shape_geojson(parse_wkt(text))) is None
 
 
 def test_cell_centres_map_to_their_own_cell(spark):

@@ -1,0 +1,84 @@
+"""Physical plans: what reaches the scan, what is shuffled, what stays in the JVM."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import NOW
+from fleetgrid.operators import dedup
+from fleetgrid.plans import queries as q
+from fleetgrid.sources.positions import PositionLog
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def log(spark, vehicles, tmp_path_factory):
+    log = PositionLog(spark, str(tmp_path_factory.mktemp("log") / "positions"))
+    for n, days in enumerate((0, 1, 2)):
+        moved = vehicles.withColumn("api_timestamp", F.col("api_timestamp") - F.make_dt_interval(F.lit(days)))
+        log.append(moved.withColumn("lat", F.concat("lat", F.lit(str(n)))), n)
+    return log
+
+
+def test_look_back_prunes_dates_and_row_groups(log):
+    found = q.current_locations(log.stored(), timedelta(minutes=5), NOW)
+    text = plan(found)
+    assert "PartitionFilters: [isnotnull(event_date" in text
+    assert "event_date#" in text.split("PartitionFilters:")[1][:80]
+    assert "GreaterThanOrEqual(api_timestamp,2024-05-06" in text
+    assert found.count() == 2
+    assert q.current_locations(log.stored(), timedelta(days=9), NOW).count() == 2
+
+
+def test_default_time_is_pushed_down_too(log):
+    text = plan(q.current_paths(log.stored()))
+    assert "GreaterThanOrEqual(api_timestamp," in text
+
+
+def test_newest_row_is_cut_before_the_shuffle(log):
+    text = plan(q.current_locations(log.stored(), timedelta(days=9), NOW))
+    assert text.count("WindowGroupLimit") == 2
+    assert text.count("Exchange") == 1
+
+
+def test_speed_map_reads_four_columns_and_filters_before_aggregating(log):
+    text = plan(q.avg_speeds_hour(log.stored(), as_of=NOW))
+    assert "ReadSchema: struct<lat:string,lon:string,speedKmHr:string,api_timestamp:timestamp>" in text
+    assert "partial_avg" in text
+    assert text.count("Exchange") == 1
+    assert "hour(" in text.split("HashAggregate")[-1]
+
+
+def test_paths_shuffle_once(log):
+    text = plan(q.current_paths(log.stored(), timedelta(days=9), NOW))
+    assert text.count("Exchange") == 1
+    assert "Python" not in text
+
+
+def test_small_batch_does_not_shuffle_the_history(spark, log, vehicles):
+    fresh = dedup.new_positions(vehicles, log.known_keys(99), 5)
+    text = plan(fresh)
+    history = text[text.index("FileScan parquet") - 400 :]
+    assert "BroadcastHashJoin" in text and "LeftSemi" in text
+    assert "Exchange hashpartitioning" not in history.split("FileScan parquet")[0][-200:]
+    assert "ReadSchema: struct<id:string,lat:string,lon:string>" in text
+
+
+def test_first_batches_combine_before_the_shuffle(spark):
+    frame = spark.range(10).selectExpr("'a' AS id", "'b' AS lat", "'c' AS lon", "id AS batch_id")
+    assert "partial_min" in plan(dedup.replay(frame))
+
+
+def test_entry_point(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -1,0 +1,38 @@
+"""Every registered query against its SQL in DuckDB."""
+
+from __future__ import annotations
+
+import sys
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from __spark_entry__ import oracle_sql, queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    connection = duckdb.connect()
+    for table in ("customer", "events", "lineitem", "orders", "part"):
+        connection.execute(
+            f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')"
+        )
+    yield connection
+    connection.close()
+
+
+def rows(table):
+    names = sorted(table.column_names)
+    return names, Counter(zip(*[table.column(n).to_pylist() for n in names]))
+
+
+@pytest.mark.parametrize("name", queries())
+def test_query_equals_its_sql(spark, db, name):
+    found = queries()[name](spark, FOLDER).toArrow()
+    assert rows(found) == rows(db.sql(oracle_sql()[name]).to_arrow_table())
