@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgrid.session import broadcast_if_small, durable
+from fleetgrid.session import BROADCAST_ROWS, broadcast_if_small, durable
 
 # A group up to this many rows is handled by one task; larger ones take the spread-out way.
 GROUP_ROWS = 1_000_000
@@ -54,8 +54,14 @@ def divide_by_size(
     large = oversize_groups(df, keys, limit)
     if large is None:
         return df, None
-    large = broadcast_if_small(durable(large))
-    return join_groups(df, large, keys, "left_anti"), join_groups(df, large, keys, "left_semi")
+    large = durable(large)
+    count = large.count()
+    found = broadcast_if_small(large, count)
+    hot = join_groups(df, found, keys, "left_semi")
+    if count > BROADCAST_ROWS:
+        # This join shuffles; a checkpoint fixes the order of its rows for the salt below.
+        hot = durable(hot)
+    return join_groups(df, found, keys, "left_anti"), hot
 
 
 def number_rows(
@@ -68,8 +74,9 @@ def number_rows(
 
     Rows are range-partitioned by group and order, so a hot group spreads over many tasks; the salt
     splits exact ties too. The sorted rows are checkpointed: the counts below and the rows they are
-    added to then come from one and the same placement, also after an executor is lost. ``df`` should
-    be a scan with filters and projections, so that the salt is the same when a task runs again.
+    added to then come from one and the same placement, also after an executor is lost. ``df`` must be
+    a scan with filters, projections and broadcast joins, or durable, so that the salt is the same when
+    a task runs again.
     """
     keys = list(partition_by)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]

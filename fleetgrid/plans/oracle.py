@@ -226,6 +226,20 @@ WITH {_POSITIONS}, {_RECENT}, {_PATHS}
 SELECT id, cast(0 AS BIGINT) AS part, n AS n_points, round(speed, 6) AS "avgSpeedKmHr",
        last_heading AS "lastHeading", {_LINE} AS geometry
 FROM paths
+""",
+    "current_paths_line": f"""
+WITH {_POSITIONS}, {_RECENT}, numbered AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY api_timestamp, event_id) - 1 AS position,
+         cast(lon AS DOUBLE) AS lon, cast(lat AS DOUBLE) AS lat, count(*) OVER (PARTITION BY id) AS n
+  FROM recent
+)
+SELECT id, position, lon, lat FROM numbered WHERE n > 1
+""",
+    "bound_parameters": f"""
+WITH {_POSITIONS}
+SELECT count(*) AS n_rows, count(DISTINCT id) AS n_vehicles FROM positions
+WHERE api_timestamp >= (SELECT max(ts) FROM events) - 604800 * INTERVAL '1 second'
+  AND "routeTag" = 'click'
 """,
     "current_paths_features": f"""
 WITH {_POSITIONS}, {_RECENT}, {_PATHS}

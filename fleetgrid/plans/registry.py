@@ -96,6 +96,31 @@ def current_paths(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_text_geometry(_paths(spark, folder)), 6, "avgSpeedKmHr").drop("parts", "start")
 
 
+@query
+def current_paths_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Points of each path in order, one per row."""
+    points = _paths(spark, folder).select(
+        "id", "start", F.posexplode("geometry.coordinates").alias("at", "xy")
+    )
+    return points.select(
+        "id",
+        (F.col("start") + F.col("at")).alias("position"),
+        F.col("xy")[0].alias("lon"),
+        F.col("xy")[1].alias("lat"),
+    )
+
+
+@query
+def bound_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and vehicles of a route within a look-back, as SQL text with parameters."""
+    tables.positions(spark, folder).createOrReplaceTempView("bound_positions")
+    return spark.sql(
+        "SELECT count(*) AS n_rows, count(DISTINCT id) AS n_vehicles FROM bound_positions"
+        " WHERE api_timestamp >= ? - (? * INTERVAL '1' SECOND) AND routeTag = ?",
+        args=[tables.newest_time(spark, folder), 7 * 86400, "click"],
+    )
+
+
 @query
 def current_paths_features(spark: SparkSession, folder: str) -> DataFrame:
     """Current paths as GeoJSON features; the mean speed is left to ``current_paths``."""

@@ -34,6 +34,16 @@ POSITIONS = T.StructType(
     ]
 )
 
+# What the insert rule compares, with the batch that stored it.
+POSITION_KEYS = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("lat", T.StringType()),
+        T.StructField("lon", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
 # The stored log adds its two partition columns.
 STORED_POSITIONS = T.StructType(
     [

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Rows of short columns that every executor may hold a copy of.
 BROADCAST_ROWS = 200_000
 
+# Folder per application that runs on one machine.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(
     app: str = "fleetgrid", master: str | None = None, settings: dict[str, str] | None = None
@@ -24,6 +27,7 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **(settings or {})}.items():
         builder = builder.config(key, value)
@@ -35,11 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="fleetgrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="fleetgrid-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:

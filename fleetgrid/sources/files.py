@@ -36,6 +36,12 @@ def read_table_or_empty(spark: SparkSession, name: str, schema: T.StructType) ->
     return spark.createDataFrame([], schema)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all its files."""
+    files, target = _open(spark, path)
+    files.delete(target, True)
+
+
 def replace_files(df: DataFrame, path: str) -> None:
     """Replace the parquet table at ``path`` with the rows of ``df``, which must not read it."""
     df.write.mode("overwrite").parquet(path)

@@ -1,21 +1,22 @@
-"""The position log: append-only parquet, one folder per event date and batch."""
+"""The position log: append-only parquet, one folder per event date and batch, and its key table."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgrid.operators.dedup import POSITION_KEY, keep_first_batch, new_positions
-from fleetgrid.schema import POSITIONS, STORED_POSITIONS
-from fleetgrid.sources.files import exists, folders, is_complete
+from fleetgrid.schema import POSITION_KEYS, POSITIONS, STORED_POSITIONS
+from fleetgrid.sources.files import exists, folders, is_complete, remove
 
 
 @dataclass(frozen=True)
 class Inserted:
-    """Rows of one batch: received, stored, and left out as already known."""
+    """Rows of one batch: received and stored; the rest was known already."""
 
     received: int
     inserted: int
@@ -26,44 +27,69 @@ class Inserted:
 
 
 class PositionLog:
-    """Stored positions below ``path``, and compacted position keys beside them."""
+    """Stored positions below ``path``, and a narrow table of their keys beside them.
+
+    The insert rule asks the key table only: one folder of keys per batch, and one set of distinct
+    keys for all batches up to the last compaction.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.path = path
-        self.keys_path = f"{path.rstrip('/')}_keys"
+        self.path = path.rstrip("/")
+        self.keys_path = f"{self.path}_keys"
+        self.compacted_path = f"{self.path}_keys_compacted"
+
+    def stored(self, since: date | None = None) -> DataFrame:
+        """Rows with the partition columns ``event_date, batch_id``; empty before any batch.
 
-    def stored(self) -> DataFrame:
-        """All rows with the partition columns ``event_date, batch_id``; empty before any batch."""
+        With ``since`` only the folders of that date and later ones are listed.
+        """
         if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], STORED_POSITIONS)
-        return self.spark.read.schema(STORED_POSITIONS).parquet(self.path)
+        read = self.spark.read.schema(STORED_POSITIONS).option("basePath", self.path)
+        if since is None:
+            return read.parquet(self.path)
+        dates = sorted(
+            name
+            for name in folders(self.spark, self.path)
+            if name.startswith("event_date=") and name >= f"event_date={since.isoformat()}"
+        )
+        if not dates:
+            return self.spark.createDataFrame([], STORED_POSITIONS)
+        return read.parquet(*[f"{self.path}/{name}" for name in dates])
 
     def positions(self) -> DataFrame:
         return self.stored().select(*POSITIONS.names)
 
-    def _key_generation(self, below: int) -> int | None:
-        """Newest committed key generation that holds only batches below ``below``."""
+    def _compacted_through(self, below: int) -> int | None:
+        """Newest committed compaction that holds only batches below ``below``."""
         found = [
             int(name.split("=")[1])
-            for name in folders(self.spark, self.keys_path)
-            if name.startswith("through=") and is_complete(self.spark, f"{self.keys_path}/{name}")
+            for name in folders(self.spark, self.compacted_path)
+            if name.startswith("through=")
+            and is_complete(self.spark, f"{self.compacted_path}/{name}")
         ]
         return max((n for n in found if n < below), default=None)
 
+    def _batch_keys(self, after: int | None) -> DataFrame:
+        """Keys of the batches after a compaction."""
+        if not exists(self.spark, self.keys_path):
+            return self.spark.createDataFrame([], POSITION_KEYS)
+        keys = self.spark.read.schema(POSITION_KEYS).parquet(self.keys_path)
+        return keys if after is None else keys.filter(F.col("batch_id") > after)
+
+    def _compacted_keys(self, through: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.compacted_path}/through={through}")
+
     def known_keys(self, batch_id: int) -> DataFrame:
         """Position keys stored by batches other than ``batch_id``.
 
-        Reads three columns: the newest key generation plus the batches after it. Leaving out the
-        batch itself lets it run again after a partial write.
+        Leaving out the batch itself lets it run again after a partial write.
         """
-        rows = self.stored().filter(F.col("batch_id") != batch_id)
-        generation = self._key_generation(batch_id)
-        if generation is None:
-            return rows.select(*POSITION_KEY)
-        compacted = self.spark.read.parquet(f"{self.keys_path}/through={generation}")
-        later = rows.filter(F.col("batch_id") > generation)
-        return compacted.select(*POSITION_KEY).unionByName(later.select(*POSITION_KEY))
+        through = self._compacted_through(batch_id)
+        keys = self._batch_keys(through).filter(F.col("batch_id") != batch_id)
+        keys = keys.select(*POSITION_KEY)
+        return keys if through is None else self._compacted_keys(through).unionByName(keys)
 
     def append(self, batch: DataFrame, batch_id: int, order: str | None = None) -> Inserted:
         """Store the new positions of one batch; running a batch again replaces its own rows.
@@ -74,39 +100,48 @@ class PositionLog:
         try:
             received = batch.count()
             rows = keep_first_batch(batch.distinct(), batch, order) if order else batch
-            fresh = new_positions(
-                rows.select(*POSITIONS.names), self.known_keys(batch_id), received
-            )
-            # Rebalancing gives files of even size, also when one date holds most rows.
-            (
-                fresh.withColumn("event_date", F.to_date("api_timestamp"))
-                .withColumn("batch_id", F.lit(batch_id).cast("long"))
-                .hint("rebalance")
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("event_date", "batch_id")
-                .parquet(self.path)
-            )
+            rows = rows.select(*POSITIONS.names)
+            fresh = new_positions(rows, self.known_keys(batch_id), received)
+            return Inserted(received, self._write(fresh, batch_id))
         finally:
             batch.unpersist()
-        # A count without columns reads file footers only.
-        inserted = self.stored().filter(F.col("batch_id") == batch_id).count()
-        return Inserted(received, inserted)
+
+    def _write(self, fresh: DataFrame, batch_id: int) -> int:
+        # Rebalancing gives files of even size, also when one date holds most rows.
+        numbered = fresh.withColumn("batch_id", F.lit(batch_id).cast("long")).hint("rebalance")
+        numbered = numbered.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            inserted = numbered.count()
+            dated = numbered.withColumn("event_date", F.to_date("api_timestamp"))
+            self._overwrite(dated, self.path, "event_date", "batch_id")
+            keys = numbered.select(*POSITION_KEY, "batch_id").dropna().distinct()
+            self._overwrite(keys, self.keys_path, "batch_id")
+            return inserted
+        finally:
+            numbered.unpersist()
+
+    def _overwrite(self, rows: DataFrame, path: str, *partitions: str) -> None:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*partitions).parquet(path)
 
     def compact_keys(self, through: int) -> None:
-        """Write one set of distinct keys for all batches up to ``through``, as a new generation.
+        """Merge the keys of all batches up to ``through`` into one set of distinct keys.
 
-        ``through`` must be a finished batch: later runs read this set instead of those batches.
+        ``through`` must be a finished batch; run this between batches. The merged folders go once the
+        new set is committed, so the insert rule keeps reading few files.
         """
-        if self._key_generation(through + 1) == through:
-            return
-        older = self._key_generation(through)
-        upto = self.stored().filter(F.col("batch_id") <= through)
-        if older is None:
-            keys = upto.select(*POSITION_KEY)
-        else:
-            compacted = self.spark.read.parquet(f"{self.keys_path}/through={older}")
-            later = upto.filter(F.col("batch_id") > older)
-            keys = compacted.select(*POSITION_KEY).unionByName(later.select(*POSITION_KEY))
-        target = f"{self.keys_path}/through={through}"
-        keys.dropna().distinct().write.mode("overwrite").parquet(target)
+        older = self._compacted_through(through)
+        if self._compacted_through(through + 1) != through:
+            keys = self._batch_keys(older).filter(F.col("batch_id") <= through)
+            keys = keys.select(*POSITION_KEY)
+            if older is not None:
+                keys = self._compacted_keys(older).unionByName(keys)
+            target = f"{self.compacted_path}/through={through}"
+            keys.distinct().write.mode("overwrite").parquet(target)
+        self._remove_merged(self.keys_path, "batch_id=", through + 1)
+        self._remove_merged(self.compacted_path, "through=", through)
+
+    def _remove_merged(self, path: str, prefix: str, below: int) -> None:
+        for name in folders(self.spark, path):
+            if name.startswith(prefix) and int(name.removeprefix(prefix)) < below:
+                remove(self.spark, f"{path}/{name}")

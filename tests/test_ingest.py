@@ -295,12 +295,35 @@ def test_compacted_keys_change_nothing(spark, landing, log):
     )
 
 
-def test_uncommitted_key_set_is_ignored(spark, landing, log):
+def test_compaction_leaves_one_key_set(spark, landing, log):
+    for n in range(5):
+        write(spark, landing, log, payload([vehicle(str(n))]))
+        if n in (1, 3):
+            log.compact_keys(n)
+    assert [p.name for p in Path(log.keys_path).glob("batch_id=*")] == ["batch_id=4"]
+    assert [p.name for p in Path(log.compacted_path).iterdir()] == ["through=3"]
+    assert log.known_keys(5).count() == 5
+
+
+def test_cut_off_compaction_is_ignored_and_repeated(spark, landing, log):
     write(spark, landing, log, payload([vehicle("1")]))
-    log.compact_keys(0)
-    (Path(log.keys_path) / "through=0" / "_SUCCESS").unlink()
-    assert log._key_generation(5) is None
+    (Path(log.compacted_path) / "through=0").mkdir(parents=True)
+    assert log._compacted_through(5) is None
     assert write(spark, landing, log, payload([vehicle("1")])).inserted == 0
+    log.compact_keys(0)
+    assert log._compacted_through(5) == 0
+    assert write(spark, landing, log, payload([vehicle("1"), vehicle("2")])).inserted == 1
+
+
+def test_only_recent_dates_are_listed(spark, landing, log):
+    day = 86_400_000
+    for n in range(3):
+        write(spark, landing, log, payload([vehicle(str(n))], START + n * day))
+    dates = [r.event_date for r in log.stored().select("event_date").orderBy("event_date").collect()]
+    recent = log.stored(since=dates[1])
+    assert sorted(r.id for r in recent.collect()) == ["1", "2"]
+    assert all("event_date=" + dates[0].isoformat() not in f for f in recent.inputFiles())
+    assert log.stored(since=dates[2].replace(year=2030)).count() == 0
 
 
 def test_batch_runs_again_after_later_compaction(spark, landing, log):
