@@ -7,7 +7,7 @@ text; within a batch only exact copies go. A row with a null among the three alw
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +36,9 @@ def new_positions(
 def keep_first_batch(rows: DataFrame, log: DataFrame, batch: str) -> DataFrame:
     """Rows whose batch is the first one in ``log`` at their position, or whose key has a null.
 
-    First batches combine before the shuffle; the join is the last step, so adaptive execution can
-    split a hot position.
+    First batches combine before the shuffle. The batch is part of the join key, so the rows of a hot
+    position spread over its batches; the join is the last step, so adaptive execution can split what
+    one batch still holds.
     """
     theirs = {c: f"_first_{c}" for c in POSITION_KEY}
     first = (
@@ -45,10 +46,10 @@ def keep_first_batch(rows: DataFrame, log: DataFrame, batch: str) -> DataFrame:
         .groupBy(*[F.col(c).alias(name) for c, name in theirs.items()])
         .agg(F.min(batch).alias("_first"))
     )
-    match = reduce(and_, [F.col(c) == F.col(name) for c, name in theirs.items()])
-    # No partner means a null in the key.
-    first_or_null = F.col("_first").isNull() | (F.col(batch) == F.col("_first"))
-    return rows.join(first, match, "left").filter(first_or_null).select(*rows.columns)
+    match = [F.col(c) == F.col(name) for c, name in {**theirs, batch: "_first"}.items()]
+    joined = rows.join(first, reduce(and_, match), "left")
+    unknown = reduce(or_, [F.col(c).isNull() for c in POSITION_KEY])
+    return joined.filter(F.col("_first").isNotNull() | unknown).select(*rows.columns)
 
 
 def replay(log: DataFrame, batch: str = "batch_id") -> DataFrame:

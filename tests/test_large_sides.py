@@ -1,0 +1,86 @@
+"""The ways taken when a side is too large to broadcast give the same results."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetgrid import session
+from fleetgrid.operators import dedup, numbering
+from fleetgrid.plans import queries as q
+from fleetgrid.session import shared_folder
+
+
+@pytest.fixture
+def nothing_is_small(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(numbering, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def grouped(spark):
+    rows = [("hot", i) for i in range(60)] + [(f"k{i % 5}", i) for i in range(20)] + [(None, i) for i in range(30)]
+    return spark.createDataFrame(rows, "k string, n int").repartition(4)
+
+
+def test_group_numbers(spark, nothing_is_small):
+    frame = grouped(spark)
+    spread = set(map(tuple, numbering.number_in_groups(frame, ["k"], ["n"], group_rows=10).collect()))
+    assert spread == set(map(tuple, numbering.number_in_groups(frame, ["k"], ["n"]).collect()))
+    assert ("hot", 59, 59) in spread and (None, 29, 29) in spread
+
+
+def test_new_positions(spark, nothing_is_small):
+    stored = spark.createDataFrame([("a", "1", "1"), ("b", None, "1")] * 3, "id string, lat string, lon string")
+    batch = spark.createDataFrame([("a", "1", "1"), ("a", "2", "1"), ("b", None, "1"), ("b", None, "1")], stored.schema)
+    found = Counter(tuple(r) for r in dedup.new_positions(batch, stored, 4).collect())
+    assert found == Counter([("a", "2", "1"), ("b", None, "1")])
+
+
+def test_long_routes(spark, nothing_is_small):
+    points = spark.range(41).select(
+        F.lit("s").alias("shape_id"),
+        (F.col("id") % 5).cast("double").alias("shape_pt_lat"),
+        F.col("id").cast("double").alias("shape_pt_lon"),
+        F.col("id").cast("int").alias("shape_pt_sequence"),
+    )
+    whole = q.routes(q.build_routes(points), tolerance=1.5).first().geometry.coordinates
+    parts = q.routes(q.build_routes(points, line_points=8), tolerance=1.5).collect()
+    assert [p.geometry.coordinates for p in parts] == [whole]
+    assert 2 < len(whole) < 41
+
+
+def test_hot_position_spreads_over_its_batches(spark, nothing_is_small):
+    rows = [("hot" if i % 3 == 0 else str(i), "43.1", "-79.1", str(i), i // 2000) for i in range(6000)]
+    log = spark.createDataFrame(rows, "id string, lat string, lon string, heading string, batch_id int")
+    kept = dedup.replay(log)
+    found = kept.collect()
+    assert len(found) == 4000 + 667
+    assert {r.batch_id for r in found if r.id == "hot"} == {0}
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    join = text[text.index("SortMergeJoin") :]
+    assert "LeftOuter" in join.splitlines()[0]
+    assert "batch_id" in join[join.index("Exchange hashpartitioning(") :].split(", ENSURE")[0]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://somewhere"
+        applicationId = "a"
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(Session())
