@@ -27,8 +27,8 @@ def ordered_lines(
 
     A key with more than ``line_points`` points comes as ``parts`` rows, numbered by ``part``. Each part
     starts with the last point of the part before it, so the parts joined in order are the whole line;
-    ``start`` is the position of a part's first point. ``n_points`` and the extra aggregates always describe the whole line. Rows without coordinates add
-    no point but count in the extra aggregates.
+    ``start`` is the position of a part's first point. ``n_points`` and the extra aggregates always
+    describe the whole line. Rows without coordinates add no point but count in the extra aggregates.
     """
     usual, large = divide_by_size(df, [key], line_points)
     sort_keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order_by)]
@@ -75,16 +75,20 @@ def _lines_in_parts(
         points.withColumn(
             "part", F.explode(F.when(shared, F.array(part - 1, part)).otherwise(F.array(part)))
         )
+        .repartition(key, "part")
         .groupBy(key, "part")
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "_xy"))).alias("_list"))
         # A last part of one point alone is already closed by the part before it.
         .filter((F.size("_list") > 1) | (F.col("part") == 0))
-        .select(
-            key,
-            "part",
-            (F.col("part") * line_points).alias("start"),
-            F.transform("_list", lambda p: p["_xy"]).alias("points"),
-        )
+        .select(key, "part", F.transform("_list", lambda p: p["_xy"]).alias("points"))
     )
     needed = F.greatest(F.lit(1), F.ceil((F.col("n_points") - 1) / line_points))
-    return join_groups(parts, whole, [key]).withColumn("parts", needed.cast("long"))
+    # A key without any located row has no part, but stays as an empty line.
+    return join_groups(whole, parts, [key], "left").withColumns(
+        {
+            "part": F.coalesce("part", F.lit(0)).cast("long"),
+            "parts": needed.cast("long"),
+            "start": (F.coalesce("part", F.lit(0)) * line_points).cast("long"),
+            "points": F.coalesce("points", F.array()),
+        }
+    )

@@ -420,8 +420,10 @@ WITH counted AS (
 SELECT * FROM counted WHERE n_vertices >= 3
 """,
     "feed_parse": f"""
-WITH {_POSITIONS}, sent AS (SELECT * FROM positions JOIN (SELECT event_id, user_id FROM events) USING (event_id)
-                            WHERE event_id % 7 > 0)
+WITH {_POSITIONS}, sent AS (
+  SELECT * FROM positions JOIN (SELECT event_id, user_id FROM events) USING (event_id)
+  WHERE event_id % 7 > 0
+)
 SELECT id, "routeTag", "dirTag", lat, lon, "secsSinceReport", predictable, heading, "speedKmHr",
        fetched_at, date_trunc('millisecond', api_timestamp) AS api_timestamp, event_id
 FROM sent

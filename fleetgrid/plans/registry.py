@@ -56,13 +56,13 @@ def _text_geometry(df: DataFrame) -> DataFrame:
 def current_locations(spark: SparkSession, folder: str) -> DataFrame:
     """Newest position per vehicle."""
     rows = tables.positions(spark, folder)
-    as_of = tables.newest_time(spark, folder)
+    as_of = tables.newest_time(rows)
     return _text_geometry(q.current_locations(rows, DAY, as_of, ["event_id"]))
 
 
 def _location_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.positions(spark, folder)
-    as_of = tables.newest_time(spark, folder)
+    as_of = tables.newest_time(rows)
     found = q.current_locations(rows, DAY, as_of, ["event_id"])
     shown = [
         "id",
@@ -86,7 +86,7 @@ def current_locations_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def _paths(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.positions(spark, folder)
-    as_of = tables.newest_time(spark, folder)
+    as_of = tables.newest_time(rows)
     return q.current_paths(rows, DAY, as_of, ["event_id"])
 
 
@@ -113,11 +113,12 @@ def current_paths_line(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def bound_parameters(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and vehicles of a route within a look-back, as SQL text with parameters."""
-    tables.positions(spark, folder).createOrReplaceTempView("bound_positions")
+    rows = tables.positions(spark, folder)
+    rows.createOrReplaceTempView("bound_positions")
     return spark.sql(
         "SELECT count(*) AS n_rows, count(DISTINCT id) AS n_vehicles FROM bound_positions"
         " WHERE api_timestamp >= ? - (? * INTERVAL '1' SECOND) AND routeTag = ?",
-        args=[tables.newest_time(spark, folder), 7 * 86400, "click"],
+        args=[tables.newest_time(rows), 7 * 86400, "click"],
     )
 
 
@@ -131,7 +132,7 @@ def current_paths_features(spark: SparkSession, folder: str) -> DataFrame:
 def markers(spark: SparkSession, folder: str) -> DataFrame:
     """Last point of each path with marker kind and speed band."""
     rows = tables.positions(spark, folder)
-    as_of = tables.newest_time(spark, folder)
+    as_of = tables.newest_time(rows)
     found = q.vehicle_markers(rows, DAY, as_of, ["event_id"])
     scaled = found.withColumns(mapprep.speed_scale(F.col("avgSpeedKmHr")))
     return _rounded(scaled, 6, "avgSpeedKmHr", "speed_clamped", "speed_place")
@@ -166,7 +167,7 @@ def rejected_numbers(spark: SparkSession, folder: str) -> DataFrame:
 def avg_speeds(spark: SparkSession, folder: str) -> DataFrame:
     """Mean speed per hexagon and hour of day."""
     rows = tables.positions(spark, folder)
-    as_of = tables.newest_time(spark, folder)
+    as_of = tables.newest_time(rows)
     return _rounded(q.avg_speeds(rows, as_of=as_of), 6, "speed")
 
 
@@ -174,7 +175,7 @@ def avg_speeds(spark: SparkSession, folder: str) -> DataFrame:
 def avg_speeds_hour(spark: SparkSession, folder: str) -> DataFrame:
     """Mean speed per hexagon in the current hour of day."""
     rows = tables.positions(spark, folder)
-    as_of = tables.newest_time(spark, folder)
+    as_of = tables.newest_time(rows)
     found = q.avg_speeds_hour(rows, as_of=as_of).drop("geometry")
     return _rounded(found, 6, "speed")
 
@@ -197,7 +198,7 @@ def hex_boundary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _hour_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.positions(spark, folder)
-    as_of = tables.newest_time(spark, folder)
+    as_of = tables.newest_time(rows)
     found = q.avg_speeds_hour(rows, as_of=as_of).select(
         F.col("hex_id").alias("hexId"),
         F.col("hour_of_day").alias("hourOfDay"),
@@ -219,7 +220,7 @@ def feature_collection(spark: SparkSession, folder: str) -> DataFrame:
 def avg_speeds_features(spark: SparkSession, folder: str) -> DataFrame:
     """Speed map of the current hour as polygon features, corners joined back from their text."""
     rows = tables.positions(spark, folder)
-    as_of = tables.newest_time(spark, folder)
+    as_of = tables.newest_time(rows)
     found = q.avg_speeds_hour(rows, as_of=as_of).select(
         F.col("hex_id").alias("hexId"), F.col("hour_of_day").alias("hourOfDay"), "geometry"
     )
@@ -338,7 +339,10 @@ def point_xy(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def wkt_geometry(spark: SparkSession, folder: str) -> DataFrame:
     """WKT points, lines and polygons as GeoJSON; other text gives null."""
-    a = "concat('-79.', cast(1000 + o_orderkey % 9000 AS string), ' 43.', cast(1001 + o_custkey % 899 AS string))"
+    a = (
+        "concat('-79.', cast(1000 + o_orderkey % 9000 AS string),"
+        " ' 43.', cast(1001 + o_custkey % 899 AS string))"
+    )
     wkt = F.expr(
         f"CASE o_orderkey % 4 WHEN 0 THEN concat('POINT(', {a}, ')')"
         f" WHEN 1 THEN concat('LINESTRING (', {a}, ', -79.5 43.5)')"

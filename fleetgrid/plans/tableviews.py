@@ -40,9 +40,9 @@ def positions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def newest_time(spark: SparkSession, folder: str) -> datetime:
-    """Time of the last event: the moment the benchmark queries look back from."""
-    return table(spark, folder, "events").agg(F.max("ts")).first()[0]
+def newest_time(rows: DataFrame) -> datetime:
+    """Time of the newest position: the moment the benchmark queries look back from."""
+    return rows.agg(F.max("api_timestamp")).first()[0]
 
 
 COARSE_FIELDS = {

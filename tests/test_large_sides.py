@@ -25,7 +25,8 @@ def nothing_is_small(spark, monkeypatch):
 
 
 def grouped(spark):
-    rows = [("hot", i) for i in range(60)] + [(f"k{i % 5}", i) for i in range(20)] + [(None, i) for i in range(30)]
+    rows = [("hot", i) for i in range(60)]
+    rows += [(f"k{i % 5}", i) for i in range(20)] + [(None, i) for i in range(30)]
     return spark.createDataFrame(rows, "k string, n int").repartition(4)
 
 
@@ -37,8 +38,10 @@ def test_group_numbers(spark, nothing_is_small):
 
 
 def test_new_positions(spark, nothing_is_small):
-    stored = spark.createDataFrame([("a", "1", "1"), ("b", None, "1")] * 3, "id string, lat string, lon string")
-    batch = spark.createDataFrame([("a", "1", "1"), ("a", "2", "1"), ("b", None, "1"), ("b", None, "1")], stored.schema)
+    schema = "id string, lat string, lon string"
+    stored = spark.createDataFrame([("a", "1", "1"), ("b", None, "1")] * 3, schema)
+    rows = [("a", "1", "1"), ("a", "2", "1"), ("b", None, "1"), ("b", None, "1")]
+    batch = spark.createDataFrame(rows, schema)
     found = Counter(tuple(r) for r in dedup.new_positions(batch, stored, 4).collect())
     assert found == Counter([("a", "2", "1"), ("b", None, "1")])
 

@@ -13,7 +13,8 @@ from fleetgrid.operators import features, mapprep, numbering, typing
 
 
 def located(vehicles):
-    return vehicles.select("id", "heading", "api_timestamp", point(coordinate(F.col("lon"), F.col("lat"))).alias("geometry"))
+    shape = point(coordinate(F.col("lon"), F.col("lat")))
+    return vehicles.select("id", "heading", "api_timestamp", shape.alias("geometry"))
 
 
 def test_rows_become_features(vehicles):
@@ -31,7 +32,8 @@ def test_rows_become_features(vehicles):
 
 def test_geometry_text_goes_in_as_it_is(spark):
     text = '{"type":"LineString","coordinates":[[-79.1,43.1],[-79.2,43.2]]}'
-    frame = spark.createDataFrame([("v1", 10.0, text), ("v2", None, None)], "id string, speed double, geometry string")
+    rows = [("v1", 10.0, text), ("v2", None, None)]
+    frame = spark.createDataFrame(rows, "id string, speed double, geometry string")
     found = [r.feature for r in features.to_features(frame).collect()]
     assert [json.loads(f) for f in found] == [
         {"type": "Feature", "geometry": json.loads(text), "properties": {"id": "v1", "speed": 10.0}}
@@ -90,9 +92,12 @@ def test_numbers_and_rejected_values(spark):
 
 
 def test_inferred_types(spark):
-    rows = [(str(i), f"{i}.5", "true", str(i), None, str(i) if i % 2 else None, i) for i in range(600)]
+    rows = [
+        (str(i), f"{i}.5", "true", str(i), None, str(i) if i % 2 else None, i) for i in range(600)
+    ]
     rows.append(("600", "7", "false", "t_fb3_sb_9", None, None, 600))
-    frame = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g int")
+    text = ", ".join(f"{c} string" for c in "abcdef")
+    frame = spark.createDataFrame(rows, f"{text}, g int")
     kinds = dict(typing.infer_types(frame).dtypes)
     assert kinds == {
         "a": "bigint",
@@ -124,7 +129,8 @@ def test_overall_numbers_with_copies_and_nulls(spark):
 
 
 def test_group_numbers_equal_the_window(spark):
-    rows = [("hot", i) for i in range(300)] + [(f"k{i % 20}", i) for i in range(100)] + [(None, i) for i in range(50)]
+    rows = [("hot", i) for i in range(300)]
+    rows += [(f"k{i % 20}", i) for i in range(100)] + [(None, i) for i in range(50)]
     frame = spark.createDataFrame(rows, "k string, n int").repartition(6)
     window = set(map(tuple, numbering.number_in_groups(frame, ["k"], ["n"]).collect()))
     spread = set(map(tuple, numbering.number_in_groups(frame, ["k"], ["n"], group_rows=40).collect()))
@@ -136,7 +142,8 @@ def test_group_numbers_equal_the_window(spark):
 def test_hot_group_is_spread_over_tasks(spark):
     frame = spark.range(20000).select(F.lit("hot").alias("k"), F.lit(1).alias("n"))
     found = numbering.number_rows(frame, ["n"], ["k"])
-    assert found.agg(F.min("row_no"), F.max("row_no"), F.countDistinct("row_no")).first()[:] == (0, 19999, 20000)
+    summary = found.agg(F.min("row_no"), F.max("row_no"), F.countDistinct("row_no")).first()
+    assert tuple(summary) == (0, 19999, 20000)
     spread = spark.range(20000).select(F.lit("hot").alias("k"), F.monotonically_increasing_id().alias("s"))
     parts = spread.repartitionByRange(4, "k", "s").groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) == 4
@@ -218,12 +225,19 @@ def test_speed_scale(spark, speed, band, place):
 
 
 def test_labels_have_defaults(spark):
-    frame = spark.createDataFrame([("1", None, None), ("2", "Bay", 3)], "stop_id string, stop_name string, label_direction int")
+    schema = "stop_id string, stop_name string, label_direction int"
+    frame = spark.createDataFrame([("1", None, None), ("2", "Bay", 3)], schema)
     assert [tuple(r) for r in mapprep.stop_labels(frame).collect()] == [("1", "", 0), ("2", "Bay", 3)]
 
 
 def test_rings_need_three_usable_vertices(spark):
     good = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]
-    rows = [(1, good), (2, good[:2]), (3, [*good[:2], [None, 1.0]]), (4, [*good, [float("nan"), 1.0]]), (5, None)]
+    rows = [
+        (1, good),
+        (2, good[:2]),
+        (3, [*good[:2], [None, 1.0]]),
+        (4, [*good, [float("nan"), 1.0]]),
+        (5, None),
+    ]
     frame = spark.createDataFrame(rows, "id int, ring array<array<double>>")
     assert {r.id: r.ring for r in mapprep.drawable_rings(frame).collect()} == {1: good, 4: good}

@@ -54,8 +54,9 @@ def test_equal_times_give_one_row_and_the_same_one(spark):
 
 
 def test_position_without_numbers_has_no_geometry(spark):
-    frame = spark.createDataFrame([position("v", 5, None, "-79.1"), position("w", 5, "x", "-79.1")], POSITIONS)
-    assert {r.id: r.geometry for r in q.current_locations(frame, as_of=NOW).collect()} == {"v": None, "w": None}
+    rows = [position("v", 5, None, "-79.1"), position("w", 5, "x", "-79.1")]
+    found = q.current_locations(spark.createDataFrame(rows, POSITIONS), as_of=NOW)
+    assert {r.id: r.geometry for r in found.collect()} == {"v": None, "w": None}
 
 
 def test_paths(vehicles):
@@ -145,6 +146,15 @@ def test_long_lines_of_a_null_key(spark):
     }
 
 
+def test_long_line_without_located_points_stays(spark):
+    frame = spark.createDataFrame([("a", None)] * 9 + [("b", 1.0)], "k string, n double")
+    xy = F.when(F.col("n").isNotNull(), F.array("n"))
+    for limit in (4, 100):
+        lines = ordered_lines(frame, "k", ["n"], xy, line_points=limit)
+        found = {r.k: (r.part, r.parts, r.start, r.n_points, r.points) for r in lines.collect()}
+        assert found == {"a": (0, 1, 0, 0, []), "b": (0, 1, 0, 1, [[1.0]])}
+
+
 def test_markers_are_the_last_points_of_paths(spark, vehicles):
     paths = by_id(q.current_paths(vehicles, FIVE_MINUTES, NOW))
     for row in q.vehicle_markers(vehicles, FIVE_MINUTES, NOW).collect():
@@ -185,7 +195,14 @@ def stop(number, name, lat=43.65, lon=-79.38):
 
 
 def test_stops(spark):
-    names = ["King St at Bay", "KING ST AT York St", "king st at Bay North", "Queen", "King St W", "King St At Jarvis St E"]
+    names = [
+        "King St at Bay",
+        "KING ST AT York St",
+        "king st at Bay North",
+        "Queen",
+        "King St W",
+        "King St At Jarvis St E",
+    ]
     rows = [stop(str(1000 + i), name) for i, name in enumerate(names)]
     table = q.build_stops(spark.createDataFrame(rows, STOPS_FILE))
     assert table.first().coords.coordinates == [-79.38, 43.65]
@@ -255,7 +272,8 @@ def test_long_routes_simplify_like_short_ones(spark, line_points):
 
 
 def test_coordinate_is_null_unless_both_are_numbers(spark):
-    frame = spark.createDataFrame([("-79.1", "43.1"), ("x", "43.1"), (None, "43.1")], "lon string, lat string")
+    rows = [("-79.1", "43.1"), ("x", "43.1"), (None, "43.1")]
+    frame = spark.createDataFrame(rows, "lon string, lat string")
     got = [r[0] for r in frame.select(coordinate(F.col("lon"), F.col("lat"))).collect()]
     assert got == [[-79.1, 43.1], None, None]
 
