@@ -12,7 +12,7 @@ from operator import and_, or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgrid.session import broadcast_if_small
+from fleetgrid.session import BROADCAST_ROWS
 
 POSITION_KEY = ("id", "lat", "lon")
 
@@ -22,14 +22,17 @@ def new_positions(
 ) -> DataFrame:
     """Distinct rows of ``batch`` at positions that ``stored`` does not hold yet.
 
-    The stored side is the whole history. It is first cut to the positions the batch asks for: a batch
-    known to have few rows is broadcast for that, so the history is scanned but not shuffled.
+    The stored side is the whole history. It is first cut to the positions the batch asks for. A batch
+    known to have few rows is broadcast for that, so the history is scanned but not shuffled; otherwise
+    copies of a stored position combine before the shuffle. Either way each known position is left once.
     """
     key = list(POSITION_KEY)
     asked = batch.select(*key).dropna().distinct()
-    if batch_rows is not None:
-        asked = broadcast_if_small(asked, batch_rows)
-    known = stored.select(*key).join(asked, key, "left_semi")
+    keys = stored.select(*key)
+    if batch_rows is not None and batch_rows <= BROADCAST_ROWS:
+        known = keys.join(F.broadcast(asked), key, "left_semi").distinct()
+    else:
+        known = keys.dropna().distinct().join(asked, key, "left_semi")
     return batch.distinct().join(known, key, "left_anti").select(*batch.columns)
 
 

@@ -114,7 +114,7 @@ class PositionLog:
             inserted = numbered.count()
             dated = numbered.withColumn("event_date", F.to_date("api_timestamp"))
             self._overwrite(dated, self.path, "event_date", "batch_id")
-            keys = numbered.select(*POSITION_KEY, "batch_id").dropna().distinct()
+            keys = numbered.select(*POSITION_KEY, "batch_id").dropna()
             self._overwrite(keys, self.keys_path, "batch_id")
             return inserted
         finally:

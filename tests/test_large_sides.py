@@ -17,6 +17,7 @@ from fleetgrid.session import shared_folder
 def nothing_is_small(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(numbering, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dedup, "BROADCAST_ROWS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     yield
@@ -47,7 +48,7 @@ def test_new_positions(spark, nothing_is_small):
 
 
 def test_long_routes(spark, nothing_is_small):
-    points = spark.range(41).select(
+    points = spark.range(23).select(
         F.lit("s").alias("shape_id"),
         (F.col("id") % 5).cast("double").alias("shape_pt_lat"),
         F.col("id").cast("double").alias("shape_pt_lon"),
@@ -56,7 +57,7 @@ def test_long_routes(spark, nothing_is_small):
     whole = q.routes(q.build_routes(points), tolerance=1.5).first().geometry.coordinates
     parts = q.routes(q.build_routes(points, line_points=8), tolerance=1.5).collect()
     assert [p.geometry.coordinates for p in parts] == [whole]
-    assert 2 < len(whole) < 41
+    assert 2 < len(whole) < 23
 
 
 def test_hot_position_spreads_over_its_batches(spark, nothing_is_small):
