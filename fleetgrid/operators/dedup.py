@@ -17,23 +17,28 @@ from fleetgrid.session import BROADCAST_ROWS
 POSITION_KEY = ("id", "lat", "lon")
 
 
-def new_positions(
-    batch: DataFrame, stored: DataFrame, batch_rows: int | None = None
+def unknown_positions(
+    rows: DataFrame, stored: DataFrame, batch: DataFrame, batch_rows: int | None = None
 ) -> DataFrame:
-    """Distinct rows of ``batch`` at positions that ``stored`` does not hold yet.
+    """Rows at positions that ``stored`` does not hold; ``batch`` is what the rows come from.
 
-    The stored side is the whole history. It is first cut to the positions the batch asks for. A batch
-    known to have few rows is broadcast for that, so the history is scanned but not shuffled; otherwise
-    copies of a stored position combine before the shuffle. Either way each known position is left once.
+    The stored side is the whole history. A batch known to have few rows is broadcast to cut it to the
+    positions asked for, so the history is scanned but not shuffled. Otherwise copies of a stored
+    position combine before the shuffle. Either way each known position is left once.
     """
     key = list(POSITION_KEY)
-    asked = batch.select(*key).dropna().distinct()
-    keys = stored.select(*key)
+    known = stored.select(*key).dropna()
     if batch_rows is not None and batch_rows <= BROADCAST_ROWS:
-        known = keys.join(F.broadcast(asked), key, "left_semi").distinct()
-    else:
-        known = keys.dropna().distinct().join(asked, key, "left_semi")
-    return batch.distinct().join(known, key, "left_anti").select(*batch.columns)
+        asked = batch.select(*key).dropna().distinct()
+        known = known.join(F.broadcast(asked), key, "left_semi")
+    return rows.join(known.distinct(), key, "left_anti").select(*rows.columns)
+
+
+def new_positions(
+    batch: DataFrame, stored: DataFrame, batch_rows: int | None = None
+) -> DataFrame:
+    """Distinct rows of ``batch`` at positions that ``stored`` does not hold yet."""
+    return unknown_positions(batch.distinct(), stored, batch, batch_rows)
 
 
 def keep_first_batch(rows: DataFrame, log: DataFrame, batch: str) -> DataFrame:

@@ -24,7 +24,11 @@ BLOCK_BYTES = 1 << 20
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Archive files as ``path, content``."""
+    """Archive files as ``path, content``.
+
+    A zip archive cannot be split, so one task reads it; Spark limits a file to 2 GiB here. Many archives
+    are many tasks, and members are unpacked in blocks.
+    """
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 

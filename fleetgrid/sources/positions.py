@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgrid.operators.dedup import POSITION_KEY, keep_first_batch, new_positions
+from fleetgrid.operators.dedup import POSITION_KEY, keep_first_batch, unknown_positions
 from fleetgrid.schema import POSITION_KEYS, POSITIONS, STORED_POSITIONS
 from fleetgrid.sources.files import exists, folders, is_complete, remove
 
@@ -99,9 +99,11 @@ class PositionLog:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             received = batch.count()
-            rows = keep_first_batch(batch.distinct(), batch, order) if order else batch
-            rows = rows.select(*POSITIONS.names)
-            fresh = new_positions(rows, self.known_keys(batch_id), received)
+            rows = batch.distinct()
+            if order:
+                rows = keep_first_batch(rows, batch, order)
+            stored = self.known_keys(batch_id)
+            fresh = unknown_positions(rows.select(*POSITIONS.names), stored, batch, received)
             return Inserted(received, self._write(fresh, batch_id))
         finally:
             batch.unpersist()
