@@ -28,14 +28,16 @@ def text_bytes(array: pa.Array) -> list[bytes]:
     return [value or b"" for value in array.cast(pa.large_binary()).to_pylist()]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most ``BLOCK_BYTES`` of text, or one row, and their texts."""
+def blocks(
+    batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with at most ``most`` bytes of text, or one row, and their texts."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = [0 if n is None else n for n in pc.binary_length(column).to_pylist()]
         start, held = 0, 0
         for row, size in enumerate(sizes):
-            if row > start and held + size > BLOCK_BYTES:
+            if row > start and held + size > most:
                 part = batch.slice(start, row - start)
                 yield part, text_bytes(part.column(batch.schema.get_field_index(text)))
                 start, held = row, 0

@@ -6,17 +6,27 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetgrid.llm.blocks import table
 from fleetgrid.llm.bottomk import near_duplicates
 from fleetgrid.llm.fertility import fertility
+from fleetgrid.llm.lattice import lattice_scores
 from fleetgrid.llm.linechunks import remove_repeated_chunks
 from fleetgrid.llm.packing import pack
+from fleetgrid.llm.quotes import linked_conversations
+from fleetgrid.llm.repeats import remove_repeats
 from fleetgrid.llm.seeds import contaminated
+from fleetgrid.llm.separators import token_counts, write_token_files
+from fleetgrid.llm.warc import deduplicate_archive, page_records, read_archive, revisits, write_archive
+from fleetgrid.session import work_folder
 
 # Folder of the public vocabularies, the same on every host.
 VOCABULARIES = os.environ.get("PUBLIC_VOCABULARIES", "/opt/tokenizers")
 
+# Written into the archives, so that two runs give the same bytes.
+ARCHIVE_DATE = "2024-01-01T00:00:00Z"
+
 
 def vocabulary(name: str) -> str:
     return f"{VOCABULARIES}/{name}"
@@ -32,6 +42,16 @@ def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the byte strings of earlier ones."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document under the smoothed unigram and the lattice model."""
+    return lattice_scores(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without globally repeated chunks of lines."""
     kept = remove_repeated_chunks(table(spark, sf_dir, "documents"))
@@ -40,19 +60,53 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, found in flat token files; files are numbered by their names."""
+    path = work_folder(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), path)
+    counts = token_counts(spark, path)
+    part = F.regexp_extract("file", "part-(\\d+)-[^/]*$", 1).cast("int").alias("part")
+    piece = F.regexp_extract("file", "-c(\\d+)\\.[^/]*$", 1).cast("int").alias("piece")
+    return counts.select(part, piece, "document", "start", "n_tokens", "ended")
+
+
 def op7_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences."""
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record type, payload and original of every page in the deduplicated archives."""
+    full, deduplicated = work_folder(spark, "archive"), work_folder(spark, "deduplicated")
+    write_archive(page_records(table(spark, sf_dir, "pages")), full, ARCHIVE_DATE)
+    deduplicate_archive(spark, full, deduplicated, ARCHIVE_DATE)
+    return revisits(read_archive(spark, deduplicated))
+
+
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with near-equal shingle sets."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without quotes, with their thread and what they reply to."""
+    return linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_fertility, op2_spaced_seeds, op5_line_chunks, op7_cutting_stock, op9_bottom_k)
+    for query in (
+        op1_fertility,
+        op2_spaced_seeds,
+        op3_run_length_index,
+        op4_subword_lattice,
+        op5_line_chunks,
+        op6_separator_scan,
+        op7_cutting_stock,
+        op8_revisits,
+        op9_bottom_k,
+        op10_quotation_links,
+    )
 }
 
 SQL: dict[str, str] = {}
@@ -84,3 +138,19 @@ SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_lines,
     md5(coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '')) END AS kept_md5
 FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id
 """
+
+SQL["op8_revisits"] = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), digests AS (
+  SELECT page_id, payload, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS original FROM payloads
+), groups AS (
+  SELECT page_id, payload, original, list_transform(range(0, 8), lambda g: ('0x' || substr(h, 1 + 5 * g, 5))::INTEGER) AS bits FROM digests
+)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((bits[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM groups
+"""
