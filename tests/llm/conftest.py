@@ -1,0 +1,18 @@
+"""Helpers of the training-data tests; the session comes from the folder above."""
+
+from __future__ import annotations
+
+import pytest
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+@pytest.fixture
+def documents(spark):
+    """Documents from (id, text) or (id, text, language)."""
+
+    def build(*rows):
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "s", len(r[1] or "")) for r in rows]
+        return spark.createDataFrame(full, DOCUMENTS)
+
+    return build
