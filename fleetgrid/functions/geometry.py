@@ -42,23 +42,40 @@ def as_geojson(geometry: Column) -> Column:
     return F.to_json(geometry)
 
 
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_XY = rf"\s*{_NUMBER}\s+{_NUMBER}\s*"
+_LIST = rf"{_XY}(?:,{_XY})"
+
+# The whole text of each type: two ordinates a point, two points a line, four points a ring.
+WKT_FORMS = {
+    "POINT": rf"(?i)^\s*POINT\s*\({_XY}\)\s*$",
+    "LINESTRING": rf"(?i)^\s*LINESTRING\s*\({_LIST}+\)\s*$",
+    "POLYGON": rf"(?i)^\s*POLYGON\s*\(\s*\({_LIST}{{3,}}\)\s*(?:,\s*\({_LIST}{{3,}}\)\s*)*\)\s*$",
+}
+
+
 def parse_wkt(text: Column) -> Column:
-    """WKT point, line or polygon as ``struct<type, rings>``; null for other text.
+    """WKT point, line or polygon as ``struct<type, rings>``; null for any other text.
 
     ``rings`` always has three levels (ring, point, ordinate), so one column holds all three types.
+    The form of the whole text is checked first, and every ordinate must be finite.
     """
-    name = F.regexp_extract(text, r"^\s*([A-Za-z]+)\s*\(+[^()]", 1)
-    names = F.create_map(*[F.lit(v) for pair in GEOJSON_TYPES.items() for v in pair])
-    kind = F.try_element_at(names, F.upper(name))
-    body = F.regexp_extract(text, r"\(+(.*?)\)+\s*$", 1)
+    kind = F.lit(None).cast("string")
+    for name, form in WKT_FORMS.items():
+        kind = F.when(text.rlike(form), GEOJSON_TYPES[name]).otherwise(kind)
+    body = F.regexp_extract(text, r"\(([^A-Za-z]*(?:[eE][+-]?[0-9][^A-Za-z]*)*)\)\s*$", 1)
     rings = F.transform(
-        F.split(body, r"\)\s*,\s*\("),
+        F.split(F.regexp_replace(body, r"^\s*\(|\)\s*$", ""), r"\)\s*,\s*\("),
         lambda ring: F.transform(
             F.split(ring, ","),
             lambda xy: F.transform(F.split(F.trim(xy), r"\s+"), lambda v: v.try_cast("double")),
         ),
     )
-    return F.when(kind.isNotNull(), F.struct(kind.alias("type"), rings.alias("rings")))
+    infinite = F.exists(
+        rings, lambda ring: F.exists(ring, lambda xy: F.exists(xy, lambda v: F.abs(v) == float("inf")))
+    )
+    shape = F.struct(kind.alias("type"), rings.alias("rings"))
+    return F.when(kind.isNotNull(), F.when(~infinite, shape))
 
 
 def shape_geojson(shape: Column) -> Column:

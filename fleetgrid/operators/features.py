@@ -1,4 +1,4 @@
-"""GeoJSON features, one per row, and the bounded single document."""
+"""GeoJSON features, one per row, and documents of a bounded number of features."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A document is one value in one row; larger results are written one feature per line.
-DOCUMENT_FEATURES = 100_000
+from fleetgrid.operators.numbering import number_rows
+from fleetgrid.session import durable
+
+# Features of one document; more features make more documents.
+DOCUMENT_FEATURES = 10_000
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -27,7 +30,11 @@ def to_features(
     """Rows as GeoJSON feature text in one column ``feature``; rows without geometry are dropped.
 
     ``geometry`` is a geometry column or GeoJSON text. Other columns become properties, nulls included.
+    A frame whose one column is ``geojson`` holds documents: their features come out as they are.
     """
+    if df.columns == ["geojson"]:
+        document = F.from_json("geojson", "struct<features: array<string>>")
+        return df.select(F.explode(document["features"]).alias("feature")).filter("feature IS NOT NULL")
     if geometry not in df.columns:
         return df.limit(0).select(F.lit("").alias("feature"))
     names = [c for c in df.columns if c != geometry] if properties is None else list(properties)
@@ -47,21 +54,25 @@ def to_features(
     return df.filter(F.col(geometry).isNotNull()).select(text.alias("feature"))
 
 
-def feature_collection(features: DataFrame, max_features: int = DOCUMENT_FEATURES) -> DataFrame:
-    """All features as one document in column ``geojson``, sorted by text; ``[]`` when empty.
+def feature_documents(features: DataFrame, per_document: int = DOCUMENT_FEATURES) -> DataFrame:
+    """(document, geojson): all features, sorted by text, in documents of ``per_document`` each.
 
-    More than ``max_features`` rows raise an error: use ``write_features`` for those.
+    Without features there is one document with an empty list.
     """
-    count = features.count()
-    if count > max_features:
-        raise ValueError(
-            f"{count} features exceed {max_features} in one document; use write_features"
+    texts = durable(features.select("feature"))
+    if texts.isEmpty():
+        none = F.lit('{"type":"FeatureCollection","features":[]}')
+        return texts.sparkSession.range(1).select(F.lit(0).cast("long").alias("document"), none.alias("geojson"))
+    placed = number_rows(texts, ["feature"], name="_no")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_no", "feature"))), lambda one: one["feature"])
+    return (
+        placed.withColumn("document", F.floor(F.col("_no") / per_document))
+        .groupBy("document")
+        .agg(
+            F.concat(
+                F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}")
+            ).alias("geojson")
         )
-    listed = F.array_join(F.sort_array(F.collect_list("feature")), ",")
-    return features.agg(
-        F.concat(
-            F.lit('{"type":"FeatureCollection","features":['), listed, F.lit("]}")
-        ).alias("geojson")
     )
 
 

@@ -11,8 +11,12 @@ from fleetgrid.schema import FEED_NUMBERS
 
 
 def typed_view(df: DataFrame, types: Mapping[str, str] = FEED_NUMBERS) -> DataFrame:
-    """Feed text as numbers. Text that is not a number becomes null and adds to ``rejected``."""
-    present = {c: types[c] for c in df.columns if c in types}
+    """Feed text as numbers. Text that is not a number becomes null and adds to ``rejected``.
+
+    Column names compare without case, as in SQL; a column keeps the case it has.
+    """
+    kinds = {name.lower(): kind for name, kind in types.items()}
+    present = {c: kinds[c.lower()] for c in df.columns if c.lower() in kinds}
     rejected = F.lit(0)
     for name, kind in present.items():
         bad = F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull()

@@ -157,7 +157,7 @@ WITH RECURSIVE {_SHAPE_POINTS}, pts AS MATERIALIZED (
   SELECT shape_id, a AS n FROM seg UNION SELECT shape_id, b FROM seg
   UNION SELECT shape_id, n FROM pts WHERE c = 1
 )
-SELECT shape_id, cast(0 AS BIGINT) AS part,
+SELECT shape_id, cast(0 AS BIGINT) AS part, cast(1 AS BIGINT) AS parts, cast(0 AS BIGINT) AS start,
        cast(to_json({{'type': 'LineString', 'coordinates': list([x, y] ORDER BY n)}}) AS VARCHAR) AS geometry
 FROM kept JOIN pts USING (shape_id, n) GROUP BY shape_id
 """
@@ -205,10 +205,33 @@ _CELL_CENTRE = (
     "round(0.46 * 1.5 * r / 110.574 + 43.65, 4)]}) AS VARCHAR)"
 )
 
+_CELL_RING = (
+    "cast(to_json({'type': 'Polygon', 'coordinates': [[" + ", ".join(
+        f"[round((0.46 * sqrt(3) * (q + r / 2.0) + 0.46 * cos(radians({angle}))) / (111.32 * cos(radians(43.65))) - 79.38, 6), "
+        f"round((0.46 * 1.5 * r + 0.46 * sin(radians({angle}))) / 110.574 + 43.65, 6)]"
+        for angle in (-30, 30, 90, 150, 210, 270, -30)
+    ) + "]]}) AS VARCHAR)"
+)
+
+_SPEED_PROPERTIES = (
+    "{'hexId': hex_id, 'hourOfDay': hour_of_day, 'speed': speed, 'numObservations': num_observations}"
+)
+
 _HOUR_PROPERTIES = (
     "{'hexId': hex_id, 'hourOfDay': hour_of_day, 'numObservations': num_observations}"
 )
 
+_INGESTED = f"""
+WITH {_POSITIONS}, coarse AS (
+  SELECT {_COARSE.format(lat=f"substring({_LAT}, 1, 4)")}, NULL::VARCHAR AS "dirTag", NULL::VARCHAR AS "secsSinceReport",
+         NULL::VARCHAR AS predictable, NULL::VARCHAR AS "speedKmHr", ts + INTERVAL 5 SECOND AS fetched_at,
+         date_trunc('millisecond', ts) AS api_timestamp, event_id
+  FROM events
+)
+SELECT * EXCLUDE (event_id) FROM coarse
+QUALIFY (api_timestamp, fetched_at, event_id) = min((api_timestamp, fetched_at, event_id)) OVER (PARTITION BY id, lat, lon)
+""".replace(f"{_POSITIONS}, ", "")
+
 ORACLE: dict[str, str] = {
     "current_locations": f"""
 WITH {_POSITIONS}, {_RECENT}, {_LATEST}
@@ -223,7 +246,8 @@ FROM latest
 """,
     "current_paths": f"""
 WITH {_POSITIONS}, {_RECENT}, {_PATHS}
-SELECT id, cast(0 AS BIGINT) AS part, n AS n_points, round(speed, 6) AS "avgSpeedKmHr",
+SELECT id, cast(0 AS BIGINT) AS part, cast(1 AS BIGINT) AS parts, cast(0 AS BIGINT) AS start,
+       n AS n_points, round(speed, 6) AS "avgSpeedKmHr",
        last_heading AS "lastHeading", {_LINE} AS geometry
 FROM paths
 """,
@@ -243,7 +267,7 @@ WHERE api_timestamp >= (SELECT max(ts) FROM events) - 604800 * INTERVAL '1 secon
 """,
     "current_paths_features": f"""
 WITH {_POSITIONS}, {_RECENT}, {_PATHS}
-SELECT {_feature(_LINE, "{'id': id, 'lastHeading': last_heading}")} FROM paths
+SELECT {_feature(_LINE, "{'id': id, 'part': 0, 'avgSpeedKmHr': round(speed, 6), 'lastHeading': last_heading}")} FROM paths
 """,
     "markers": f"""
 WITH {_POSITIONS}, {_RECENT}, {_PATHS}
@@ -260,7 +284,7 @@ SELECT id, try_cast(lat AS DOUBLE) AS lat, try_cast(lon AS DOUBLE) AS lon,
        try_cast(predictable AS BOOLEAN) AS predictable,
        try_cast(heading AS INTEGER) AS heading,
        try_cast({_BAD_SPEED} AS DOUBLE) AS "speedKmHr",
-       api_timestamp, event_id,
+       "routeTag", "dirTag", fetched_at, api_timestamp, event_id,
        CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS rejected
 FROM positions
 """,
@@ -277,10 +301,25 @@ SELECT * FROM speeds
 """,
     "avg_speeds_hour": f"""
 WITH {_POSITIONS}, {_PLANE}, {_SPEEDS}
-SELECT * FROM this_hour
+SELECT *, {_CELL_RING} AS geometry FROM this_hour
 """,
     "avg_speeds_features": f"""
 WITH {_POSITIONS}, {_PLANE}, {_SPEEDS}
+SELECT {_feature(_CELL_RING, _SPEED_PROPERTIES)} FROM this_hour
+""",
+    "document_features": f"""
+WITH {_POSITIONS}, {_PLANE}, {_SPEEDS}
+SELECT {_feature(_CELL_RING, _SPEED_PROPERTIES)} FROM this_hour
+""",
+    "feature_documents": f"""
+WITH {_POSITIONS}, {_PLANE}, {_SPEEDS}, features AS (
+  SELECT {_feature(_CELL_RING, _SPEED_PROPERTIES)} FROM this_hour
+), numbered AS (SELECT feature, (row_number() OVER (ORDER BY feature) - 1) // 50 AS document FROM features)
+SELECT document, concat('{{"type":"FeatureCollection","features":[', string_agg(feature, ',' ORDER BY feature), ']}}') AS geojson
+FROM numbered GROUP BY document
+""",
+    "avg_speeds_corners": f"""
+WITH {_POSITIONS}, {_PLANE}, {_SPEEDS}
 SELECT hex_id, hour_of_day, 'Polygon' AS geometry_type, 7 AS n_corners, true AS closed,
        round((0.46 * sqrt(3) * (q + r / 2.0) + 0.46 * cos(radians(-30)))
              / (111.32 * cos(radians(43.65))) - 79.38, 9) AS first_lon,
@@ -330,11 +369,16 @@ FROM unnamed
 """,
     "build_routes": f"""
 WITH {_SHAPE_POINTS}
-SELECT shape_id, cast(0 AS BIGINT) AS part, count(*) AS n_points,
+SELECT shape_id, cast(0 AS BIGINT) AS part, cast(1 AS BIGINT) AS parts, cast(0 AS BIGINT) AS start,
+       count(*) AS n_points,
        cast(to_json(list([x, y] ORDER BY seq, tie_1, tie_2)) AS VARCHAR) AS points
 FROM shape_points GROUP BY shape_id
 """,
     "routes": _simplified(0.0001),
+    "routes_features": f"""
+WITH simplified AS ({_simplified(0.0001)})
+SELECT {_feature("geometry", "{'shape_id': shape_id, 'part': 0}")} FROM simplified
+""",
     "routes_coarse": _simplified(0.005),
     "to_features": f"""
 WITH given AS (
@@ -434,9 +478,9 @@ FROM sent
 """,
     "feed_cursor": "SELECT cast(epoch_us(max(ts)) // 1000 AS VARCHAR) AS cursor FROM events",
     "raw_landing": """
-SELECT cast(ts + INTERVAL 5 SECOND AS DATE) AS fetch_date, count(*) AS n_payloads,
+SELECT ts + INTERVAL 5 SECOND AS fetched_at, count(*) AS n_payloads,
        cast(sum(CASE WHEN event_id % 7 > 0 THEN 2 ELSE 0 END) AS BIGINT) AS n_vehicles
-FROM events GROUP BY fetch_date
+FROM events GROUP BY fetched_at
 """,
     "dedup_replay": f"WITH {_DAILY} SELECT * FROM replayed",
     "insert_counts": f"""
@@ -446,22 +490,41 @@ SELECT batch_id, received, coalesce(n, 0) AS inserted, received - coalesce(n, 0)
 FROM received LEFT JOIN kept USING (batch_id)
 """,
     "anti_join_new_positions": f"""
-WITH {_DAILY}
+WITH {_DAILY}, half AS (
+  SELECT cast(min(batch_id) + cast((max(batch_id) - min(batch_id)) // 2 AS INTEGER) AS DATE) AS middle FROM daily
+)
 SELECT DISTINCT id, lat, lon, "routeTag", heading FROM daily d
-WHERE batch_id >= DATE '2024-01-16' AND NOT EXISTS (
+WHERE batch_id >= (SELECT middle FROM half) AND NOT EXISTS (
   SELECT 1 FROM daily v
-  WHERE v.batch_id < DATE '2024-01-16' AND v.id = d.id AND v.lat = d.lat AND v.lon = d.lon
+  WHERE v.batch_id < (SELECT middle FROM half) AND v.id = d.id AND v.lat = d.lat AND v.lon = d.lon
 )
 """,
-    "stream_ingest": f"""
-WITH coarse AS (
-  SELECT {_COARSE.format(lat=f"substring({_LAT}, 1, 4)")},
-         date_trunc('millisecond', ts) AS api_timestamp
-  FROM events
+    "stream_ingest": _INGESTED,
+    "ingest_restart": _INGESTED,
+    "bad_payloads": f"""
+WITH {_POSITIONS}, sent AS (
+  SELECT event_id, fetched_at,
+    CASE WHEN event_id % 7 > 0 THEN length(concat('{{"vehicle":[',
+      replace(cast(to_json({{'id': id, 'routeTag': "routeTag", 'dirTag': "dirTag", 'lat': lat, 'lon': lon,
+        'secsSinceReport': "secsSinceReport", 'predictable': predictable, 'heading': heading,
+        'speedKmHr': "speedKmHr"}}) AS VARCHAR), '"dirTag":null,', ''), ',',
+      cast(to_json({{'id': concat('veh-', cast(user_id + 1000000 AS VARCHAR)), 'routeTag': "routeTag", 'lat': lat, 'lon': lon}}) AS VARCHAR),
+      '],')) ELSE 1 END
+    + length(concat('"lastTime":{{"time":"', cast(epoch_us(api_timestamp) // 1000 AS VARCHAR), '"}}}}')) AS n
+  FROM positions JOIN (SELECT event_id, user_id FROM events) USING (event_id)
 )
-SELECT * FROM coarse
-QUALIFY api_timestamp = min(api_timestamp) OVER (PARTITION BY id, lat, lon)
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN n - 5 ELSE n - 2 END AS n_chars, fetched_at
+FROM sent WHERE event_id % 3 = 0 OR event_id % 5 = 0
 """,
+    "locations_as_of_past": f"""
+WITH {_POSITIONS}, at AS (
+  SELECT date_trunc('hour', min(ts) + (max(ts) - min(ts)) / 2) AS now FROM events
+), recent AS (
+  SELECT * FROM positions
+  WHERE api_timestamp BETWEEN (SELECT now FROM at) - INTERVAL 1 DAY AND (SELECT now FROM at)
+), {_LATEST}
+SELECT *, {_POINT} AS geometry FROM latest
+""".replace(" at AS (", " middle AS (").replace("FROM at)", "FROM middle)"),
     "archive_resource": """
 WITH listed AS (
   SELECT o_orderkey, o_custkey, unnest([0, 1, 2]) AS i FROM orders
@@ -477,9 +540,21 @@ FROM outside
     "archive_stops": f"WITH {_STOPS_FILE} SELECT * FROM stops_file",
     "archive_stops_inferred": f"""
 WITH {_STOPS_FILE}
-SELECT cast(stop_id AS BIGINT) AS stop_id, stop_code, cast(location_type AS BIGINT) AS location_type,
-       stop_lat, stop_lon
+SELECT * REPLACE (cast(stop_id AS BIGINT) AS stop_id, cast(location_type AS BIGINT) AS location_type,
+  cast(parent_station AS BIGINT) AS parent_station, cast(wheelchair_boarding AS BIGINT) AS wheelchair_boarding)
 FROM stops_file
+""",
+    "archive_members": """
+SELECT 'stops.txt' AS member, 'ttc_stops' AS table_name,
+  'stop_id,stop_code,stop_name,stop_desc,zone_id,stop_url,location_type,parent_station,stop_timezone,wheelchair_boarding,stop_lat,stop_lon' AS columns
+UNION ALL SELECT 'agency.txt', 'ttc_agency', 'agency_id,agency_name'
+UNION ALL SELECT 'empty.txt', 'ttc_empty', ''
+""",
+    "archive_routes": f"""
+WITH {_SHAPE_POINTS}
+SELECT shape_id, cast(0 AS BIGINT) AS part, cast(1 AS BIGINT) AS parts, cast(0 AS BIGINT) AS start,
+       count(*) AS n_points, cast(to_json(list([x, y] ORDER BY seq, x, y)) AS VARCHAR) AS points
+FROM shape_points GROUP BY shape_id
 """,
     "inferred_types": """
 SELECT o_orderkey AS order_no, cast(cast(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS price,
@@ -490,10 +565,10 @@ FROM orders
 """,
     "replaced_table": f"""
 WITH {_STOPS_FILE}
-SELECT stop_id, stop_name, parent_station FROM stops_file WHERE parent_station IS NOT NULL
+SELECT * EXCLUDE (stop_lat, stop_lon) FROM stops_file WHERE parent_station IS NOT NULL
 """,
     "snapshot_copy": f"""
-WITH {_POSITIONS} SELECT event_id, id, lat, lon, heading, api_timestamp FROM positions
+WITH {_POSITIONS} SELECT * FROM positions
 """,
-    "missing_table": f"WITH {_POSITIONS} SELECT event_id, id FROM positions",
+    "missing_table": f"WITH {_POSITIONS} SELECT * FROM positions",
 }

@@ -207,12 +207,13 @@ def routes(
 ) -> DataFrame:
     """Simplified route lines.
 
+    A line's rows have ``part, parts, start`` at every size; ``start`` counts simplified points.
     Lines held in one row are simplified in Arrow batches. Lines stored in several parts go through
     rounds of Spark jobs, since the parts cannot be simplified one by one.
     """
     whole = routes_table.filter(F.col("parts") == 1)
     short = whole.select(
-        "shape_id", "part", line(simplify(tolerance)(F.col("points"))).alias("geometry")
+        "shape_id", "part", "parts", "start", line(simplify(tolerance)(F.col("points"))).alias("geometry")
     )
     split = routes_table.filter(F.col("parts") > 1)
     if split.isEmpty():
@@ -232,5 +233,5 @@ def routes(
     )
     long = ordered_lines(kept, "shape_id", ["pos"], F.array("x", "y"), line_points=line_points)
     return short.unionByName(
-        long.select("shape_id", "part", line(F.col("points")).alias("geometry"))
+        long.select("shape_id", "part", "parts", "start", line(F.col("points")).alias("geometry"))
     )

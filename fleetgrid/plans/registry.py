@@ -13,6 +13,7 @@ from fleetgrid.functions.geometry import (
     coordinate,
     parse_wkt,
     point,
+    polygon,
     shape_geojson,
     x_of,
 )
@@ -93,7 +94,7 @@ def _paths(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def current_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Path, mean speed and last heading per vehicle."""
-    return _rounded(_text_geometry(_paths(spark, folder)), 6, "avgSpeedKmHr").drop("parts", "start")
+    return _rounded(_text_geometry(_paths(spark, folder)), 6, "avgSpeedKmHr")
 
 
 @query
@@ -124,8 +125,9 @@ def bound_parameters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def current_paths_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Current paths as GeoJSON features; the mean speed is left to ``current_paths``."""
-    return features.to_features(_paths(spark, folder), properties=["id", "lastHeading"])
+    """Current paths as GeoJSON features, one per part of a path."""
+    found = _rounded(_paths(spark, folder), 6, "avgSpeedKmHr")
+    return features.to_features(found, properties=["id", "part", "avgSpeedKmHr", "lastHeading"])
 
 
 @query
@@ -144,7 +146,7 @@ def typed_positions(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.positions(spark, folder).withColumn(
         "speedKmHr", F.when(F.col("event_id") % 17 == 0, "n/a").otherwise(F.col("speedKmHr"))
     )
-    return typed_view(rows).drop("fetched_at", "routeTag", "dirTag")
+    return typed_view(rows)
 
 
 @query
@@ -171,13 +173,21 @@ def avg_speeds(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(q.avg_speeds(rows, as_of=as_of), 6, "speed")
 
 
+def _cells(found: DataFrame) -> DataFrame:
+    """Cells with their corners rounded, so that both engines print the same digits."""
+    ring = F.transform(
+        F.col("geometry.coordinates")[0], lambda xy: F.transform(xy, lambda v: F.round(v, 6))
+    )
+    return found.withColumn("geometry", polygon(ring))
+
+
 @query
 def avg_speeds_hour(spark: SparkSession, folder: str) -> DataFrame:
     """Mean speed per hexagon in the current hour of day."""
     rows = tables.positions(spark, folder)
     as_of = tables.newest_time(rows)
-    found = q.avg_speeds_hour(rows, as_of=as_of).drop("geometry")
-    return _rounded(found, 6, "speed")
+    found = _cells(q.avg_speeds_hour(rows, as_of=as_of))
+    return _text_geometry(_rounded(found, 6, "speed"))
 
 
 @query
@@ -212,13 +222,45 @@ def _hour_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def feature_collection(spark: SparkSession, folder: str) -> DataFrame:
-    """Speed map cells of one hour as a single document; the city's area bounds its size."""
-    return features.feature_collection(_hour_features(spark, folder))
+    """Centres of the speed map's cells of one hour as documents."""
+    return features.feature_documents(_hour_features(spark, folder), 100_000).select("geojson")
+
+
+def _speed_features(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tables.positions(spark, folder)
+    as_of = tables.newest_time(rows)
+    found = _rounded(_cells(q.avg_speeds_hour(rows, as_of=as_of)), 6, "speed").select(
+        F.col("hex_id").alias("hexId"),
+        F.col("hour_of_day").alias("hourOfDay"),
+        "speed",
+        F.col("num_observations").alias("numObservations"),
+        "geometry",
+    )
+    return features.to_features(found)
 
 
 @query
 def avg_speeds_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Speed map of the current hour as polygon features, corners joined back from their text."""
+    """Speed map of the current hour as polygon features."""
+    return _speed_features(spark, folder)
+
+
+@query
+def feature_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The speed map's features in documents of fifty."""
+    return features.feature_documents(_speed_features(spark, folder), 50)
+
+
+@query
+def document_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features taken back out of documents."""
+    documents = features.feature_documents(_speed_features(spark, folder), 50)
+    return features.to_features(documents.select("geojson"))
+
+
+@query
+def avg_speeds_corners(spark: SparkSession, folder: str) -> DataFrame:
+    """Corners of the current hour's polygon features, read back from their text."""
     rows = tables.positions(spark, folder)
     as_of = tables.newest_time(rows)
     found = q.avg_speeds_hour(rows, as_of=as_of).select(
@@ -292,7 +334,7 @@ def _routes_table(spark: SparkSession, folder: str) -> DataFrame:
 def build_routes(spark: SparkSession, folder: str) -> DataFrame:
     """Line per shape."""
     return _routes_table(spark, folder).select(
-        "shape_id", "part", "n_points", F.to_json("points").alias("points")
+        "shape_id", "part", "parts", "start", "n_points", F.to_json("points").alias("points")
     )
 
 
@@ -302,6 +344,12 @@ def routes(spark: SparkSession, folder: str) -> DataFrame:
     return _text_geometry(q.routes(_routes_table(spark, folder)))
 
 
+@query
+def routes_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Simplified lines as GeoJSON features, one per part of a line."""
+    return features.to_features(q.routes(_routes_table(spark, folder)), properties=["shape_id", "part"])
+
+
 @query
 def routes_coarse(spark: SparkSession, folder: str) -> DataFrame:
     """Routes at a tolerance that takes out many points."""
@@ -456,19 +504,18 @@ def feed_parse(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def feed_cursor(spark: SparkSession, folder: str) -> DataFrame:
     """Cursor after all payloads."""
-    return feed.next_cursor(feed.payloads_from_text(tables.payload_text(spark, folder)))
+    return feed.next_cursor(tables.payload_text(spark, folder))
 
 
 @query
 def raw_landing(spark: SparkSession, folder: str) -> DataFrame:
-    """Payloads landed as received, then counted per fetch date from the files."""
+    """Payloads landed as received, read back with their fetch times."""
     landing = work_folder(spark, "landing")
     feed.land_payloads(tables.payload_text(spark, folder), landing)
-    landed = spark.read.text(landing)
-    payloads = feed.payloads_from_text(landed)
-    return payloads.groupBy("fetch_date").agg(
+    payloads = feed.read_payloads(spark, landing, landed=True)
+    return payloads.groupBy(F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at")).agg(
         F.count(F.lit(1)).alias("n_payloads"),
-        F.sum(F.coalesce(F.size("vehicle"), F.lit(0))).alias("n_vehicles"),
+        F.sum(F.coalesce(F.size("vehicle"), F.lit(0)).cast("long")).alias("n_vehicles"),
     )
 
 
@@ -488,34 +535,71 @@ def insert_counts(spark: SparkSession, folder: str) -> DataFrame:
 def anti_join_new_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Positions of the second half of the month that the first half does not hold."""
     log = tables.daily_log(spark, folder)
-    middle = F.lit("2024-01-16").cast("date")
+    first, last = log.agg(F.min("batch_id"), F.max("batch_id")).first()
+    middle = F.lit(first + (last - first) / 2).cast("date")
     batch, stored = log.filter(F.col("batch_id") >= middle), log.filter(F.col("batch_id") < middle)
     return dedup.new_positions(batch.drop("batch_id"), stored)
 
 
-@query
-def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event as a landed payload, ingested by the stream in two runs, read back."""
+def _ingested(spark: SparkSession, folder: str, one_run: bool) -> DataFrame:
+    """Every event as a landed payload, ingested in two halves by one run or two, read back."""
     events = tables.table(spark, folder, "events")
-    payloads = events.select("ts", tables.coarse_payload().alias("value"))
+    payloads = events.select("ts", "event_id", tables.coarse_payload().alias("value"))
     span = events.agg(F.min("ts"), F.max("ts")).first()
     middle = F.lit(span[0] + (span[1] - span[0]) / 2)
     landing, store = work_folder(spark, "landing"), work_folder(spark, "positions")
-    # Payloads land in time order: the second run meets positions the first one stored.
-    for some in (payloads.filter(F.col("ts") < middle), payloads.filter(F.col("ts") >= middle)):
-        feed.land_payloads(some.select("value", F.col("ts").alias("fetched_at")), landing)
-        start_ingest(spark, landing, store, f"{store}_offsets", period=None).awaitTermination()
+    # Payloads land in time order: the second half meets positions the first one stored.
+    for n, some in enumerate((payloads.filter(F.col("ts") < middle), payloads.filter(F.col("ts") >= middle))):
+        target = landing if one_run else f"{landing}_{n}"
+        fetched = F.expr("cast(ts + INTERVAL 5 SECONDS AS timestamp)").alias("fetched_at")
+        feed.land_payloads(some.select("value", fetched, F.col("event_id").alias("sequence")), target)
+        offsets = f"{store}_offsets" if one_run else f"{store}_offsets_{n}"
+        start_ingest(spark, target, store, offsets, period=None, landed=True).awaitTermination()
     stored = PositionLog(spark, store).positions()
-    return stored.select(
-        "id",
-        "lat",
-        "lon",
-        "routeTag",
-        "heading",
-        F.col("api_timestamp").cast("timestamp_ntz").alias("api_timestamp"),
+    return stored.withColumns(
+        {name: F.col(name).cast("timestamp_ntz") for name in ("fetched_at", "api_timestamp")}
+    )
+
+
+@query
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole feed through the stream, stopped and started again half-way."""
+    return _ingested(spark, folder, one_run=True)
+
+
+@query
+def ingest_restart(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the checkpoint lost half-way: nothing stored goes, nothing known is stored again."""
+    return _ingested(spark, folder, one_run=False)
+
+
+@query
+def bad_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third payload cut off, every fifth without its time: kept, with their fetch times."""
+    cut = F.expr("substring(value, 1, length(value) - 5)")
+    timeless = F.expr("replace(value, 'lastTime', 'noTime')")
+    texts = tables.payload_text(spark, folder)
+    value = F.when(F.expr("event_id % 3 = 0"), cut).when(F.expr("event_id % 5 = 0"), timeless).otherwise(F.col("value"))
+    landing, store = work_folder(spark, "landing"), work_folder(spark, "positions")
+    feed.land_payloads(texts.select(value.alias("value"), "fetched_at", F.col("event_id").alias("sequence")), landing)
+    start_ingest(spark, landing, store, f"{store}_offsets", period=None, landed=True).awaitTermination()
+    kept = spark.read.parquet(PositionLog(spark, store).rejected_path)
+    return kept.select(
+        F.col("source_place").alias("event_id"),
+        F.length("value").cast("long").alias("n_chars"),
+        F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"),
     )
 
 
+@query
+def locations_as_of_past(spark: SparkSession, folder: str) -> DataFrame:
+    """Newest position per vehicle at a moment in the middle of the log: later rows don't count."""
+    rows = tables.positions(spark, folder)
+    oldest, newest = rows.agg(F.min("api_timestamp"), F.max("api_timestamp")).first()
+    as_of = (oldest + (newest - oldest) / 2).replace(minute=0, second=0, microsecond=0)
+    return _text_geometry(q.current_locations(rows, DAY, as_of, ["event_id"]))
+
+
 # --- schedule load, snapshots ---
 
 
@@ -536,25 +620,7 @@ def archive_resource(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stop_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Zip archives, each with a stops file, written by Spark tasks from the stops."""
-    import io
-    import zipfile
-
-    import pyarrow as pa
-    import pyarrow.csv as pacsv
-
-    def pack(batches):
-        for i, batch in enumerate(batches):
-            csv, packed = io.BytesIO(), io.BytesIO()
-            pacsv.write_csv(batch, csv)
-            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as target:
-                target.writestr("stops.txt", csv.getvalue())
-                target.writestr("agency.txt", "agency_id,agency_name\n1,Transit\n")
-            yield pa.RecordBatch.from_pydict(
-                {"path": [f"archive-{i}.zip"], "content": [packed.getvalue()]}
-            )
-
-    return tables.stops_file(spark, folder).mapInArrow(pack, "path string, content binary")
+    return tables.zipped(tables.stops_file(spark, folder), "stops.txt")
 
 
 @query
@@ -567,7 +633,25 @@ def archive_stops(spark: SparkSession, folder: str) -> DataFrame:
 def archive_stops_inferred(spark: SparkSession, folder: str) -> DataFrame:
     """Stops file read back from zip archives, types found from all rows."""
     found = archive.read_member_inferred(_stop_archives(spark, folder), "stops.txt")
-    return found.select("stop_id", "stop_code", "location_type", "stop_lat", "stop_lon")
+    return found
+
+
+@query
+def archive_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Members over all archives with their table names and columns."""
+    listed = archive.list_members(_stop_archives(spark, folder))
+    return listed.select("member", "table_name", F.array_join("columns", ",").alias("columns")).distinct()
+
+
+@query
+def archive_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives loaded into schedule tables, and lines built from the shapes table."""
+    loaded = work_folder(spark, "schedule")
+    archives = tables.zipped(tables.shapes_file(spark, folder), "shapes.txt")
+    archive.load_archives(archives, loaded)
+    shapes = spark.read.parquet(f"{loaded}/{archive.table_name('shapes.txt')}")
+    found = q.build_routes(shapes, ["shape_pt_lon", "shape_pt_lat"])
+    return found.select("shape_id", "part", "parts", "start", "n_points", F.to_json("points").alias("points"))
 
 
 @query
@@ -590,7 +674,7 @@ def replaced_table(spark: SparkSession, folder: str) -> DataFrame:
     target = work_folder(spark, "stops")
     files.replace_files(built, target)
     files.replace_files(built.filter(F.col("parent_station").isNotNull()), target)
-    return spark.read.parquet(target).select("stop_id", "stop_name", "parent_station")
+    return spark.read.parquet(target)
 
 
 @query
@@ -599,9 +683,7 @@ def snapshot_copy(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.positions(spark, folder)
     base, day = work_folder(spark, "snapshots"), date(2024, 2, 1)
     snapshot.take_snapshot(rows, base, day)
-    return snapshot.read_snapshot(rows, base, day).select(
-        "event_id", "id", "lat", "lon", "heading", "api_timestamp"
-    )
+    return snapshot.read_snapshot(rows, base, day)
 
 
 @query
@@ -609,4 +691,4 @@ def missing_table(spark: SparkSession, folder: str) -> DataFrame:
     """Positions together with a table that does not exist, which counts as empty."""
     rows = tables.positions(spark, folder)
     absent = files.read_table_or_empty(spark, "positions_not_there", rows.schema)
-    return rows.unionByName(absent).select("event_id", "id")
+    return rows.unionByName(absent)

@@ -129,3 +129,28 @@ def shapes_file(spark: SparkSession, folder: str) -> DataFrame:
         "l_partkey AS tie_1",
         "l_suppkey AS tie_2",
     )
+
+
+def zipped(rows: DataFrame, member: str) -> DataFrame:
+    """Zip archives of the rows as a CSV member, written by Spark tasks, with a folder, a second member
+    and an empty one beside it."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+    import pyarrow.csv as pacsv
+
+    def pack(batches):
+        for i, batch in enumerate(batches):
+            csv, packed = io.BytesIO(), io.BytesIO()
+            pacsv.write_csv(batch, csv)
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as target:
+                target.writestr("extra/", "")
+                target.writestr(member, csv.getvalue())
+                target.writestr("agency.txt", "agency_id,agency_name\n1,Transit\n")
+                target.writestr("empty.txt", "")
+            yield pa.RecordBatch.from_pydict(
+                {"path": [f"archive-{i}.zip"], "content": [packed.getvalue()]}
+            )
+
+    return rows.mapInArrow(pack, "path string, content binary")

@@ -34,21 +34,32 @@ POSITIONS = T.StructType(
     ]
 )
 
-# What the insert rule compares, with the batch that stored it.
+# A payload as received.
+LANDED = T.StructType(
+    [
+        T.StructField("value", T.StringType()),
+        T.StructField("fetched_at", T.TimestampType()),
+        T.StructField("sequence", T.LongType()),
+    ]
+)
+
+# What the insert rule compares, with the run and batch that stored it.
 POSITION_KEYS = T.StructType(
     [
         T.StructField("id", T.StringType()),
         T.StructField("lat", T.StringType()),
         T.StructField("lon", T.StringType()),
+        T.StructField("run_id", T.StringType()),
         T.StructField("batch_id", T.LongType()),
     ]
 )
 
-# The stored log adds its two partition columns.
+# The stored log adds its partition columns.
 STORED_POSITIONS = T.StructType(
     [
         *POSITIONS.fields,
         T.StructField("event_date", T.DateType()),
+        T.StructField("run_id", T.StringType()),
         T.StructField("batch_id", T.LongType()),
     ]
 )
@@ -83,4 +94,7 @@ SHAPES_FILE = T.StructType(
     + _columns(T.IntegerType(), "shape_pt_sequence")
 )
 
+# Members with declared types.
+SCHEDULE_FILES = {"stops.txt": STOPS_FILE, "shapes.txt": SHAPES_FILE}
+
 LINE = T.ArrayType(T.ArrayType(T.DoubleType()))

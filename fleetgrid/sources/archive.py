@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgrid.operators.typing import infer_types
+from fleetgrid.schema import SCHEDULE_FILES
+from fleetgrid.sources.files import replace_files
 
 # Fixed value: prefix of the tables loaded from an archive.
 TABLE_PREFIX = "ttc_"
 
 MEMBERS = "path string, member string, table_name string, columns array<string>"
 
+MEMBER_ROW = pa.schema(
+    [("path", pa.string()), ("member", pa.string()), ("table_name", pa.string()), ("columns", pa.list_(pa.string()))]
+)
+
 # Bytes of CSV parsed at a time, so that a member is never held whole.
 BLOCK_BYTES = 1 << 20
 
@@ -47,23 +53,35 @@ def _open_csv(member: io.BufferedIOBase, columns: list[str] | None) -> pacsv.CSV
     )
 
 
+def _files(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """Members that are files."""
+    return [info for info in archive.infolist() if not info.is_dir()]
+
+
+def table_name(member: str, prefix: str = TABLE_PREFIX) -> str:
+    """Table of a member: its file name without folders and endings."""
+    return prefix + member.rsplit("/", 1)[-1].split(".")[0]
+
+
 def list_members(archives: DataFrame, prefix: str = TABLE_PREFIX) -> DataFrame:
-    """One row per archive member with its table name and header."""
+    """One row per archive member with its table name and header; an empty member has no columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
-                    for name in archive.namelist():
-                        with archive.open(name) as member:
-                            header = _open_csv(member, None).schema.names
+                    for info in _files(archive):
+                        header = []
+                        if info.file_size:
+                            with archive.open(info) as member:
+                                header = _open_csv(member, None).schema.names
                         row = {
                             "path": path.as_py(),
-                            "member": name,
-                            "table_name": prefix + name.split(".")[0],
+                            "member": info.filename,
+                            "table_name": table_name(info.filename, prefix),
                             "columns": header,
                         }
-                        yield pa.RecordBatch.from_pylist([row])
+                        yield pa.RecordBatch.from_pylist([row], MEMBER_ROW)
 
     return archives.mapInArrow(run, MEMBERS)
 
@@ -75,9 +93,10 @@ def read_text_member(archives: DataFrame, member: str, columns: list[str]) -> Da
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
-                    if member not in archive.namelist():
+                    info = next((m for m in _files(archive) if m.filename == member), None)
+                    if info is None or not info.file_size:
                         continue
-                    with archive.open(member) as opened:
+                    with archive.open(info) as opened:
                         for block in _open_csv(opened, columns):
                             as_text = [block[c].cast(pa.string()) for c in columns]
                             yield pa.RecordBatch.from_arrays(as_text, columns)
@@ -99,3 +118,21 @@ def read_member_inferred(archives: DataFrame, member: str) -> DataFrame:
     if not found:
         raise ValueError(f"no archive holds {member}")
     return infer_types(read_text_member(archives, member, list(found)))
+
+
+def load_archives(archives: DataFrame, folder: str, schemas: dict[str, T.StructType] = SCHEDULE_FILES) -> list[str]:
+    """Replace one parquet table per member below ``folder``; returns their names.
+
+    Members named in ``schemas`` have their declared types, the others are typed by their values. The
+    list of members, a few names however large the archives are, is all that reaches the driver.
+    """
+    listed = list_members(archives).groupBy("member", "table_name").agg(F.max(F.size("columns")).alias("n")).collect()
+    names = []
+    for row in sorted(listed, key=lambda row: row["member"]):
+        if not row["n"]:
+            continue
+        schema = schemas.get(row["member"])
+        rows = read_member(archives, row["member"], schema) if schema else read_member_inferred(archives, row["member"])
+        replace_files(rows, f"{folder}/{row['table_name']}")
+        names.append(row["table_name"])
+    return names

@@ -1,64 +1,107 @@
-"""Vehicle feed payloads: landing as received, reading, parsing, and the feed cursor."""
+"""Vehicle feed payloads: landing as received, reading, parsing, and the feed cursor.
+
+A payload is one JSON document with ``vehicle`` and ``lastTime.time``. What cannot be read as one, be it
+cut off or without a time, is kept as it is and marked ``malformed``; no reader drops it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetgrid.operators.typing import epoch_millis
-from fleetgrid.schema import PAYLOAD, POSITIONS
+from fleetgrid.schema import LANDED, PAYLOAD, POSITIONS
 
-# File a payload came from; tells payloads with equal times apart.
+# File a payload came from, and its place there; they tell payloads with equal times apart.
 SOURCE = "source_file"
+PLACE = "source_place"
+
+_CORRUPT = "_corrupt"
+_READ = T.StructType([*PAYLOAD.fields, T.StructField(_CORRUPT, T.StringType())])
 
 
 def land_payloads(payloads: DataFrame, path: str) -> None:
-    """Keep payload text (columns ``value, fetched_at``) as received, one folder per fetch date."""
-    dated = payloads.select("value", F.to_date("fetched_at").alias("fetch_date"))
-    dated.write.mode("append").partitionBy("fetch_date").text(path)
+    """Keep payload text as received, with its fetch time and place, one folder per fetch date.
+
+    Payloads have ``value, fetched_at`` and may have ``sequence``, their order of arrival.
+    """
+    sequence = F.col("sequence") if "sequence" in payloads.columns else F.monotonically_increasing_id()
+    landed = payloads.select(
+        "value", "fetched_at", sequence.cast("long").alias("sequence"), F.to_date("fetched_at").alias("fetch_date")
+    )
+    landed.write.mode("append").partitionBy("fetch_date").parquet(path)
 
 
-def _with_origin(files: DataFrame) -> DataFrame:
-    return files.select(
-        "vehicle",
-        "lastTime",
+def _documents(text: Column) -> Column:
+    """Payloads of a file: its lines if the first line is a document of its own, else the whole file."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda line: F.trim(line) != "")
+    first = F.trim(F.try_element_at(lines, F.lit(1)))
+    by_line = first.startswith("{") & first.endswith("}")
+    return F.when(by_line & (F.size(lines) > 1), lines).otherwise(F.array(text))
+
+
+def _from_files(files: DataFrame) -> DataFrame:
+    # The text reader gives a file without a byte no row: there is nothing in it to keep.
+    named = files.select(
         F.col("_metadata.file_modification_time").alias("fetched_at"),
         F.col("_metadata.file_path").alias(SOURCE),
+        F.posexplode(_documents(F.col("value"))).alias(PLACE, "value"),
     )
+    return payloads_from_text(named.withColumn(PLACE, F.col(PLACE).cast("long")))
 
 
-def read_payloads(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Landed payload files, one row per payload; the fetch time is the file's own time."""
-    files = spark.read.schema(PAYLOAD).option("recursiveFileLookup", True)
-    return _with_origin(files.json(path, multiLine=multi_line))
+def _from_landed(rows: DataFrame) -> DataFrame:
+    named = rows.select(
+        "value", "fetched_at", F.col("_metadata.file_path").alias(SOURCE), F.col("sequence").alias(PLACE)
+    )
+    return payloads_from_text(named)
+
+
+def read_payloads(spark: SparkSession, path: str, landed: bool = False) -> DataFrame:
+    """One row per payload of a folder of feed files, or of a ``landed`` table.
+
+    A feed file holds one document, indented or not, or one per line; its fetch time is the file's own.
+    """
+    if landed:
+        return _from_landed(spark.read.schema(LANDED).parquet(path))
+    return _from_files(spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path))
 
 
 def stream_payloads(
-    spark: SparkSession,
-    path: str,
-    multi_line: bool = False,
-    max_files: int | None = None,
+    spark: SparkSession, path: str, landed: bool = False, max_files: int | None = None
 ) -> DataFrame:
     """The same rows as a stream; the read position lives in the query's checkpoint."""
-    files = spark.readStream.schema(PAYLOAD).option("recursiveFileLookup", True)
+    reader = spark.readStream
     if max_files:
-        files = files.option("maxFilesPerTrigger", max_files)
-    return _with_origin(files.json(path, multiLine=multi_line))
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if landed:
+        return _from_landed(reader.schema(LANDED).parquet(path))
+    return _from_files(reader.option("recursiveFileLookup", True).option("wholetext", True).text(path))
 
 
 def payloads_from_text(df: DataFrame, text: str = "value") -> DataFrame:
-    """Payload JSON held in a column; other columns stay."""
-    # Inlining the parsed struct keeps the optimizer from parsing once per field.
-    parsed = F.inline(F.array(F.from_json(text, PAYLOAD)))
-    return df.select(*[c for c in df.columns if c != text], parsed)
+    """Payload JSON held in a column, parsed beside it, with ``malformed``; other columns stay."""
+    parsed = F.from_json(text, _READ, {"columnNameOfCorruptRecord": _CORRUPT})
+    rows = df.withColumn("_parsed", parsed)
+    time = F.col("_parsed.lastTime.time").try_cast("bigint")
+    bad = F.col("_parsed").isNull() | F.col(f"_parsed.{_CORRUPT}").isNotNull() | time.isNull()
+    return rows.select(
+        *df.columns,
+        F.when(~bad, F.col("_parsed.vehicle")).alias("vehicle"),
+        F.when(~bad, F.col("_parsed.lastTime")).alias("lastTime"),
+        bad.alias("malformed"),
+    )
 
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """One row per reported vehicle, with the payload's time as ``api_timestamp``.
 
-    A payload without vehicles gives no row; a vehicle without some field gets null there.
+    A payload without vehicles gives no row, nor does a malformed one, for which see ``rejected``; a
+    vehicle without some field gets null there.
     """
-    kept = [c for c in payloads.columns if c not in ("vehicle", "lastTime")]
+    left_out = ("value", "vehicle", "lastTime", "malformed")
+    kept = [c for c in payloads.columns if c not in left_out]
     rows = payloads.select(
         F.inline("vehicle"), epoch_millis(F.col("lastTime.time")).alias("api_timestamp"), *kept
     )
@@ -66,12 +109,20 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     return rows.select(*first, *[c for c in kept if c not in first])
 
 
-def next_cursor(payloads: DataFrame) -> DataFrame:
-    """Cursor for the next request: the newest payload time as text, ``"0"`` before any payload."""
-    newest = F.max(F.col("lastTime.time").try_cast("bigint")).cast("string")
-    return payloads.agg(F.coalesce(newest, F.lit("0")).alias("cursor"))
+def rejected(payloads: DataFrame) -> DataFrame:
+    """Malformed payloads with their text and origin."""
+    return payloads.filter("malformed").drop("vehicle", "lastTime", "malformed")
+
+
+def next_cursor(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Cursor for the next request: the newest payload time as text, ``"0"`` before any payload.
+
+    Only the time is parsed; the vehicles of a payload are passed over.
+    """
+    time = F.get_json_object(text, "$.lastTime.time").try_cast("bigint")
+    return texts.agg(F.coalesce(F.max(time).cast("string"), F.lit("0")).alias("cursor"))
 
 
 def payload_order() -> Column:
-    """Sort key of payloads: the feed's own time, then the fetch time and file."""
-    return F.struct("api_timestamp", "fetched_at", SOURCE)
+    """Sort key of payloads: the feed's own time, then the fetch time, file and place in it."""
+    return F.struct("api_timestamp", "fetched_at", SOURCE, PLACE)

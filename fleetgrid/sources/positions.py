@@ -1,25 +1,35 @@
-"""The position log: append-only parquet, one folder per event date and batch, and its key table."""
+"""The position log: append-only parquet, one folder per event date, run and batch, and its key table.
+
+A run is a stream with its checkpoint. Batch numbers start anew with a new checkpoint, so they name a
+batch only together with the run: an old batch is never overwritten by another run's.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetgrid.operators.dedup import POSITION_KEY, keep_first_batch, unknown_positions
+from fleetgrid.operators.lookback import look_back, moment
 from fleetgrid.schema import POSITION_KEYS, POSITIONS, STORED_POSITIONS
 from fleetgrid.sources.files import exists, folders, is_complete, remove
 
+# Run of batches that no stream writes.
+FIRST_RUN = "0"
+
 
 @dataclass(frozen=True)
 class Inserted:
-    """Rows of one batch: received and stored; the rest was known already."""
+    """Rows of one batch: received and stored; the rest was known already. Malformed payloads count apart."""
 
     received: int
     inserted: int
+    malformed: int = 0
 
     @property
     def skipped(self) -> int:
@@ -29,8 +39,8 @@ class Inserted:
 class PositionLog:
     """Stored positions below ``path``, and a narrow table of their keys beside them.
 
-    The insert rule asks the key table only: one folder of keys per batch, and one set of distinct
-    keys for all batches up to the last compaction.
+    The insert rule asks the key table only: one folder of keys per run and batch, and per run one set of
+    distinct keys for all batches up to its last compaction.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -38,9 +48,10 @@ class PositionLog:
         self.path = path.rstrip("/")
         self.keys_path = f"{self.path}_keys"
         self.compacted_path = f"{self.path}_keys_compacted"
+        self.rejected_path = f"{self.path}_rejected"
 
     def stored(self, since: date | None = None) -> DataFrame:
-        """Rows with the partition columns ``event_date, batch_id``; empty before any batch.
+        """Rows with the partition columns ``event_date, run_id, batch_id``; empty before any batch.
 
         With ``since`` only the folders of that date and later ones are listed.
         """
@@ -61,37 +72,57 @@ class PositionLog:
     def positions(self) -> DataFrame:
         return self.stored().select(*POSITIONS.names)
 
-    def _compacted_through(self, below: int) -> int | None:
-        """Newest committed compaction that holds only batches below ``below``."""
+    def recent(self, span: timedelta, as_of: datetime | None = None) -> DataFrame:
+        """Rows no older than ``span``; only the folders of the dates in question are listed."""
+        since = (moment(self.spark, as_of) - span).date()
+        return look_back(self.stored(since), span, as_of)
+
+    def _runs(self) -> list[str]:
+        """Runs that have stored keys."""
+        found = folders(self.spark, self.keys_path) + folders(self.spark, self.compacted_path)
+        return sorted({name.removeprefix("run_id=") for name in found if name.startswith("run_id=")})
+
+    def _compacted_through(self, run: str, below: int | None) -> int | None:
+        """Newest committed compaction of a run that holds only batches below ``below``."""
+        base = f"{self.compacted_path}/run_id={run}"
         found = [
             int(name.split("=")[1])
-            for name in folders(self.spark, self.compacted_path)
-            if name.startswith("through=")
-            and is_complete(self.spark, f"{self.compacted_path}/{name}")
+            for name in folders(self.spark, base)
+            if name.startswith("through=") and is_complete(self.spark, f"{base}/{name}")
         ]
-        return max((n for n in found if n < below), default=None)
-
-    def _batch_keys(self, after: int | None) -> DataFrame:
-        """Keys of the batches after a compaction."""
-        if not exists(self.spark, self.keys_path):
-            return self.spark.createDataFrame([], POSITION_KEYS)
-        keys = self.spark.read.schema(POSITION_KEYS).parquet(self.keys_path)
+        return max((n for n in found if below is None or n < below), default=None)
+
+    def _batch_keys(self, run: str, after: int | None) -> DataFrame:
+        """Keys of a run's batches after a compaction."""
+        path = f"{self.keys_path}/run_id={run}"
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], POSITION_KEYS).drop("run_id")
+        schema = T.StructType([f for f in POSITION_KEYS.fields if f.name != "run_id"])
+        keys = self.spark.read.schema(schema).parquet(path)
         return keys if after is None else keys.filter(F.col("batch_id") > after)
 
-    def _compacted_keys(self, through: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.compacted_path}/through={through}")
+    def _compacted_keys(self, run: str, through: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.compacted_path}/run_id={run}/through={through}")
 
-    def known_keys(self, batch_id: int) -> DataFrame:
-        """Position keys stored by batches other than ``batch_id``.
+    def known_keys(self, batch_id: int, run: str = FIRST_RUN) -> DataFrame:
+        """Position keys stored by batches other than ``batch_id`` of ``run``.
 
         Leaving out the batch itself lets it run again after a partial write.
         """
-        through = self._compacted_through(batch_id)
-        keys = self._batch_keys(through).filter(F.col("batch_id") != batch_id)
-        keys = keys.select(*POSITION_KEY)
-        return keys if through is None else self._compacted_keys(through).unionByName(keys)
-
-    def append(self, batch: DataFrame, batch_id: int, order: str | None = None) -> Inserted:
+        known = self.spark.createDataFrame([], POSITION_KEYS).select(*POSITION_KEY)
+        for each in self._runs():
+            through = self._compacted_through(each, batch_id if each == run else None)
+            keys = self._batch_keys(each, through)
+            if each == run:
+                keys = keys.filter(F.col("batch_id") != batch_id)
+            known = known.unionByName(keys.select(*POSITION_KEY))
+            if through is not None:
+                known = known.unionByName(self._compacted_keys(each, through))
+        return known
+
+    def append(
+        self, batch: DataFrame, batch_id: int, order: str | None = None, run: str = FIRST_RUN
+    ) -> Inserted:
         """Store the new positions of one batch; running a batch again replaces its own rows.
 
         With ``order`` the batch holds several payloads, inserted in the order of that column.
@@ -102,22 +133,33 @@ class PositionLog:
             rows = batch.distinct()
             if order:
                 rows = keep_first_batch(rows, batch, order)
-            stored = self.known_keys(batch_id)
+            stored = self.known_keys(batch_id, run)
             fresh = unknown_positions(rows.select(*POSITIONS.names), stored, batch, received)
-            return Inserted(received, self._write(fresh, batch_id))
+            return Inserted(received, self._write(fresh, batch_id, run))
         finally:
             batch.unpersist()
 
-    def _write(self, fresh: DataFrame, batch_id: int) -> int:
+    def reject(self, payloads: DataFrame, batch_id: int, run: str = FIRST_RUN) -> int:
+        """Keep the malformed payloads of a batch; running it again replaces its own."""
+        bad = payloads.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            count = bad.count()
+            if count:
+                self._overwrite(_of_batch(bad, batch_id, run), self.rejected_path, "run_id", "batch_id")
+            return count
+        finally:
+            bad.unpersist()
+
+    def _write(self, fresh: DataFrame, batch_id: int, run: str) -> int:
         # Rebalancing gives files of even size, also when one date holds most rows.
-        numbered = fresh.withColumn("batch_id", F.lit(batch_id).cast("long")).hint("rebalance")
+        numbered = _of_batch(fresh, batch_id, run).hint("rebalance")
         numbered = numbered.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             inserted = numbered.count()
             dated = numbered.withColumn("event_date", F.to_date("api_timestamp"))
-            self._overwrite(dated, self.path, "event_date", "batch_id")
-            keys = numbered.select(*POSITION_KEY, "batch_id").dropna()
-            self._overwrite(keys, self.keys_path, "batch_id")
+            self._overwrite(dated, self.path, "event_date", "run_id", "batch_id")
+            keys = numbered.select(*POSITION_KEY, "run_id", "batch_id").dropna()
+            self._overwrite(keys, self.keys_path, "run_id", "batch_id")
             return inserted
         finally:
             numbered.unpersist()
@@ -126,24 +168,28 @@ class PositionLog:
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*partitions).parquet(path)
 
-    def compact_keys(self, through: int) -> None:
-        """Merge the keys of all batches up to ``through`` into one set of distinct keys.
+    def compact_keys(self, through: int, run: str = FIRST_RUN) -> None:
+        """Merge the keys of a run's batches up to ``through`` into one set of distinct keys.
 
         ``through`` must be a finished batch; run this between batches. The merged folders go once the
         new set is committed, so the insert rule keeps reading few files.
         """
-        older = self._compacted_through(through)
-        if self._compacted_through(through + 1) != through:
-            keys = self._batch_keys(older).filter(F.col("batch_id") <= through)
+        older = self._compacted_through(run, through)
+        if self._compacted_through(run, through + 1) != through:
+            keys = self._batch_keys(run, older).filter(F.col("batch_id") <= through)
             keys = keys.select(*POSITION_KEY)
             if older is not None:
-                keys = self._compacted_keys(older).unionByName(keys)
-            target = f"{self.compacted_path}/through={through}"
+                keys = self._compacted_keys(run, older).unionByName(keys)
+            target = f"{self.compacted_path}/run_id={run}/through={through}"
             keys.distinct().write.mode("overwrite").parquet(target)
-        self._remove_merged(self.keys_path, "batch_id=", through + 1)
-        self._remove_merged(self.compacted_path, "through=", through)
+        self._remove_merged(f"{self.keys_path}/run_id={run}", "batch_id=", through + 1)
+        self._remove_merged(f"{self.compacted_path}/run_id={run}", "through=", through)
 
     def _remove_merged(self, path: str, prefix: str, below: int) -> None:
         for name in folders(self.spark, path):
             if name.startswith(prefix) and int(name.removeprefix(prefix)) < below:
                 remove(self.spark, f"{path}/{name}")
+
+
+def _of_batch(rows: DataFrame, batch_id: int, run: str) -> DataFrame:
+    return rows.withColumns({"run_id": F.lit(run), "batch_id": F.lit(batch_id).cast("long")})

@@ -5,23 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetgrid.sources.feed import SOURCE, parse_payloads, payload_order, stream_payloads
-from fleetgrid.sources.positions import Inserted, PositionLog
+from fleetgrid.sources.feed import PLACE, SOURCE, parse_payloads, payload_order, rejected, stream_payloads
+from fleetgrid.sources.positions import FIRST_RUN, Inserted, PositionLog
 
 # Fixed value: poll period of the feed.
 POLL_PERIOD = "60 seconds"
 
+# Files of one micro-batch at most: a backlog is taken in several, none is left out.
+BATCH_FILES = 1_000
 
-def store_batch(log: PositionLog, payloads: DataFrame, batch_id: int) -> Inserted:
+# Batches between two merges of the key table.
+COMPACT_EVERY = 60
+
+
+class MalformedPayloads(ValueError):
+    """A batch holds payloads that cannot be read."""
+
+
+def store_batch(
+    log: PositionLog, payloads: DataFrame, batch_id: int, run: str = FIRST_RUN, on_malformed: str = "keep"
+) -> Inserted:
     """Insert the payloads of one micro-batch.
 
     A micro-batch may hold several payloads: they count as inserted one after the other, so results do
-    not depend on how files fall into micro-batches.
+    not depend on how files fall into micro-batches. Malformed payloads are kept beside the log and
+    counted; with ``on_malformed="fail"`` they fail the batch before anything is stored.
     """
+    if on_malformed not in ("keep", "fail"):
+        raise ValueError(f"on_malformed is keep or fail, not {on_malformed}")
+    bad = rejected(payloads)
+    if on_malformed == "fail" and bad.take(1):
+        raise MalformedPayloads(f"batch {batch_id} holds payloads that cannot be read")
+    malformed = log.reject(bad, batch_id, run)
     rows = parse_payloads(payloads).withColumn("_payload", payload_order())
-    return log.append(rows.drop(SOURCE), batch_id, "_payload")
+    counts = log.append(rows.drop(SOURCE, PLACE), batch_id, "_payload", run)
+    return Inserted(counts.received, counts.inserted, malformed)
+
+
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint: another checkpoint is another run."""
+    text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata")
+    return text.select(F.get_json_object("value", "$.id")).first()[0]
 
 
 def start_ingest(
@@ -30,22 +57,33 @@ def start_ingest(
     store: str,
     checkpoint: str,
     period: str | None = POLL_PERIOD,
-    multi_line: bool = False,
-    max_files: int | None = None,
+    landed: bool = False,
+    max_files: int | None = BATCH_FILES,
     report: Callable[[int, Inserted], None] | None = None,
+    on_malformed: str = "keep",
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Start the ingest stream; ``period=None`` takes what has landed and stops.
 
-    A failed batch runs again from the checkpoint and overwrites its own rows.
+    ``landing`` holds feed files, or with ``landed`` a table of ``land_payloads``. A failed batch runs
+    again from the checkpoint and overwrites its own rows. Every ``compact_every`` batches the keys of
+    the batches before are merged.
     """
+    found: list[str] = []
 
     def run(payloads: DataFrame, batch_id: int) -> None:
-        counts = store_batch(PositionLog(payloads.sparkSession, store), payloads, batch_id)
+        session = payloads.sparkSession
+        if not found:
+            found.append(run_of(session, checkpoint))
+        log = PositionLog(session, store)
+        counts = store_batch(log, payloads, batch_id, found[0], on_malformed)
+        if batch_id and batch_id % compact_every == 0:
+            log.compact_keys(batch_id - 1, found[0])
         if report:
             report(batch_id, counts)
 
     writer = (
-        stream_payloads(spark, landing, multi_line, max_files)
+        stream_payloads(spark, landing, landed, max_files)
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
     )
