@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import os
 from collections import Counter
+from datetime import timedelta
 from pathlib import Path
 from random import Random
 
@@ -15,15 +16,20 @@ from fleetgrid.sources import feed
 from fleetgrid.sources.positions import Inserted, PositionLog
 from fleetgrid.streaming.ingest import start_ingest, store_batch
 
-START = 1_700_000_000_000
+START = 1_712_345_640_000
 
 
-def vehicle(id, **fields):
-    return {"id": id, "routeTag": "1", "lat": "43.65", "lon": "-79.38", **fields}
+# What a report says unless a test says otherwise.
+USUAL = {"lat": "44.1025", "lon": "-78.5510", "routeTag": "27"}
 
 
-def payload(vehicles, time=START):
-    return {"vehicle": vehicles, "lastTime": {"time": str(time)}}
+def document(*reports, minute=0):
+    """A feed document. A report is a vehicle's name, or the name and what differs from the usual."""
+    listed = []
+    for report in reports:
+        name, changes = (report, {}) if isinstance(report, str) else report
+        listed.append({**USUAL, **changes, "id": name})
+    return {"lastTime": {"time": f"{START + 60_000 * minute}"}, "vehicle": listed}
 
 
 class Landing:
@@ -63,9 +69,9 @@ def write(spark, landing, log, document):
 
 
 def test_payload_becomes_one_row_per_vehicle(spark, landing):
-    path = landing.add(payload([vehicle("1", heading="90"), vehicle("2")]))
+    path = landing.add(document(("1", {"heading": "90"}), "2"))
     rows = feed.parse_payloads(feed.read_payloads(spark, path))
-    assert rows.columns == [*POSITIONS.names, feed.SOURCE]
+    assert set(rows.columns) == {*POSITIONS.names, feed.SOURCE, feed.PLACE}
     found = {r.id: r for r in rows.collect()}
     assert found["1"].heading == "90" and found["2"].heading is None
     assert found["1"].api_timestamp.timestamp() * 1000 == START
@@ -73,37 +79,57 @@ def test_payload_becomes_one_row_per_vehicle(spark, landing):
 
 
 def test_payload_numbers_are_kept_as_text(spark, landing):
-    path = landing.add(payload([vehicle(7, lat=43.5, predictable=True)]))
+    path = landing.add(document(("7", {"lat": 43.5, "predictable": True})))
     row = feed.parse_payloads(feed.read_payloads(spark, path)).first()
     assert (row.id, row.lat, row.predictable) == ("7", "43.5", "true")
 
 
 def test_payload_without_vehicles_gives_no_rows(spark, landing):
     landing.add({"lastTime": {"time": str(START)}})
-    landing.add(payload([]))
+    landing.add(document())
     assert feed.parse_payloads(feed.read_payloads(spark, str(landing.path))).count() == 0
 
 
 def test_indented_payload(spark, folder):
     Path(folder).mkdir()
-    (Path(folder) / "a.json").write_text(json.dumps(payload([vehicle("1"), vehicle("2")]), indent=2))
-    assert feed.parse_payloads(feed.read_payloads(spark, folder, multi_line=True)).count() == 2
+    (Path(folder) / "a.json").write_text(json.dumps(document("1", "2"), indent=2))
+    assert feed.parse_payloads(feed.read_payloads(spark, folder)).count() == 2
 
 
 def test_cursor_is_the_newest_payload_time(spark, landing):
-    landing.add(payload([], START + 120_000))
-    landing.add(payload([vehicle("1")], START))
+    landing.add(document(minute=2))
+    landing.add(document("1"))
     payloads = feed.read_payloads(spark, str(landing.path))
     assert feed.next_cursor(payloads).first().cursor == str(START + 120_000)
     assert feed.next_cursor(payloads.limit(0)).first().cursor == "0"
 
 
 def test_landed_text_can_be_read_again(spark, folder):
-    rows = [(json.dumps(payload([vehicle("1"), vehicle("2")])), "2024-05-06 01:00:00")]
+    rows = [(json.dumps(document("1", "2")), "2024-05-06 01:00:00")]
     frame = spark.createDataFrame(rows, "value string, fetched_at string")
     feed.land_payloads(frame.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")), folder)
     assert [p.name for p in Path(folder).iterdir() if p.is_dir()] == ["fetch_date=2024-05-06"]
-    assert feed.parse_payloads(feed.read_payloads(spark, folder)).count() == 2
+    read = feed.read_payloads(spark, folder, landed=True)
+    found = feed.parse_payloads(read).collect()
+    assert {r.fetched_at.isoformat() for r in found} == {"2024-05-06T01:00:00"} and len(found) == 2
+
+
+def test_a_file_may_hold_a_document_per_line(spark, folder):
+    Path(folder).mkdir()
+    lines = [json.dumps(document("1")), "", json.dumps(document("2", "3")), json.dumps(document("4"))[:-9]]
+    (Path(folder) / "a.json").write_text("\n".join(lines))
+    read = feed.read_payloads(spark, folder)
+    assert sorted(r.id for r in feed.parse_payloads(read).collect()) == ["1", "2", "3"]
+    assert [r.value for r in feed.rejected(read).collect()] == [lines[3]]
+
+
+@pytest.mark.parametrize("text", ["{", "[]", "7", "null", "text", '{"vehicle": []}', '{"lastTime": {"time": "soon"}}'])
+def test_what_is_no_payload_is_kept(spark, folder, text):
+    Path(folder).mkdir()
+    (Path(folder) / "a.json").write_text(text)
+    read = feed.read_payloads(spark, folder)
+    assert feed.parse_payloads(read).count() == 0
+    assert [r.value for r in feed.rejected(read).collect()] == [text]
 
 
 # --- insert rule ---
@@ -111,64 +137,64 @@ def test_landed_text_can_be_read_again(spark, folder):
 
 def test_first_write_creates_the_log_and_counts_its_rows(spark, landing, log):
     assert log.positions().count() == 0
-    counts = write(spark, landing, log, payload([vehicle("1"), vehicle("2"), vehicle("3")]))
+    counts = write(spark, landing, log, document("1", "2", "3"))
     assert counts == Inserted(3, 3)
     assert log.positions().count() == 3
     assert log.positions().columns == POSITIONS.names
 
 
 def test_exact_copies_in_one_payload_are_stored_once(spark, landing, log):
-    counts = write(spark, landing, log, payload([vehicle("1"), vehicle("1")]))
+    counts = write(spark, landing, log, document("1", "1"))
     assert (counts.inserted, counts.skipped) == (1, 1)
 
 
 def test_rows_of_one_payload_that_differ_elsewhere_all_stay(spark, landing, log):
-    write(spark, landing, log, payload([vehicle("1", heading="1"), vehicle("1", heading="2")]))
+    write(spark, landing, log, document(("1", {"heading": "1"}), ("1", {"heading": "2"})))
     assert log.positions().count() == 2
 
 
 def test_known_position_is_not_stored_again(spark, landing, log):
-    write(spark, landing, log, payload([vehicle("1")]))
-    assert write(spark, landing, log, payload([vehicle("1")])) == Inserted(1, 0)
-    counts = write(spark, landing, log, payload([vehicle("1", heading="5")], START + 60_000))
+    write(spark, landing, log, document("1"))
+    assert write(spark, landing, log, document("1")) == Inserted(1, 0)
+    counts = write(spark, landing, log, document(("1", {"heading": "5"}), minute=1))
     assert counts == Inserted(1, 0)
     assert log.positions().count() == 1
 
 
 def test_new_position_and_other_vehicle_are_stored(spark, landing, log):
-    write(spark, landing, log, payload([vehicle("1")]))
-    write(spark, landing, log, payload([vehicle("1", lat="43.66", lon="-79.39")]))
-    write(spark, landing, log, payload([vehicle("2")]))
+    write(spark, landing, log, document("1"))
+    write(spark, landing, log, document(("1", {"lat": "43.66", "lon": "-79.39"})))
+    write(spark, landing, log, document("2"))
     assert log.positions().count() == 3
 
 
 def test_positions_compare_as_text(spark, landing, log):
-    write(spark, landing, log, payload([vehicle("1", lat="43.65")]))
-    assert write(spark, landing, log, payload([vehicle("1", lat="43.650")])).inserted == 1
+    write(spark, landing, log, document(("1", {"lat": "43.65"})))
+    assert write(spark, landing, log, document(("1", {"lat": "43.650"}))).inserted == 1
 
 
 def test_unknown_position_is_always_stored(spark, landing, log):
     for _ in range(3):
-        assert write(spark, landing, log, payload([vehicle("1", lat=None)])).inserted == 1
+        assert write(spark, landing, log, document(("1", {"lat": None}))).inserted == 1
 
 
 def test_vehicle_back_at_an_earlier_position_is_not_stored(spark, landing, log):
     for lat in ("43.1", "43.2", "43.1"):
-        write(spark, landing, log, payload([vehicle("1", lat=lat)]))
+        write(spark, landing, log, document(("1", {"lat": lat})))
     assert log.positions().count() == 2
 
 
 def test_batch_can_run_again(spark, landing, log):
-    write(spark, landing, log, payload([vehicle("1")]))
-    path = landing.add(payload([vehicle("1"), vehicle("2"), vehicle("3", lat=None)]))
+    write(spark, landing, log, document("1"))
+    path = landing.add(document("1", "2", ("3", {"lat": None})))
     for _ in range(2):
         assert store_batch(log, feed.read_payloads(spark, path), 1).inserted == 2
     assert log.positions().count() == 3
 
 
 def test_rows_after_a_cut_off_write_are_replaced(spark, landing, log):
-    write(spark, landing, log, payload([vehicle("1")]))
-    path = landing.add(payload([vehicle("2"), vehicle("3")]))
+    write(spark, landing, log, document("1"))
+    path = landing.add(document("2", "3"))
     cut_off = feed.read_payloads(spark, path).withColumn("vehicle", F.slice("vehicle", 1, 1))
     store_batch(log, cut_off, 1)
     store_batch(log, feed.read_payloads(spark, path), 1)
@@ -180,15 +206,17 @@ def random_feed(seed, batches=12, vehicles=6):
     documents = []
     for n in range(batches):
         rows = [
-            vehicle(
+            (
                 random.choice([str(random.randrange(vehicles)), "hot"]),
-                lat=random.choice(["43.1", "43.2", "43.3", None]),
-                lon=random.choice(["-79.1", "-79.2"]),
-                heading=str(random.randrange(2)),
+                {
+                    "lat": random.choice(["44.1", "44.2", "44.3", None]),
+                    "lon": random.choice(["-78.1", "-78.2"]),
+                    "heading": str(random.randrange(2)),
+                },
             )
             for _ in range(random.randrange(8))
         ]
-        documents.append(payload(rows, START + 60_000 * (n // 2)))
+        documents.append(document(*rows, minute=n // 2))
     return documents
 
 
@@ -296,28 +324,27 @@ def test_compacted_keys_change_nothing(spark, landing, log):
 
 def test_compaction_leaves_one_key_set(spark, landing, log):
     for n in range(5):
-        write(spark, landing, log, payload([vehicle(str(n))]))
+        write(spark, landing, log, document(str(n)))
         if n in (1, 3):
             log.compact_keys(n)
-    assert [p.name for p in Path(log.keys_path).glob("batch_id=*")] == ["batch_id=4"]
-    assert [p.name for p in Path(log.compacted_path).iterdir()] == ["through=3"]
+    assert [p.name for p in Path(log.keys_path).glob("run_id=0/batch_id=*")] == ["batch_id=4"]
+    assert [p.name for p in Path(log.compacted_path).glob("run_id=0/*")] == ["through=3"]
     assert log.known_keys(5).count() == 5
 
 
 def test_cut_off_compaction_is_ignored_and_repeated(spark, landing, log):
-    write(spark, landing, log, payload([vehicle("1")]))
-    (Path(log.compacted_path) / "through=0").mkdir(parents=True)
-    assert log._compacted_through(5) is None
-    assert write(spark, landing, log, payload([vehicle("1")])).inserted == 0
+    write(spark, landing, log, document("1"))
+    (Path(log.compacted_path) / "run_id=0" / "through=0").mkdir(parents=True)
+    assert log._compacted_through("0", 5) is None
+    assert write(spark, landing, log, document("1")).inserted == 0
     log.compact_keys(0)
-    assert log._compacted_through(5) == 0
-    assert write(spark, landing, log, payload([vehicle("1"), vehicle("2")])).inserted == 1
+    assert log._compacted_through("0", 5) == 0
+    assert write(spark, landing, log, document("1", "2")).inserted == 1
 
 
 def test_only_recent_dates_are_listed(spark, landing, log):
-    day = 86_400_000
     for n in range(3):
-        write(spark, landing, log, payload([vehicle(str(n))], START + n * day))
+        write(spark, landing, log, document(str(n), minute=n * 1440))
     dates = [r.event_date for r in log.stored().select("event_date").orderBy("event_date").collect()]
     recent = log.stored(since=dates[1])
     assert sorted(r.id for r in recent.collect()) == ["1", "2"]
@@ -326,9 +353,88 @@ def test_only_recent_dates_are_listed(spark, landing, log):
 
 
 def test_batch_runs_again_after_later_compaction(spark, landing, log):
-    write(spark, landing, log, payload([vehicle("1")]))
-    path = landing.add(payload([vehicle("2")]))
+    write(spark, landing, log, document("1"))
+    path = landing.add(document("2"))
     store_batch(log, feed.read_payloads(spark, path), 1)
     log.compact_keys(0)
     assert store_batch(log, feed.read_payloads(spark, path), 1).inserted == 1
     assert log.positions().count() == 2
+
+
+# --- runs and malformed payloads ---
+
+
+def ingest(spark, landing, folder, checkpoint, **options):
+    reports = {}
+    start_ingest(
+        spark,
+        str(landing.path),
+        folder + "_store",
+        folder + checkpoint,
+        period=None,
+        report=lambda n, counts: reports.update({n: counts}),
+        **options,
+    ).awaitTermination()
+    return reports
+
+
+def test_a_new_checkpoint_overwrites_nothing(spark, landing, folder):
+    landing.add(document("1"))
+    landing.add(document("2", ("1", {"lat": "44.2"})))
+    ingest(spark, landing, folder, "_first", max_files=1)
+    landing.add(document("3", "1"))
+    reports = ingest(spark, landing, folder, "_second", max_files=1)
+    stored = PositionLog(spark, folder + "_store").positions()
+    assert Counter((r.id, r.lat) for r in stored.collect()) == Counter(
+        [("1", USUAL["lat"]), ("2", USUAL["lat"]), ("1", "44.2"), ("3", USUAL["lat"])]
+    )
+    assert [reports[n].inserted for n in range(3)] == [0, 0, 1]
+
+
+def test_compaction_runs_in_the_stream(spark, landing, folder):
+    for n in range(5):
+        landing.add(document(str(n)))
+    ingest(spark, landing, folder, "_offsets", max_files=1, compact_every=2)
+    log = PositionLog(spark, folder + "_store")
+    assert log.known_keys(99).count() == log.positions().count() == 5
+    assert [p.name for p in Path(log.compacted_path).glob("run_id=*/*")] == ["through=3"]
+
+
+def test_malformed_payloads_are_kept_and_counted(spark, landing, folder):
+    landing.add(document("1"))
+    cut = json.dumps(document("2"))[:-7]
+    (landing.path / "cut.json").write_text(cut)
+    (landing.path / "indented.json").write_text(json.dumps(document("3"), indent=2))
+    reports = ingest(spark, landing, folder, "_offsets")
+    assert (reports[0].received, reports[0].inserted, reports[0].malformed) == (2, 2, 1)
+    log = PositionLog(spark, folder + "_store")
+    assert [r.value for r in spark.read.parquet(log.rejected_path).collect()] == [cut]
+
+
+def test_malformed_payloads_can_fail_the_batch(spark, landing, folder):
+    landing.add(document("1"))
+    broken = landing.path / "broken.json"
+    broken.write_text("{")
+    with pytest.raises(Exception, match="cannot be read"):
+        ingest(spark, landing, folder, "_offsets", on_malformed="fail")
+    assert PositionLog(spark, folder + "_store").positions().count() == 0
+    broken.write_text(json.dumps(document("2")))
+    assert ingest(spark, landing, folder, "_offsets", on_malformed="fail")[0].inserted == 2
+
+
+def test_payloads_of_one_file_and_time_count_one_after_the_other(spark, folder, log):
+    texts = [json.dumps(document(("1", {"heading": h}))) for h in ("10", "20")]
+    rows = [(text, "2024-05-06 01:00:00", n) for n, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "value string, fetched_at string, sequence long").coalesce(1)
+    feed.land_payloads(frame.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")), folder)
+    assert store_batch(log, feed.read_payloads(spark, folder, landed=True), 0) == Inserted(2, 1)
+    assert [r.heading for r in log.positions().collect()] == ["10"]
+
+
+def test_recent_rows_read_recent_dates_only(spark, landing, log):
+    for n in range(3):
+        write(spark, landing, log, document(str(n), minute=n * 1440))
+    newest = log.positions().agg(F.max("api_timestamp")).first()[0]
+    recent = log.recent(timedelta(seconds=60), newest)
+    assert [r.id for r in recent.collect()] == ["2"]
+    assert len(recent.select("event_date").inputFiles()) == 1

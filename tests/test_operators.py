@@ -20,23 +20,23 @@ def located(vehicles):
 def test_rows_become_features(vehicles):
     found = [json.loads(r.feature) for r in features.to_features(located(vehicles)).collect()]
     assert len(found) == 5
-    one = next(f for f in found if f["properties"]["heading"] == "180")
+    one = next(f for f in found if f["properties"]["heading"] == "310")
     assert one["type"] == "Feature"
-    assert one["geometry"] == {"type": "Point", "coordinates": [-79.2, 43.2]}
+    assert one["geometry"] == {"type": "Point", "coordinates": [-78.77, 44.52]}
     assert one["properties"] == {
-        "id": "veh-1",
-        "heading": "180",
-        "api_timestamp": "2024-05-06 11:59:55",
+        "id": "bus-a",
+        "heading": "310",
+        "api_timestamp": "2024-05-06 11:59:40",
     }
 
 
 def test_geometry_text_goes_in_as_it_is(spark):
-    text = '{"type":"LineString","coordinates":[[-79.1,43.1],[-79.2,43.2]]}'
-    rows = [("v1", 10.0, text), ("v2", None, None)]
+    text = '{"type":"LineString","coordinates":[[5.25,51.5],[5.5,51.75],[5.5,52]]}'
+    rows = [("ferry", 17.5, text), ("barge", None, None)]
     frame = spark.createDataFrame(rows, "id string, speed double, geometry string")
     found = [r.feature for r in features.to_features(frame).collect()]
     assert [json.loads(f) for f in found] == [
-        {"type": "Feature", "geometry": json.loads(text), "properties": {"id": "v1", "speed": 10.0}}
+        {"type": "Feature", "geometry": json.loads(text), "properties": {"id": "ferry", "speed": 17.5}}
     ]
 
 
@@ -47,7 +47,7 @@ def test_null_properties_stay(spark):
 
 
 def test_no_geometry_column_gives_no_features(spark):
-    frame = spark.createDataFrame([("1001", "Union")], "stop_id string, name string")
+    frame = spark.createDataFrame([("q7", "Harbour", 3)], "code string, title string, zone int")
     assert features.to_features(frame).count() == 0
 
 
@@ -56,25 +56,35 @@ def test_no_properties(spark):
     assert json.loads(features.to_features(frame).first().feature)["properties"] == {}
 
 
-def test_collection(vehicles):
-    found = features.feature_collection(features.to_features(located(vehicles))).collect()
-    document = json.loads(found[0].geojson)
-    assert document["type"] == "FeatureCollection"
-    assert len(document["features"]) == 5
+@pytest.mark.parametrize(("size", "documents"), [(2, 3), (5, 1), (1000, 1)])
+def test_documents_hold_all_features_in_order(vehicles, size, documents):
+    rows = features.to_features(located(vehicles))
+    found = features.feature_documents(rows, size).orderBy("document").collect()
+    assert [r.document for r in found] == list(range(documents))
+    held = [json.loads(r.geojson) for r in found]
+    assert all(d["type"] == "FeatureCollection" and len(d["features"]) <= size for d in held)
+    texts = sorted(r.feature for r in rows.collect())
+    assert [f for d in held for f in d["features"]] == [json.loads(t) for t in texts]
 
 
-def test_empty_collection(vehicles):
+def test_no_features_are_one_empty_document(vehicles):
     none = features.to_features(located(vehicles).limit(0))
-    assert json.loads(features.feature_collection(none).first().geojson) == {
-        "type": "FeatureCollection",
-        "features": [],
-    }
+    found = features.feature_documents(none).collect()
+    assert [(r.document, json.loads(r.geojson)) for r in found] == [
+        (0, {"type": "FeatureCollection", "features": []})
+    ]
+
+
+def test_documents_are_unpacked(spark, vehicles):
+    rows = features.to_features(located(vehicles))
+    documents = features.feature_documents(rows, 2).select("geojson")
+    again = features.to_features(documents.union(spark.createDataFrame([(None,)], "geojson string")))
+    wanted = sorted(json.loads(r.feature)["properties"]["heading"] for r in rows.collect())
+    assert sorted(json.loads(r.feature)["properties"]["heading"] for r in again.collect()) == wanted
 
 
-def test_collection_refuses_what_does_not_fit(vehicles, folder):
+def test_features_are_written_one_per_line(vehicles, folder):
     rows = features.to_features(located(vehicles))
-    with pytest.raises(ValueError, match="write_features"):
-        features.feature_collection(rows, max_features=4)
     features.write_features(rows, folder)
     assert rows.sparkSession.read.json(folder).count() == 5
 
@@ -91,11 +101,18 @@ def test_numbers_and_rejected_values(spark):
     assert found[2] == (None, None, None, 0)
 
 
+def test_column_names_compare_without_case(spark):
+    frame = spark.createDataFrame([("12.5", "x")], "speedkmhr string, LAT string")
+    found = typing.typed_view(frame)
+    assert found.dtypes[:2] == [("speedkmhr", "double"), ("LAT", "double")]
+    assert tuple(found.first()) == (12.5, None, 1)
+
+
 def test_inferred_types(spark):
     rows = [
         (str(i), f"{i}.5", "true", str(i), None, str(i) if i % 2 else None, i) for i in range(600)
     ]
-    rows.append(("600", "7", "false", "t_fb3_sb_9", None, None, 600))
+    rows.append(("600", "7", "false", "platform B", None, None, 600))
     text = ", ".join(f"{c} string" for c in "abcdef")
     frame = spark.createDataFrame(rows, f"{text}, g int")
     kinds = dict(typing.infer_types(frame).dtypes)

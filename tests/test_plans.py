@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from conftest import NOW
 from fleetgrid.operators import dedup
 from fleetgrid.plans import queries as q
+from fleetgrid.sources import feed
 from fleetgrid.sources.positions import PositionLog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -65,11 +67,26 @@ def test_paths_shuffle_once(log):
 
 def test_small_batch_does_not_shuffle_the_history(spark, log, vehicles):
     fresh = dedup.new_positions(vehicles, log.known_keys(99), 5)
-    text = plan(fresh)
-    history = text[text.index("FileScan parquet") - 400 :]
-    assert "BroadcastHashJoin" in text and "LeftSemi" in text
-    assert "Exchange hashpartitioning" not in history.split("FileScan parquet")[0][-200:]
-    assert "ReadSchema: struct<id:string,lat:string,lon:string>" in text
+    lines = plan(fresh).splitlines()
+    depth = {n: len(line) - len(line.lstrip(" :+-*()0123456789")) for n, line in enumerate(lines)}
+    scan = next(n for n, line in enumerate(lines) if "FileScan parquet" in line and "_keys" in line)
+    above, level = [], depth[scan]
+    for n in range(scan - 1, -1, -1):
+        if depth[n] < level:
+            above.append(lines[n])
+            level = depth[n]
+    names = [re.sub(r"^[\s:+\-*()0-9]+", "", line).split(" ")[0] for line in above]
+    # The history meets the broadcast keys of the batch before it is shuffled for its distinct keys.
+    assert "BroadcastHashJoin" in names
+    assert "Exchange" not in names[: names.index("BroadcastHashJoin")]
+    assert "ReadSchema: struct<id:string,lat:string,lon:string" in lines[scan]
+
+
+def test_the_cursor_parses_the_time_alone(spark):
+    texts = spark.createDataFrame([('{"lastTime":{"time":"5"}}',)], "value string")
+    text = plan(feed.next_cursor(texts))
+    assert "$.lastTime.time" in text and "from_json" not in text
+    assert feed.next_cursor(texts).first().cursor == "5"
 
 
 def test_first_batches_combine_before_the_shuffle(spark):

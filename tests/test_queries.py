@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,18 +20,18 @@ def by_id(df):
 
 def test_newest_position_per_vehicle(vehicles):
     found = by_id(q.current_locations(vehicles, FIVE_MINUTES, NOW))
-    assert sorted(found) == ["veh-1", "veh-2"]
-    assert found["veh-1"].lat == "43.20"
-    assert found["veh-1"].geometry.type == "Point"
-    assert found["veh-1"].geometry.coordinates == [-79.2, 43.2]
+    assert sorted(found) == ["bus-a", "bus-b"]
+    assert found["bus-a"].lat == "44.52"
+    assert found["bus-a"].geometry.type == "Point"
+    assert found["bus-a"].geometry.coordinates == [-78.77, 44.52]
 
 
 def test_only_the_last_minute_counts_by_default(vehicles):
-    assert list(by_id(q.current_locations(vehicles, as_of=NOW))) == ["veh-1"]
+    assert list(by_id(q.current_locations(vehicles, as_of=NOW))) == ["bus-a"]
 
 
 def test_look_back_includes_its_bound(vehicles):
-    assert sorted(by_id(q.current_locations(vehicles, timedelta(seconds=75), NOW))) == ["veh-1", "veh-2"]
+    assert sorted(by_id(q.current_locations(vehicles, timedelta(seconds=130), NOW))) == ["bus-a", "bus-b"]
 
 
 def test_no_rows_in_the_window(vehicles):
@@ -61,17 +61,17 @@ def test_position_without_numbers_has_no_geometry(spark):
 
 def test_paths(vehicles):
     found = by_id(q.current_paths(vehicles, FIVE_MINUTES, NOW))
-    one = found["veh-1"]
+    one = found["bus-a"]
     assert one.geometry.type == "LineString"
-    assert one.geometry.coordinates == [[-79.3, 43.3], [-79.1, 43.1], [-79.2, 43.2]]
-    assert one.avgSpeedKmHr == pytest.approx(20.0)
-    assert one.lastHeading == "180"
-    assert found["veh-2"].geometry.coordinates == [[-79.45, 43.75], [-79.4, 43.7]]
+    assert one.geometry.coordinates == [[-78.9, 44.4], [-78.81, 44.48], [-78.77, 44.52]]
+    assert one.avgSpeedKmHr == pytest.approx(24.0)
+    assert one.lastHeading == "310"
+    assert found["bus-b"].geometry.coordinates == [[-78.2, 44.1], [-78.26, 44.16]]
     assert (one.part, one.n_points) == (0, 3)
 
 
 def test_path_needs_two_points(vehicles):
-    assert list(by_id(q.current_paths(vehicles, timedelta(seconds=100), NOW))) == ["veh-1"]
+    assert list(by_id(q.current_paths(vehicles, timedelta(seconds=125), NOW))) == ["bus-a"]
 
 
 def test_last_heading_may_be_unknown(spark):
@@ -230,14 +230,14 @@ def shape(name, points):
 
 
 def test_routes_are_built_in_sequence_order_and_simplified(spark):
-    straight = [(10, (-79.40, 43.65)), (30, (-79.38, 43.67)), (20, (-79.39, 43.66))]
+    straight = [(4, (-78.5, 44.25)), (8, (-78.375, 44.0)), (6, (-78.4375, 44.125)), (5, (-78.46875, 44.1875))]
     bent = [(1, (0.0, 0.0)), (2, (1.0, 1.0)), (3, (2.0, 0.0)), (4, (3.0, 0.00005)), (5, (4.0, 0.0))]
     rows = shape("straight", straight) + shape("bent", bent)
     table = q.build_routes(spark.createDataFrame(rows, SHAPES_FILE))
     built = {r.shape_id: r.points for r in table.collect()}
-    assert built["straight"] == [[-79.40, 43.65], [-79.39, 43.66], [-79.38, 43.67]]
+    assert built["straight"] == [[-78.5, 44.25], [-78.46875, 44.1875], [-78.4375, 44.125], [-78.375, 44.0]]
     found = {r.shape_id: r.geometry.coordinates for r in q.routes(table).collect()}
-    assert found["straight"] == [[-79.40, 43.65], [-79.38, 43.67]]
+    assert found["straight"] == [[-78.5, 44.25], [-78.375, 44.0]]
     assert found["bent"] == [[0.0, 0.0], [1.0, 1.0], [2.0, 0.0], [4.0, 0.0]]
 
 
@@ -282,3 +282,36 @@ def test_as_of_works_for_both_timestamp_types(vehicles):
     plain = vehicles.withColumn("api_timestamp", F.col("api_timestamp").cast("timestamp_ntz"))
     for frame in (vehicles, plain):
         assert q.current_locations(frame, FIVE_MINUTES, datetime(2024, 5, 6, 12)).count() == 2
+
+
+def test_rows_after_a_past_moment_do_not_count(vehicles):
+    past = NOW - timedelta(seconds=60)
+    found = by_id(q.current_locations(vehicles, FIVE_MINUTES, past))
+    assert found["bus-a"].lat == "44.48" and found["bus-b"].lat == "44.16"
+    path = by_id(q.current_paths(vehicles, FIVE_MINUTES, past))["bus-a"]
+    assert path.geometry.coordinates == [[-78.9, 44.4], [-78.81, 44.48]] and path.lastHeading == "200"
+    assert list(by_id(q.current_locations(vehicles, timedelta(seconds=30), past))) == ["bus-a"]
+
+
+def test_a_moment_with_a_zone_is_converted(spark, vehicles):
+    there = NOW.replace(tzinfo=timezone.utc).astimezone(timezone(timedelta(hours=-5)))
+    assert by_id(q.current_locations(vehicles, as_of=there)).keys() == {"bus-a"}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert by_id(q.current_locations(vehicles, as_of=there)).keys() == {"bus-a"}
+        assert q.current_locations(vehicles, as_of=NOW).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_line_rows_have_one_form_at_every_size(spark):
+    rows = spark.createDataFrame(shape("s", [(n, (n * 0.5, float(n % 2))) for n in range(9)]), SHAPES_FILE)
+    found = []
+    for limit in (3, 100):
+        table = q.build_routes(rows, line_points=limit)
+        found.append((table.dtypes, q.routes(table, 0.0, limit).dtypes))
+        parts = sorted(q.routes(table, 0.0, limit).collect(), key=lambda r: r.part)
+        line = [xy for r in parts for xy in (r.geometry.coordinates[1:] if r.part else r.geometry.coordinates)]
+        assert line == [[n * 0.5, float(n % 2)] for n in range(9)]
+        assert {r.parts for r in parts} == {len(parts)}
+    assert found[0] == found[1]

@@ -12,6 +12,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from __spark_entry__ import oracle_sql, queries
+from fleetgrid.plans.registry import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -32,7 +33,7 @@ def rows(table):
     return names, Counter(zip(*[table.column(n).to_pylist() for n in names]))
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", REGISTRY)
 def test_query_equals_its_sql(spark, db, name):
     found = queries()[name](spark, FOLDER).toArrow()
     assert rows(found) == rows(db.sql(oracle_sql()[name]).to_arrow_table())

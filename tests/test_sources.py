@@ -27,7 +27,7 @@ STOPS = (
     "t_3,,bad,-79.4,1,z\n"
 )
 SHAPES = "shape_id,shape_pt_lat,shape_pt_lon,shape_pt_sequence\n" + "".join(
-    f"{'9' if i < 600 else 't_fb3_sb_9'},43.{i},-79.{i},{i}\n" for i in range(700)
+    f"{'9' if i < 600 else 'loop north'},43.{i},-79.{i},{i}\n" for i in range(700)
 )
 
 
@@ -35,15 +35,28 @@ SHAPES = "shape_id,shape_pt_lat,shape_pt_lon,shape_pt_sequence\n" + "".join(
 def archives(spark, folder):
     Path(folder).mkdir()
     write_zip(f"{folder}/a.zip", {"stops.txt": STOPS, "shapes.txt": SHAPES})
-    write_zip(f"{folder}/b.zip", {"stops.txt": "stop_id,stop_lat\n77,44.0\n"})
+    write_zip(f"{folder}/b.zip", {"more/": "", "stops.txt": "stop_id,stop_lat\n77,44.0\n", "more/none.txt": ""})
     return archive.read_archives(spark, folder)
 
 
 def test_members_and_their_tables(archives):
     found = {(r.path.rsplit("/", 1)[1], r.member): r for r in archive.list_members(archives).collect()}
-    assert sorted(found) == [("a.zip", "shapes.txt"), ("a.zip", "stops.txt"), ("b.zip", "stops.txt")]
+    assert sorted(found) == [("a.zip", "shapes.txt"), ("a.zip", "stops.txt"), ("b.zip", "more/none.txt"), ("b.zip", "stops.txt")]
     assert found[("a.zip", "shapes.txt")].table_name == "ttc_shapes"
     assert found[("b.zip", "stops.txt")].columns == ["stop_id", "stop_lat"]
+    empty = found[("b.zip", "more/none.txt")]
+    assert (empty.table_name, empty.columns) == ("ttc_none", [])
+    assert archive.read_member(archives, "more/none.txt", SHAPES_FILE).count() == 0
+
+
+def test_archives_load_into_tables(spark, archives, folder):
+    names = archive.load_archives(archives, folder + "_tables")
+    assert names == ["ttc_shapes", "ttc_stops"]
+    stops = spark.read.parquet(folder + "_tables/ttc_stops")
+    assert stops.count() == 4 and dict(stops.dtypes)["stop_lat"] == "double"
+    assert q.stops(q.build_stops(stops)).count() == 4
+    table = q.build_routes(spark.read.parquet(folder + "_tables/ttc_shapes"))
+    assert {r.shape_id: r.n_points for r in table.collect()} == {"9": 600, "loop north": 100}
 
 
 def test_member_with_declared_types(archives):
@@ -77,7 +90,7 @@ def test_missing_member(archives):
 
 def test_archive_to_routes(archives):
     table = q.build_routes(archive.read_member(archives, "shapes.txt", SHAPES_FILE))
-    assert {r.shape_id: len(r.points) for r in table.collect()} == {"9": 600, "t_fb3_sb_9": 100}
+    assert {r.shape_id: len(r.points) for r in table.collect()} == {"9": 600, "loop north": 100}
 
 
 def test_member_is_read_in_blocks(spark, monkeypatch):
@@ -121,7 +134,7 @@ def test_missing_table_is_empty_and_other_errors_pass(spark, vehicles):
 
 def test_replace_table(spark, vehicles):
     files.replace_table(vehicles, "replaced")
-    files.replace_table(vehicles.filter("id = 'veh-1'").select("id", "lat"), "replaced")
+    files.replace_table(vehicles.filter("id = 'bus-a'").select("id", "lat"), "replaced")
     assert spark.table("replaced").columns == ["id", "lat"]
     assert spark.table("replaced").count() == 3
 
