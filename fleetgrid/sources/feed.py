@@ -65,7 +65,7 @@ def read_payloads(spark: SparkSession, path: str, landed: bool = False) -> DataF
     """
     if landed:
         return _from_landed(spark.read.schema(LANDED).parquet(path))
-    return _from_files(spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path))
+    return _from_files(spark.read.text(path, wholetext=True, recursiveFileLookup=True))
 
 
 def stream_payloads(
@@ -77,7 +77,7 @@ def stream_payloads(
         reader = reader.option("maxFilesPerTrigger", max_files)
     if landed:
         return _from_landed(reader.schema(LANDED).parquet(path))
-    return _from_files(reader.option("recursiveFileLookup", True).option("wholetext", True).text(path))
+    return _from_files(reader.text(path, wholetext=True, recursiveFileLookup=True))
 
 
 def payloads_from_text(df: DataFrame, text: str = "value") -> DataFrame:
