@@ -154,3 +154,82 @@ SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
   CASE WHEN page_id <> original THEN original END AS refers_to
 FROM groups
 """
+
+SQL["op3_run_length_index"] = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), bytes AS (
+  SELECT doc_id, i, n, substr(h, 2 * i + 1, 2) AS c, CASE WHEN i <= n - 50 THEN md5_number(substr(h, 2 * i + 1, 100)) END AS s
+  FROM (SELECT *, unnest(range(n)) AS i FROM d)
+), first AS (
+  SELECT s, min(doc_id) AS first FROM bytes WHERE s IS NOT NULL GROUP BY s
+), starts AS (
+  SELECT b.doc_id, b.i, b.c, max(CASE WHEN first < b.doc_id THEN b.i END) OVER (PARTITION BY b.doc_id ORDER BY b.i) AS last
+  FROM bytes b LEFT JOIN first USING (s)
+), judged AS (
+  SELECT doc_id, i, c, coalesce(i - last < 50, false) AS gone FROM starts
+), spans AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM judged
+)
+SELECT d.doc_id, any_value(d.n)::BIGINT AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+  sha256(unhex(coalesce(string_agg(c, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
+
+SQL["op2_spaced_seeds"] = r"""
+WITH signs AS (
+  SELECT '[\x00-/:-@\[-`{-\x{bf}\x{d7}\x{f7}\x{2000}-\x{206f}\x{2190}-\x{2bff}\x{3000}-\x{303f}\x{ff00}-\x{ff0f}\x{ff1a}-\x{ff20}]+' AS sign
+), item_lists AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), sign), lambda w: w <> '') AS words FROM benchmark, signs
+), items AS (
+  SELECT words, min(item_id) AS item_id, count(*) AS item_copies FROM item_lists WHERE len(words) >= 3 GROUP BY words
+), docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), sign), lambda w: w <> '') AS words FROM documents, signs
+), item_words AS (
+  SELECT item_id, item_copies, len(words) AS n, unnest(range(len(words))) AS i, unnest(words) AS word FROM items
+), doc_words AS (
+  SELECT doc_id, len(words) AS m, unnest(range(len(words))) AS j, unnest(words) AS word FROM docs
+), agreeing AS (
+  SELECT doc_id, item_id, item_copies, n, least(n, 16) AS width, j - i AS shift, i,
+    greatest(0, i - j) AS low, least(n - least(n, 16), m - least(n, 16) - (j - i)) AS high
+  FROM item_words JOIN doc_words USING (word)
+), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS c
+  FROM agreeing WHERE low <= high
+), best AS (
+  SELECT doc_id, item_id, item_copies, n, width, shift,
+    greatest(coalesce(max(c) FILTER (i BETWEEN low AND high), 0), count(*) FILTER (i >= high AND i < high + width)) AS matched
+  FROM counted GROUP BY ALL
+)
+SELECT doc_id, item_id, item_copies, width::INTEGER AS window_words, max(matched)::INTEGER AS matched_words
+FROM best WHERE matched >= width - CASE WHEN n >= 16 THEN 3 WHEN n >= 6 THEN n // 5 ELSE 0 END
+GROUP BY ALL
+"""
+
+SQL["op9_bottom_k"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (s)
+    WHERE x.doc_id < y.doc_id GROUP BY ALL
+  ) JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= 80 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT a AS doc_id, a AS other FROM both_ways UNION SELECT reached.doc_id, b FROM reached JOIN both_ways ON other = a
+), least AS (
+  SELECT doc_id, min(other) AS component FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id,
+  coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
