@@ -16,6 +16,8 @@ packed like all others.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from dataclasses import dataclass, field
 from functools import cache
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgrid.llm.blocks import WordCodes, blocks, split_words
+from fleetgrid.llm.blocks import CACHED_WORDS, WordCodes, blocks, split_words
 from fleetgrid.session import durable
 
 CAPACITY = 2048
@@ -37,6 +39,26 @@ GAP = 1e-3
 RANKED_ROWS = 1_000_000
 
 
+# Fixed value: how the 49,408-token file cuts lower-case text into parts.
+PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# The same for printable ASCII.
+ASCII_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+ASCII_WORD = re.compile(rb"[\x21-\x7e]+")
+
+
+def cuts_as_known(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases and cuts words by ``PARTS``, so that ASCII parts can be encoded alone."""
+    form = json.loads(tokenizer.to_str())
+    steps = [step["type"] for step in (form["normalizer"] or {}).get("normalizers", [])]
+    cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        steps == ["NFC", "Replace", "Lowercase"]
+        and [cut["type"] for cut in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": PARTS}
+        and not cuts[1]["add_prefix_space"]
+    )
+
+
 @cache
 def word_ids(path: str) -> WordCodes:
     """Ids per word of a ``tokenizers`` file whose tokens never cross white space; one per worker."""
@@ -45,8 +67,11 @@ def word_ids(path: str) -> WordCodes:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     tokenizer.no_truncation()
+    by_part = cuts_as_known(tokenizer)
+    part_ids = PartIds(tokenizer.model)
 
-    def encode(words: list[bytes]) -> list:
+    def encode_any(words: list[bytes]) -> list:
+        """Many words in one text; a token belongs to the word it starts in."""
         found: list = []
         for start in range(0, len(words), 1000):
             texts = [word.decode("utf-8", "replace") for word in words[start : start + 1000]]
@@ -57,9 +82,37 @@ def word_ids(path: str) -> WordCodes:
             found.extend(np.split(ids, np.searchsorted(places, ends[:-1])))
         return found
 
+    def encode(words: list[bytes]) -> list:
+        if not by_part:
+            return encode_any(words)
+        if len(part_ids) > CACHED_WORDS:
+            part_ids.clear()
+        found: list = [None] * len(words)
+        others = []
+        for at, word in enumerate(words):
+            if ASCII_WORD.fullmatch(word):
+                found[at] = [i for part in ASCII_PARTS.findall(word.decode().lower()) for i in part_ids[part]]
+            else:
+                others.append(at)
+        for at, ids in zip(others, encode_any([words[at] for at in others])):
+            found[at] = ids
+        return found
+
     return WordCodes(encode)
 
 
+class PartIds(dict):
+    """Ids of a part of a word, encoded once."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, part: str) -> list[int]:
+        ids = self[part] = [token.id for token in self.model.tokenize(part)]
+        return ids
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) of every piece."""
 

@@ -288,6 +288,22 @@ def test_packing(documents, corpus):
     assert max(used.values()) <= 2048
 
 
+def test_words_encode_as_in_running_text():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENS)
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(9)
+    letters = "aabcdeeinorstZ'',.-_$0193é漢ß \x1c\xa0\t<|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts += ["I'll they're it's WE'D <|endoftext|> <|startoftext|>", "İstanbul ǅ ﬁne e\u0301 ½ ²", "x" * 3000]
+    assert packing.cuts_as_known(tokenizer)
+    codes = packing.word_ids(TOKENS)
+    for text in texts:
+        found, _ = codes.tokens(codes.numbers(text.encode().split()))
+        assert found.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(0)
     lengths = np.minimum(rng.lognormal(4.5, 1, 50_000).astype(int) % 512 + 1, 511)
@@ -327,7 +343,7 @@ def test_lattice_sums_all_segmentations():
         ways = list(all_segmentations("▁" + word, names))
         total = sum(math.exp(sum(weights[i] for i in way)) for way in ways)
         assert lattice.forward(word.encode()) == pytest.approx(math.log(total))
-        counts = np.zeros(len(weights))
+        counts = [0.0] * len(weights)
         lattice.expect(word.encode(), 2.0, counts)
         expected = Counter()
         for way in ways:
