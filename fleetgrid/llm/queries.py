@@ -157,9 +157,9 @@ FROM groups
 
 SQL["op3_run_length_index"] = r"""
 WITH d AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
 ), bytes AS (
-  SELECT doc_id, i, n, substr(h, 2 * i + 1, 2) AS c, CASE WHEN i <= n - 50 THEN md5_number(substr(h, 2 * i + 1, 100)) END AS s
+  SELECT doc_id, i, n, hex(array_slice(b, i + 1, i + 1)) AS c, CASE WHEN i <= n - 50 THEN array_slice(b, i + 1, i + 50) END AS s
   FROM (SELECT *, unnest(range(n)) AS i FROM d)
 ), first AS (
   SELECT s, min(doc_id) AS first FROM bytes WHERE s IS NOT NULL GROUP BY s
