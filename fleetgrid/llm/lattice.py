@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from functools import cache
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ END = b""
 ZIPF_SHIFT = 2.7
 SMOOTHING = 0.1
 MOST_CHARS = 16
+NEVER = -math.inf
+
+# Bytes of text whose words one step of the count adds up.
+COUNTED_BYTES = 16_000_000
 
 
 @cache
@@ -75,19 +80,22 @@ class Lattice:
                     self.pieces[name] = number
         self.ends = names.index("") if "" in names else 0
 
-    def arcs(self, text: str, at: int) -> list[tuple[int, float, int | list[int]]]:
-        """(next place, log weight, piece or bytes) of every arc from a place."""
+    def arcs(self, text: str) -> list[tuple[int, int, float, int | list[int]]]:
+        """(place, next place, log weight, piece or bytes) of all arcs, by place."""
         found: list = []
-        pieces, weights = self.pieces, self.weights
-        for end in range(at + 1, min(at + MOST_CHARS, len(text)) + 1):
-            number = pieces.get(text[at:end])
-            if number is None:
-                break
-            if number >= 0:
-                found.append((end, weights[number], number))
-        if not found or found[0][0] != at + 1:
-            parts = [self.bytes[b] for b in text[at].encode()]
-            found.append((at + 1, sum(weights[p] for p in parts), parts))
+        add, get, weights, n = found.append, self.pieces.get, self.weights, len(text)
+        for at in range(n):
+            single = False
+            for end in range(at + 1, min(at + MOST_CHARS, n) + 1):
+                number = get(text[at:end])
+                if number is None:
+                    break
+                if number >= 0:
+                    single = single or end == at + 1
+                    add((at, end, weights[number], number))
+            if not single:
+                parts = [self.bytes[b] for b in text[at].encode()]
+                add((at, at + 1, sum(weights[p] for p in parts), parts))
         return found
 
     def forward(self, word: bytes) -> float:
@@ -95,52 +103,48 @@ class Lattice:
         if word == END:
             return self.weights[self.ends]
         text = START + word.decode("utf-8", "replace")
-        reached: list[list[float]] = [[] for _ in range(len(text) + 1)]
-        reached[0].append(0.0)
-        for at in range(len(text)):
-            if reached[at]:
-                so_far = log_sum(reached[at])
-                reached[at] = []
-                for end, weight, _ in self.arcs(text, at):
-                    reached[end].append(so_far + weight)
-        return log_sum(reached[-1])
-
-    def expect(self, word: bytes, times: float, counts: np.ndarray) -> None:
+        return ahead_of(self.arcs(text), len(text))[-1]
+
+    def expect(self, word: bytes, times: float, counts: list[float]) -> None:
         """Add ``times`` the expected uses of each piece in a word."""
         if word == END:
             counts[self.ends] += times
             return
         text = START + word.decode("utf-8", "replace")
         n = len(text)
-        ahead = [-math.inf] * (n + 1)
-        reached: list[list[float]] = [[] for _ in range(n + 1)]
-        reached[0].append(0.0)
-        all_arcs: list[list] = []
-        for at in range(n):
-            arcs = []
-            if reached[at]:
-                ahead[at] = log_sum(reached[at])
-                arcs = self.arcs(text, at)
-                for end, weight, _ in arcs:
-                    reached[end].append(ahead[at] + weight)
-            all_arcs.append(arcs)
-        whole = log_sum(reached[n])
-        behind = [-math.inf] * n + [0.0]
-        for at in range(n - 1, -1, -1):
-            terms = [weight + behind[end] for end, weight, _ in all_arcs[at]]
-            if terms:
-                behind[at] = log_sum(terms)
-                for (_, _, used), term in zip(all_arcs[at], terms):
-                    share = times * math.exp(ahead[at] + term - whole)
-                    for piece in used if isinstance(used, list) else (used,):
-                        counts[piece] += share
-
-
-def log_sum(terms: list[float]) -> float:
-    if len(terms) == 1:
-        return terms[0]
-    top = max(terms)
-    return top if top == -math.inf else top + math.log(sum(math.exp(term - top) for term in terms))
+        arcs = self.arcs(text)
+        ahead = ahead_of(arcs, n)
+        behind = [NEVER] * n + [0.0]
+        whole = ahead[n]
+        for at, end, weight, used in reversed(arcs):
+            rest = weight + behind[end]
+            share = times * exp(ahead[at] + rest - whole)
+            if used.__class__ is int:
+                counts[used] += share
+            else:
+                for piece in used:
+                    counts[piece] += share
+            so_far = behind[at]
+            if so_far == NEVER:
+                behind[at] = rest
+            elif rest > so_far:
+                behind[at] = rest + log1p(exp(so_far - rest))
+            else:
+                behind[at] = so_far + log1p(exp(rest - so_far))
+
+
+def ahead_of(arcs: list, n: int) -> list[float]:
+    """Log-space forward recursion: summed weight of all ways to each place."""
+    ahead = [0.0] + [NEVER] * n
+    for at, end, weight, _ in arcs:
+        way, so_far = ahead[at] + weight, ahead[end]
+        if so_far == NEVER:
+            ahead[end] = way
+        elif way > so_far:
+            ahead[end] = way + log1p(exp(so_far - way))
+        else:
+            ahead[end] = so_far + log1p(exp(way - so_far))
+    return ahead
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -148,11 +152,11 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def tally(table: pa.Table) -> pa.Table:
-    """Distinct words of one source with their training counts; ends count as the empty word."""
-    trained: Counter = Counter()
-    seen: set[bytes] = set()
-    for block, texts in blocks(iter(table.to_batches()), "text"):
+def count_words(batches):
+    """Task: distinct words with their training counts, by blocks; ends count as the empty word."""
+    for block, texts in blocks(batches, "text", COUNTED_BYTES):
+        trained: Counter = Counter()
+        seen: set[bytes] = {END}
         for text, out in zip(texts, block.column(block.schema.get_field_index("held_out")).to_pylist()):
             words = text.lower().split()
             if out:
@@ -160,13 +164,19 @@ def tally(table: pa.Table) -> pa.Table:
             else:
                 trained.update(words)
                 trained[END] += 1
-    seen.add(END)
-    words = list(trained) + [word for word in seen if word not in trained]
-    counts = [trained.get(word, 0) for word in words]
+        words = list(trained) + [word for word in seen if word not in trained]
+        counts = list(trained.values()) + [0] * (len(words) - len(trained))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "count"])
+
+
+def words_of_source(table: pa.Table) -> pa.Table:
+    """Distinct words of one source, the end among them."""
+    words: set[bytes] = {END}
+    for _, texts in blocks(iter(table.to_batches()), "text"):
+        for text in texts:
+            words.update(text.lower().split())
     source = table.column("source")[0].as_py()
-    return pa.table(
-        {"source": pa.array([source] * len(words), pa.int64()), "word": pa.array(words, pa.binary()), "count": pa.array(counts, pa.int64())}
-    )
+    return pa.table({"source": pa.array([source] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary())})
 
 
 def lattice_scores(
@@ -186,20 +196,20 @@ def lattice_scores(
         F.col(text_col).alias("text"),
         F.pmod(F.xxhash64(id_, F.col(text_col)), F.lit(sources)).alias("source"),
     )
-    tallies = durable(texts.groupBy("source").applyInArrow(tally, "source long, word binary, count long"))
-    words = durable(tallies.groupBy("word").agg(F.sum("count").alias("count")))
+    counted = texts.select("held_out", "text").mapInArrow(count_words, "word binary, count long")
+    words = durable(counted.groupBy("word").agg(F.sum("count").alias("count")))
     total, distinct = words.agg(F.sum("count"), F.count_if(F.col("count") > 0)).first()
     total, base_below = total or 0, math.log10((total or 0) + distinct + 1)
 
     start = first_weights(vocabulary)
 
     def expectations(batches):
-        lattice, counts = Lattice(vocabulary, start), np.zeros(len(start))
+        lattice, counts = Lattice(vocabulary, start), [0.0] * len(start)
         for batch in batches:
             for word, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lattice.expect(word, times, counts)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["piece", "uses"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.array(counts)[used])], ["piece", "uses"])
 
     uses = (
         words.filter("count > 0")
@@ -220,7 +230,9 @@ def lattice_scores(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "count", "log10"])
 
     scored = words.mapInArrow(marginals, "word binary, count long, log10 double")
-    of_source = tallies.select("source", "word").join(scored, "word")
+    # Both sides of the last step read the same exchange of texts.
+    in_source = texts.groupBy("source").applyInArrow(words_of_source, "source long, word binary")
+    of_source = in_source.join(scored, "word")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         index = {word: i for i, word in enumerate(right.column("word").to_pylist())}
