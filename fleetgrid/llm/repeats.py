@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgrid.llm.blocks import blocks, total_bytes
-from fleetgrid.llm.linechunks import keyed
+from fleetgrid.llm.linechunks import LAST_ID, keyed
 from fleetgrid.llm.rindex import RunIndex
 from fleetgrid.session import durable
 
@@ -78,8 +78,13 @@ def anchors(text: bytes, match: int) -> tuple[np.ndarray, np.ndarray]:
     return places, hashes[places]
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The half of a hash that tells anchors of one bucket apart; a rare clash only costs a comparison."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def as_blob(values: np.ndarray) -> bytes:
-    return values.tobytes()
+    return np.ascontiguousarray(values).tobytes()
 
 
 def cut_by(buckets: np.ndarray, count: int) -> list[np.ndarray]:
@@ -89,7 +94,7 @@ def cut_by(buckets: np.ndarray, count: int) -> list[np.ndarray]:
 
 
 NAMES = ("docs", "refs", "keys", "own_refs", "own_keys")
-TYPES = (np.int64, np.uint32, np.uint64, np.uint32, np.uint64)
+TYPES = (np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
 
 
 def send_hashes(count: int, match: int):
@@ -106,13 +111,16 @@ def send_hashes(count: int, match: int):
             first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
             last = np.concatenate([first[1:], [True]]) if len(keys) else first
             single = first & last
-            sent = np.where(single, refs, MANY)[first]
-            sent_keys, own, own_refs = keys[first], keys[~single], refs[~single]
+            sent, sent_keys = np.where(single, refs, MANY)[first], keys[first]
+            # By document, so that the references shrink to nothing when the shuffle compresses them.
+            order = np.argsort(sent, kind="stable")
+            sent, sent_keys = sent[order], sent_keys[order]
+            own, own_refs = keys[~single], refs[~single]
             parts = cut_by((sent_keys % np.uint64(count)).astype(np.int64), count)
             own_parts = cut_by((own % np.uint64(count)).astype(np.int64), count)
             blob = as_blob(docs)
             rows = [
-                (b, blob, as_blob(sent[p]), as_blob(sent_keys[p]), as_blob(own_refs[q]), as_blob(own[q]))
+                (b, blob, as_blob(sent[p]), as_blob(short(sent_keys[p])), as_blob(own_refs[q]), as_blob(short(own[q])))
                 for b, (p, q) in enumerate(zip(parts, own_parts))
                 if len(p)
             ]
@@ -157,8 +165,8 @@ def send_surroundings(count: int, match: int):
             least: dict[bytes, int] = {}
             for ref, text in enumerate(texts):
                 places, hashes = anchors(text, match)
-                wanted = np.frombuffer(b"".join(asked[ref]), np.uint64)
-                here = np.isin(hashes, wanted)
+                wanted = np.frombuffer(b"".join(asked[ref]), np.uint32)
+                here = np.isin(short(hashes), wanted)
                 at = ats[ref]
                 for place, key in zip(places[here].tolist(), hashes[here].tolist()):
                     start = max(0, place - match + GRAM)
@@ -174,9 +182,11 @@ def send_surroundings(count: int, match: int):
             for bucket, listed in sent.items():
                 kept = [e for e in listed if e[3] is not None]
                 done = np.array([(e[0], e[1], e[1] + e[4]) for e in listed if e[3] is None], np.int64).reshape(-1, 3)
-                numbers = np.array([(e[0], e[1], e[4]) for e in kept], np.int64).reshape(-1, 3)
-                keys = np.array([e[2] for e in kept], np.uint64)
-                rows.append((bucket, docs, as_blob(numbers), as_blob(keys), b"".join(e[3] for e in kept), as_blob(done)))
+                numbers = np.array([(e[0], e[1], e[4]) for e in kept], np.uint32).reshape(-1, 3)
+                keys = short(np.array([e[2] for e in kept], np.uint64))
+                rows.append(
+                    (bucket, docs, as_blob(numbers.T), as_blob(keys), b"".join(e[3] for e in kept), as_blob(done))
+                )
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
@@ -200,8 +210,8 @@ def answer_surroundings(match: int):
             for ref in np.unique(done[:, 0]).tolist():
                 spans.setdefault(docs[ref], []).append(done[done[:, 0] == ref, 1:])
             at = 0
-            keys = np.frombuffer(keys_, np.uint64).tolist()
-            for (ref, start, size), key in zip(np.frombuffer(numbers_, np.int64).reshape(-1, 3).tolist(), keys):
+            keys = np.frombuffer(keys_, np.uint32).tolist()
+            for (ref, start, size), key in zip(np.frombuffer(numbers_, np.uint32).reshape(3, -1).T.tolist(), keys):
                 around = around_[at : at + size]
                 at += size
                 doc = docs[ref]
@@ -262,8 +272,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if match <= GRAM:
         raise ValueError("a match must be longer than an anchor")
     texts = keyed(docs, id_col, text_col)
-    # A hash costs about twelve bytes, an anchor comes every (match - GRAM + 2) / 2 bytes.
-    hash_bytes = total_bytes(docs, text_col) * 24 // (match - GRAM + 2)
+    # A hash costs about eight bytes, an anchor comes every (match - GRAM + 2) / 2 bytes.
+    hash_bytes = total_bytes(docs, text_col) * 16 // (match - GRAM + 2)
     count = max(1, -(-hash_bytes // BUCKET_BYTES))
     long_enough = texts.filter(F.octet_length("text") >= match)
     hashes = long_enough.mapInArrow(
@@ -271,10 +281,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     answers = durable(hashes.groupBy("bucket").applyInArrow(answer_hashes, "at long, mark long, keys binary"))
     repeated = answers.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    count = max(1, -(-(repeated // 8 * (2 * match)) // BUCKET_BYTES))
+    count = max(1, -(-(repeated // 4 * (2 * match)) // BUCKET_BYTES))
     asked = answers.groupBy("at", "mark").agg(F.collect_list("keys").alias("keys"))
+    # The same exchange of texts as for the removal, so the texts are shuffled once.
     surroundings = (
-        long_enough.join(asked, ["at", "mark"])
+        texts.join(asked, ["at", "mark"])
         .select("at", "mark", "text", "keys")
         .mapInArrow(
             send_surroundings(count, match),
@@ -290,8 +301,9 @@ def remove_repeats(
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row of ``docs``."""
     spans = repeated_spans(docs, id_col, text_col, match)
-    texts = keyed(docs, id_col, text_col).withColumn("doc_id", F.when(F.col("at") != (1 << 63) - 1, F.col("at")))
-    joined = texts.join(spans, ["at", "mark"], "left").select("doc_id", "text", "spans")
+    doc_id = F.when(F.col("at") != LAST_ID, F.col("at")).alias("doc_id")
+    texts = keyed(docs, id_col, text_col)
+    joined = texts.join(spans, ["at", "mark"], "left").select(doc_id, "text", "spans")
 
     def work(batches):
         for block, texts_ in blocks(batches, "text"):

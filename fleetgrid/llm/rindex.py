@@ -11,10 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 
-PACKED = 7
-SYMBOL_BITS = 9
-
-
 class RunIndex:
     """Index over ``strings`` with an owner each; ``match`` is the length of a long match."""
 
@@ -36,10 +32,11 @@ class RunIndex:
         prefix = np.concatenate([[True], half])[self.starts]
         first = np.flatnonzero(prefix)
         self.least = np.repeat(np.minimum.reduceat(samples, first), np.diff(np.append(first, len(samples))))
-        by_head = np.argsort(self.heads, kind="stable")
-        self.maps_to = np.empty(len(by_head), np.int64)
-        self.maps_to[by_head] = np.cumsum(self.sizes[by_head]) - self.sizes[by_head]
-        self.run_of = np.searchsorted(self.starts, self.maps_to, "right") - 1
+        by_head = np.argsort(self.heads.astype(np.int16), kind="stable")
+        rising = np.cumsum(self.sizes[by_head]) - self.sizes[by_head]
+        self.maps_to, self.run_of = np.empty(len(by_head), np.int64), np.empty(len(by_head), np.int64)
+        self.maps_to[by_head] = rising
+        self.run_of[by_head] = np.searchsorted(self.starts, rising, "right") - 1
 
     def match_owners(self) -> np.ndarray:
         """Per string and place: smallest owner of the ``match`` symbols from there, or the largest integer.
@@ -70,38 +67,62 @@ class RunIndex:
         return found
 
 
-def ranks(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1 on."""
-    order = np.argsort(keys)
-    sorted_ = keys[order]
-    new = np.concatenate([[1], (sorted_[1:] != sorted_[:-1]).astype(np.int64)])
-    found = np.empty(len(keys), np.int64)
-    found[order] = np.cumsum(new)
+def ranks(high: np.ndarray, low: np.ndarray, low_bits: int) -> np.ndarray:
+    """Dense ranks from 1 on of pairs of non-negative integers; ``low`` has up to ``low_bits`` bits.
+
+    Where the pair and the position fit into 64 bits, sorting values is much faster than an argsort.
+    """
+    n = len(high)
+    place_bits = max(n - 1, 1).bit_length()
+    key = (high.astype(np.uint64) << np.uint64(low_bits)) | low.astype(np.uint64)
+    if int(key.max(initial=0)).bit_length() + place_bits <= 64:
+        packed = np.sort((key << np.uint64(place_bits)) | np.arange(n, dtype=np.uint64))
+        order = (packed & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        sorted_ = packed >> np.uint64(place_bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
+    found = np.empty(n, np.int64)
+    found[order] = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     return found
 
 
 def sorted_suffixes(symbols: np.ndarray, left: np.ndarray, longest: int, match: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order up to each end mark, ties by position; and where neighbours differ within ``match``.
 
-    ``left`` is the distance of each place to its end mark. Ranks of seven symbols are doubled until
-    they cover the longest string.
+    ``left`` is the distance of each place to its end mark. Symbols are numbered densely and packed,
+    and the ranks of the packs doubled until they cover the longest string.
     """
-    n, depth = len(symbols), PACKED
-    padded = np.concatenate([symbols, np.zeros(PACKED, np.int64)])
-    key = symbols.astype(np.uint64)
-    for step in range(1, PACKED):
-        key = (key << np.uint64(SYMBOL_BITS)) | np.where(left >= step, padded[step : n + step], 0).astype(np.uint64)
-    rank = ranks(key)
+    n = len(symbols)
+    used = np.flatnonzero(np.bincount(symbols))
+    bits = max(len(used) - 1, 1).bit_length()
+    dense = np.zeros(int(used[-1]) + 1, np.int64)
+    dense[used] = np.arange(len(used))
+    depth = min(42 // bits, match)
+    padded = np.concatenate([dense[symbols], np.zeros(depth, np.int64)])
+    key = padded[:n].copy()
+    for step in range(1, depth):
+        key = (key << bits) | np.where(left >= step, padded[step : n + step], 0)
+    zero = np.zeros(n, np.int64)
+    rank = ranks(key, zero, 0)
+    rank_bits = n.bit_length()
     prefixes: list[tuple[int, np.ndarray]] = [(depth, rank)]
+
+    def shifted(values: np.ndarray, by: int) -> np.ndarray:
+        moved = zero.copy()
+        moved[: max(n - by, 0)] = values[by:]
+        moved[left < by] = 0
+        return moved
+
     while depth < longest:
-        after = np.where(left >= depth, rank[np.minimum(np.arange(n) + depth, n - 1)], 0)
-        rank = ranks((rank << 32) | after)
+        rank = ranks(rank, shifted(rank, depth), rank_bits)
         depth *= 2
         prefixes.append((depth, rank))
-    order = np.sort((rank << 32) | np.arange(n)) & 0xFFFFFFFF
+    place_bits = max(n - 1, 1).bit_length()
+    order = np.sort((rank << place_bits) | np.arange(n)) & ((1 << place_bits) - 1)
     size, half = max((p for p in prefixes if p[0] <= match), key=lambda p: p[0])
     differ = np.zeros(n - 1, bool)
     for shift in (*range(0, match - size, size), match - size):
-        reach = np.where(left >= shift, half[np.minimum(np.arange(n) + shift, n - 1)], 0)[order]
+        reach = (half if not shift else shifted(half, shift))[order]
         differ |= reach[1:] != reach[:-1]
     return order, differ
