@@ -16,6 +16,8 @@ an empty archive.
 
 from __future__ import annotations
 
+import gzip
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
+FILE_RECORDS = 50_000
+
 FIELDS = {
     "page_id": "X-Page-Id",
     "record_type": "WARC-Type",
@@ -81,8 +85,11 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def write_archive(records: DataFrame, path: str, date: str) -> None:
-    """Records with fresh headers; a revisit holds the HTTP head alone. ``date`` is an ISO time in UTC."""
+def write_archive(records: DataFrame, path: str, date: str, compression: str = "gzip") -> None:
+    """Records with fresh headers; a revisit holds the HTTP head alone. ``date`` is an ISO time in UTC.
+
+    A file holds ``FILE_RECORDS`` records at most, so that no task reads a large file alone.
+    """
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
     block = F.concat(F.lit(HTTP_HEAD), body)
@@ -105,7 +112,8 @@ def write_archive(records: DataFrame, path: str, date: str) -> None:
         line("Content-Length", F.octet_length(block)),
     ]
     text = F.concat(F.lit(VERSION + CRLF), *(F.coalesce(part, F.lit("")) for part in lines), F.lit(CRLF), block)
-    records.select(text.alias("value")).write.option("lineSep", BETWEEN).text(path)
+    writer = records.select(text.alias("value")).write.option("lineSep", BETWEEN)
+    writer.option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(path)
 
 
 def field(head: Column, name: str) -> Column:
@@ -142,6 +150,7 @@ def whole_records(batches):
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             data, at, found = content.as_py(), 0, []
+            data = gzip.decompress(data) if file.endswith(".gz") else data
             while data.startswith(VERSION.encode(), at):
                 head_end = data.index(BETWEEN.encode(), at)
                 fields = dict(line.split(b": ", 1) for line in data[at:head_end].split(CRLF.encode())[1:])
