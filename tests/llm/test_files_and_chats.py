@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
 from pathlib import Path
@@ -110,15 +111,17 @@ def wanted_pages(rows, least=0):
         yield (r.page_id, len(data), digest, "revisit" if again else "response", top if again else None)
 
 
-def test_archive_round_trip(spark, pages, folder):
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_archive_round_trip(spark, pages, folder, compression):
     records = page_records(pages)
-    write_archive(records, folder, DATE)
+    write_archive(records, folder, DATE, compression)
     found = read_archive(spark, folder)
     names = ["page_id", "record_type", "record_id", "url", "payload_digest", "payload_bytes"]
     key = [*names, F.md5("payload").alias("payload")]
     as_rows = lambda df: sorted(map(str, df.select(*key).collect()))
     assert as_rows(found) == as_rows(records)
-    text = b"".join(p.read_bytes() for p in Path(folder).glob("part-*"))
+    raw = [p.read_bytes() for p in Path(folder).glob("part-*")]
+    text = b"".join(gzip.decompress(b) if compression == "gzip" else b for b in raw)
     assert text.count(b"WARC-Date: 2024-02-03T04:05:06Z\r\n") == 11 and text.endswith(b"\r\n\r\n")
 
 
