@@ -5,7 +5,8 @@ result is written as Parquet and read again for the next. All but the last retur
 ``documents``; extra columns ride along.
 
 1. ``quality``: documents that fail the base rules or the fertility bands go.
-2. ``line_dedup``: globally repeated chunks of lines go; a document of which nothing is left goes.
+2. ``line_dedup``: globally repeated chunks of lines, and repeated passages of over 50 words in whole
+   lines, go; a document of which nothing is left goes.
 3. ``near_dedup``: of each group of near duplicates (five-word shingles, Jaccard 0.8) the document
    with the smallest id stays. Documents without words, or without an id, stay.
 4. ``decontaminate``: documents with a benchmark passage go.
@@ -36,8 +37,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines, ``n_chars`` counted anew; emptied ones go."""
-    kept = remove_repeated_chunks(docs).filter("n_kept_lines > 0")
+    """Documents without repeated chunks and passages of lines, ``n_chars`` counted anew; emptied ones go."""
+    kept = remove_repeated_chunks(docs, passages=True).filter("n_kept_lines > 0")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -6,6 +6,12 @@ boundary is cut every 32 lines. Of the chunks with two or more lines that occur
 among all documents, byte for byte, the first occurrence (smallest id, then position) stays and the
 others go. One-line chunks always stay.
 
+Boundaries cut most passages that a text shares only in part with others. With ``passages`` the units
+are these chunks and also, from every line that has words and up to every such line, the fewest lines
+that hold more than 50 words, one line if it is long enough. Any passage of whole lines with more than
+50 words consists of such units wherever it stands, so its later occurrences go whole, but for blank
+lines at their ends. A unit that overlaps its own first occurrence stays.
+
 Defined results: a null text has no lines and stays null; an empty text has one empty line; rows
 that repeat one (id, text) are one document and treated alike; rows without an id come after all
 others. A text whose every line went is an empty text with ``n_kept_lines`` 0.
@@ -27,6 +33,9 @@ DIVISOR = 4
 MOST_LINES = 32
 LAST_ID = (1 << 63) - 1
 
+# Words that a passage must exceed. Words are what white space parts.
+PASSAGE_WORDS = 50
+
 
 def line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.md5(line).digest()[:4], "big")
@@ -46,6 +55,23 @@ def chunks(text: bytes) -> list[tuple[int, int]]:
     return found
 
 
+def units(text: bytes) -> list[tuple[int, int]]:
+    """Chunks of two or more lines, and from and up to every line with words the fewest with over 50."""
+    found = {(start, end) for start, end in chunks(text) if end - start > 1}
+    counts = [(at, len(line.split())) for at, line in enumerate(text.split(b"\n"))]
+    counts = [(at, words) for at, words in counts if words]
+    first, held = 0, 0
+    for end, words in counts:
+        held += words
+        while held > PASSAGE_WORDS:
+            found.add((counts[first][0], end + 1))
+            held -= counts[first][1]
+            first += 1
+        if first:
+            found.add((counts[first - 1][0], end + 1))
+    return sorted(found)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Document keys that are never null, and the text."""
     return docs.select(
@@ -55,72 +81,89 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def chunk_hashes(batches):
-    """(document, chunk number, hash) of chunks with two or more lines."""
-    for block, texts in blocks(batches, "text"):
-        ids, marks = block.column(0).to_pylist(), block.column(1).to_pylist()
-        rows: list[tuple] = []
-        for i, text in enumerate(texts):
-            lines = text.split(b"\n")
-            for number, (start, end) in enumerate(chunks(text)):
-                if end - start > 1:
-                    value = xxhash.xxh64_intdigest(b"\n".join(lines[start:end])) - (1 << 63)
-                    rows.append((ids[i], marks[i], number, value))
-        columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
-            ["at", "mark", "number", "hash"],
-        )
+def chunk_hashes(passages: bool):
+    """Task: (document, unit number, hash) of the units that may go; without ``passages`` they are chunks."""
 
+    def work(batches):
+        for block, texts in blocks(batches, "text"):
+            ids, marks = block.column(0).to_pylist(), block.column(1).to_pylist()
+            rows: list[tuple] = []
+            for i, text in enumerate(texts):
+                lines = text.split(b"\n")
+                for number, (start, end) in enumerate(units(text) if passages else chunks(text)):
+                    if passages or end - start > 1:
+                        value = xxhash.xxh64_intdigest(b"\n".join(lines[start:end])) - (1 << 63)
+                        rows.append((ids[i], marks[i], number, value))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
+                ["at", "mark", "number", "hash"],
+            )
 
-def chunk_texts(batches):
-    """(document, chunk number, bytes) of the chunks a document is asked for."""
-    for block, texts in blocks(batches, "text"):
-        ids, marks, asked = (block.column(k).to_pylist() for k in (0, 1, 3))
-        rows: list[tuple] = []
-        for i, text in enumerate(texts):
-            lines, cut = text.split(b"\n"), chunks(text)
-            for number in sorted(set(asked[i])):
-                start, end = cut[number]
-                rows.append((ids[i], marks[i], number, b"\n".join(lines[start:end])))
-        columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-            ["at", "mark", "number", "chunk"],
-        )
+    return work
+
+
+def chunk_texts(passages: bool):
+    """Task: (document, unit number, its lines, bytes) of the units a document is asked for.
+
+    Units of passages overlap, so a SHA-256 digest stands for their bytes.
+    """
+
+    def work(batches):
+        for block, texts in blocks(batches, "text"):
+            ids, marks, asked = (block.column(k).to_pylist() for k in (0, 1, 3))
+            rows: list[tuple] = []
+            for i, text in enumerate(texts):
+                lines, cut = text.split(b"\n"), units(text) if passages else chunks(text)
+                for number in sorted(set(asked[i])):
+                    start, end = cut[number]
+                    chunk = b"\n".join(lines[start:end])
+                    rows.append((ids[i], marks[i], number, start, end, hashlib.sha256(chunk).digest() if passages else chunk))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds)], ["at", "mark", "number", "start", "end", "chunk"]
+            )
+
+    return work
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(at, mark, numbers): per document the chunks to remove.
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+    """(at, mark, numbers): per document the chunks, or with ``passages`` the units, to remove.
 
     Hashes choose candidates; their bytes are then grouped, so two chunks that only share a hash
     stay. Both groupings combine before the shuffle.
     """
     texts = keyed(docs, id_col, text_col).filter(F.col("text").isNotNull())
-    hashes = texts.mapInArrow(chunk_hashes, "at long, mark long, number int, hash long").distinct()
+    hashes = texts.mapInArrow(chunk_hashes(passages), "at long, mark long, number int, hash long").distinct()
     hashes = durable(hashes)
     often = hashes.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
     asked = hashes.join(often, "hash").groupBy("at", "mark").agg(F.collect_list("number").alias("numbers"))
     held = texts.dropDuplicates(["at", "mark"]).join(asked, ["at", "mark"])
     found = durable(
         held.select("at", "mark", "text", "numbers").mapInArrow(
-            chunk_texts, "at long, mark long, number int, chunk binary"
+            chunk_texts(passages), "at long, mark long, number int, start int, end int, chunk binary"
         )
     )
-    place = F.struct("at", "mark", "number")
+    # Units are numbered by their first lines; equal ones have equally many lines.
+    place = F.struct("at", "mark", "number", "end")
     first = found.groupBy("chunk").agg(F.min(place).alias("first"), F.count("*").alias("times"))
-    gone = found.join(first.filter("times > 1"), "chunk").filter(place != F.col("first"))
+    elsewhere = (F.col("at") != F.col("first.at")) | (F.col("mark") != F.col("first.mark"))
+    gone = found.join(first.filter("times > 1"), "chunk").filter(elsewhere | (F.col("start") >= F.col("first.end")))
     return gone.groupBy("at", "mark").agg(F.collect_list("number").alias("numbers"))
 
 
-def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_chunks(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False
+) -> DataFrame:
     """``docs`` with the kept text, and ``n_lines, n_kept_lines, n_chunks, n_removed_chunks``.
 
+    With ``passages`` repeated passages of over 50 words go too, and a chunk counts as removed if all its lines went.
     Columns of ``docs`` with one of these four names are replaced.
     """
     counts = ["n_lines", "n_kept_lines", "n_chunks", "n_removed_chunks"]
     kept = [name for name in docs.columns if name not in counts]
-    gone = repeated_chunks(docs, id_col, text_col)
+    gone = repeated_chunks(docs, id_col, text_col, passages)
     marked = docs.select(
         F.struct(*[F.col(f"`{name}`") for name in kept]).alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("at"),
@@ -137,10 +180,15 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 if missing[i]:
                     out.append((None, 0, 0, 0, 0))
                     continue
-                lines, cut, drop = text.split(b"\n"), chunks(text), set(numbers[i] or ())
-                stay = [lines[a:b] for k, (a, b) in enumerate(cut) if k not in drop]
-                left = [line for part in stay for line in part]
-                out.append((b"\n".join(left), len(lines), len(left), len(cut), len(drop)))
+                lines, cut = text.split(b"\n"), chunks(text)
+                listed = units(text) if passages else cut
+                stays = bytearray(b"\1") * len(lines)
+                for number in numbers[i] or ():
+                    start, end = listed[number]
+                    stays[start:end] = bytes(end - start)
+                left = [line for line, stay in zip(lines, stays) if stay]
+                removed = sum(not any(stays[a:b]) for a, b in cut)
+                out.append((b"\n".join(left), len(lines), len(left), len(cut), removed))
             new, *measures = zip(*out)
             arrays = [pa.array(new, pa.binary()).cast(pa.string()), *(pa.array(m, pa.int64()) for m in measures)]
             yield pa.RecordBatch.from_arrays([block.column(0), *arrays], ["row", "text", *counts])

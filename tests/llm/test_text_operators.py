@@ -221,6 +221,46 @@ def test_line_chunks_repeated_rows_and_clashing_columns(spark):
     assert found == [(1, 30, "a"), (1, 30, "a"), (2, single, "b"), (99, single, "c")]
 
 
+def passage_removal(rows):
+    """What stays when every later occurrence of line runs with over 50 words goes, by comparing all pairs of runs."""
+    texts = {doc: text.split("\n") for doc, text in rows}
+    runs = {}
+    for doc, lines in sorted(texts.items()):
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = lines[a:b]
+                if sum(len(line.split()) for line in run) > 50 and run[0].split() and run[-1].split():
+                    runs.setdefault("\n".join(run), []).append((doc, a, b))
+    gone = set()
+    for places in runs.values():
+        doc, _, end = places[0]
+        gone |= {(d, at) for d, a, b in places[1:] if d != doc or a >= end for at in range(a, b)}
+    return {doc: "\n".join(line for at, line in enumerate(lines) if (doc, at) not in gone) for doc, lines in texts.items()}
+
+
+def test_shared_passages_of_different_documents(documents):
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = [[line(60)], [line(30), line(30)], [line(9), "", line(20), line(40)], [line(12) for _ in range(8)], [line(20), line(20)]]
+    rows = []
+    for doc in range(30):
+        parts = [[line(rng.randrange(1, 25))] for _ in range(rng.randrange(1, 5))]
+        parts.insert(rng.randrange(len(parts) + 1), shared[doc % 5])
+        rows.append((doc, "\n".join(text for part in parts for text in part)))
+    rows += [(40, "\n".join(["twenty words " * 10] * 7)), (41, ""), (42, line(60) + "\n\n" + line(2))]
+    found = {r.doc_id: r for r in remove_repeated_chunks(documents(*rows), passages=True).collect()}
+    # Passages of 40 words, and one that repeats itself, may also go by chunks.
+    expected = passage_removal(rows)
+    for doc, text in rows:
+        if doc % 5 != 4 and doc != 40:
+            assert found[doc].text == expected[doc], doc
+    for doc in range(5, 30):  # later copies of passages of over 50 words went whole
+        if doc % 5 != 4:
+            assert not any(text and text in found[doc].text.split("\n") for text in shared[doc % 5])
+    whole = {r.doc_id: r.n_kept_lines for r in remove_repeated_chunks(documents(*rows)).collect()}
+    assert sum(found[doc].n_kept_lines < whole[doc] for doc in range(5, 30)) > 10
+
+
 def components_by_search(rows, width, percent=80):
     sets = {}
     for doc, text in rows:
