@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetgrid.llm import packing, seeds
+from fleetgrid.llm import bottomk, packing, seeds
 from fleetgrid.llm.bottomk import near_duplicates
 from fleetgrid.llm.fertility import Band, fertility
 from fleetgrid.llm.lattice import Lattice, first_weights, lattice_scores, vocabulary_pieces
@@ -294,6 +294,43 @@ def test_near_duplicates_equal_all_pairs(documents, corpus, width):
     assert got == components_by_search(rows, width)
 
 
+def test_outsiders_alone_are_sent_to_blocks(spark, documents, monkeypatch):
+    """One member apart in a hot list is sent, not the list; small blocks and copies give the same result."""
+    rows = [(7, n, 10, 1) for n in range(1, 500)] + [(7, 900, 10, 900)] + [(8, n, 10, 1) for n in range(1, 40)]
+    lists = bottomk.outsiders(spark.createDataFrame(rows, "value long, node long, size long, part long"))
+    sent = bottomk.visits(lists, F.pmod("node", F.lit(5)).alias("block")).collect()
+    assert {(r.node, r.block) for r in sent} == {(900, block) for block in range(5)} and len(sent) == 5
+    assert all(r["values"] == [7] for r in sent)
+
+    groups = []
+
+    def spied(percent):
+        task = block_links(percent)
+
+        def run(sent, block):
+            if sent.num_rows > 8:
+                raise ValueError(f"{sent.num_rows} sets were sent to one task")
+            return task(sent, block)
+
+        groups.append(percent)
+        return run
+
+    block_links = bottomk.block_links
+    monkeypatch.setattr(bottomk, "PAIRED", 1)
+    monkeypatch.setattr(bottomk, "BLOCK_NODES", 6)
+    monkeypatch.setattr(bottomk, "SENT_NODES", 2)
+    monkeypatch.setattr(bottomk, "block_links", spied)
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):  # chains around the threshold, so that leaders leave links open
+        words = [f"v{i}" for i in range(60)]
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(60)] = f"n{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    assert {tuple(r) for r in near_duplicates(documents(*rows), 2).collect()} == components_by_search(rows, 2)
+    assert groups
+
+
 def test_near_duplicates_defined_results(spark, documents):
     text = "one two three four five six"
     rows = near_duplicates(documents((None, text), (3, text), (3, "other words"), (4, ""), (5, None)), 2).collect()
