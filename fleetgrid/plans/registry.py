@@ -645,9 +645,11 @@ def archive_members(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def archive_routes(spark: SparkSession, folder: str) -> DataFrame:
-    """Archives loaded into schedule tables, and lines built from the shapes table."""
+    """Archives loaded into schedule tables, and lines built from the shapes table, whose rows lie in two members."""
     loaded = work_folder(spark, "schedule")
-    archives = tables.zipped(tables.shapes_file(spark, folder), "shapes.txt")
+    shapes = tables.shapes_file(spark, folder)
+    odd = F.col("shape_pt_sequence") % 2 > 0
+    archives = tables.zipped(shapes.filter(odd), "shapes.txt").union(tables.zipped(shapes.filter(~odd), "gtfs/shapes.txt"))
     archive.load_archives(archives, loaded)
     shapes = spark.read.parquet(f"{loaded}/{archive.table_name('shapes.txt')}")
     found = q.build_routes(shapes, ["shape_pt_lon", "shape_pt_lat"])

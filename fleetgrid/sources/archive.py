@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.csv as pacsv
@@ -86,29 +86,46 @@ def list_members(archives: DataFrame, prefix: str = TABLE_PREFIX) -> DataFrame:
     return archives.mapInArrow(run, MEMBERS)
 
 
-def read_text_member(archives: DataFrame, member: str, columns: list[str]) -> DataFrame:
-    """Rows of one member of every archive, all columns as text; absent columns are null."""
+def _read_text(archives: DataFrame, wanted: Callable[[str], bool], columns: list[str]) -> DataFrame:
+    """Rows of the wanted members of every archive, all columns as text; of members with one name the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
-                    info = next((m for m in _files(archive) if m.filename == member), None)
-                    if info is None or not info.file_size:
-                        continue
-                    with archive.open(info) as opened:
-                        for block in _open_csv(opened, columns):
-                            as_text = [block[c].cast(pa.string()) for c in columns]
-                            yield pa.RecordBatch.from_arrays(as_text, columns)
+                    members: dict[str, zipfile.ZipInfo] = {}
+                    for info in _files(archive):
+                        if wanted(info.filename):
+                            members.setdefault(info.filename, info)
+                    for info in members.values():
+                        if not info.file_size:
+                            continue
+                        with archive.open(info) as opened:
+                            for block in _open_csv(opened, columns):
+                                as_text = [block[c].cast(pa.string()) for c in columns]
+                                yield pa.RecordBatch.from_arrays(as_text, columns)
 
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return archives.select("content").mapInArrow(run, schema)
 
 
+def read_text_member(archives: DataFrame, member: str, columns: list[str]) -> DataFrame:
+    """Rows of one member of every archive, all columns as text; absent columns are null."""
+    return _read_text(archives, lambda name: name == member, columns)
+
+
+def read_text_table(archives: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """Rows of all members of one table, in whatever folder and archive, all columns as text."""
+    return _read_text(archives, lambda name: table_name(name) == table, columns)
+
+
+def _declared(text: DataFrame, schema: T.StructType) -> DataFrame:
+    return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_member(archives: DataFrame, member: str, schema: T.StructType) -> DataFrame:
     """One member with declared column types; text that does not fit its type becomes null."""
-    text = read_text_member(archives, member, schema.names)
-    return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return _declared(read_text_member(archives, member, schema.names), schema)
 
 
 def read_member_inferred(archives: DataFrame, member: str) -> DataFrame:
@@ -121,18 +138,28 @@ def read_member_inferred(archives: DataFrame, member: str) -> DataFrame:
 
 
 def load_archives(archives: DataFrame, folder: str, schemas: dict[str, T.StructType] = SCHEDULE_FILES) -> list[str]:
-    """Replace one parquet table per member below ``folder``; returns their names.
+    """Replace one parquet table per table name of the members below ``folder``; returns their names.
 
-    Members named in ``schemas`` have their declared types, the others are typed by their values. The
-    list of members, a few names however large the archives are, is all that reaches the driver.
+    A table has the rows of all its members, in whatever folder and archive they are. Tables with a member
+    whose file name is in ``schemas`` have its declared types, the others are typed by their values. The
+    list of tables, a few names however large the archives are, is all that reaches the driver.
     """
-    listed = list_members(archives).groupBy("member", "table_name").agg(F.max(F.size("columns")).alias("n")).collect()
+    base = F.element_at(F.split("member", "/"), -1)
+    listed = (
+        list_members(archives)
+        .filter(F.size("columns") > 0)
+        .groupBy("table_name")
+        .agg(F.array_sort(F.collect_set(base)).alias("bases"), F.array_distinct(F.flatten(F.collect_set("columns"))).alias("columns"))
+        .collect()
+    )
     names = []
-    for row in sorted(listed, key=lambda row: row["member"]):
-        if not row["n"]:
-            continue
-        schema = schemas.get(row["member"])
-        rows = read_member(archives, row["member"], schema) if schema else read_member_inferred(archives, row["member"])
-        replace_files(rows, f"{folder}/{row['table_name']}")
-        names.append(row["table_name"])
+    for row in sorted(listed, key=lambda row: row["table_name"]):
+        name = row["table_name"]
+        schema = next((schemas[b] for b in row["bases"] if b in schemas), None)
+        if schema:
+            rows = _declared(read_text_table(archives, name, schema.names), schema)
+        else:
+            rows = infer_types(read_text_table(archives, name, list(row["columns"])))
+        replace_files(rows, f"{folder}/{name}")
+        names.append(name)
     return names

@@ -59,6 +59,19 @@ def test_archives_load_into_tables(spark, archives, folder):
     assert {r.shape_id: r.n_points for r in table.collect()} == {"9": 600, "loop north": 100}
 
 
+def test_members_of_one_table_are_loaded_together(spark, folder):
+    Path(folder).mkdir()
+    write_zip(f"{folder}/a.zip", {"a/stops.txt": "stop_id,stop_lat\n1,44.0\n", "b/stops.txt": "stop_id,stop_lon\n02,-79\n"})
+    write_zip(f"{folder}/b.zip", {"stops.txt": "stop_id,stop_lat\n3,45.0\n", "x/fares.txt": "fare\n7\n", "fares.txt": "fare,zone\nfree,A\n"})
+    names = archive.load_archives(archive.read_archives(spark, folder), folder + "_tables")
+    assert names == ["ttc_fares", "ttc_stops"]
+    stops = spark.read.parquet(folder + "_tables/ttc_stops")
+    assert dict(stops.dtypes)["location_type"] == "int"
+    assert sorted((r.stop_id, r.stop_lat, r.stop_lon) for r in stops.collect()) == [("02", None, -79.0), ("1", 44.0, None), ("3", 45.0, None)]
+    fares = spark.read.parquet(folder + "_tables/ttc_fares")
+    assert sorted((r.fare, r.zone) for r in fares.collect()) == [("7", None), ("free", "A")]
+
+
 def test_member_with_declared_types(archives):
     rows = archive.read_member(archives, "stops.txt", STOPS_FILE)
     assert rows.schema == STOPS_FILE
