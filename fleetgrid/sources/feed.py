@@ -34,11 +34,23 @@ def land_payloads(payloads: DataFrame, path: str) -> None:
 
 
 def _documents(text: Column) -> Column:
-    """Payloads of a file: its lines if the first line is a document of its own, else the whole file."""
+    """Payloads of a file: its lines or the whole file.
+
+    It is cut into lines if any line is a payload by itself, wherever it stands. If none is, a file that is a
+    payload as a whole stays whole; of the others those with several lines that start an object, without
+    indent, are cut.
+    """
     lines = F.filter(F.split(text, "\r?\n"), lambda line: F.trim(line) != "")
-    first = F.trim(F.try_element_at(lines, F.lit(1)))
-    by_line = first.startswith("{") & first.endswith("}")
-    return F.when(by_line & (F.size(lines) > 1), lines).otherwise(F.array(text))
+    starts = F.size(F.filter(lines, lambda line: line.startswith("{")))
+    by_line = F.exists(lines, _is_payload) | (~_is_payload(text) & (starts > 1))
+    return F.when((F.size(lines) > 1) & by_line, lines).otherwise(F.array(text))
+
+
+def _is_payload(text: Column) -> Column:
+    """Whether the text can be read as a payload."""
+    parsed = F.from_json(text, _READ, {"columnNameOfCorruptRecord": _CORRUPT})
+    time = parsed["lastTime"]["time"].try_cast("bigint")
+    return F.coalesce(parsed[_CORRUPT].isNull() & time.isNotNull(), F.lit(False))
 
 
 def _from_files(files: DataFrame) -> DataFrame:

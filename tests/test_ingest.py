@@ -123,6 +123,48 @@ def test_a_file_may_hold_a_document_per_line(spark, folder):
     assert [r.value for r in feed.rejected(read).collect()] == [lines[3]]
 
 
+@pytest.mark.parametrize("first", ["garbage", json.dumps(document("9"))[:-9], "{"])
+def test_a_bad_first_line_takes_no_other_line_with_it(spark, folder, first):
+    Path(folder).mkdir()
+    lines = [first, json.dumps(document("1")), json.dumps(document("2"))[:-5], json.dumps(document("3"))]
+    (Path(folder) / "a.json").write_text("\n".join(lines))
+    read = feed.read_payloads(spark, folder)
+    assert sorted(r.id for r in feed.parse_payloads(read).collect()) == ["1", "3"]
+    assert sorted(r.value for r in feed.rejected(read).collect()) == sorted([lines[0], lines[2]])
+
+
+def test_lines_that_are_all_cut_off_are_judged_one_by_one(spark, folder):
+    Path(folder).mkdir()
+    lines = [json.dumps(document(str(n)))[:-5] for n in range(3)]
+    (Path(folder) / "a.json").write_text("\n".join(lines))
+    assert sorted(r.value for r in feed.rejected(feed.read_payloads(spark, folder)).collect()) == sorted(lines)
+
+
+def test_an_indented_document_stays_whole_whatever_its_first_line(spark, folder):
+    Path(folder).mkdir()
+    text = '{"lastTime": {"time": "1714953600000"}\n, "vehicle": [\n{"id": "1"},\n{"id": "2"}\n]}'
+    (Path(folder) / "a.json").write_text(text)
+    (Path(folder) / "b.json").write_text(json.dumps(document("3"), indent=2)[:-9])
+    read = feed.read_payloads(spark, folder)
+    assert sorted(r.id for r in feed.parse_payloads(read).collect()) == ["1", "2"]
+    assert feed.rejected(read).count() == 1
+
+
+def test_bad_payloads_of_feed_files_through_the_stream(spark, folder):
+    """Every third payload cut off and every fifth without its time, in files of ten lines."""
+    Path(folder).mkdir()
+    texts = [json.dumps(document(str(n))) for n in range(60)]
+    texts = [t[:-5] if n % 3 == 0 else t.replace("lastTime", "noTime") if n % 5 == 0 else t for n, t in enumerate(texts)]
+    for k in range(6):
+        (Path(folder) / f"{k}.json").write_text("\n".join(texts[10 * k : 10 * k + 10]))
+    store = folder + "_log"
+    start_ingest(spark, folder, store, f"{store}_offsets", period=None).awaitTermination()
+    log = PositionLog(spark, store)
+    bad = {n for n in range(60) if n % 3 == 0 or n % 5 == 0}
+    assert {r.id for r in log.positions().collect()} == {str(n) for n in range(60) if n not in bad}
+    assert sorted(r.value for r in spark.read.parquet(log.rejected_path).collect()) == sorted(texts[n] for n in bad)
+
+
 @pytest.mark.parametrize("text", ["{", "[]", "7", "null", "text", '{"vehicle": []}', '{"lastTime": {"time": "soon"}}'])
 def test_what_is_no_payload_is_kept(spark, folder, text):
     Path(folder).mkdir()
