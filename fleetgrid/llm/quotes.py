@@ -3,7 +3,8 @@
 A line's quote level is the number of ``>`` it starts with. Neighbouring lines of one level form a
 passage; a passage as a whole, its paragraphs and its lines, each normalised (lower case, runs of
 anything but letters and digits as one space), are hashed and joined to the same units of the unquoted text of
-earlier messages of the conversation. Each unit speaks for the latest earlier message that holds
+earlier messages of the conversation. Passages as a whole count at any length, their parts from ``LEAST_CHARS``
+characters on. Each unit speaks for the latest earlier message that holds
 it, weighted by its length; the message with the most weight at the lowest level is the one replied to.
 Deeper levels name earlier ancestors, and stand in where the lowest level matches nothing.
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from fleetgrid.session import durable
 
 QUOTED = "^[ \\t]*>[> \\t]*"
+
+# Normalised characters from which a part of a quoted passage counts by itself; whole passages count at any length.
 LEAST_CHARS = 8
 TURN_BUCKET = 1024
 
@@ -59,17 +62,21 @@ def units(lines: DataFrame) -> DataFrame:
         "*", F.sum("turns").over(so_far).alias("passage"), F.sum(F.col("turns") + F.col("blank")).over(so_far).alias("paragraph")
     )
 
-    def joined(*keys: str) -> DataFrame:
+    def joined(whole: bool, *keys: str) -> DataFrame:
         parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda part: part["body"])
-        return grouped.groupBy(*message, "level", *keys).agg(F.concat_ws(" ", parts).alias("body")).select(*message, "level", "body")
+        units_ = grouped.groupBy(*message, "level", *keys).agg(F.concat_ws(" ", parts).alias("body"))
+        return units_.select(*message, "level", "body", F.lit(whole).alias("whole"))
 
-    listed = grouped.select(*message, "level", "body").union(joined("passage")).union(joined("passage", "paragraph"))
+    listed = grouped.select(*message, "level", "body", F.lit(False).alias("whole"))
+    listed = listed.union(joined(True, "passage")).union(joined(False, "passage", "paragraph"))
     # The unquoted text around quotes also counts as one, whatever stands between its parts.
     own = grouped.filter("level = 0")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda part: part["body"])
-    listed = listed.union(own.groupBy(*message, "level").agg(F.concat_ws(" ", parts).alias("body")).select(*message, "level", "body"))
-    plain = listed.select("conv_id", "turn", "level", normalised(F.col("body")).alias("plain"))
-    kept = plain.filter(F.length("plain") >= LEAST_CHARS)
+    together = own.groupBy(*message, "level").agg(F.concat_ws(" ", parts).alias("body"))
+    listed = listed.union(together.select(*message, "level", "body", F.lit(True).alias("whole")))
+    plain = listed.select("conv_id", "turn", "level", "whole", normalised(F.col("body")).alias("plain"))
+    # Unquoted units are what whole passages are looked up in, so short ones stay.
+    kept = plain.filter("plain != ''").filter(F.col("whole") | (F.col("level") == 0) | (F.length("plain") >= LEAST_CHARS))
     return kept.select("conv_id", "turn", "level", F.md5("plain").alias("unit"), F.length("plain").alias("weight")).distinct()
 
 

@@ -206,6 +206,24 @@ def test_latest_earlier_message_is_meant(spark):
     assert {found[n].reply_to for n in range(6, 40)} == {5}
 
 
+def test_short_passages_link_to_the_messages_that_hold_them(spark):
+    rows = [
+        (1, 0, "user", "Thanks"),
+        (1, 1, "user", "はい、そうです。"),
+        (1, 2, "user", "First of all: yes\nYes, do\nand something else"),
+        (1, 3, "user", "> Thanks\nWelcome"),
+        (1, 4, "user", "> はい、そうです\n好的"),
+        (1, 5, "user", "> Yes, do\nI did"),
+        (1, 6, "user", "> nothing said here\n> Thanks\nPart of another text"),
+        (1, 7, "user", "> !!\nNo words"),
+        (2, 0, "user", "> Thanks\nOther conversation"),
+    ]
+    found = {(r.conv_id, r.turn): r for r in linked_conversations(spark.createDataFrame(rows, MESSAGE)).collect()}
+    assert [found[1, n].reply_to for n in range(3, 8)] == [0, 1, 2, None, None]
+    assert [found[1, n].thread for n in range(3, 8)] == [0, 1, 2, 6, 7]
+    assert found[2, 0].reply_to is None
+
+
 def test_long_chains_have_one_thread(spark):
     rows = [(1, 0, "user", "message number zero here")]
     rows += [(1, n, "user", f"> message number {'zero' if n == 1 else n - 1} here\n\nmessage number {n} here") for n in range(1, 30)]
