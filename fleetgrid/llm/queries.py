@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from fleetgrid.llm.blocks import table
 from fleetgrid.llm.bottomk import near_duplicates
+from fleetgrid.llm.exact import exact_groups
 from fleetgrid.llm.fertility import fertility
+from fleetgrid.llm.impacts import build_index, search
 from fleetgrid.llm.lattice import lattice_scores
 from fleetgrid.llm.linechunks import remove_repeated_chunks
 from fleetgrid.llm.packing import pack
@@ -18,6 +20,7 @@ from fleetgrid.llm.quotes import linked_conversations
 from fleetgrid.llm.repeats import remove_repeats
 from fleetgrid.llm.seeds import contaminated
 from fleetgrid.llm.separators import token_counts, write_token_files
+from fleetgrid.llm.survival import filter_audit
 from fleetgrid.llm.warc import deduplicate_archive, page_records, read_archive, revisits, write_archive
 from fleetgrid.session import work_folder
 
@@ -93,6 +96,21 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in every order, per language."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_golomb_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, and whether it stays, of every document among those with the same text."""
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -106,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_revisits,
         op9_bottom_k,
         op10_quotation_links,
+        op11_best_position,
+        op12_survival_words,
+        op13_golomb_exchange,
     )
 }
 
@@ -233,3 +254,78 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc
   coalesce(component, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
+
+SQL["op11_best_position"] = r"""
+WITH terms AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), totals AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM terms
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY ALL
+), held AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM terms)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, totals GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weighed USING (term), totals GROUP BY ALL
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+SQL["op12_survival_words"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), judged AS (
+  SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e
+  FROM texts
+), marked AS (
+  SELECT part, {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM judged LEFT JOIN labels USING (doc_id)
+), tallied AS (
+  SELECT part, concat(CASE WHEN fails['A'] THEN 'A' ELSE '' END, CASE WHEN fails['B'] THEN 'B' ELSE '' END,
+    CASE WHEN fails['C'] THEN 'C' ELSE '' END, CASE WHEN fails['D'] THEN 'D' ELSE '' END, CASE WHEN fails['E'] THEN 'E' ELSE '' END) AS f,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM marked GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order FROM letters v, letters w, letters x, letters y, letters z
+  WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS l, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), outcomes AS (
+  SELECT part, filter_order, step, l, n, good, bad, f, contains(f, l) AS hit,
+    len(list_intersect(string_split(f, ''), string_split(before, ''))) > 0 AND f <> '' AND before <> '' AS gone
+  FROM tallied, steps
+), counted AS (
+  SELECT part, filter_order, step, l,
+    coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (f = l), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost
+  FROM outcomes GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley
+FROM counted
+"""
+
+SQL["op13_golomb_exchange"] = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+), grouped AS (
+  SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM texts
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM grouped
+"""
