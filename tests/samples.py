@@ -1,0 +1,19 @@
+"""Rows that several test modules share."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from fleetgrid.schema import POSITIONS
+
+NOW = datetime(2024, 5, 6, 12, 0, 0)
+
+
+def position(vehicle, ago, lat, lon, **fields):
+    """One stored position, ``ago`` seconds before NOW."""
+    row = {name: None for name in POSITIONS.names}
+    row.update(id=vehicle, routeTag="1", dirTag="1_0_1", predictable="true", secsSinceReport=str(ago))
+    row.update(lat=lat, lon=lon, heading="0", speedKmHr="10")
+    row.update(fetched_at=NOW, api_timestamp=NOW - timedelta(seconds=ago))
+    row.update(fields)
+    return tuple(row[name] for name in POSITIONS.names)

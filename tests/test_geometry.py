@@ -27,9 +27,9 @@ def xy(lon, lat):
 
 
 def test_geometries_as_geojson(spark):
-    assert json.loads(value(spark, as_geojson(point(xy(-79.38, 43.65))))) == {
+    assert json.loads(value(spark, as_geojson(point(xy(-71.25, 46.875))))) == {
         "type": "Point",
-        "coordinates": [-79.38, 43.65],
+        "coordinates": [-71.25, 46.875],
     }
     two = F.array(xy(1.0, 2.0), xy(3.0, 4.0))
     assert json.loads(value(spark, as_geojson(line(two)))) == {
@@ -70,7 +70,7 @@ def test_wkt(spark, wkt, wanted):
 
 
 @pytest.mark.parametrize("wkt", ["", "POINT", "CIRCLE(0 0)", "POINT EMPTY", None])
-def test_other_text_is_no_geometry(spark, wkt):
+def test_empty_or_missing_text_is_no_geometry(spark, wkt):
     text = F.lit(wkt).cast("string")
     assert value(spark, parse_wkt(text)) is None
     assert value(spark, shape_geojson(parse_wkt(text))) is None

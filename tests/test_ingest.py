@@ -205,14 +205,14 @@ def test_known_position_is_not_stored_again(spark, landing, log):
 
 def test_new_position_and_other_vehicle_are_stored(spark, landing, log):
     write(spark, landing, log, document("1"))
-    write(spark, landing, log, document(("1", {"lat": "43.66", "lon": "-79.39"})))
+    write(spark, landing, log, document(("1", {"lat": "44.2190", "lon": "-78.4025"})))
     write(spark, landing, log, document("2"))
     assert log.positions().count() == 3
 
 
 def test_positions_compare_as_text(spark, landing, log):
-    write(spark, landing, log, document(("1", {"lat": "43.65"})))
-    assert write(spark, landing, log, document(("1", {"lat": "43.650"}))).inserted == 1
+    write(spark, landing, log, document(("1", {"lat": "44.75"})))
+    assert write(spark, landing, log, document(("1", {"lat": "44.750"}))).inserted == 1
 
 
 def test_unknown_position_is_always_stored(spark, landing, log):

@@ -5,11 +5,11 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import NOW, position
 from fleetgrid.functions.geometry import coordinate
 from fleetgrid.operators.lines import ordered_lines
 from fleetgrid.plans import queries as q
 from fleetgrid.schema import POSITIONS, SHAPES_FILE, STOPS_FILE
+from samples import NOW, position
 
 FIVE_MINUTES = timedelta(seconds=300)
 
@@ -188,7 +188,7 @@ def test_speed_map_groups_by_cell_and_hour(spark):
     assert len(ring) == 7 and ring[0] == ring[6]
 
 
-def stop(number, name, lat=43.65, lon=-79.38):
+def stop(number, name, lat=44.375, lon=-78.625):
     row = {n: None for n in STOPS_FILE.names}
     row.update(stop_id=number, stop_name=name, stop_lat=lat, stop_lon=lon)
     return tuple(row[n] for n in STOPS_FILE.names)
@@ -205,7 +205,7 @@ def test_stops(spark):
     ]
     rows = [stop(str(1000 + i), name) for i, name in enumerate(names)]
     table = q.build_stops(spark.createDataFrame(rows, STOPS_FILE))
-    assert table.first().coords.coordinates == [-79.38, 43.65]
+    assert table.first().coords.coordinates == [-78.625, 44.375]
     assert "stop_lat" not in table.columns
     found = {r.stop_name: r.label_direction for r in q.stops(table).collect()}
     # The prefix "king st at" is shared; shorter names come first.

@@ -22,8 +22,8 @@ def write_zip(path, members):
 
 STOPS = (
     "﻿stop_id,stop_name,stop_lat,stop_lon,location_type,extra\n"
-    '001,"King St, at Bay",43.65,-79.38,0,x\n'
-    '2,"two\nlines",43.66,-79.39,,y\n'
+    '001,"King St, at Bay",44.375,-78.625,0,x\n'
+    '2,"two\nlines",44.5,-78.75,,y\n'
     "t_3,,bad,-79.4,1,z\n"
 )
 SHAPES = "shape_id,shape_pt_lat,shape_pt_lon,shape_pt_sequence\n" + "".join(
