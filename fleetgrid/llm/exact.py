@@ -3,11 +3,12 @@
 Every task cuts the SHA-256 of its normalised texts to fingerprints just long enough that few meet
 by chance, sorts them and sends each owner, which holds a range of values, its part as a Golomb code
 of the gaps: about ten bits a text. Owners answer with a bitmap per list: set where another task
-sent the same value. Applied to the lists, the bitmaps give the fingerprints of the suspects. Only the texts
-of suspects are shuffled, and there grouped and joined by their bytes, so a chance meeting ends as two groups.
+sent the same value. Applied to the lists, the bitmaps and those of the values that a task met twice itself
+give the fingerprints of the suspects. Only the texts of suspects are shuffled, and there grouped and joined
+by their bytes, so a chance meeting ends as two groups.
 
-A block of documents sends each of its texts once, whatever the number of copies, in the exchange
-and with the suspects; a text that a third of all rows share costs a row a block. The suspects' fingerprints
+A task sends each fingerprint once, and a block of documents each of its suspects once, whatever the
+number of copies; a text that a third of all rows share costs a row a block. The suspects' fingerprints
 are broadcast if they are at most ``BROADCAST_ROWS``. Beyond that only those that many lists hold are, which are
 fewer than that many by their number of holders, and the rest meet the texts in a shuffled join.
 
@@ -99,17 +100,23 @@ def send_prints(owners: int, bits: int):
         lists, held, base = 0, [], bounds(owners, bits)
 
         def sent():
-            values = np.unique(np.concatenate(held))
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            twice = times > 1
             cuts = np.searchsorted(values, np.array([*base, 1 << bits], np.uint64)).tolist()
-            rows = [(o, golomb_encoded(values[a:b], base[o])) for o, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            rows = [
+                (o, golomb_encoded(values[a:b], base[o]), np.packbits(twice[a:b]).tobytes() if twice[a:b].any() else None)
+                for o, (a, b) in enumerate(zip(cuts, cuts[1:]))
+                if a < b
+            ]
             sender = (context.partitionId() if context else 0) << 32 | lists
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([sender] * len(rows), pa.int64()),
                     pa.array([r[0] for r in rows], pa.int32()),
                     pa.array([r[1] for r in rows], pa.binary()),
+                    pa.array([r[2] for r in rows], pa.binary()),
                 ],
-                ["sender", "owner", "code"],
+                ["sender", "owner", "code", "twice"],
             )
 
         for _, texts in blocks(batches, "text"):
@@ -147,14 +154,17 @@ def answer_bitmaps(owners: int, bits: int):
 
 
 def suspect_prints(owners: int, bits: int):
-    """Task: the fingerprints of a list that its bitmap marks."""
+    """Task: the fingerprints of a list that one of its bitmaps marks."""
 
     def work(batches):
         base = bounds(owners, bits)
         for batch in batches:
-            for owner, code, bitmap in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for owner, code, *bitmaps in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 values = golomb_decoded(code, base[owner])
-                marked = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(values)).astype(bool)
+                marked = np.zeros(len(values), bool)
+                for bitmap in bitmaps:
+                    if bitmap:
+                        marked |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(values)).astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array(values[marked].view(np.int64))], ["print"])
 
     return work
@@ -186,10 +196,11 @@ def block_texts(bits: int):
 
 
 def suspects(docs: DataFrame, bits: int, owners: int) -> DataFrame:
-    """(print, lists): fingerprints that the texts of several tasks share, and by how many lists."""
-    sent = durable(docs.select("text").mapInArrow(send_prints(owners, bits), "sender long, owner int, code binary"))
-    answers = sent.groupBy("owner").applyInArrow(answer_bitmaps(owners, bits), "sender long, owner int, bitmap binary")
-    marked = sent.join(answers, ["sender", "owner"]).select("owner", "code", "bitmap")
+    """(print, lists): fingerprints that more than one row has, and by how many lists."""
+    sent = durable(docs.select("text").mapInArrow(send_prints(owners, bits), "sender long, owner int, code binary, twice binary"))
+    answers = sent.select("sender", "owner", "code").groupBy("owner").applyInArrow(answer_bitmaps(owners, bits), "sender long, owner int, bitmap binary")
+    marked = sent.join(answers, ["sender", "owner"], "left").filter("bitmap IS NOT NULL OR twice IS NOT NULL")
+    marked = marked.select("owner", "code", "bitmap", "twice")
     prints = marked.mapInArrow(suspect_prints(owners, bits), "print long")
     return durable(prints.groupBy("print").agg(F.count("*").alias("lists")))
 
@@ -209,11 +220,14 @@ def with_suspects(texts: DataFrame, found: DataFrame) -> DataFrame:
     return held.withColumn("suspect", F.coalesce("suspect", "rare")).drop("rare")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) per row of ``docs``."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare: int = SPARE) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) per row of ``docs``.
+
+    With a smaller ``spare`` shorter fingerprints are exchanged, and more texts meet by chance.
+    """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = read.count()
-    bits = min(max(total.bit_length() + SPARE, 16), 63)
+    bits = min(max(total.bit_length() + spare, 1), 63)
     owners = max(LEAST_OWNERS, -(-total // OWNER_PRINTS))
     found = suspects(read, bits, owners)
     texts = read.mapInArrow(block_texts(bits), "print long, digest binary, text binary, ids array<bigint>, tag long")

@@ -69,42 +69,48 @@ def unpacked(blob: bytes, count: int) -> np.ndarray:
     return np.frombuffer(blob, kind, count).astype(np.int64)
 
 
-def index_rows(batches):
-    """Task: one index row per block of (doc_id, text)."""
-    for block, texts in blocks(batches, "text", BLOCK):
-        each = [terms_of(text) for text in texts]
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        numbers = WordIndex()
-        terms = np.fromiter(map(numbers.__getitem__, chain.from_iterable(each)), np.int64, int(lengths.sum()))
-        del each
-        pairs = np.sort(terms * len(texts) + np.repeat(np.arange(len(texts)), lengths))
-        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(pairs)))
-        starts = np.searchsorted(pairs[first], np.arange(len(numbers) + 1) * len(texts))
-        missing = block.column(0).is_null().to_numpy(zero_copy_only=False)
-        ids = block.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = (
-            int((lengths > 0).sum()),
-            int(lengths.sum()),
-            ids.tobytes(),
-            missing.astype(np.uint8).tobytes(),
-            packed(lengths),
-            b" ".join(numbers.pending),
-            packed(starts),
-            packed(pairs[first] % len(texts)),
-            packed(times),
-        )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in row],
-            [part.split()[0] for part in INDEX.split(", ")],
-        )
+def index_rows(most: int):
+    """Task: one index row per block of (doc_id, text) with at most ``most`` bytes of text."""
+
+    def work(batches):
+        for block, texts in blocks(batches, "text", most):
+            each = [terms_of(text) for text in texts]
+            lengths = np.fromiter(map(len, each), np.int64, len(each))
+            numbers = WordIndex()
+            terms = np.fromiter(map(numbers.__getitem__, chain.from_iterable(each)), np.int64, int(lengths.sum()))
+            del each
+            pairs = np.sort(terms * len(texts) + np.repeat(np.arange(len(texts)), lengths))
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(pairs)))
+            starts = np.searchsorted(pairs[first], np.arange(len(numbers) + 1) * len(texts))
+            missing = block.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = block.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = (
+                int((lengths > 0).sum()),
+                int(lengths.sum()),
+                ids.tobytes(),
+                missing.astype(np.uint8).tobytes(),
+                packed(lengths),
+                b" ".join(numbers.pending),
+                packed(starts),
+                packed(pairs[first] % len(texts)),
+                packed(times),
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in row],
+                [part.split()[0] for part in INDEX.split(", ")],
+            )
+
+    return work
 
 
-def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
+) -> DataFrame:
     """The index of all terms of ``docs``, written below the shared folder or to ``path``."""
     path = path or work_folder(docs.sparkSession, "impacts")
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read.mapInArrow(index_rows, INDEX).write.parquet(path)
+    read.mapInArrow(index_rows(block), INDEX).write.parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path)
 
 
