@@ -3,15 +3,19 @@
 Which documents to compare follows from anchors: places whose hash of ``GRAM`` bytes is the least
 of some window, chosen so that every ``match`` bytes hold one, and equal bytes hold equal ones. Anchors that
 meet no other document are done with. The others send the bytes around them to the bucket of their
-hash. A bucket keeps each distinct surrounding once, with its earliest document, builds run-length
-indexes over them, and streams all of them through: each place gets the earliest document that
-holds the ``match`` bytes from there. Later copies of one surrounding are covered as a whole.
+hash, where each distinct surrounding is kept once, with its earliest document; later copies of it are covered as
+a whole. Of surroundings of one anchor that differ, the later ones are streamed as matching statistics against
+run-length indexes of the earlier ones: by rank within the anchor, one level per bit of the rank, so that any
+two meet at the highest bit in which their ranks differ. A long match removes ``match`` bytes if an earlier document
+holds them.
 
 Blocks of documents combine before every shuffle: an anchor hash, or a surrounding, that a block
 holds in many documents is sent once, so a passage that a third of all documents share costs a row a block.
+An anchor with more than ``HOT_PLACES`` places sends all strings of ``match`` bytes around it instead, each to the bucket of
+its own hash: equal ones still meet, and no bucket gets the anchor as a whole.
 
 Defined results: a null text has no bytes; rows with one id don't remove each other's bytes; a row
-without an id comes after all others; texts shorter than ``match`` stay whole.
+without an id has the rank of the largest id; texts shorter than ``match`` stay whole.
 """
 
 from __future__ import annotations
@@ -20,19 +24,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgrid.llm.blocks import blocks, total_bytes
-from fleetgrid.llm.linechunks import LAST_ID, keyed
 from fleetgrid.llm.rindex import RunIndex
 from fleetgrid.session import durable
 
 MATCH = 50
 GRAM = 20
 BLOCK = 16_000_000
-BUCKET_BYTES = 64_000_000
-INDEX_SYMBOLS = 2_000_000
+HASH_BUCKET = 16_000_000
+BUCKET_BYTES = 8_000_000
+INDEX_SYMBOLS = 400_000
+HOT_PLACES = 4_000
+CHUNK = 1 << 20
+LAST_ID = (1 << 63) - 1
 MANY = np.uint32(0xFFFFFFFF)
 FACTOR = 0xD6E8FEB86659FD93
 
@@ -67,7 +76,20 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(text: bytes, match: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of a text."""
+    """(places, hashes) of the anchors of a text; a long one is looked at in overlapping chunks."""
+    if len(text) <= CHUNK:
+        return anchors_of(text, match)
+    found = []
+    for start in range(0, len(text), CHUNK):
+        begin = max(start - 2 * match, 0)
+        places, hashes = anchors_of(text[begin : start + CHUNK + 2 * match], match)
+        places = places + begin
+        mine = (places >= start) & (places < start + CHUNK)
+        found.append((places[mine], hashes[mine]))
+    return tuple(np.concatenate(column) for column in zip(*found))
+
+
+def anchors_of(text: bytes, match: int) -> tuple[np.ndarray, np.ndarray]:
     if len(text) < match:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = gram_hashes(text, GRAM)
@@ -87,176 +109,246 @@ def as_blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-def cut_by(buckets: np.ndarray, count: int) -> list[np.ndarray]:
-    """Positions of each bucket's entries."""
-    order = np.argsort(buckets, kind="stable")
-    return np.split(order, np.searchsorted(buckets[order], np.arange(1, count)))
+def parts_of(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(sorted_)]))
 
 
-NAMES = ("docs", "refs", "keys", "own_refs", "own_keys")
-TYPES = (np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
+HASHES = "bucket int, docs binary, refs binary, keys binary, times binary, own_refs binary, own_keys binary"
+TYPES = (np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
 
 
 def send_hashes(count: int, match: int):
-    """Task: per block and bucket the anchor hashes with their document, and those the block itself repeats."""
+    """Task: per block and bucket the anchor hashes with their document and number of places, and those the block itself repeats.
+
+    A row names the documents that its hashes refer to, and no others.
+    """
 
     def work(batches):
         for block, texts in blocks(batches, "text", BLOCK):
             docs = np.stack([block.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
-            each = [np.unique(anchors(text, match)[1]) for text in texts]
-            keys = np.concatenate(each)
-            refs = np.repeat(np.arange(len(each), dtype=np.uint32), [len(k) for k in each])
+            each = [np.unique(anchors(text, match)[1], return_counts=True) for text in texts]
+            keys = np.concatenate([k for k, _ in each])
+            times = np.concatenate([t for _, t in each])
+            refs = np.repeat(np.arange(len(each), dtype=np.uint32), [len(k) for k, _ in each])
             order = np.argsort(keys, kind="stable")
-            keys, refs = keys[order], refs[order]
+            keys, refs, times = keys[order], refs[order], times[order]
             first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
             last = np.concatenate([first[1:], [True]]) if len(keys) else first
             single = first & last
             sent, sent_keys = np.where(single, refs, MANY)[first], keys[first]
-            # By document, so that the references shrink to nothing when the shuffle compresses them.
-            order = np.argsort(sent, kind="stable")
-            sent, sent_keys = sent[order], sent_keys[order]
+            sent_times = np.add.reduceat(times, np.flatnonzero(first)) if len(keys) else times
             own, own_refs = keys[~single], refs[~single]
-            parts = cut_by((sent_keys % np.uint64(count)).astype(np.int64), count)
-            own_parts = cut_by((own % np.uint64(count)).astype(np.int64), count)
-            blob = as_blob(docs)
-            rows = [
-                (b, blob, as_blob(sent[p]), as_blob(short(sent_keys[p])), as_blob(own_refs[q]), as_blob(short(own[q])))
-                for b, (p, q) in enumerate(zip(parts, own_parts))
-                if len(p)
-            ]
+            buckets, own_buckets = ((k % np.uint64(count)).astype(np.int64) for k in (sent_keys, own))
+            # By document within a bucket, so that the references shrink to nothing when the shuffle compresses them.
+            order, own_order = np.lexsort((sent, buckets)), np.argsort(own_buckets, kind="stable")
+            own_buckets = own_buckets[own_order]
+            rows = []
+            for start, end in parts_of(buckets[order]):
+                here = order[start:end]
+                bucket = int(buckets[here[0]])
+                there = own_order[np.searchsorted(own_buckets, bucket) : np.searchsorted(own_buckets, bucket, "right")]
+                many = sent[here] == MANY
+                used = np.unique(np.concatenate([sent[here][~many], own_refs[there]]))
+                refs_ = np.where(many, MANY, np.searchsorted(used, sent[here]).astype(np.uint32))
+                rows.append(
+                    (
+                        bucket,
+                        as_blob(docs[used]),
+                        as_blob(refs_),
+                        as_blob(short(sent_keys[here])),
+                        as_blob(np.minimum(sent_times[here], MANY).astype(np.uint32)),
+                        as_blob(np.searchsorted(used, own_refs[there]).astype(np.uint32)),
+                        as_blob(short(own[there])),
+                    )
+                )
+            columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))],
-                ["bucket", "docs", "refs", "keys", "own_refs", "own_keys"],
+                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+                [part.split()[0] for part in HASHES.split(", ")],
             )
 
     return work
 
 
-def answer_hashes(table: pa.Table) -> pa.Table:
-    """Per document the anchor hashes that more than one document holds."""
-    blocks_ = [[np.frombuffer(v.as_py(), t) for v, t in zip(row, TYPES)] for row in zip(*(table.column(n) for n in NAMES))]
-    keys = np.concatenate([b[2] for b in blocks_])
-    _, found, times = np.unique(keys, return_inverse=True, return_counts=True)
-    several = times[found] > 1
-    out: list[tuple[int, int, bytes]] = []
-    at = 0
-    for docs, refs_, keys_, own_refs, own_keys in blocks_:
-        asks = several[at : at + len(keys_)] & (refs_ != MANY)
-        at += len(keys_)
-        ref = np.concatenate([refs_[asks], own_refs])
-        key = np.concatenate([keys_[asks], own_keys])
-        order = np.argsort(ref, kind="stable")
-        ref, key = ref[order], key[order]
-        starts = np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]])) if len(ref) else []
-        for a, b in zip(starts, [*starts[1:], len(ref)]):
-            doc = docs.reshape(-1, 2)[ref[a]]
-            out.append((int(doc[0]), int(doc[1]), as_blob(key[a:b])))
-    ats, marks, blobs = zip(*out) if out else ((), (), ())
-    return pa.table({"at": pa.array(ats, pa.int64()), "mark": pa.array(marks, pa.int64()), "keys": pa.array(blobs, pa.binary())})
+ANSWERS = "at long, mark long, places long, hot long, keys array<long>"
+
+
+def answer_hashes(hot_places: int):
+    """Group: per document the anchor hashes that more than one document holds; bit 32 marks those with very many places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = [part.split()[0] for part in HASHES.split(", ")][1:]
+        blocks_ = [[np.frombuffer(v.as_py(), t) for v, t in zip(row, TYPES)] for row in zip(*(table.column(n) for n in names))]
+        docs = np.concatenate([b[0] for b in blocks_]).reshape(-1, 2)
+        offsets = np.cumsum([0] + [len(b[0]) // 2 for b in blocks_])[:-1]
+        keys = np.concatenate([b[2] for b in blocks_])
+        values, found, held = np.unique(keys, return_inverse=True, return_counts=True)
+        places = np.bincount(found, np.concatenate([b[3] for b in blocks_]).astype(float), len(values))
+        refs = np.concatenate([b[1].astype(np.int64) + (b[1] != MANY) * o for b, o in zip(blocks_, offsets)])
+        asks = (held[found] > 1) & (refs != int(MANY))
+        own = np.concatenate([b[5] for b in blocks_])
+        refs = np.concatenate([refs[asks], *(b[4].astype(np.int64) + o for b, o in zip(blocks_, offsets))])
+        keys = np.concatenate([keys[asks], own])
+        flags = places[np.searchsorted(values, keys)] > hot_places
+        order = np.argsort(refs, kind="stable")
+        parts = parts_of(refs[order])
+        starts = np.array([a for a, _ in parts] + [len(order)], np.int32)
+        of = docs[refs[order][starts[:-1]]] if len(parts) else docs[:0]
+        flags = flags[order]
+        so_far = np.concatenate([[0], np.cumsum(flags)])
+        sent = keys[order].astype(np.int64) | (flags.astype(np.int64) << 32)
+        return pa.table(
+            {
+                "at": pa.array(of[:, 0]),
+                "mark": pa.array(of[:, 1]),
+                "places": pa.array(np.diff(starts).astype(np.int64)),
+                "hot": pa.array(so_far[starts[1:]] - so_far[starts[:-1]]),
+                "keys": pa.ListArray.from_arrays(pa.array(starts), pa.array(sent)),
+            }
+        )
+
+    return run
+
+
+SURROUNDINGS = "bucket int, at long, mark long, key long, start int, end int, around binary"
 
 
 def send_surroundings(count: int, match: int):
-    """Task: per block and bucket the bytes around repeated anchors; documents that only repeat the block's are covered."""
+    """Task: the bytes around repeated anchors, to the bucket of the anchor.
+
+    Of equal bytes in a block the earliest document's go; what they cover in later ones is sent as spans without bytes.
+    """
 
     def work(batches):
         for block, texts in blocks(batches, "text", BLOCK):
-            ats, marks, asked = block.column(0).to_pylist(), block.column(1).to_pylist(), block.column(3).to_pylist()
+            ats, marks = block.column(0).to_pylist(), block.column(1).to_pylist()
             entries: list[tuple[int, int, int, bytes]] = []
             least: dict[bytes, int] = {}
             for ref, text in enumerate(texts):
-                places, hashes = anchors(text, match)
-                wanted = np.frombuffer(b"".join(asked[ref]), np.uint32)
-                here = np.isin(short(hashes), wanted)
+                asked = np.unique(block.column(3)[ref].values.flatten().to_numpy())
                 at = ats[ref]
-                for place, key in zip(places[here].tolist(), hashes[here].tolist()):
-                    start = max(0, place - match + GRAM)
-                    around = text[start : place + match]
+                for start, end, key in wanted_places(text, match, asked):
+                    around = text[start:end]
                     entries.append((ref, start, key, around))
                     if least.get(around, at) >= at:
                         least[around] = at
-            sent: dict[int, list] = {}
+            rows: list[tuple] = []
+            done: dict[int, list[tuple[int, int]]] = {}
             for ref, start, key, around in entries:
-                sent.setdefault(key % count, []).append((ref, start, key, around if ats[ref] == least[around] else None, len(around)))
-            docs = as_blob(np.array([ats, marks], np.int64).T)
-            rows = []
-            for bucket, listed in sent.items():
-                kept = [e for e in listed if e[3] is not None]
-                done = np.array([(e[0], e[1], e[1] + e[4]) for e in listed if e[3] is None], np.int64).reshape(-1, 3)
-                numbers = np.array([(e[0], e[1], e[4]) for e in kept], np.uint32).reshape(-1, 3)
-                keys = short(np.array([e[2] for e in kept], np.uint64))
-                rows.append(
-                    (bucket, docs, as_blob(numbers.T), as_blob(keys), b"".join(e[3] for e in kept), as_blob(done))
-                )
-            columns = list(zip(*rows)) or [()] * 6
+                end = start + len(around)
+                if ats[ref] == least[around]:
+                    key = key if key is not None else xxhash.xxh64_intdigest(around)
+                    rows.append((key % count, ats[ref], marks[ref], key - (1 << 63), start, end, around))
+                else:
+                    done.setdefault(ref, []).append((start, end))
+            for ref, spans in done.items():
+                for start, end in merged(np.array(spans, np.int64)).tolist():
+                    rows.append(((ats[ref] ^ marks[ref]) % count, ats[ref], marks[ref], 0, start, end, None))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-                ["bucket", "docs", "numbers", "keys", "around", "done"],
+                [pa.array(c, t) for c, t in zip(columns, kinds)], [part.split()[0] for part in SURROUNDINGS.split(", ")]
             )
 
     return work
 
 
+def wanted_places(text: bytes, match: int, asked: np.ndarray):
+    """(start, end, anchor hash) of what a text sends; strings around hot anchors have no hash yet."""
+    places, hashes = anchors(text, match)
+    keys = short(hashes).astype(np.int64)
+    if not len(asked):
+        return
+    by_key = asked[np.argsort(asked & 0xFFFFFFFF, kind="stable")]
+    at = np.minimum(np.searchsorted(by_key & 0xFFFFFFFF, keys), len(by_key) - 1)
+    here = (by_key[at] & 0xFFFFFFFF) == keys
+    hot = here & (by_key[at] >> 32 > 0)
+    reach = match - GRAM
+    for place, key in zip(places[here & ~hot].tolist(), hashes[here & ~hot].tolist()):
+        yield max(0, place - reach), min(place + match, len(text)), key
+    if hot.any():
+        starts = np.unique((places[hot][:, None] - np.arange(reach + 1)).ravel())
+        for start in starts[(starts >= 0) & (starts + match <= len(text))].tolist():
+            yield start, start + match, None
+
+
 def answer_surroundings(match: int):
-    """Group: per document the spans of a bucket that an earlier document also holds."""
+    """Group: per document the spans of a bucket that an earlier document also holds, as start and end in one number."""
 
     def run(table: pa.Table) -> pa.Table:
-        spans: dict[tuple[int, int], list[np.ndarray]] = {}
-        owner: dict[bytes, int] = {}
-        key_of: dict[bytes, int] = {}
-        held: list[tuple[tuple[int, int], int, bytes]] = []
-        for docs_, numbers_, keys_, around_, done_ in zip(*(table.column(n).to_pylist() for n in ("docs", "numbers", "keys", "around", "done"))):
-            docs = [tuple(d) for d in np.frombuffer(docs_, np.int64).reshape(-1, 2).tolist()]
-            done = np.frombuffer(done_, np.int64).reshape(-1, 3)
-            for ref in np.unique(done[:, 0]).tolist():
-                spans.setdefault(docs[ref], []).append(done[done[:, 0] == ref, 1:])
-            at = 0
-            keys = np.frombuffer(keys_, np.uint32).tolist()
-            for (ref, start, size), key in zip(np.frombuffer(numbers_, np.uint32).reshape(3, -1).T.tolist(), keys):
-                around = around_[at : at + size]
-                at += size
-                doc = docs[ref]
-                around = held[-1][2] if held and held[-1][2] == around else around
-                held.append((doc, start, around))
-                if owner.get(around, doc[0]) >= doc[0]:
-                    owner[around] = doc[0]
-                key_of[around] = key
-        strings = sorted(owner, key=key_of.__getitem__)
-        early: dict[bytes, np.ndarray] = {}
-        for part in index_parts(strings, key_of):
-            owners = np.fromiter((owner[s] for s in part), np.int64, len(part))
-            earlier = RunIndex(part, owners, match).match_owners() < owners[:, None]
-            for i in np.flatnonzero(earlier.any(1)).tolist():
-                early[part[i]] = np.flatnonzero(earlier[i])
-        for doc, start, around in held:
-            if doc[0] > owner[around]:
-                spans.setdefault(doc, []).append(np.array([[start, start + len(around)]]))
-            elif around in early:
-                starts = early[around] + start
-                spans.setdefault(doc, []).append(np.stack([starts, starts + match], 1))
-        docs = list(spans)
-        blobs = [as_blob(merged(np.concatenate(spans[doc]))) for doc in docs]
-        return pa.table(
-            {
-                "at": pa.array([d[0] for d in docs], pa.int64()),
-                "mark": pa.array([d[1] for d in docs], pa.int64()),
-                "spans": pa.array(blobs, pa.binary()),
-            }
-        )
+        has = table.column("around").is_valid().combine_chunks()
+        passed = table.filter(pc.invert(has))
+        table = table.filter(has)
+        out = [tuple(passed.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "start", "end"))]
+        if table.num_rows:
+            at, mark, key, start, end = (table.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "key", "start", "end"))
+            coded = table.column("around").combine_chunks().dictionary_encode()
+            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+            which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+            bounds = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+            data = np.frombuffer(distinct.buffers()[2], np.uint8)
+            # At the ends of texts equal bytes may stand around different anchors: they are strings of both.
+            anchor, of_anchor = np.unique(key, return_inverse=True)
+            pairs, which = np.unique(which * len(anchor) + of_anchor, return_inverse=True)
+            of_pair = pairs // len(anchor)
+            owner = np.full(len(pairs), LAST_ID)
+            np.minimum.at(owner, which, at)
+            later = at > owner[which]
+            out.append(tuple(x[later] for x in (at, mark, start, end)))
+            string, first, last = long_matches(
+                data, bounds[of_pair], np.diff(bounds)[of_pair], owner, anchor[pairs % len(anchor)], match
+            )
+            rows = np.flatnonzero(~later)
+            low, high = np.searchsorted(string, which[rows], "left"), np.searchsorted(string, which[rows], "right")
+            times = high - low
+            rows = np.repeat(rows, times)
+            ends = np.cumsum(times)
+            span = np.repeat(low - (ends - times), times) + np.arange(len(rows))
+            out.append((at[rows], mark[rows], start[rows] + first[span], start[rows] + last[span] + match))
+        at, mark, start, end = (np.concatenate(column) for column in zip(*out))
+        return pa.table({"at": pa.array(at), "mark": pa.array(mark), "span": pa.array((start << 32) | end)})
 
     return run
 
 
-def index_parts(strings: list[bytes], key_of: dict[bytes, int]) -> list[list[bytes]]:
-    """Strings in runs of about ``INDEX_SYMBOLS`` symbols; those of one anchor stay together."""
-    parts: list[list[bytes]] = []
-    size = INDEX_SYMBOLS
-    for i, string in enumerate(strings):
-        if size >= INDEX_SYMBOLS and key_of[string] != (key_of[strings[i - 1]] if i else None):
-            parts.append([])
-            size = 0
-        parts[-1].append(string)
-        size += len(string) + 1
-    return parts
+def long_matches(
+    data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, key: np.ndarray, match: int, most: int = INDEX_SYMBOLS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first place, last place), by string: places whose ``match`` bytes a string with a smaller owner holds.
+
+    Strings of one key are compared, in parts of about ``most`` symbols.
+    """
+    order = np.lexsort((owner, key))
+    groups = parts_of(key[order])
+    sizes = np.array([b - a for a, b in groups], np.int64)
+    size = np.repeat(sizes, sizes)
+    rank = np.arange(len(order)) - np.repeat(np.array([a for a, _ in groups], np.int64), sizes)
+    group = np.repeat(np.arange(len(sizes)), sizes)[size > 1]
+    order, rank, size = order[size > 1], rank[size > 1], size[size > 1]
+    before = np.cumsum(lengths[order] + 1) - lengths[order] - 1
+    heads = np.flatnonzero(rank == 0)
+    part = np.repeat(before[heads] // most, size[heads]) if len(heads) else group
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in parts_of(part):
+        mine, rank_, size_ = order[a:b], rank[a:b], size[a:b]
+        for level in range(int(rank_.max()).bit_length()):
+            streamed = (rank_ >> level) & 1 == 1
+            partner = (rank_ >> (level + 1) << (level + 1)) + (1 << level) < size_
+            kept, others = mine[~streamed & partner], mine[streamed]
+            if len(others):
+                index = RunIndex(data, starts[kept], lengths[kept], owner[kept], match)
+                string, place, held_by = index.owners_of_matches(data, starts[others], lengths[others])
+                earlier = held_by < owner[others[string]]
+                found.append((others[string[earlier]], place[earlier]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    string, place = (np.concatenate(column) for column in zip(*found))
+    where = np.unique((string << 32) | place)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1])) if len(where) else where
+    last = np.append(first[1:] - 1, len(where) - 1) if len(where) else where
+    return where[first] >> 32, where[first] & 0xFFFFFFFF, where[last] & 0xFFFFFFFF
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -267,57 +359,70 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:] - 1, len(spans) - 1)]], 1)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH) -> DataFrame:
-    """(at, mark, spans): per document lists of the byte spans to remove, as pairs of 64-bit integers."""
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(at, mark, text): keys that are never null; the lowest bit of the mark says that the id is missing."""
+    id_ = F.col(id_col).cast("long")
+    mark = F.xxhash64(text_col).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(id_.isNull().cast("long"))
+    return docs.select(F.coalesce(id_, F.lit(LAST_ID)).alias("at"), mark.alias("mark"), F.col(text_col).alias("text"))
+
+
+def repeated_spans(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    match: int = MATCH,
+    hot_places: int = HOT_PLACES,
+    bucket_bytes: int = BUCKET_BYTES,
+) -> DataFrame:
+    """(at, mark, spans): per document lists of the byte spans to remove, start and end in one number."""
     if match <= GRAM:
         raise ValueError("a match must be longer than an anchor")
-    texts = keyed(docs, id_col, text_col)
-    # A hash costs about eight bytes, an anchor comes every (match - GRAM + 2) / 2 bytes.
-    hash_bytes = total_bytes(docs, text_col) * 16 // (match - GRAM + 2)
-    count = max(1, -(-hash_bytes // BUCKET_BYTES))
+    texts = marked(docs, id_col, text_col)
+    # A hash costs about twelve bytes, an anchor comes every (match - GRAM + 2) / 2 bytes.
+    hash_bytes = total_bytes(docs, text_col) * 24 // (match - GRAM + 2)
+    count = max(1, -(-hash_bytes // HASH_BUCKET))
     long_enough = texts.filter(F.octet_length("text") >= match)
-    hashes = long_enough.mapInArrow(
-        send_hashes(count, match), "bucket int, docs binary, refs binary, keys binary, own_refs binary, own_keys binary"
-    )
-    answers = durable(hashes.groupBy("bucket").applyInArrow(answer_hashes, "at long, mark long, keys binary"))
-    repeated = answers.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    count = max(1, -(-(repeated // 4 * (2 * match)) // BUCKET_BYTES))
+    hashes = long_enough.mapInArrow(send_hashes(count, match), HASHES)
+    answers = durable(hashes.groupBy("bucket").applyInArrow(answer_hashes(hot_places), ANSWERS))
+    places, hot = (n or 0 for n in answers.agg(F.sum("places"), F.sum("hot")).first())
+    sent_bytes = (places - hot) * (2 * match - GRAM) + hot * match * (match - GRAM + 1)
+    count = max(1, -(-sent_bytes // bucket_bytes))
     asked = answers.groupBy("at", "mark").agg(F.collect_list("keys").alias("keys"))
     # The same exchange of texts as for the removal, so the texts are shuffled once.
     surroundings = (
-        texts.join(asked, ["at", "mark"])
-        .select("at", "mark", "text", "keys")
-        .mapInArrow(
-            send_surroundings(count, match),
-            "bucket int, docs binary, numbers binary, keys binary, around binary, done binary",
-        )
+        texts.join(asked, ["at", "mark"]).select("at", "mark", "text", "keys").mapInArrow(send_surroundings(count, match), SURROUNDINGS)
     )
-    found = surroundings.groupBy("bucket").applyInArrow(answer_surroundings(match), "at long, mark long, spans binary")
-    return found.groupBy("at", "mark").agg(F.collect_list("spans").alias("spans"))
+    found = surroundings.groupBy("bucket").applyInArrow(answer_surroundings(match), "at long, mark long, span long")
+    return found.groupBy("at", "mark").agg(F.collect_list("span").alias("spans"))
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, with_kept: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    match: int = MATCH,
+    with_kept: bool = False,
+    hot_places: int = HOT_PLACES,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row of ``docs``."""
-    spans = repeated_spans(docs, id_col, text_col, match)
-    doc_id = F.when(F.col("at") != LAST_ID, F.col("at")).alias("doc_id")
-    texts = keyed(docs, id_col, text_col)
+    spans = repeated_spans(docs, id_col, text_col, match, hot_places, bucket_bytes)
+    doc_id = F.when(F.col("mark").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("at")).alias("doc_id")
+    texts = marked(docs, id_col, text_col)
     joined = texts.join(spans, ["at", "mark"], "left").select(doc_id, "text", "spans")
 
     def work(batches):
         for block, texts_ in blocks(batches, "text"):
-            listed = block.column(2).to_pylist()
             rows = []
-            for text, blobs in zip(texts_, listed):
-                cut = np.frombuffer(b"".join(blobs or ()), np.int64).reshape(-1, 2)
-                kept, removed = text, 0
-                if len(cut):
-                    cut = merged(cut)
-                    removed = int((cut[:, 1] - cut[:, 0]).sum())
+            for text, listed in zip(texts_, block.column(2)):
+                kept, removed, n_spans = text, 0, 0
+                if listed.is_valid:
+                    numbers = listed.values.to_numpy()
+                    cut = merged(np.stack([numbers >> 32, numbers & 0xFFFFFFFF], 1))
+                    removed, n_spans = int((cut[:, 1] - cut[:, 0]).sum()), len(cut)
                     bounds = [0, *cut.ravel().tolist(), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
-                row = (len(text), removed, len(cut), hashlib.sha256(kept).hexdigest())
+                row = (len(text), removed, n_spans, hashlib.sha256(kept).hexdigest())
                 rows.append((*row, kept) if with_kept else row)
             kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * with_kept
             yield pa.RecordBatch.from_arrays(
