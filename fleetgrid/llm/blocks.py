@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 # Bytes of text that one step of a task works on; a longer text is a block of its own.
 BLOCK_BYTES = 4_000_000
 
-# Distinct words that a worker remembers before it starts anew.
-CACHED_WORDS = 500_000
+# Distinct words that a task remembers before it starts anew; a worker keeps none from task to task.
+CACHED_WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,12 +71,23 @@ class WordIndex(dict):
 
 
 class WordCodes:
-    """Token ids per distinct word, encoded once and remembered by a worker."""
+    """Token ids per distinct word, encoded once and remembered by a task.
 
-    def __init__(self, encode: Callable[[list[bytes]], list], cached: int = CACHED_WORDS) -> None:
+    ``encode`` gives the ids of all words one after the other, and how many each word has. Used as a
+    context, it forgets all words at the end: workers are reused, by other stages too.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cached: int = CACHED_WORDS) -> None:
         self.encode, self.cached = encode, cached
         self.clear()
 
+    def __enter__(self) -> WordCodes:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+        pa.default_memory_pool().release_unused()
+
     def clear(self) -> None:
         self.index = WordIndex()
         self.flat = np.zeros(0, np.int32)
@@ -89,9 +100,7 @@ class WordCodes:
             self.clear()
         found = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.pending:
-            codes = self.encode(self.index.pending)
-            sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-            ids = np.fromiter(chain.from_iterable(codes), np.int32, int(sizes.sum()))
+            ids, sizes = self.encode(self.index.pending)
             self.flat = np.concatenate([self.flat, ids])
             self.lengths = np.concatenate([self.lengths, sizes])
             self.starts = np.cumsum(self.lengths) - self.lengths
@@ -107,6 +116,12 @@ class WordCodes:
         return self.flat[at], sizes
 
 
+def flattened(codes: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all lists one after the other, and how many each list has."""
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+    return np.fromiter(chain.from_iterable(codes), np.int32, int(sizes.sum())), sizes
+
+
 def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each text, of which text i owns the next ``counts[i]`` values."""
     total = np.concatenate([[0], np.cumsum(values)])
@@ -114,16 +129,6 @@ def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def map_texts(read: DataFrame, text: str, run: Callable, schema) -> DataFrame:
-    """``run(block, texts) -> RecordBatch`` over blocks of the rows."""
-
-    def work(batches):
-        for block, texts in blocks(batches, text):
-            yield run(block, texts)
-
-    return read.mapInArrow(work, schema)
-
-
 def total_bytes(docs: DataFrame, text: str) -> int:
     """Bytes of all texts; a scan of one column."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

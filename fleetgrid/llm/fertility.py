@@ -2,7 +2,9 @@
 
 A text is cut into words, and each word into pieces of a public vocabulary, as in running text.
 Characters per token, the share of byte-fallback pieces and the entropy of the pieces must lie in
-the band of the text's language, or of its script where the language has none.
+the band of the text's language, or of its script where the language has none. Mean length and entropy of
+few tokens vary more: the band of the mean is wider by a share of ``SLACK`` over the root of their number, and the
+least entropy rises with the logarithm of their number up to ``FULL_TOKENS``. No text is exempt.
 
 Defined results: a null or blank text has zero words, fails the base rules and has null measures;
 every input row gives one row, also repeated rows and rows without an id; other columns are not read.
@@ -10,6 +12,7 @@ every input row gives one row, also repeated rows and rows without an id; other
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cache
 
@@ -19,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetgrid.llm.blocks import WordCodes, map_texts, per_text, split_words
+from fleetgrid.llm.blocks import WordCodes, blocks, flattened, per_text, split_words
 
 WINDOW = 8
+SLACK = 4.0
+FULL_TOKENS = 200
 SYMBOLS = b"#*$%&|<>"
 BLANK = b" \t\n\r\x0b\x0c"
 
@@ -34,24 +39,25 @@ RESULT = (
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted range of one language or script.
+    """Accepted range of one language or script: characters a token, share of bytes, entropy in bits.
 
-    Below ``tokens_from`` tokens a text is too short for its mean length and entropy (bits) to tell
-    anything; only the share of bytes counts then.
+    The first and the last hold for many tokens, and are the wider the fewer tokens there are.
     """
 
     least_chars: float
     most_chars: float
     most_byte_share: float
     least_entropy: float
-    tokens_from: int = 200
 
     def accepts(self, chars: float, byte_share: float, entropy: float, tokens: int) -> bool:
-        if byte_share > self.most_byte_share:
-            return False
-        if tokens < self.tokens_from:
-            return True
-        return self.least_chars <= chars <= self.most_chars and entropy >= self.least_entropy
+        slack = 1 + SLACK / math.sqrt(tokens)
+        share = min(math.log2(tokens) / math.log2(FULL_TOKENS), 1.0)
+        return (
+            byte_share <= self.most_byte_share
+            and self.least_chars <= chars * slack
+            and chars <= self.most_chars * slack
+            and entropy >= self.least_entropy * share
+        )
 
 
 # Code point ranges that decide the script of a text.
@@ -109,8 +115,8 @@ def piece_codes(path: str) -> tuple[WordCodes, np.ndarray]:
     pieces = sentencepiece.SentencePieceProcessor(model_file=path)
     is_byte = np.fromiter(map(pieces.is_byte, range(pieces.get_piece_size())), bool)
 
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return pieces.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened(pieces.encode([w.decode("utf-8", "replace") for w in words], num_threads=1))
 
     return WordCodes(encode), is_byte
 
@@ -189,8 +195,13 @@ def fertility(
     """
     chosen = dict(BANDS if bands is None else bands)
 
-    def run(block, texts):
+    def work(batches):
         codes, is_byte = piece_codes(vocabulary)
+        with codes:
+            for block, texts in blocks(batches, "text"):
+                yield run(block, texts, codes, is_byte)
+
+    def run(block, texts, codes, is_byte):
         words, n_words = split_words(texts)
         numbers = codes.numbers(words)
         tokens, sizes = codes.tokens(numbers)
@@ -198,7 +209,7 @@ def fertility(
         n_bytes = per_text(is_byte[tokens].astype(np.int64), n_tokens)
         entropy = entropies(tokens.astype(np.int64), n_tokens)
         repeats = repeated_words(numbers, n_words)
-        langs = block.column(2).to_pylist()
+        langs = block.column(1).to_pylist()
         rows = []
         for i, text in enumerate(texts):
             n, repeat, k = int(n_words[i]), int(repeats[i]), int(n_tokens[i])
@@ -216,13 +227,18 @@ def fertility(
         columns = list(zip(*rows))
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] * 2 + [pa.int64()] + [pa.float64()] * 3
         measured = [block.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))]
-        return pa.RecordBatch.from_arrays(measured + block.columns[3:], schema.names)
+        return pa.RecordBatch.from_arrays(measured + block.columns[2:] if carry else measured, schema.names)
 
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    read = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang")]
+    read = [F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang")]
     schema = StructType.fromDDL(RESULT)
-    if carry:
-        row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
-        read.append(row)
-        schema = StructType([*schema.fields, *docs.select(row).schema.fields])
-    return map_texts(docs.select(*read), "text", run, schema)
+    if not carry:
+        return docs.select(*read, F.col(text_col).alias("text")).mapInArrow(work, schema)
+    # Columns go by place, so any name may occur; the text is among them and goes once.
+    places = {name: "text" if name == text_col else f"c{place}" for place, name in enumerate(docs.columns)}
+    read = docs.select(*read, *[F.col(f"`{name}`").alias(place) for name, place in places.items()])
+    for place in places.values():
+        schema = schema.add(place, read.schema[place].dataType)
+    measured = read.mapInArrow(work, schema)
+    row = F.struct(*[F.col(place).alias(name) for name, place in places.items()]).alias("row")
+    return measured.select(*StructType.fromDDL(RESULT).names, row)

@@ -163,9 +163,10 @@ def remove_repeated_chunks(
     """
     counts = ["n_lines", "n_kept_lines", "n_chunks", "n_removed_chunks"]
     kept = [name for name in docs.columns if name not in counts]
+    others = [name for name in kept if name != text_col]
     gone = repeated_chunks(docs, id_col, text_col, passages)
     marked = docs.select(
-        F.struct(*[F.col(f"`{name}`") for name in kept]).alias("row"),
+        F.struct(*[F.col(f"`{name}`") for name in others]).alias("row") if others else F.lit(0).alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("at"),
         F.xxhash64(text_col).alias("mark"),
         F.col(text_col).alias("text"),
@@ -198,6 +199,6 @@ def remove_repeated_chunks(
         schema = schema.add(name, "long")
     done = joined.mapInArrow(work, schema)
     columns = [
-        F.col("text").alias(name) if name == text_col else F.col("row").getField(name).alias(name) for name in kept
+        F.col("text").alias(name) if name == text_col else F.col("row")[name].alias(name) for name in kept
     ]
     return done.select(*columns, *counts)
