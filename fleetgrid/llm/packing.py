@@ -10,7 +10,7 @@ The driver solves for at most ``capacity / UNIT`` lengths whatever the input's s
 ranking and dealing are Spark jobs. Ranks come from salted counts, so one length may hold any share
 of the rows.
 
-Defined results: a null or empty text is its end id alone; repeated rows and rows without an id are
+Defined results: a null or empty text is its end id alone; a special string in a text is its special id; repeated rows and rows without an id are
 packed like all others.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgrid.llm.blocks import CACHED_WORDS, WordCodes, blocks, split_words
+from fleetgrid.llm.blocks import CACHED_WORDS, WordCodes, blocks, flattened, split_words
 from fleetgrid.session import durable
 
 CAPACITY = 2048
@@ -36,18 +37,29 @@ UNIT = 4
 GAP = 1e-3
 
 # Pieces that one salted group of a length holds on average at most.
-RANKED_ROWS = 1_000_000
+RANKED_ROWS = 2_000
 
 
 # Fixed value: how the 49,408-token file cuts lower-case text into parts.
 PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-# The same for printable ASCII.
-ASCII_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-ASCII_WORD = re.compile(rb"[\x21-\x7e]+")
+# The same for lines of printable ASCII and the letters of Latin-1, which normalisation leaves alone.
+PLAIN_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
+# Special strings begin like this; words with it take the tokenizer's own way.
+SPECIAL = "<|"
+
+
+def byte_signs() -> dict[int, str]:
+    """How byte-level vocabularies write the bytes that are no printable Latin-1 sign: from U+0100 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: chr(0x100 + place) for place, byte in enumerate(b for b in range(256) if b not in plain)}
+
+
+SIGNS = byte_signs()
 
 
 def cuts_as_known(tokenizer) -> bool:
-    """Whether a tokenizer lower-cases and cuts words by ``PARTS``, so that ASCII parts can be encoded alone."""
+    """Whether a tokenizer lower-cases and cuts words by ``PARTS``, so that plain parts can be encoded alone."""
     form = json.loads(tokenizer.to_str())
     steps = [step["type"] for step in (form["normalizer"] or {}).get("normalizers", [])]
     cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -56,84 +68,119 @@ def cuts_as_known(tokenizer) -> bool:
         and [cut["type"] for cut in cuts] == ["Split", "ByteLevel"]
         and cuts[0]["pattern"] == {"Regex": PARTS}
         and not cuts[1]["add_prefix_space"]
+        and all(token["content"].startswith(SPECIAL) for token in form["added_tokens"])
     )
 
 
-@cache
-def word_ids(path: str) -> WordCodes:
-    """Ids per word of a ``tokenizers`` file whose tokens never cross white space; one per worker."""
-    from tokenizers import Tokenizer
+class PartIds(dict):
+    """Numbers of parts of words; the ids of part n are ``ids[starts[n] : starts[n + 1]]``."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.ids, self.starts = array("i"), array("q", [0, 0])
+        # The line feed between words, which has no ids.
+        self["\n"] = 0
+
+    def __missing__(self, part: str) -> int:
+        written = part if part.isascii() else part.encode().decode("latin-1").translate(SIGNS)
+        number = self[part] = len(self)
+        self.ids.extend(token.id for token in self.model.tokenize(written))
+        self.starts.append(len(self.ids))
+        return number
+
+
+class VocabularyWords(WordCodes):
+    """Ids per word of a ``tokenizers`` file whose tokens never cross white space.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    tokenizer.no_truncation()
-    by_part = cuts_as_known(tokenizer)
-    part_ids = PartIds(tokenizer.model)
+    Special strings in a text are the special ids, as in the file's own way to encode.
+    """
 
-    def encode_any(words: list[bytes]) -> list:
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.by_part = cuts_as_known(self.tokenizer)
+        self.parts = PartIds(self.tokenizer.model)
+        super().__init__(self.encode_words)
+
+    def __exit__(self, *_) -> None:
+        self.parts.clear()
+        super().__exit__()
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [word.decode("utf-8", "replace") for word in words]
+        if not self.by_part:
+            return flattened(self.in_running_text(texts))
+        plain = np.fromiter((bool(PLAIN_WORD.fullmatch(t)) and SPECIAL not in t for t in texts), bool, len(texts))
+        sizes = np.zeros(len(texts), np.int64)
+        ids, sizes[plain] = self.from_parts([text for text, easy in zip(texts, plain) if easy])
+        if plain.all():
+            return ids, sizes
+        others, sizes[~plain] = flattened(self.in_running_text([text for text, easy in zip(texts, plain) if not easy]))
+        found = np.empty(len(ids) + len(others), np.int32)
+        of_plain = np.repeat(plain, sizes)
+        found[of_plain], found[~of_plain] = ids, others
+        return found, sizes
+
+    def from_parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words: cut all at once, look up every part."""
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        cut = PLAIN_PARTS.findall("".join(text + "\n" for text in texts).lower())
+        numbers = np.fromiter(map(self.parts.__getitem__, cut), np.int64, len(cut))
+        starts = np.frombuffer(self.parts.starts, np.int64)
+        ids = np.frombuffer(self.parts.ids, np.int32) if self.parts.ids else np.zeros(0, np.int32)
+        each = starts[numbers + 1] - starts[numbers]
+        ends = np.cumsum(each)
+        at = np.repeat(starts[numbers] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return ids[at], np.diff(ends[numbers == 0], prepend=0)
+
+    def in_running_text(self, texts: list[str]) -> list:
         """Many words in one text; a token belongs to the word it starts in."""
         found: list = []
-        for start in range(0, len(words), 1000):
-            texts = [word.decode("utf-8", "replace") for word in words[start : start + 1000]]
-            ends = np.cumsum([len(text) + 1 for text in texts])
-            coded = tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        for start in range(0, len(texts), 1000):
+            some = texts[start : start + 1000]
+            ends = np.cumsum([len(text) + 1 for text in some])
+            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(coded.ids, np.int32)
             places = np.array([a for a, _ in coded.offsets], np.int64)
             found.extend(np.split(ids, np.searchsorted(places, ends[:-1])))
         return found
 
-    def encode(words: list[bytes]) -> list:
-        if not by_part:
-            return encode_any(words)
-        if len(part_ids) > CACHED_WORDS:
-            part_ids.clear()
-        found: list = [None] * len(words)
-        others = []
-        for at, word in enumerate(words):
-            if ASCII_WORD.fullmatch(word):
-                found[at] = [i for part in ASCII_PARTS.findall(word.decode().lower()) for i in part_ids[part]]
-            else:
-                others.append(at)
-        for at, ids in zip(others, encode_any([words[at] for at in others])):
-            found[at] = ids
-        return found
-
-    return WordCodes(encode)
-
-
-class PartIds(dict):
-    """Ids of a part of a word, encoded once."""
-
-    def __init__(self, model) -> None:
-        super().__init__()
-        self.model = model
 
-    def __missing__(self, part: str) -> list[int]:
-        ids = self[part] = [token.id for token in self.model.tokenize(part)]
-        return ids
+@cache
+def word_ids(path: str) -> VocabularyWords:
+    """The words of a file; one per worker."""
+    return VocabularyWords(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) of every piece."""
 
     def work(batches):
-        codes = word_ids(tokenizer)
-        for block, texts in blocks(batches, "text"):
-            words, counts = split_words(texts)
-            tokens, sizes = codes.tokens(codes.numbers(words))
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-            keys = block.column(0).to_pylist()
-            rows: list[tuple] = []
-            begin = 0
-            for key, end in zip(keys, ends.tolist()):
-                ids = np.append(tokens[begin:end], end_id).astype("<u4")
-                begin = end
-                for start in range(0, len(ids), capacity):
-                    part = ids[start : start + capacity]
-                    row = (key, start, len(part), zlib.crc32(part.tobytes()), len(ids))
-                    rows.append((*row, part.tolist()) if with_ids else row)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        with word_ids(tokenizer) as codes:
+            for block, texts in blocks(batches, "text"):
+                words, counts = split_words(texts)
+                tokens, sizes = codes.tokens(codes.numbers(words))
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+                keys = block.column(0).to_pylist()
+                rows: list[tuple] = []
+                begin = 0
+                for key, end in zip(keys, ends.tolist()):
+                    ids = np.append(tokens[begin:end], end_id).astype("<u4")
+                    begin = end
+                    for start in range(0, len(ids), capacity):
+                        part = ids[start : start + capacity]
+                        row = (key, start, len(part), zlib.crc32(part.tobytes()), len(ids))
+                        rows.append((*row, part.tolist()) if with_ids else row)
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     names = [part.split()[0] for part in schema.split(", ")]
@@ -252,10 +299,14 @@ def deals(counts: dict[int, int], units: int) -> dict[int, Deal]:
     return found
 
 
-def ranked(cut: DataFrame, rows: int) -> DataFrame:
-    """``cut`` with ``rank``, 0-based within ``size``, from counts of salted groups."""
-    salts = -(-rows // RANKED_ROWS)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+def ranked(cut: DataFrame, held: dict[int, int]) -> DataFrame:
+    """``cut`` with ``rank``, 0-based within ``size``, from counts of salted groups; ``held`` counts the rows of each size.
+
+    The rows of a frequent size get as many salts as they need groups of ``RANKED_ROWS``.
+    """
+    most = max(held, default=0)
+    salts = F.array(*[F.lit(-(-held.get(size, 1) // RANKED_ROWS)) for size in range(most + 1)])
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(salts, F.col("size").cast("int"))))
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("size", "salt").agg(F.count("*").alias("held"))
     offsets = counts.select("size", "salt", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
@@ -297,7 +348,7 @@ def pack(
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(sequence), pa.array(slot)], ["row", "sequence_id", "slot"])
 
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] * with_ids)]
-    rows = ranked(cut, sum(counts.values())).select("size", "rank", F.struct(*kept, "size").alias("row"))
+    rows = ranked(cut, counts).select("size", "rank", F.struct(*kept, "size").alias("row"))
     schema = rows.select("row").schema.add("sequence_id", "long").add("slot", "long")
     placed = rows.mapInArrow(deal, schema).select("row.*", "sequence_id", "slot")
     order = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "slot").rowsBetween(Window.unboundedPreceding, -1)
