@@ -7,9 +7,12 @@ product over its words and one end. The vocabulary's own scores set the first we
 merge ranks, read as Zipf's law. One expectation step over all training words, counted over the
 whole corpus, sets the weights that score.
 
+The expected counts are smoothed by the first weights, ``SMOOTHING`` a piece on average, so that pieces the corpus
+never needs keep the order that the vocabulary gives them.
+
 Words and their counts are tables keyed by word; documents are grouped by a hash into sources of
-``SOURCE_BYTES`` of text, and each source meets the words that occur in it. Only the weights, one
-number per piece of the vocabulary, reach the driver.
+``SOURCE_BYTES`` of text, and each source meets the words that occur in it. Equal rows of a block go as one row
+with their number. Only the weights, one number per piece of the vocabulary, reach the driver.
 
 Defined results: a null or blank text is one end token; repeated rows each count and are each
 scored; a row without an id trains and is not held out; without training rows all counts are zero.
@@ -30,12 +33,11 @@ from pyspark.sql import functions as F
 from fleetgrid.llm.blocks import blocks, per_text, split_words, total_bytes
 from fleetgrid.session import durable
 
-SOURCE_BYTES = 32_000_000
+SOURCE_BYTES = 12_000_000
 START = "▁"
 END = b""
 ZIPF_SHIFT = 2.7
 SMOOTHING = 0.1
-MOST_CHARS = 16
 NEVER = -math.inf
 
 # Bytes of text whose words one step of the count adds up.
@@ -71,13 +73,13 @@ class Lattice:
     def __init__(self, path: str, weights: np.ndarray) -> None:
         names, _, self.bytes = vocabulary_pieces(path)
         self.weights = weights.tolist()
+        # Pieces, and with -1 all that some piece begins with, so a search ends where no piece goes on.
         self.pieces: dict[str, int] = {}
         for number, name in enumerate(names):
             if name:
-                for end in range(1, min(len(name), MOST_CHARS)):
+                for end in range(1, len(name)):
                     self.pieces.setdefault(name[:end], -1)
-                if len(name) <= MOST_CHARS:
-                    self.pieces[name] = number
+                self.pieces[name] = number
         self.ends = names.index("") if "" in names else 0
 
     def arcs(self, text: str) -> list[tuple[int, int, float, int | list[int]]]:
@@ -86,7 +88,7 @@ class Lattice:
         add, get, weights, n = found.append, self.pieces.get, self.weights, len(text)
         for at in range(n):
             single = False
-            for end in range(at + 1, min(at + MOST_CHARS, n) + 1):
+            for end in range(at + 1, n + 1):
                 number = get(text[at:end])
                 if number is None:
                     break
@@ -169,6 +171,24 @@ def count_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "count"])
 
 
+def block_rows(batches):
+    """Task: the distinct rows of a block, with how often each occurs."""
+    for block, texts in blocks(batches, "text"):
+        ids, out, source = (block.column(k).to_pylist() for k in (0, 1, 3))
+        held = Counter(zip(ids, out, source, texts))
+        columns = list(zip(*held)) or [()] * 4
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(columns[0], pa.int64()),
+                pa.array(columns[1], pa.bool_()),
+                pa.array(columns[3], pa.binary()).cast(pa.string()),
+                pa.array(columns[2], pa.int64()),
+                pa.array(list(held.values()), pa.int64()),
+            ],
+            ["doc_id", "held_out", "text", "source", "times"],
+        )
+
+
 def words_of_source(table: pa.Table) -> pa.Table:
     """Distinct words of one source, the end among them."""
     words: set[bytes] = {END}
@@ -218,7 +238,7 @@ def lattice_scores(
         .agg(F.sum("uses").alias("uses"))
         .collect()
     )
-    counts = np.full(len(start), SMOOTHING)
+    counts = SMOOTHING * len(start) * np.exp(start)
     for row in uses:
         counts[row["piece"]] += row["uses"]
     weights = np.log(counts / counts.sum())
@@ -231,7 +251,8 @@ def lattice_scores(
 
     scored = words.mapInArrow(marginals, "word binary, count long, log10 double")
     # Both sides of the last step read the same exchange of texts.
-    in_source = texts.groupBy("source").applyInArrow(words_of_source, "source long, word binary")
+    grouped = texts.mapInArrow(block_rows, "doc_id long, held_out boolean, text string, source long, times long")
+    in_source = grouped.groupBy("source").applyInArrow(words_of_source, "source long, word binary")
     of_source = in_source.join(scored, "word")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -251,6 +272,7 @@ def lattice_scores(
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
+                "times": left.column("times"),
                 "held_out": left.column("held_out"),
                 "n_tokens": n,
                 "n_known": n_known,
@@ -260,14 +282,18 @@ def lattice_scores(
             }
         )
 
-    return (
-        texts.groupBy("source")
+    found = (
+        grouped.groupBy("source")
         .cogroup(of_source.groupBy("source"))
         .applyInArrow(
             score,
-            "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+            "doc_id long, times long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+            "base_score double, score double",
         )
     )
+    once = found.filter("times = 1")
+    again = found.filter("times > 1").withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return once.unionAll(again).drop("times")
 
 
 def per_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -24,15 +24,19 @@ from fleetgrid.llm.survival import filter_audit
 from fleetgrid.llm.warc import deduplicate_archive, page_records, read_archive, revisits, write_archive
 from fleetgrid.session import work_folder
 
-# Folder of the public vocabularies, the same on every host.
-VOCABULARIES = os.environ.get("PUBLIC_VOCABULARIES", "/opt/tokenizers")
+# Folder of the public vocabularies, the same on every host; unset, the installed package names their places.
+VOCABULARIES = os.environ.get("PUBLIC_VOCABULARIES")
 
 # Written into the archives, so that two runs give the same bytes.
 ARCHIVE_DATE = "2024-01-01T00:00:00Z"
 
 
 def vocabulary(name: str) -> str:
-    return f"{VOCABULARIES}/{name}"
+    if VOCABULARIES:
+        return f"{VOCABULARIES}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +225,9 @@ WITH signs AS (
   SELECT doc_id, item_id, item_copies, n, width, shift,
     greatest(coalesce(max(c) FILTER (i BETWEEN low AND high), 0), count(*) FILTER (i >= high AND i < high + width)) AS matched
   FROM counted GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, min(item_id), count(*), len(d.words), len(d.words), 0, len(d.words)
+  FROM docs d JOIN item_lists l ON d.words = l.words WHERE len(d.words) BETWEEN 1 AND 2 GROUP BY doc_id, d.words
 )
 SELECT doc_id, item_id, item_copies, width::INTEGER AS window_words, max(matched)::INTEGER AS matched_words
 FROM best WHERE matched >= width - CASE WHEN n >= 16 THEN 3 WHEN n >= 6 THEN n // 5 ELSE 0 END

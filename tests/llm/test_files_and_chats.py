@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetgrid.llm import quotes, separators
+from fleetgrid.llm import quotes, seeds, separators
 from fleetgrid.llm.queries import vocabulary
 from fleetgrid.llm.quotes import linked_conversations
 from fleetgrid.llm.separators import token_counts, write_token_files
@@ -43,9 +43,19 @@ def documents_of(ids, end):
     return found + ([(start, len(ids) - start, False)] if start < len(ids) else [])
 
 
-@pytest.mark.parametrize("block", [1, 3, 7, 1000])
-def test_documents_are_found_across_blocks_and_runs(spark, folder, monkeypatch, block):
-    monkeypatch.setattr(separators, "RUN_BLOCKS", 4)
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in ranges of 24 bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for name in names:
+        spark.conf.set(name, "24")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize(("block", "end"), [(1, 2), (1000, 2), (3, 0x0100), (7, 0x0205), (7, 0xC450), (3, 0x0202), (1, 0xFFFF)])
+def test_documents_are_found_across_blocks_and_splits(spark, folder, small_splits, block, end):
     rng = np.random.default_rng(block)
     Path(folder).mkdir()
     files = {
@@ -55,14 +65,31 @@ def test_documents_are_found_across_blocks_and_runs(spark, folder, monkeypatch,
         "d": np.array([], int),
         # The bytes of the end id, but not at the place of an id.
         "e": np.array([0x0200, 0x0005, 0x0200, 2]),
+        "f": rng.choice([end, end & 0xFF, end >> 8, (end >> 8) | (end & 0xFF) << 8, 0x0202, 7], 300),
+        "g": np.full(80, end),
+        "h": np.full(70, 9),
     }
     for name, ids in files.items():
         (Path(folder) / name).write_bytes(ids.astype("<u2").tobytes())
+    scanned = separators.scanned_blocks(spark, folder, end, block)
+    assert scanned.filter("file LIKE '%/f'").select("split").distinct().count() > 5
     found = {}
-    for r in token_counts(spark, folder, 2, block).collect():
+    for r in token_counts(spark, folder, end, block).collect():
         found.setdefault(r.file[-1], {})[r.document] = (r.start, r.n_tokens, r.ended)
     for name, ids in files.items():
-        assert [found.get(name, {})[k] for k in sorted(found.get(name, {}))] == documents_of(ids.tolist(), 2)
+        assert [found.get(name, {})[k] for k in sorted(found.get(name, {}))] == documents_of(ids.tolist(), end)
+
+
+def test_half_an_id_is_an_error(spark, folder):
+    Path(folder).mkdir()
+    (Path(folder) / "a").write_bytes(b"\x07\x00\x02\x00\x09")
+    with pytest.raises(Exception, match="half an id"):
+        token_counts(spark, folder).collect()
+
+
+def test_no_token_files(spark, documents, folder):
+    write_token_files(documents().limit(0), PIECES, folder)
+    assert token_counts(spark, folder).count() == 0
 
 
 def test_written_token_files_hold_every_document(spark, documents, folder):
@@ -277,6 +304,14 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(last)
 
 
+def test_one_contaminated_text_without_id_takes_no_other_along(spark, documents):
+    item = " ".join(f"item{n}" for n in range(30))
+    bench = spark.createDataFrame([(1, item), (2, "Two words!"), (3, "one")], "item_id long, text string")
+    rows = [(None, item), (None, "a clean text without an id"), (None, None), (5, "clean too"), (6, f"x {item}"), (7, "two words"), (8, "two words more"), (9, "One.")]
+    left = seeds.without_contaminated(documents(*rows), bench).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(str(rows[k]) for k in (1, 2, 3, 6))
+
+
 def test_stages_on_empty_documents(spark, tmp_path):
     spark.createDataFrame([(0, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int, row string")

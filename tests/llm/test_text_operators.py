@@ -14,7 +14,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetgrid.llm import bottomk, packing, seeds
+from fleetgrid import session
+from fleetgrid.llm import bottomk, packing, repeats, seeds
 from fleetgrid.llm.bottomk import near_duplicates
 from fleetgrid.llm.fertility import Band, fertility
 from fleetgrid.llm.lattice import Lattice, first_weights, lattice_scores, vocabulary_pieces
@@ -73,7 +74,7 @@ def test_fertility_measures_and_bands(spark, documents):
     ids = [i for word in text.split() for i in model.encode(word)]
     counts = Counter(ids)
     entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values())
-    tight = {"en": Band(100.0, 200.0, 1.0, 0.0, tokens_from=1)}
+    tight = {"en": Band(100.0, 200.0, 1.0, 0.0)}
     row = fertility(documents((1, text)), PIECES, tight, most_repeat_percent=100).first()
     assert row.n_tokens == len(ids)
     assert row.chars_per_token == pytest.approx(sum(map(len, text.split())) / len(ids))
@@ -111,7 +112,10 @@ def agrees(doc, item):
     return best
 
 
-def test_contaminated_equals_brute_force(spark, documents):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_contaminated_equals_brute_force(spark, documents, monkeypatch, most):
+    """With the seeds broadcast, and with all sides shuffled."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", most)
     rng = random.Random(3)
     items = [(i, [f"t{rng.randrange(60)}" for _ in range(n)]) for i, n in enumerate([40, 16, 15, 9, 6, 5, 3, 2, 25])]
     items.append((20, items[0][1]))
@@ -124,6 +128,7 @@ def test_contaminated_equals_brute_force(spark, documents):
             part[rng.randrange(len(part))] = "new"
         at = rng.randrange(len(words) + 1)
         docs.append((k, words[:at] + part + words[at:]))
+    docs.append((70, [f"t{rng.randrange(60)}" for _ in range(4000)] + items[8][1]))
     texts = [(k, ", ".join(w).upper()) for k, w in docs] + [(None, " ".join(items[0][1])), (90, None), (91, "")]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(30, None), (31, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in contaminated(documents(*texts), bench).collect()}
@@ -142,16 +147,48 @@ def test_contaminated_equals_brute_force(spark, documents):
     assert left == {k for k, _ in texts} - {k for k, _ in wanted}
 
 
-def test_run_index_equals_search():
-    rng = random.Random(5)
-    bases = [bytes(rng.choice(b"ab\x00") for _ in range(120)) for _ in range(3)]
-    strings = list({rng.choice(bases)[a : a + rng.randrange(20, 33)] for a in (rng.randrange(80) for _ in range(150))})
-    owners = np.array([rng.randrange(50) for _ in strings])
-    found = RunIndex(strings, owners, 20).match_owners()
-    for i, string in enumerate(strings):
-        for at in range(len(string) - 19):
-            part = string[at : at + 20]
-            assert found[i, at] == min(o for s, o in zip(strings, owners) if part in s)
+def side_by_side(strings):
+    """Bytes of all strings, and where each starts and how long it is."""
+    lengths = np.array([len(s) for s in strings], np.int64)
+    return np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_run_index_equals_search(seed):
+    """Strings streamed against an index of others: the smallest owner of every long match."""
+    rng = random.Random(seed)
+    letters = rng.choice([b"ab", b"ab\x00\xff", b"abcdefgh"])
+    some = lambda n: bytes(rng.choice(letters) for _ in range(n))
+    bases = [some(120) for _ in range(3)]
+    cut = lambda a: rng.choice(bases)[a : a + rng.randrange(50)] + some(rng.randrange(6))
+    indexed, streamed = ([cut(rng.randrange(80)) for _ in range(rng.randrange(1, 60))] for _ in range(2))
+    owners = np.array([rng.randrange(50) for _ in indexed])
+    match = rng.choice([1, 3, 8, 20])
+    found = RunIndex(*side_by_side(indexed), owners, match).owners_of_matches(*side_by_side(streamed))
+    wanted = set()
+    for i, string in enumerate(streamed):
+        for at in range(len(string) - match + 1):
+            held_by = [o for s, o in zip(indexed, owners.tolist()) if string[at : at + match] in s]
+            wanted |= {(i, at, min(held_by))} if held_by else set()
+    assert set(zip(*(column.tolist() for column in found))) == wanted
+
+
+def test_run_index_compresses_repetition():
+    """A thousand copies with few changes have few runs a symbol."""
+    rng = random.Random(2)
+    base = bytes(rng.choice(b"abcdefghijklmnop") for _ in range(80))
+    strings = [base[:k] + bytes([65 + n % 7]) + base[k + 1 :] for n, k in enumerate(rng.randrange(80) for _ in range(1000))]
+    index = RunIndex(*side_by_side(strings), np.arange(1000), 50)
+    assert len(index.starts) < 0.1 * 81 * 1000
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    rng = random.Random(6)
+    text = bytes(rng.choice(b"abc") for _ in range(5000))
+    whole = repeats.anchors(text, 50)
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    for a, b in zip(whole, repeats.anchors(text, 50)):
+        assert a.tolist() == b.tolist()
 
 
 def repeats_by_search(rows, match):
@@ -176,10 +213,32 @@ def test_repeats_equal_search(documents, corpus):
     assert got == sorted(repeats_by_search([(k, (t or "").encode()) for k, t in rows], 50))
 
 
+@pytest.mark.parametrize(("hot", "bucket"), [(0, 8_000_000), (3, 2_000), (10**9, 500)])
+def test_hot_anchors_are_split(documents, hot, bucket):
+    """One line of 25 bytes in documents that differ around it, some sharing more: the anchor is dealt out by strings of 50 bytes."""
+    rng = random.Random(12)
+    line, some = "a line that all documents share", lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    sides = [some(60) for _ in range(5)]
+    rows = [(k, some(40) + rng.choice(sides)[rng.randrange(40) :] + line + rng.choice(sides)[: rng.randrange(40)] + some(40)) for k in range(120)]
+    rows += [(500, ""), (501, None), (502, line), (503, rows[3][1] + "ü" * 30), (504, "ü" * 40)]
+    got = sorted(tuple(r) for r in remove_repeats(documents(*rows).repartition(3), hot_places=hot, bucket_bytes=bucket).collect())
+    assert got == sorted(repeats_by_search([(k, (t or "").encode()) for k, t in rows], 50))
+    assert sum(r[2] > 0 for r in got) > 50
+
+
 def test_repeats_without_id_come_last(documents, corpus):
     text = next(t for _, t in corpus if t and len(t) > 100)
     got = {r.doc_id: r.n_removed for r in remove_repeats(documents((5, text), (None, text))).collect()}
     assert got[5] == 0 and got[None] == len(text.encode())
+    top = (1 << 63) - 1
+    rows = remove_repeats(documents((top, text), (None, text + "!"), (7, "short"))).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (7, 0), (top, 0)]
+
+
+def test_repeats_with_clashing_columns(spark, corpus):
+    text = next(t for _, t in corpus if t and len(t) > 100)
+    docs = spark.createDataFrame([(1, text, 5, "x", 3), (2, text, 6, "y", 4)], "doc_id long, text string, at long, mark string, spans int")
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(docs).collect()) == [(1, 0), (2, len(text.encode()))]
 
 
 def chunk_removal(rows):
@@ -344,7 +403,6 @@ def test_packing(documents, corpus):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENS)
-    tokenizer.encode_special_tokens = True
     rows = [*corpus, (200, prose(random.Random(1), 9000)), (201, "It's <|endoftext|> don't"), (201, "It's <|endoftext|> don't")]
     found = pack(documents(*rows), TOKENS, with_ids=True).collect()
     by_doc = {}
@@ -369,16 +427,17 @@ def test_words_encode_as_in_running_text():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENS)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(9)
-    letters = "aabcdeeinorstZ'',.-_$0193é漢ß \x1c\xa0\t<|>"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400)]
-    texts += ["I'll they're it's WE'D <|endoftext|> <|startoftext|>", "İstanbul ǅ ﬁne e\u0301 ½ ²", "x" * 3000]
+    letters = "aabcdeeinorstZ'',.-_$0193éÀßÿÝ×÷漢ß \x1c\xa0\t<|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(600)]
+    texts += ["I'll they're it's WE'D <|endoftext|> a<|startoftext|>b <|END|> ÀÉ'S", "İstanbul ǅ ﬁne e\u0301 ½ ² ªº µ", "x" * 3000]
     assert packing.cuts_as_known(tokenizer)
-    codes = packing.word_ids(TOKENS)
-    for text in texts:
-        found, _ = codes.tokens(codes.numbers(text.encode().split()))
-        assert found.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    with packing.word_ids(TOKENS) as codes:
+        for text in texts:
+            found, _ = codes.tokens(codes.numbers(text.encode().split()))
+            assert found.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert codes.numbers([]).tolist() == []
+    assert not codes.index and len(codes.parts) == 1
 
 
 def test_column_generation_is_near_the_bound():
