@@ -3,16 +3,19 @@
 Which documents to compare follows from anchors: places whose hash of ``GRAM`` bytes is the least
 of some window, chosen so that every ``match`` bytes hold one, and equal bytes hold equal ones. Anchors that
 meet no other document are done with. The others send the bytes around them to the bucket of their
-hash, where each distinct surrounding is kept once, with its earliest document; later copies of it are covered as
-a whole. Of surroundings of one anchor that differ, the later ones are streamed as matching statistics against
-run-length indexes of the earlier ones: by rank within the anchor, one level per bit of the rank, so that any
-two meet at the highest bit in which their ranks differ. A long match removes ``match`` bytes if an earlier document
-holds them.
+group: an area of the earliest document with the anchor, so that copies of one document meet there. What a text
+sends to a group are regions: the bytes that may match around its anchors, joined where they overlap.
 
-Blocks of documents combine before every shuffle: an anchor hash, or a surrounding, that a block
+A group keeps each distinct region once, with its earliest document; later copies of it are covered as a whole.
+Of regions that differ, the later ones are streamed as matching statistics against run-length indexes of the earlier
+ones: by rank in the group, one level per bit of the rank, so that any two meet at the highest bit in which their
+ranks differ. A long match removes ``match`` bytes if an earlier document holds them.
+
+Blocks of documents combine before every shuffle: an anchor hash, or a region, that a block
 holds in many documents is sent once, so a passage that a third of all documents share costs a row a block.
-An anchor with more than ``HOT_PLACES`` places sends all strings of ``match`` bytes around it instead, each to the bucket of
-its own hash: equal ones still meet, and no bucket gets the anchor as a whole.
+An anchor with more than ``HOT_PLACES`` places sends all strings of ``match`` bytes around it instead, each to a group of
+its own hash: equal ones still meet, and no bucket gets the anchor as a whole. A group therefore has at most
+``HOT_PLACES`` places of each anchor in ``AREA`` bytes.
 
 Defined results: a null text has no bytes; rows with one id don't remove each other's bytes; a row
 without an id has the rank of the largest id; texts shorter than ``match`` stay whole.
@@ -40,6 +43,8 @@ HASH_BUCKET = 16_000_000
 BUCKET_BYTES = 8_000_000
 INDEX_SYMBOLS = 400_000
 HOT_PLACES = 4_000
+AREA = 2_048
+PIECE = 256
 CHUNK = 1 << 20
 LAST_ID = (1 << 63) - 1
 MANY = np.uint32(0xFFFFFFFF)
@@ -115,32 +120,39 @@ def parts_of(sorted_: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), [*first[1:].tolist(), len(sorted_)]))
 
 
-HASHES = "bucket int, docs binary, refs binary, keys binary, times binary, own_refs binary, own_keys binary"
-TYPES = (np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
+HASHES = (
+    "bucket int, docs binary, refs binary, keys binary, times binary, areas binary, own_refs binary, own_keys binary, own_areas binary"
+)
+HASH_NAMES = [part.split()[0] for part in HASHES.split(", ")]
+TYPES = (np.int64, *[np.uint32] * 7)
 
 
 def send_hashes(count: int, match: int):
-    """Task: per block and bucket the anchor hashes with their document and number of places, and those the block itself repeats.
+    """Task: per block and bucket the anchor hashes with their document, area of the text and number of places.
 
-    A row names the documents that its hashes refer to, and no others.
+    Hashes that the block itself repeats come with all their documents. A row names the documents that its
+    hashes refer to, and no others.
     """
 
     def work(batches):
         for block, texts in blocks(batches, "text", BLOCK):
             docs = np.stack([block.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
-            each = [np.unique(anchors(text, match)[1], return_counts=True) for text in texts]
-            keys = np.concatenate([k for k, _ in each])
-            times = np.concatenate([t for _, t in each])
-            refs = np.repeat(np.arange(len(each), dtype=np.uint32), [len(k) for k, _ in each])
+            each = []
+            for text in texts:
+                places, hashes = anchors(text, match)
+                keys, at, times = np.unique(hashes, return_index=True, return_counts=True)
+                each.append((keys, times, places[at] // AREA))
+            keys, times, areas = (np.concatenate([e[k] for e in each]) for k in range(3))
+            refs = np.repeat(np.arange(len(each), dtype=np.uint32), [len(e[0]) for e in each])
             order = np.argsort(keys, kind="stable")
-            keys, refs, times = keys[order], refs[order], times[order]
+            keys, refs, times, areas = keys[order], refs[order], times[order], areas[order].astype(np.uint32)
             first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
             last = np.concatenate([first[1:], [True]]) if len(keys) else first
             single = first & last
-            sent, sent_keys = np.where(single, refs, MANY)[first], keys[first]
+            sent, sent_keys, sent_areas = np.where(single, refs, MANY)[first], keys[first], areas[first]
             sent_times = np.add.reduceat(times, np.flatnonzero(first)) if len(keys) else times
-            own, own_refs = keys[~single], refs[~single]
-            buckets, own_buckets = ((k % np.uint64(count)).astype(np.int64) for k in (sent_keys, own))
+            own, own_refs, own_areas = keys[~single], refs[~single], areas[~single]
+            buckets, own_buckets = (bucket_of(k, count) for k in (sent_keys, own))
             # By document within a bucket, so that the references shrink to nothing when the shuffle compresses them.
             order, own_order = np.lexsort((sent, buckets)), np.argsort(own_buckets, kind="stable")
             own_buckets = own_buckets[own_order]
@@ -151,96 +163,122 @@ def send_hashes(count: int, match: int):
                 there = own_order[np.searchsorted(own_buckets, bucket) : np.searchsorted(own_buckets, bucket, "right")]
                 many = sent[here] == MANY
                 used = np.unique(np.concatenate([sent[here][~many], own_refs[there]]))
-                refs_ = np.where(many, MANY, np.searchsorted(used, sent[here]).astype(np.uint32))
-                rows.append(
-                    (
-                        bucket,
-                        as_blob(docs[used]),
-                        as_blob(refs_),
-                        as_blob(short(sent_keys[here])),
-                        as_blob(np.minimum(sent_times[here], MANY).astype(np.uint32)),
-                        as_blob(np.searchsorted(used, own_refs[there]).astype(np.uint32)),
-                        as_blob(short(own[there])),
-                    )
+                columns = (
+                    np.where(many, MANY, np.searchsorted(used, sent[here]).astype(np.uint32)),
+                    short(sent_keys[here]),
+                    np.minimum(sent_times[here], MANY).astype(np.uint32),
+                    sent_areas[here],
+                    np.searchsorted(used, own_refs[there]).astype(np.uint32),
+                    short(own[there]),
+                    own_areas[there],
                 )
-            columns = list(zip(*rows)) or [()] * 7
+                rows.append((bucket, as_blob(docs[used]), *map(as_blob, columns)))
+            columns = list(zip(*rows)) or [()] * len(HASH_NAMES)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-                [part.split()[0] for part in HASHES.split(", ")],
+                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], HASH_NAMES
             )
 
     return work
 
 
-ANSWERS = "at long, mark long, places long, hot long, keys array<long>"
+def bucket_of(hashes: np.ndarray, count: int) -> np.ndarray:
+    return (hashes % np.uint64(count)).astype(np.int64)
+
+
+ANSWERS = "at long, mark long, places long, hot long, keys array<long>, groups array<long>"
 
 
 def answer_hashes(hot_places: int):
-    """Group: per document the anchor hashes that more than one document holds; bit 32 marks those with very many places."""
+    """Group: per document the anchor hashes that more than one document holds, with the group that compares them.
+
+    A group is an area of the earliest document with the anchor; group 0 stands for anchors with very many places.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        names = [part.split()[0] for part in HASHES.split(", ")][1:]
-        blocks_ = [[np.frombuffer(v.as_py(), t) for v, t in zip(row, TYPES)] for row in zip(*(table.column(n) for n in names))]
+        bucket = table.column("bucket")[0].as_py()
+        blocks_ = [
+            [np.frombuffer(v.as_py(), t) for v, t in zip(row, TYPES)] for row in zip(*(table.column(n) for n in HASH_NAMES[1:]))
+        ]
         docs = np.concatenate([b[0] for b in blocks_]).reshape(-1, 2)
         offsets = np.cumsum([0] + [len(b[0]) // 2 for b in blocks_])[:-1]
-        keys = np.concatenate([b[2] for b in blocks_])
+        refs, keys, times, areas, own_refs, own_keys, own_areas = (
+            np.concatenate([b[k].astype(np.int64) + (o if k in (1, 5) else 0) for b, o in zip(blocks_, offsets)]) for k in range(1, 8)
+        )
+        many = np.concatenate([b[1] == MANY for b in blocks_])
         values, found, held = np.unique(keys, return_inverse=True, return_counts=True)
-        places = np.bincount(found, np.concatenate([b[3] for b in blocks_]).astype(float), len(values))
-        refs = np.concatenate([b[1].astype(np.int64) + (b[1] != MANY) * o for b, o in zip(blocks_, offsets)])
-        asks = (held[found] > 1) & (refs != int(MANY))
-        own = np.concatenate([b[5] for b in blocks_])
-        refs = np.concatenate([refs[asks], *(b[4].astype(np.int64) + o for b, o in zip(blocks_, offsets))])
-        keys = np.concatenate([keys[asks], own])
-        flags = places[np.searchsorted(values, keys)] > hot_places
-        order = np.argsort(refs, kind="stable")
-        parts = parts_of(refs[order])
-        starts = np.array([a for a, _ in parts] + [len(order)], np.int32)
-        of = docs[refs[order][starts[:-1]]] if len(parts) else docs[:0]
-        flags = flags[order]
-        so_far = np.concatenate([[0], np.cumsum(flags)])
-        sent = keys[order].astype(np.int64) | (flags.astype(np.int64) << 32)
+        hot = np.bincount(found, times, len(values)) > hot_places
+        shared = held > 1
+        shared[found[many]] = True
+        # One entry per document and hash that others share.
+        asks = shared[found] & ~many
+        ref = np.concatenate([refs[asks], own_refs])
+        key = np.concatenate([found[asks], np.searchsorted(values, own_keys)])
+        area = np.concatenate([areas[asks], own_areas])
+        order = np.lexsort((ref, docs[ref, 1], docs[ref, 0], key))
+        heads = order[[a for a, _ in parts_of(key[order])]]
+        group_of = np.zeros(len(values), np.int64)
+        group_of[key[heads]] = mixed(docs[ref[heads], 0], docs[ref[heads], 1], area[heads])
+        group_of[hot] = 0
+
+        order = np.argsort(ref, kind="stable")
+        ref, key = ref[order], key[order]
+        parts = parts_of(ref)
+        starts = np.array([a for a, _ in parts] + [len(ref)], np.int32)
+        of = docs[ref[starts[:-1]]] if parts else docs[:0]
+        so_far = np.concatenate([[0], np.cumsum(hot[key])])
+        bounds = pa.array(starts)
         return pa.table(
             {
                 "at": pa.array(of[:, 0]),
                 "mark": pa.array(of[:, 1]),
                 "places": pa.array(np.diff(starts).astype(np.int64)),
                 "hot": pa.array(so_far[starts[1:]] - so_far[starts[:-1]]),
-                "keys": pa.ListArray.from_arrays(pa.array(starts), pa.array(sent)),
+                "keys": pa.ListArray.from_arrays(bounds, pa.array(values[key] | (bucket << 32))),
+                "groups": pa.ListArray.from_arrays(bounds, pa.array(group_of[key])),
             }
         )
 
     return run
 
 
-SURROUNDINGS = "bucket int, at long, mark long, key long, start int, end int, around binary"
+def mixed(*columns: np.ndarray) -> np.ndarray:
+    """A positive 62-bit hash of each row."""
+    found = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        found = (found ^ column.astype(np.int64).view(np.uint64)) * np.uint64(FACTOR)
+        found ^= found >> np.uint64(31)
+    return ((found >> np.uint64(2)) | np.uint64(1)).astype(np.int64)
+
 
+REGIONS = "bucket int, at long, mark long, group long, start int, end int, around binary"
 
-def send_surroundings(count: int, match: int):
-    """Task: the bytes around repeated anchors, to the bucket of the anchor.
 
-    Of equal bytes in a block the earliest document's go; what they cover in later ones is sent as spans without bytes.
+def send_regions(bucket_count: int, count: int, match: int):
+    """Task: the regions of a text around repeated anchors, to the bucket of their group.
+
+    Of equal regions of a block the earliest document's goes; what it covers in later ones is sent as spans without bytes.
     """
 
     def work(batches):
         for block, texts in blocks(batches, "text", BLOCK):
             ats, marks = block.column(0).to_pylist(), block.column(1).to_pylist()
             entries: list[tuple[int, int, int, bytes]] = []
-            least: dict[bytes, int] = {}
+            least: dict[tuple[int, bytes], int] = {}
             for ref, text in enumerate(texts):
-                asked = np.unique(block.column(3)[ref].values.flatten().to_numpy())
+                keys, groups = (block.column(k)[ref].values.flatten().to_numpy() for k in (3, 4))
                 at = ats[ref]
-                for start, end, key in wanted_places(text, match, asked):
+                for start, end, group in regions_of(text, match, bucket_count, keys, groups):
                     around = text[start:end]
-                    entries.append((ref, start, key, around))
-                    if least.get(around, at) >= at:
-                        least[around] = at
+                    group = group or xxhash.xxh64_intdigest(around) >> 2
+                    entries.append((ref, start, group, around))
+                    if least.get((group, around), at) >= at:
+                        least[group, around] = at
             rows: list[tuple] = []
             done: dict[int, list[tuple[int, int]]] = {}
-            for ref, start, key, around in entries:
+            for ref, start, group, around in entries:
                 end = start + len(around)
-                if ats[ref] == least[around]:
-                    key = key if key is not None else xxhash.xxh64_intdigest(around)
-                    rows.append((key % count, ats[ref], marks[ref], key - (1 << 63), start, end, around))
+                if ats[ref] == least[group, around]:
+                    rows.append((group % count, ats[ref], marks[ref], group, start, end, around))
                 else:
                     done.setdefault(ref, []).append((start, end))
             for ref, spans in done.items():
@@ -249,32 +287,40 @@ def send_surroundings(count: int, match: int):
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], [part.split()[0] for part in SURROUNDINGS.split(", ")]
+                [pa.array(c, t) for c, t in zip(columns, kinds)], [part.split()[0] for part in REGIONS.split(", ")]
             )
 
     return work
 
 
-def wanted_places(text: bytes, match: int, asked: np.ndarray):
-    """(start, end, anchor hash) of what a text sends; strings around hot anchors have no hash yet."""
-    places, hashes = anchors(text, match)
-    keys = short(hashes).astype(np.int64)
-    if not len(asked):
+def regions_of(text: bytes, match: int, bucket_count: int, keys: np.ndarray, groups: np.ndarray):
+    """(start, end, group) of what a text sends: the bytes that may match around anchors of one group, joined where they overlap.
+
+    Around a hot anchor (group 0) it is every string of ``match`` bytes.
+    """
+    if not len(keys):
         return
-    by_key = asked[np.argsort(asked & 0xFFFFFFFF, kind="stable")]
-    at = np.minimum(np.searchsorted(by_key & 0xFFFFFFFF, keys), len(by_key) - 1)
-    here = (by_key[at] & 0xFFFFFFFF) == keys
-    hot = here & (by_key[at] >> 32 > 0)
-    reach = match - GRAM
-    for place, key in zip(places[here & ~hot].tolist(), hashes[here & ~hot].tolist()):
-        yield max(0, place - reach), min(place + match, len(text)), key
-    if hot.any():
-        starts = np.unique((places[hot][:, None] - np.arange(reach + 1)).ravel())
-        for start in starts[(starts >= 0) & (starts + match <= len(text))].tolist():
-            yield start, start + match, None
-
-
-def answer_surroundings(match: int):
+    places, hashes = anchors(text, match)
+    codes = short(hashes).astype(np.int64) | (bucket_of(hashes, bucket_count) << 32)
+    order = np.argsort(keys, kind="stable")
+    keys, groups = keys[order], groups[order]
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    here = keys[at] == codes
+    places, group = places[here], groups[at[here]]
+    reach, n = match - GRAM, len(text)
+    usual = group > 0
+    starts, ends, of = np.maximum(places[usual] - reach, 0), np.minimum(places[usual] + match, n), group[usual]
+    if len(of):
+        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (starts[1:] > ends[:-1])]))
+        last = np.append(first[1:] - 1, len(of) - 1)
+        yield from zip(starts[first].tolist(), ends[last].tolist(), of[first].tolist())
+    if not usual.all():
+        windows = np.unique((places[~usual][:, None] - np.arange(reach + 1)).ravel())
+        for start in windows[(windows >= 0) & (windows + match <= n)].tolist():
+            yield start, start + match, 0
+
+
+def answer_regions(match: int):
     """Group: per document the spans of a bucket that an earlier document also holds, as start and end in one number."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -283,23 +329,20 @@ def answer_surroundings(match: int):
         table = table.filter(has)
         out = [tuple(passed.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "start", "end"))]
         if table.num_rows:
-            at, mark, key, start, end = (table.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "key", "start", "end"))
+            at, mark, group, start, end = (table.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "group", "start", "end"))
             coded = table.column("around").combine_chunks().dictionary_encode()
             coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
             which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
             bounds = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
             data = np.frombuffer(distinct.buffers()[2], np.uint8)
-            # At the ends of texts equal bytes may stand around different anchors: they are strings of both.
-            anchor, of_anchor = np.unique(key, return_inverse=True)
-            pairs, which = np.unique(which * len(anchor) + of_anchor, return_inverse=True)
-            of_pair = pairs // len(anchor)
+            groups, of_group = np.unique(group, return_inverse=True)
+            pairs, which = np.unique(which * len(groups) + of_group, return_inverse=True)
+            of_pair = pairs // len(groups)
             owner = np.full(len(pairs), LAST_ID)
             np.minimum.at(owner, which, at)
             later = at > owner[which]
             out.append(tuple(x[later] for x in (at, mark, start, end)))
-            string, first, last = long_matches(
-                data, bounds[of_pair], np.diff(bounds)[of_pair], owner, anchor[pairs % len(anchor)], match
-            )
+            string, first, last = long_matches(data, bounds[of_pair], np.diff(bounds)[of_pair], owner, pairs % len(groups), match)
             rows = np.flatnonzero(~later)
             low, high = np.searchsorted(string, which[rows], "left"), np.searchsorted(string, which[rows], "right")
             times = high - low
@@ -314,22 +357,20 @@ def answer_surroundings(match: int):
 
 
 def long_matches(
-    data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, key: np.ndarray, match: int, most: int = INDEX_SYMBOLS
+    data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, group: np.ndarray, match: int, most: int = INDEX_SYMBOLS
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, first place, last place), by string: places whose ``match`` bytes a string with a smaller owner holds.
 
-    Strings of one key are compared, in parts of about ``most`` symbols.
+    Strings of one group are compared, in parts of about ``most`` symbols.
     """
-    order = np.lexsort((owner, key))
-    groups = parts_of(key[order])
-    sizes = np.array([b - a for a, b in groups], np.int64)
+    order = np.lexsort((owner, group))
+    sizes = np.array([b - a for a, b in parts_of(group[order])], np.int64)
     size = np.repeat(sizes, sizes)
-    rank = np.arange(len(order)) - np.repeat(np.array([a for a, _ in groups], np.int64), sizes)
-    group = np.repeat(np.arange(len(sizes)), sizes)[size > 1]
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     order, rank, size = order[size > 1], rank[size > 1], size[size > 1]
     before = np.cumsum(lengths[order] + 1) - lengths[order] - 1
     heads = np.flatnonzero(rank == 0)
-    part = np.repeat(before[heads] // most, size[heads]) if len(heads) else group
+    part = np.repeat(before[heads] // most, size[heads])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in parts_of(part):
         mine, rank_, size_ = order[a:b], rank[a:b], size[a:b]
@@ -338,10 +379,12 @@ def long_matches(
             partner = (rank_ >> (level + 1) << (level + 1)) + (1 << level) < size_
             kept, others = mine[~streamed & partner], mine[streamed]
             if len(others):
-                index = RunIndex(data, starts[kept], lengths[kept], owner[kept], match)
-                string, place, held_by = index.owners_of_matches(data, starts[others], lengths[others])
-                earlier = held_by < owner[others[string]]
-                found.append((others[string[earlier]], place[earlier]))
+                kept, kept_at, kept_size = pieces(kept, lengths, match)
+                index = RunIndex(data, starts[kept] + kept_at, kept_size, owner[kept], match)
+                others, at, size_of = pieces(others, lengths, match)
+                piece, place, held_by = index.owners_of_matches(data, starts[others] + at, size_of)
+                earlier = held_by < owner[others[piece]]
+                found.append((others[piece[earlier]], place[earlier] + at[piece[earlier]]))
     if not found:
         return (np.zeros(0, np.int64),) * 3
     string, place = (np.concatenate(column) for column in zip(*found))
@@ -351,6 +394,15 @@ def long_matches(
     return where[first] >> 32, where[first] & 0xFFFFFFFF, where[last] & 0xFFFFFFFF
 
 
+def pieces(strings: np.ndarray, lengths: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, length) of pieces of ``PIECE`` places; they overlap, so that each holds its matches whole."""
+    size = lengths[strings]
+    count = np.maximum(-(-(size - match + 1) // PIECE), 1)
+    string = np.repeat(strings, count)
+    start = (np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)) * PIECE
+    return string, start, np.minimum(lengths[string] - start, PIECE + match - 1)
+
+
 def merged(spans: np.ndarray) -> np.ndarray:
     """Overlapping or touching spans as one."""
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
@@ -378,21 +430,24 @@ def repeated_spans(
     if match <= GRAM:
         raise ValueError("a match must be longer than an anchor")
     texts = marked(docs, id_col, text_col)
-    # A hash costs about twelve bytes, an anchor comes every (match - GRAM + 2) / 2 bytes.
-    hash_bytes = total_bytes(docs, text_col) * 24 // (match - GRAM + 2)
-    count = max(1, -(-hash_bytes // HASH_BUCKET))
+    # A hash costs about sixteen bytes, an anchor comes every (match - GRAM + 2) / 2 bytes.
+    hash_bytes = total_bytes(docs, text_col) * 32 // (match - GRAM + 2)
+    hash_buckets = max(1, -(-hash_bytes // HASH_BUCKET))
     long_enough = texts.filter(F.octet_length("text") >= match)
-    hashes = long_enough.mapInArrow(send_hashes(count, match), HASHES)
+    hashes = long_enough.mapInArrow(send_hashes(hash_buckets, match), HASHES)
     answers = durable(hashes.groupBy("bucket").applyInArrow(answer_hashes(hot_places), ANSWERS))
     places, hot = (n or 0 for n in answers.agg(F.sum("places"), F.sum("hot")).first())
-    sent_bytes = (places - hot) * (2 * match - GRAM) + hot * match * (match - GRAM + 1)
+    # Regions overlap their neighbours: an anchor costs less than half of the bytes around it.
+    sent_bytes = (places - hot) * match + hot * match * (match - GRAM + 1)
     count = max(1, -(-sent_bytes // bucket_bytes))
-    asked = answers.groupBy("at", "mark").agg(F.collect_list("keys").alias("keys"))
+    asked = answers.groupBy("at", "mark").agg(F.collect_list("keys").alias("keys"), F.collect_list("groups").alias("groups"))
     # The same exchange of texts as for the removal, so the texts are shuffled once.
-    surroundings = (
-        texts.join(asked, ["at", "mark"]).select("at", "mark", "text", "keys").mapInArrow(send_surroundings(count, match), SURROUNDINGS)
+    regions = (
+        texts.join(asked, ["at", "mark"])
+        .select("at", "mark", "text", "keys", "groups")
+        .mapInArrow(send_regions(hash_buckets, count, match), REGIONS)
     )
-    found = surroundings.groupBy("bucket").applyInArrow(answer_surroundings(match), "at long, mark long, span long")
+    found = regions.groupBy("bucket").applyInArrow(answer_regions(match), "at long, mark long, span long")
     return found.groupBy("at", "mark").agg(F.collect_list("span").alias("spans"))
 
 
