@@ -6,10 +6,10 @@ meet no other document are done with. The others send the bytes around them to t
 group: an area of the earliest document with the anchor, so that copies of one document meet there. What a text
 sends to a group are regions: the bytes that may match around its anchors, joined where they overlap.
 
-A group keeps each distinct region once, with its earliest document; later copies of it are covered as a whole.
-Of regions that differ, the later ones are streamed as matching statistics against run-length indexes of the earlier
-ones: by rank in the group, one level per bit of the rank, so that any two meet at the highest bit in which their
-ranks differ. A long match removes ``match`` bytes if an earlier document holds them.
+A bucket of groups keeps each distinct region once, with its earliest document; later copies of it are covered as a
+whole. Regions that differ are cut into the bytes around their anchors. Of these, equal ones are covered by
+the earliest, and those that differ around one anchor are streamed as matching statistics against run-length
+indexes of all but the latest of them. A long match removes ``match`` bytes if an earlier document holds them.
 
 Blocks of documents combine before every shuffle: an anchor hash, or a region, that a block
 holds in many documents is sent once, so a passage that a third of all documents share costs a row a block.
@@ -44,7 +44,6 @@ BUCKET_BYTES = 8_000_000
 INDEX_SYMBOLS = 400_000
 HOT_PLACES = 4_000
 AREA = 2_048
-PIECE = 256
 CHUNK = 1 << 20
 LAST_ID = (1 << 63) - 1
 MANY = np.uint32(0xFFFFFFFF)
@@ -329,27 +328,24 @@ def answer_regions(match: int):
         table = table.filter(has)
         out = [tuple(passed.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "start", "end"))]
         if table.num_rows:
-            at, mark, group, start, end = (table.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "group", "start", "end"))
+            at, mark, start, end = (table.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "start", "end"))
             coded = table.column("around").combine_chunks().dictionary_encode()
             coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
             which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
             bounds = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
             data = np.frombuffer(distinct.buffers()[2], np.uint8)
-            groups, of_group = np.unique(group, return_inverse=True)
-            pairs, which = np.unique(which * len(groups) + of_group, return_inverse=True)
-            of_pair = pairs // len(groups)
-            owner = np.full(len(pairs), LAST_ID)
+            owner = np.full(len(distinct), LAST_ID)
             np.minimum.at(owner, which, at)
             later = at > owner[which]
             out.append(tuple(x[later] for x in (at, mark, start, end)))
-            string, first, last = long_matches(data, bounds[of_pair], np.diff(bounds)[of_pair], owner, pairs % len(groups), match)
+            region, first, last = long_matches(data, bounds[:-1], np.diff(bounds), owner, match)
             rows = np.flatnonzero(~later)
-            low, high = np.searchsorted(string, which[rows], "left"), np.searchsorted(string, which[rows], "right")
+            low, high = np.searchsorted(region, which[rows], "left"), np.searchsorted(region, which[rows], "right")
             times = high - low
             rows = np.repeat(rows, times)
             ends = np.cumsum(times)
             span = np.repeat(low - (ends - times), times) + np.arange(len(rows))
-            out.append((at[rows], mark[rows], start[rows] + first[span], start[rows] + last[span] + match))
+            out.append((at[rows], mark[rows], start[rows] + first[span], start[rows] + last[span]))
         at, mark, start, end = (np.concatenate(column) for column in zip(*out))
         return pa.table({"at": pa.array(at), "mark": pa.array(mark), "span": pa.array((start << 32) | end)})
 
@@ -357,50 +353,101 @@ def answer_regions(match: int):
 
 
 def long_matches(
-    data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, group: np.ndarray, match: int, most: int = INDEX_SYMBOLS
+    data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, match: int, most: int = INDEX_SYMBOLS
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, first place, last place), by string: places whose ``match`` bytes a string with a smaller owner holds.
+    """(region, start, end), by region: bytes of regions in strings of ``match`` bytes that a region with a smaller owner holds.
 
-    Strings of one group are compared, in parts of about ``most`` symbols.
+    Regions are cut into the bytes around their anchors. Equal ones have the owner of the earliest; of those that differ
+    around one anchor, all but the last go into run-length indexes, in parts of about ``most`` symbols, and all but
+    the first are streamed against them.
     """
-    order = np.lexsort((owner, group))
-    sizes = np.array([b - a for a, b in parts_of(group[order])], np.int64)
-    size = np.repeat(sizes, sizes)
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order, rank, size = order[size > 1], rank[size > 1], size[size > 1]
-    before = np.cumsum(lengths[order] + 1) - lengths[order] - 1
+    region, place, key = region_anchors(data, starts, lengths, match)
+    reach = match - GRAM
+    low = np.maximum(place - reach, 0)
+    size = np.minimum(place + match, lengths[region]) - low
+    content = content_hashes(data, starts[region] + low, size)
+    order = np.lexsort((owner[region], size, content, key))
+    fresh = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(content[order]) != 0) | (np.diff(size[order]) != 0)])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    least, anchor = owner[region[first]], key[first]
+    whole = least[number] < owner[region]
+    found = [(region[whole], low[whole], low[whole] + size[whole])]
+
+    # Distinct strings by anchor and owner; those alone at their anchor are done with.
+    ranked = np.lexsort((least, anchor))
+    sizes = np.array([b - a for a, b in parts_of(anchor[ranked])], np.int64)
+    several = np.repeat(sizes, sizes) > 1
+    rank = np.arange(len(ranked)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.repeat(sizes, sizes) - rank - 1
+    ranked, rank, left = ranked[several], rank[several], left[several]
+    string_start, string_size = starts[region[first]] + low[first], size[first]
+    before = np.cumsum(string_size[ranked] + 1) - string_size[ranked] - 1
     heads = np.flatnonzero(rank == 0)
-    part = np.repeat(before[heads] // most, size[heads])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    part = np.repeat(before[heads] // most, np.diff(np.append(heads, len(ranked))))
+    hits: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in parts_of(part):
-        mine, rank_, size_ = order[a:b], rank[a:b], size[a:b]
-        for level in range(int(rank_.max()).bit_length()):
-            streamed = (rank_ >> level) & 1 == 1
-            partner = (rank_ >> (level + 1) << (level + 1)) + (1 << level) < size_
-            kept, others = mine[~streamed & partner], mine[streamed]
-            if len(others):
-                kept, kept_at, kept_size = pieces(kept, lengths, match)
-                index = RunIndex(data, starts[kept] + kept_at, kept_size, owner[kept], match)
-                others, at, size_of = pieces(others, lengths, match)
-                piece, place, held_by = index.owners_of_matches(data, starts[others] + at, size_of)
-                earlier = held_by < owner[others[piece]]
-                found.append((others[piece[earlier]], place[earlier] + at[piece[earlier]]))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    string, place = (np.concatenate(column) for column in zip(*found))
-    where = np.unique((string << 32) | place)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1])) if len(where) else where
-    last = np.append(first[1:] - 1, len(where) - 1) if len(where) else where
-    return where[first] >> 32, where[first] & 0xFFFFFFFF, where[last] & 0xFFFFFFFF
-
-
-def pieces(strings: np.ndarray, lengths: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, start, length) of pieces of ``PIECE`` places; they overlap, so that each holds its matches whole."""
-    size = lengths[strings]
-    count = np.maximum(-(-(size - match + 1) // PIECE), 1)
-    string = np.repeat(strings, count)
-    start = (np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)) * PIECE
-    return string, start, np.minimum(lengths[string] - start, PIECE + match - 1)
+        kept, streamed = ranked[a:b][left[a:b] > 0], ranked[a:b][rank[a:b] > 0]
+        index = RunIndex(data, string_start[kept], string_size[kept], least[kept], match)
+        string, at, held_by = index.owners_of_matches(data, string_start[streamed], string_size[streamed])
+        earlier = held_by < least[streamed[string]]
+        hits.append((streamed[string[earlier]], at[earlier]))
+    if hits:
+        string, at = (np.concatenate(column) for column in zip(*hits))
+        # A string's matches hold for the regions of its own owner; later ones are covered as a whole.
+        by_string = np.argsort(string, kind="stable")
+        string, at = string[by_string], at[by_string]
+        mine = np.flatnonzero(~whole)
+        begin, end = np.searchsorted(string, number[mine], "left"), np.searchsorted(string, number[mine], "right")
+        times = end - begin
+        mine = np.repeat(mine, times)
+        ends = np.cumsum(times)
+        at = at[np.repeat(begin - (ends - times), times) + np.arange(len(mine))]
+        found.append((region[mine], low[mine] + at, low[mine] + at + match))
+    return joined(*(np.concatenate(column) for column in zip(*found)))
+
+
+def joined(region: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping spans of a region as one, by region."""
+    if not len(region):
+        return region, start, end
+    order = np.lexsort((start, region))
+    region, start, end = region[order], start[order], end[order]
+    # Regions one after the other on one line, far enough apart.
+    base = region << 32
+    reach = np.maximum.accumulate(base + end)
+    first = np.flatnonzero(np.concatenate([[True], base[1:] + start[1:] > reach[:-1]]))
+    return region[first], start[first], reach[np.append(first[1:] - 1, len(region) - 1)] - base[first]
+
+
+def region_anchors(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region, place, hash) of the anchors of all regions, found at once: grams and windows that cross regions don't count."""
+    bounds = np.cumsum(lengths)
+    region = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(region)) - (bounds - lengths)[region]
+    text = data[starts[region] + place].tobytes()
+    hashes = gram_hashes(text, GRAM)
+    width = match - GRAM + 1
+    least = sliding(hashes, width, np.minimum)
+    least[place[: len(least)] + match > lengths[region[: len(least)]]] = 0
+    edge = np.zeros(width - 1, np.uint64)
+    most = sliding(np.concatenate([edge, least, edge]), width, np.maximum)
+    at = np.flatnonzero((hashes == most) & (place[: len(hashes)] + GRAM <= lengths[region[: len(hashes)]]))
+    return region[at], place[at], hashes[at].view(np.int64)
+
+
+def content_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string, from hashes of prefixes of all bytes."""
+    factor = np.uint64(FACTOR)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max(initial=0)), factor, np.uint64)]), dtype=np.uint64)
+    values = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    values ^= values >> np.uint64(31)
+    found = np.zeros(len(starts), np.uint64)
+    for step in range(len(powers) - 1):
+        going = sizes > step
+        found[going] += values[starts[going] + step] * powers[step]
+    return (found ^ (found >> np.uint64(32))).view(np.int64)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
