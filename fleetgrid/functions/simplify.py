@@ -69,6 +69,21 @@ def kept_points(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, tolerance: fl
     return keep
 
 
+def kept_mask(tolerance: float) -> Callable[[Column], Column]:
+    """A column function that says of each point of ``array<array<double>>`` lines whether it stays."""
+
+    @F.arrow_udf("array<boolean>")
+    def run(lines: pa.Array) -> pa.Array:
+        lines = lines.combine_chunks() if isinstance(lines, pa.ChunkedArray) else lines
+        counts = lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+        xy = lines.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+        keep = kept_points(xy[:, 0], xy[:, 1], offsets, tolerance)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keep))
+
+    return run
+
+
 def simplify(tolerance: float) -> Callable[[Column], Column]:
     """A column function that simplifies ``array<array<double>>`` lines; null stays null."""
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgrid.session import BROADCAST_ROWS
@@ -65,6 +65,27 @@ def replay(log: DataFrame, batch: str = "batch_id") -> DataFrame:
     return keep_first_batch(log.distinct(), log, batch)
 
 
+def consecutive(log: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Distinct rows of a log whose vehicle was elsewhere in the last earlier batch that located it.
+
+    Another rule than the one above, and no default: a vehicle that comes back to an earlier position is
+    stored again, one that stays where it is isn't. A batch that doesn't locate the vehicle is passed over; a row with a
+    null key always counts as new.
+    """
+    key = list(POSITION_KEY)
+    places = log.dropna(subset=key).select(*key, batch).distinct()
+    before = F.lag(batch).over(Window.partitionBy("id").orderBy(batch))
+    reports = places.select("id", batch).distinct().select(F.col("id").alias("_id"), F.col(batch).alias("_now"), before.alias("_before"))
+    # The batch is part of both join keys, so a hot vehicle spreads over its batches.
+    now = places.join(reports, (F.col("id") == F.col("_id")) & (F.col(batch) == F.col("_now"))).select(*key, "_now", "_before")
+    held = places.select(*[F.col(c).alias(f"_held_{c}") for c in key], F.col(batch).alias("_held"))
+    stayed = [*[F.col(c) == F.col(f"_held_{c}") for c in key], F.col("_before") == F.col("_held")]
+    known = now.join(held, reduce(and_, stayed), "left_semi")
+    known = known.select(*[F.col(c).alias(f"_known_{c}") for c in key], F.col("_now").alias("_known"))
+    match = [*[F.col(c) == F.col(f"_known_{c}") for c in key], F.col(batch) == F.col("_known")]
+    return log.distinct().join(known, reduce(and_, match), "left_anti")
+
+
 def insert_counts(log: DataFrame, batch: str = "batch_id") -> DataFrame:
     """Rows received, inserted and skipped per batch."""
     received = log.groupBy(batch).agg(F.count(F.lit(1)).alias("received"))

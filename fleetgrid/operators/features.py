@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgrid.operators.numbering import number_rows
+from fleetgrid.operators.numbering import number_in_groups, number_rows
 from fleetgrid.session import durable
 
-# Features of one document; more features make more documents.
+# Features and bytes of one document; more make more documents.
 DOCUMENT_FEATURES = 10_000
+DOCUMENT_BYTES = 64_000_000
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -54,26 +55,32 @@ def to_features(
     return df.filter(F.col(geometry).isNotNull()).select(text.alias("feature"))
 
 
-def feature_documents(features: DataFrame, per_document: int = DOCUMENT_FEATURES) -> DataFrame:
+def feature_documents(
+    features: DataFrame, per_document: int = DOCUMENT_FEATURES, most_bytes: int = DOCUMENT_BYTES
+) -> DataFrame:
     """(document, geojson): all features, sorted by text, in documents of ``per_document`` each.
 
-    Without features there is one document with an empty list.
+    A document with more than about ``most_bytes`` is cut into several: a feature goes to the next one where the
+    features before it in its run of ``per_document`` fill another ``most_bytes``, so only a feature that is
+    larger itself makes a larger document. Without features there is one document with an empty list.
     """
     texts = durable(features.select("feature"))
     if texts.isEmpty():
         none = F.lit('{"type":"FeatureCollection","features":[]}')
         return texts.sparkSession.range(1).select(F.lit(0).cast("long").alias("document"), none.alias("geojson"))
-    placed = number_rows(texts, ["feature"], name="_no")
+    placed = number_rows(texts, ["feature"], name="_no").withColumn("_run", F.floor(F.col("_no") / per_document))
+    before = Window.partitionBy("_run").orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.coalesce(F.sum(F.octet_length("feature")).over(before), F.lit(0))
+    placed = placed.withColumn("_cut", F.floor(filled / most_bytes))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("_no", "feature"))), lambda one: one["feature"])
-    return (
-        placed.withColumn("document", F.floor(F.col("_no") / per_document))
-        .groupBy("document")
-        .agg(
-            F.concat(
-                F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}")
-            ).alias("geojson")
-        )
+    documents = placed.groupBy("_run", "_cut").agg(
+        F.concat(
+            F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}")
+        ).alias("geojson")
     )
+    if texts.agg(F.sum(F.octet_length("feature"))).first()[0] <= most_bytes:
+        return documents.select(F.col("_run").alias("document"), "geojson")
+    return number_in_groups(documents, [], ["_run", "_cut"], "document").select("document", "geojson")
 
 
 def write_features(features: DataFrame, path: str) -> None:

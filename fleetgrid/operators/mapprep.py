@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgrid.functions.projection import mercator_x, mercator_y
-from fleetgrid.operators.numbering import number_rows
+from fleetgrid.operators.numbering import number_in_groups
 
 # Breaks of the speed scale, km/h.
 SPEED_BREAKS = (0, 5, 15, 30, 50)
@@ -96,7 +96,7 @@ def thin_stops(
     stride = stop_stride(zoom, moving)
     if stride is None:
         return stops.limit(0).withColumn("stop_no", F.lit(0).cast("long"))
-    numbered = number_rows(stops, [order], name="stop_no")
+    numbered = number_in_groups(stops, [], [order], "stop_no")
     return numbered.filter(F.col("stop_no") % stride == 0)
 
 

@@ -108,7 +108,15 @@ def number_in_groups(
     name: str = "row_no",
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """0-based row number per group: a window for usual groups, ``number_rows`` for oversize ones."""
+    """0-based row number per group: a window for usual groups, ``number_rows`` for oversize ones.
+
+    Without keys the table is the one group.
+    """
+    if not partition_by and df.count() > group_rows:
+        return number_rows(df, order_by, (), name)
+    if not partition_by:
+        alone = Window.partitionBy(F.lit(0)).orderBy(*order_by)
+        return df.withColumn(name, (F.row_number().over(alone) - 1).cast("long"))
     usual, large = divide_by_size(df, partition_by, group_rows)
     window = Window.partitionBy(*partition_by).orderBy(*order_by)
     numbered = usual.withColumn(name, (F.row_number().over(window) - 1).cast("long"))

@@ -232,6 +232,20 @@ SELECT * EXCLUDE (event_id) FROM coarse
 QUALIFY (api_timestamp, fetched_at, event_id) = min((api_timestamp, fetched_at, event_id)) OVER (PARTITION BY id, lat, lon)
 """.replace(f"{_POSITIONS}, ", "")
 
+_PAYLOADS = f"""{_POSITIONS}, payloads AS (
+  SELECT event_id, fetched_at,
+    concat(CASE WHEN event_id % 7 > 0 THEN concat('{{"vehicle":[',
+      replace(cast(to_json({{'id': id, 'routeTag': "routeTag", 'dirTag': "dirTag", 'lat': lat, 'lon': lon,
+        'secsSinceReport': "secsSinceReport", 'predictable': predictable, 'heading': heading,
+        'speedKmHr': "speedKmHr"}}) AS VARCHAR), '"dirTag":null,', ''), ',',
+      cast(to_json({{'id': concat('veh-', cast(user_id + 1000000 AS VARCHAR)), 'routeTag': "routeTag", 'lat': lat, 'lon': lon}}) AS VARCHAR),
+      '],') ELSE '{{' END,
+      '"lastTime":{{"time":"', cast(epoch_us(api_timestamp) // 1000 AS VARCHAR), '"}}}}') AS value
+  FROM positions JOIN (SELECT event_id, user_id FROM events) USING (event_id)
+)"""
+
+_DAMAGED = "CASE WHEN event_id % 3 = 0 THEN value[:length(value) - 5] ELSE replace(value, 'lastTime', 'noTime') END"
+
 ORACLE: dict[str, str] = {
     "current_locations": f"""
 WITH {_POSITIONS}, {_RECENT}, {_LATEST}
@@ -477,10 +491,20 @@ SELECT concat('veh-', cast(user_id + 1000000 AS VARCHAR)), "routeTag", NULL, lat
 FROM sent
 """,
     "feed_cursor": "SELECT cast(epoch_us(max(ts)) // 1000 AS VARCHAR) AS cursor FROM events",
-    "raw_landing": """
-SELECT ts + INTERVAL 5 SECOND AS fetched_at, count(*) AS n_payloads,
-       cast(sum(CASE WHEN event_id % 7 > 0 THEN 2 ELSE 0 END) AS BIGINT) AS n_vehicles
-FROM events GROUP BY fetched_at
+    "raw_landing": f"""
+WITH {_PAYLOADS}
+SELECT event_id AS sequence, md5(value) AS value_md5, fetched_at, CASE WHEN event_id % 7 > 0 THEN 2 ELSE 0 END AS n_vehicles
+FROM payloads
+""",
+    "dedup_consecutive": f"""
+WITH {_DAILY}, reports AS (
+  SELECT id, batch_id, lag(batch_id) OVER (PARTITION BY id ORDER BY batch_id) AS before
+  FROM (SELECT DISTINCT id, batch_id FROM daily WHERE lat IS NOT NULL)
+)
+SELECT DISTINCT d.* FROM daily d LEFT JOIN reports r ON d.id = r.id AND d.batch_id = r.batch_id
+WHERE d.lat IS NULL OR NOT EXISTS (
+  SELECT 1 FROM daily e WHERE e.id = d.id AND e.lat = d.lat AND e.lon = d.lon AND e.batch_id = r.before
+)
 """,
     "dedup_replay": f"WITH {_DAILY} SELECT * FROM replayed",
     "insert_counts": f"""
@@ -501,20 +525,17 @@ WHERE batch_id >= (SELECT middle FROM half) AND NOT EXISTS (
 """,
     "stream_ingest": _INGESTED,
     "ingest_restart": _INGESTED,
+    "bad_feed_files": f"""
+WITH {_PAYLOADS}
+SELECT md5({_DAMAGED}) AS value_md5, length({_DAMAGED}) AS n_chars FROM payloads WHERE event_id % 3 = 0 OR event_id % 5 = 0
+""",
+    "indented_feed_files": f"""
+WITH {_PAYLOADS}
+SELECT md5(value) AS value_md5, CASE WHEN event_id % 7 > 0 THEN 2 ELSE 0 END AS n_vehicles, false AS malformed FROM payloads
+""",
     "bad_payloads": f"""
-WITH {_POSITIONS}, sent AS (
-  SELECT event_id, fetched_at,
-    CASE WHEN event_id % 7 > 0 THEN length(concat('{{"vehicle":[',
-      replace(cast(to_json({{'id': id, 'routeTag': "routeTag", 'dirTag': "dirTag", 'lat': lat, 'lon': lon,
-        'secsSinceReport': "secsSinceReport", 'predictable': predictable, 'heading': heading,
-        'speedKmHr': "speedKmHr"}}) AS VARCHAR), '"dirTag":null,', ''), ',',
-      cast(to_json({{'id': concat('veh-', cast(user_id + 1000000 AS VARCHAR)), 'routeTag': "routeTag", 'lat': lat, 'lon': lon}}) AS VARCHAR),
-      '],')) ELSE 1 END
-    + length(concat('"lastTime":{{"time":"', cast(epoch_us(api_timestamp) // 1000 AS VARCHAR), '"}}}}')) AS n
-  FROM positions JOIN (SELECT event_id, user_id FROM events) USING (event_id)
-)
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN n - 5 ELSE n - 2 END AS n_chars, fetched_at
-FROM sent WHERE event_id % 3 = 0 OR event_id % 5 = 0
+WITH {_PAYLOADS}
+SELECT event_id, length({_DAMAGED}) AS n_chars, fetched_at FROM payloads WHERE event_id % 3 = 0 OR event_id % 5 = 0
 """,
     "locations_as_of_past": f"""
 WITH {_POSITIONS}, at AS (

@@ -509,13 +509,15 @@ def feed_cursor(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def raw_landing(spark: SparkSession, folder: str) -> DataFrame:
-    """Payloads landed as received, read back with their fetch times."""
+    """Payloads landed as received, read back with their text, order and fetch times."""
     landing = work_folder(spark, "landing")
-    feed.land_payloads(tables.payload_text(spark, folder), landing)
+    feed.land_payloads(tables.payload_text(spark, folder).withColumnRenamed("event_id", "sequence"), landing)
     payloads = feed.read_payloads(spark, landing, landed=True)
-    return payloads.groupBy(F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at")).agg(
-        F.count(F.lit(1)).alias("n_payloads"),
-        F.sum(F.coalesce(F.size("vehicle"), F.lit(0)).cast("long")).alias("n_vehicles"),
+    return payloads.select(
+        F.col(feed.PLACE).alias("sequence"),
+        F.md5("value").alias("value_md5"),
+        F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"),
+        F.coalesce(F.size("vehicle"), F.lit(0)).alias("n_vehicles"),
     )
 
 
@@ -525,6 +527,12 @@ def dedup_replay(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.replay(tables.daily_log(spark, folder))
 
 
+@query
+def dedup_consecutive(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily batches without rows at the position that the vehicle's batch before had."""
+    return dedup.consecutive(tables.daily_log(spark, folder))
+
+
 @query
 def insert_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Received, inserted and skipped rows per daily batch."""
@@ -573,15 +581,44 @@ def ingest_restart(spark: SparkSession, folder: str) -> DataFrame:
     return _ingested(spark, folder, one_run=False)
 
 
-@query
-def bad_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Every third payload cut off, every fifth without its time: kept, with their fetch times."""
+def _damaged(texts: DataFrame) -> DataFrame:
+    """Every third payload cut off, every fifth without its time."""
     cut = F.expr("substring(value, 1, length(value) - 5)")
     timeless = F.expr("replace(value, 'lastTime', 'noTime')")
-    texts = tables.payload_text(spark, folder)
     value = F.when(F.expr("event_id % 3 = 0"), cut).when(F.expr("event_id % 5 = 0"), timeless).otherwise(F.col("value"))
+    return texts.withColumn("value", value)
+
+
+@query
+def bad_feed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged payloads among others in feed files of many lines: those that the stream kept, by their text."""
+    landing, store = work_folder(spark, "landing"), work_folder(spark, "positions")
+    _damaged(tables.payload_text(spark, folder)).select("value").write.text(landing)
+    start_ingest(spark, landing, store, f"{store}_offsets", period=None).awaitTermination()
+    kept = spark.read.parquet(PositionLog(spark, store).rejected_path)
+    return kept.select(F.md5("value").alias("value_md5"), F.length("value").cast("long").alias("n_chars"))
+
+
+@query
+def indented_feed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads written over several lines, many to a file: one row per payload found by its braces."""
+    landing = work_folder(spark, "landing")
+    text = F.replace(F.replace(F.col("value"), F.lit("},{"), F.lit("},\n {")), F.lit('"last'), F.lit('\n"last'))
+    tables.payload_text(spark, folder).select(F.concat(text, F.lit("\n")).alias("value")).write.text(landing)
+    payloads = feed.read_payloads(spark, landing)
+    return payloads.select(
+        F.md5(F.replace(F.replace("value", F.lit("\n "), F.lit("")), F.lit("\n"), F.lit(""))).alias("value_md5"),
+        F.coalesce(F.size("vehicle"), F.lit(0)).alias("n_vehicles"),
+        "malformed",
+    )
+
+
+@query
+def bad_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third payload cut off, every fifth without its time: kept, with their fetch times."""
+    texts = _damaged(tables.payload_text(spark, folder))
     landing, store = work_folder(spark, "landing"), work_folder(spark, "positions")
-    feed.land_payloads(texts.select(value.alias("value"), "fetched_at", F.col("event_id").alias("sequence")), landing)
+    feed.land_payloads(texts.withColumnRenamed("event_id", "sequence"), landing)
     start_ingest(spark, landing, store, f"{store}_offsets", period=None, landed=True).awaitTermination()
     kept = spark.read.parquet(PositionLog(spark, store).rejected_path)
     return kept.select(
@@ -619,8 +656,8 @@ def archive_resource(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue.archive_resource(catalogue.catalogue_from_text(documents))
 
 
-def _stop_archives(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.zipped(tables.stops_file(spark, folder), "stops.txt")
+def _stop_archives(spark: SparkSession, folder: str) -> archive.Unpacked:
+    return archive.unpack(tables.zipped(tables.stops_file(spark, folder), "stops.txt"))
 
 
 @query

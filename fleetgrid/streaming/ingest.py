@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetgrid.sources.feed import PLACE, SOURCE, parse_payloads, payload_order, rejected, stream_payloads
+from fleetgrid.sources.feed import (
+    PLACE,
+    SOURCE,
+    has_whole_documents,
+    parse_payloads,
+    parsed_lines,
+    payload_order,
+    payloads_from_text,
+    payloads_of_lines,
+    rejected,
+    stream_rows,
+)
+from fleetgrid.sources.keystore import bucket_of
 from fleetgrid.sources.positions import FIRST_RUN, Inserted, PositionLog
 
 # Fixed value: poll period of the feed.
@@ -17,7 +30,7 @@ POLL_PERIOD = "60 seconds"
 # Files of one micro-batch at most: a backlog is taken in several, none is left out.
 BATCH_FILES = 1_000
 
-# Batches between two merges of the key table.
+# Batches between two merges of rows and keys.
 COMPACT_EVERY = 60
 
 
@@ -32,17 +45,29 @@ def store_batch(
 
     A micro-batch may hold several payloads: they count as inserted one after the other, so results do
     not depend on how files fall into micro-batches. Malformed payloads are kept beside the log and
-    counted; with ``on_malformed="fail"`` they fail the batch before anything is stored.
+    counted; with ``on_malformed="fail"`` they fail the batch before anything is stored. Payloads are parsed once: one
+    job over them counts, the others write.
     """
     if on_malformed not in ("keep", "fail"):
         raise ValueError(f"on_malformed is keep or fail, not {on_malformed}")
-    bad = rejected(payloads)
-    if on_malformed == "fail" and bad.take(1):
-        raise MalformedPayloads(f"batch {batch_id} holds payloads that cannot be read")
-    malformed = log.reject(bad, batch_id, run)
-    rows = parse_payloads(payloads).withColumn("_payload", payload_order())
-    counts = log.append(rows.drop(SOURCE, PLACE), batch_id, "_payload", run)
-    return Inserted(counts.received, counts.inserted, malformed)
+    payloads = payloads.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        count = log.keys.bucket_count()
+        buckets = F.array_distinct(F.transform("vehicle", lambda vehicle: bucket_of(vehicle["id"], count)))
+        malformed, received, touched = payloads.agg(
+            F.count_if("malformed"),
+            F.coalesce(F.sum(F.size("vehicle")).cast("long"), F.lit(0)),
+            F.array_distinct(F.flatten(F.collect_set(buckets))),
+        ).first()
+        if malformed and on_malformed == "fail":
+            raise MalformedPayloads(f"batch {batch_id} holds payloads that cannot be read")
+        if malformed:
+            log.reject(rejected(payloads), batch_id, run)
+        rows = parse_payloads(payloads).withColumn("_payload", payload_order()).drop(SOURCE, PLACE)
+        counts = log.insert(rows, received, touched, batch_id, "_payload", run)
+        return Inserted(counts.received, counts.inserted, malformed)
+    finally:
+        payloads.unpersist()
 
 
 def run_of(spark: SparkSession, checkpoint: str) -> str:
@@ -66,24 +91,34 @@ def start_ingest(
     """Start the ingest stream; ``period=None`` takes what has landed and stops.
 
     ``landing`` holds feed files, or with ``landed`` a table of ``land_payloads``. A failed batch runs
-    again from the checkpoint and overwrites its own rows. Every ``compact_every`` batches the keys of
+    again from the checkpoint and overwrites its own rows. Every ``compact_every`` batches the rows and keys of
     the batches before are merged.
     """
     found: list[str] = []
 
-    def run(payloads: DataFrame, batch_id: int) -> None:
-        session = payloads.sparkSession
+    def run(rows: DataFrame, batch_id: int) -> None:
+        session = rows.sparkSession
+        log = PositionLog(session, store)
         if not found:
             found.append(run_of(session, checkpoint))
-        log = PositionLog(session, store)
-        counts = store_batch(log, payloads, batch_id, found[0], on_malformed)
+            log.repair_keys(found[0])
+        if landed:
+            counts = store_batch(log, payloads_from_text(rows), batch_id, found[0], on_malformed)
+        else:
+            lines = parsed_lines(rows).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                payloads = payloads_of_lines(lines, has_whole_documents(lines))
+                counts = store_batch(log, payloads, batch_id, found[0], on_malformed)
+            finally:
+                lines.unpersist()
         if batch_id and batch_id % compact_every == 0:
             log.compact_keys(batch_id - 1, found[0])
+            log.merge_dates(batch_id - 1, found[0])
         if report:
             report(batch_id, counts)
 
     writer = (
-        stream_payloads(spark, landing, landed, max_files)
+        stream_rows(spark, landing, landed, max_files)
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
     )

@@ -1,18 +1,26 @@
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import re
+import signal
+import subprocess
+import sys
 from collections import Counter
 from datetime import timedelta
 from pathlib import Path
 from random import Random
+from subprocess import DEVNULL
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetgrid.operators import dedup
-from fleetgrid.schema import FEED_FIELDS, POSITIONS
+from fleetgrid.schema import FEED_FIELDS, POSITIONS, STORED_POSITIONS
 from fleetgrid.sources import feed
+from fleetgrid.sources.keystore import KeyStore, bucket_of
+from fleetgrid.sources.manifest import Manifest
 from fleetgrid.sources.positions import Inserted, PositionLog
 from fleetgrid.streaming.ingest import start_ingest, store_batch
 
@@ -165,6 +173,55 @@ def test_bad_payloads_of_feed_files_through_the_stream(spark, folder):
     assert sorted(r.value for r in spark.read.parquet(log.rejected_path).collect()) == sorted(texts[n] for n in bad)
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in ranges of 300 bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for name in names:
+        spark.conf.set(name, "300")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_a_large_file_of_lines_is_read_by_many_tasks(spark, folder, small_splits):
+    Path(folder).mkdir()
+    texts = [json.dumps(document(str(n), minute=n)) for n in range(80)]
+    texts = [t[:-9] if n % 5 == 3 else t for n, t in enumerate(texts)]
+    (Path(folder) / "a.json").write_text("\n\n".join(texts))
+    assert spark.read.text(folder).rdd.getNumPartitions() > 10
+    read = feed.read_payloads(spark, folder).collect()
+    assert [r.value for r in sorted(read, key=lambda r: r[feed.PLACE])] == texts
+    assert [r.value for r in read if r.malformed] == sorted((t for n, t in enumerate(texts) if n % 5 == 3), key=[r.value for r in read].index)
+
+
+def test_documents_over_many_lines_are_found_across_splits(spark, folder, small_splits):
+    """Indented documents one after the other, with braces and quotes inside strings, cut-off and foreign lines among them."""
+    Path(folder).mkdir()
+    names = ["1", 'a "quoted" name', "brace } in { it", "slash \\\\", "[", "2"]
+    texts = [json.dumps(document(name, f"{name}!"), indent=1 + n % 3) for n, name in enumerate(names * 6)]
+    (Path(folder) / "many.json").write_text("\n".join([*texts[:20], "no document", *texts[20:]]))
+    (Path(folder) / "one.json").write_text(json.dumps(document(*map(str, range(40))), indent=2))
+    (Path(folder) / "cut.json").write_text(json.dumps(document("7"), indent=2)[:-9])
+    read = feed.read_payloads(spark, folder)
+    good = read.filter("NOT malformed").collect()
+    in_order = sorted((r for r in good if r[feed.SOURCE].endswith("many.json")), key=lambda r: r[feed.PLACE])
+    assert [r.value for r in in_order] == texts
+    assert [len(r.vehicle) for r in good if r[feed.SOURCE].endswith("one.json")] == [40]
+    bad = sorted(r.value for r in feed.rejected(read).collect())
+    assert bad == sorted(["no document", json.dumps(document("7"), indent=2)[:-9].rstrip()])
+
+
+def test_too_large_a_document_is_judged_line_by_line(spark, folder, monkeypatch):
+    monkeypatch.setattr(feed, "DOCUMENT_BYTES", 500)
+    Path(folder).mkdir()
+    large, small = (json.dumps(document(*map(str, range(n))), indent=1) for n in (20, 1))
+    (Path(folder) / "a.json").write_text(f"{large}\n{small}")
+    read = feed.read_payloads(spark, folder).collect()
+    assert [r.value for r in read if not r.malformed] == [small]
+    assert sorted(r.value for r in read if r.malformed) == sorted(large.split("\n"))
+
+
 @pytest.mark.parametrize("text", ["{", "[]", "7", "null", "text", '{"vehicle": []}', '{"lastTime": {"time": "soon"}}'])
 def test_what_is_no_payload_is_kept(spark, folder, text):
     Path(folder).mkdir()
@@ -347,7 +404,90 @@ def test_failed_batch_runs_again_from_the_checkpoint(spark, landing, folder):
     assert Counter(tuple(r) for r in found.collect()) == wanted
 
 
-# --- compacted keys ---
+# Ends the process, as a kill would, after the n-th write of a batch or before its checkpoint is committed.
+KILLED = """
+import os, sys
+sys.path[:0] = [{root!r}]
+from fleetgrid.session import build_session
+from fleetgrid.sources.positions import PositionLog
+from fleetgrid.sources.keystore import KeyStore
+from fleetgrid.streaming.ingest import start_ingest
+cut, batch, done = {cut!r}, 1, []
+def dying(kind, name, now):
+    plain = getattr(kind, name)
+    def run(self, *args):
+        value = plain(self, *args)
+        done.append(name)
+        if now(args):
+            os._exit(7)
+        return value
+    setattr(kind, name, run)
+if cut == "rows":
+    dying(PositionLog, "_overwrite", lambda args: done.count("_overwrite") == 2)
+elif cut == "keys":
+    dying(KeyStore, "add", lambda args: args[1] == batch)
+report = (lambda n, counts: n == batch and os._exit(7)) if cut == "commit" else None
+spark = build_session("killed", "local[2]", {{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+start_ingest(spark, {landing!r}, {store!r}, {offsets!r}, period=None, max_files=3, report=report).awaitTermination()
+"""
+
+
+@pytest.mark.parametrize(("cut", "new_checkpoint"), [("rows", True), ("rows", False), ("keys", False), ("commit", False)])
+def test_a_killed_stream_goes_on_as_if_nothing_had_happened(spark, landing, folder, cut, new_checkpoint):
+    documents = random_feed(13, batches=9)
+    for document in documents:
+        landing.add(document)
+    store, offsets, root = folder + "_store", folder + "_offsets", str(Path(__file__).parent.parent)
+    script = KILLED.format(root=root, cut=cut, landing=str(landing.path), store=store, offsets=offsets)
+    killed = subprocess.Popen([sys.executable, "-c", script], stdout=DEVNULL, stderr=DEVNULL, start_new_session=True)
+    try:
+        assert killed.wait(timeout=200) == 7
+    finally:
+        with contextlib.suppress(ProcessLookupError):
+            os.killpg(killed.pid, signal.SIGKILL)
+    if new_checkpoint:
+        # The lost run's second batch left rows without keys; what it stored stays known.
+        offsets += "_new"
+        located = [[v for v in d["vehicle"] if v["lat"]] for d in documents]
+        documents = [{**d, "vehicle": vs} for d, vs in zip(documents, located)]
+    start_ingest(spark, str(landing.path), store, offsets, period=None, max_files=3).awaitTermination()
+    found = PositionLog(spark, store).positions().select(*FEED_FIELDS)
+    if new_checkpoint:
+        found = found.filter("lat IS NOT NULL")
+    wanted = Counter(row[:-1] for row in model(documents).elements())
+    assert Counter(tuple(r) for r in found.collect()) == wanted
+
+
+# --- another rule ---
+
+
+def consecutive_model(documents):
+    """One payload after the other: rows elsewhere than in the last payload that located the vehicle."""
+    last, rows = {}, []
+    for n, document in enumerate(documents):
+        fresh = {tuple(v.get(f) for f in FEED_FIELDS) for v in document["vehicle"]}
+        now = {}
+        for row in fresh:
+            name, *place = (row[FEED_FIELDS.index(k)] for k in dedup.POSITION_KEY)
+            if None in (name, *place):
+                rows.append((*row, n))
+                continue
+            if tuple(place) not in last.get(name, ()):
+                rows.append((*row, n))
+            now.setdefault(name, set()).add(tuple(place))
+        last.update(now)
+    return Counter(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_consecutive_rule_equals_the_model(spark, seed):
+    documents = random_feed(seed, batches=20, vehicles=3)
+    found = Counter(tuple(r) for r in dedup.consecutive(log_frame(spark, documents)).collect())
+    assert found == consecutive_model(documents)
+    assert found != model(documents)
+
+
+# --- merged keys ---
 
 
 def test_compacted_keys_change_nothing(spark, landing, log):
@@ -364,26 +504,122 @@ def test_compacted_keys_change_nothing(spark, landing, log):
     )
 
 
-def test_compaction_leaves_one_key_set(spark, landing, log):
+def test_merging_leaves_one_part_of_keys(spark, landing, log):
     for n in range(5):
         write(spark, landing, log, document(str(n)))
         if n in (1, 3):
             log.compact_keys(n)
-    assert [p.name for p in Path(log.keys_path).glob("run_id=0/batch_id=*")] == ["batch_id=4"]
-    assert [p.name for p in Path(log.compacted_path).glob("run_id=0/*")] == ["through=3"]
+    assert [p.name for p in Path(log.keys.recent).glob("run_id=0/batch_id=*")] == ["batch_id=4"]
+    assert len(list(Path(log.keys.merged).glob("part=*"))) == 2
     assert log.known_keys(5).count() == 5
 
 
-def test_cut_off_compaction_is_ignored_and_repeated(spark, landing, log):
+def test_cut_off_merge_is_ignored_and_repeated(spark, landing, log):
     write(spark, landing, log, document("1"))
-    (Path(log.compacted_path) / "run_id=0" / "through=0").mkdir(parents=True)
-    assert log._compacted_through("0", 5) is None
+    (Path(log.keys.merged) / "part=left" / "bucket=3").mkdir(parents=True)
     assert write(spark, landing, log, document("1")).inserted == 0
     log.compact_keys(0)
-    assert log._compacted_through("0", 5) == 0
+    assert log.keys.manifest.newest()[1]["through"] == {"0": 0}
     assert write(spark, landing, log, document("1", "2")).inserted == 1
 
 
+def test_a_batch_reads_only_its_buckets(spark, landing, log):
+    for n in range(3):
+        write(spark, landing, log, document(*[str(100 * n + k) for k in range(60)]))
+        log.compact_keys(n)
+    asked = spark.createDataFrame([("7",), ("111",)], "id string").select(bucket_of(F.col("id"), log.keys.buckets))
+    wanted = {r[0] for r in asked.collect()}
+    known = log.keys.known(9, "0", wanted)
+    read = {int(re.search(r"bucket=(\d+)", f)[1]) for f in known.inputFiles()}
+    assert read == wanted and known.count() < 40
+    assert "bucket=" in known._jdf.queryExecution().executedPlan().toString()
+    assert {"7", "111"} <= {r.id for r in known.collect()}
+    before = log.positions().count()
+    counts = write(spark, landing, log, document("7", ("111", {"lat": "44.9"}), "new"))
+    assert counts == Inserted(3, 2) and log.positions().count() == before + 2
+
+
+def test_buckets_are_merged_one_by_one(spark, folder):
+    """However many batches are merged, a bucket lies in a bounded number of parts, and no key is lost."""
+    store = KeyStore(spark, folder, buckets=4, most_parts=2)
+    rows = [(f"v{n % 5}", f"44.{n}", "-78.1") for n in range(40)]
+    for n in range(10):
+        store.add(spark.createDataFrame([*rows[4 * n : 4 * n + 4], (None, "1", "1")], "id string, lat string, lon string"), n, "r")
+        store.merge(n, "r")
+    parts = store.manifest.newest()[1]["parts"]
+    held = Counter(bucket for buckets in parts.values() for bucket in buckets)
+    assert max(held.values()) <= 2 and store.runs() == ["r"]
+    assert sorted(map(tuple, store.known(99, "r").collect())) == sorted(rows)
+    on_disk = Counter(p.name for p in Path(store.merged).glob("part=*/bucket=*") if list(p.glob("*.parquet")))
+    assert on_disk == Counter({f"bucket={b}": n for b, n in held.items()})
+
+
+# --- merged dates ---
+
+
+def test_a_date_stays_a_few_folders(spark, landing, log):
+    """Minute batches over five days: merged dates are one part, and the newest ones a few."""
+    documents = []
+    for n in range(30):
+        documents.append(document(str(n % 7), ("8", {"lat": f"44.{n}"}), minute=n * 240))
+        write(spark, landing, log, documents[-1])
+        if n % 6 == 5:
+            log.compact_keys(n)
+            log.merge_dates(n)
+    dates = log.manifest.newest()[1]["dates"]
+    assert len(dates) == 6 and all(len(dates[day]) == 1 for day in sorted(dates)[:-2])
+    stored = log.stored()
+    assert stored.schema == STORED_POSITIONS
+    wanted = Counter(row[:-1] for row in model(documents).elements())
+    assert Counter(tuple(r) for r in stored.select(*FEED_FIELDS).collect()) == wanted
+    assert {r.batch_id for r in stored.collect()} == set(range(30))
+    folders = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
+    assert len(folders) <= 6 + 3
+    newest = stored.agg(F.max("api_timestamp")).first()[0]
+    recent = log.recent(timedelta(hours=5), newest)
+    assert recent.count() == stored.filter(F.col("api_timestamp") >= newest - timedelta(hours=5)).count()
+    assert len({re.search(r"event_date=([^/]*)", f)[1] for f in recent.inputFiles()}) <= 2
+
+
+def test_readers_go_on_while_dates_are_merged(spark, landing, log):
+    for n in range(4):
+        write(spark, landing, log, document(str(n), minute=n))
+    planned = log.stored()
+    wanted = sorted(r.id for r in planned.collect())
+    planned = log.stored()
+    log.merge_dates(1)
+    between = log.stored()
+    assert sorted(r.id for r in planned.collect()) == sorted(r.id for r in between.collect()) == wanted
+    again = log.stored()
+    log.merge_dates(3)
+    assert sorted(r.id for r in again.collect()) == sorted(r.id for r in log.stored().collect()) == wanted
+    write(spark, landing, log, document("9", minute=9))
+    log.merge_dates(4)
+    # What the first two merges replaced is gone, and nothing counts twice.
+    assert not list(Path(log.path).glob("event_date=*/run_id=0/batch_id=[01]"))
+    assert sorted(r.id for r in log.stored().collect()) == [*wanted, "9"]
+
+
+def test_late_rows_join_their_closed_date(spark, landing, log):
+    for n, minute in enumerate((0, 1440, 2880, 4320, 5)):
+        write(spark, landing, log, document(str(n), minute=minute))
+        log.merge_dates(n)
+    dates = log.manifest.newest()[1]["dates"]
+    assert [len(dates[day]) for day in sorted(dates)][0] == 1
+    assert sorted(r.id for r in log.stored().collect()) == ["0", "1", "2", "3", "4"]
+
+
+def test_two_writers_of_one_manifest_conflict(spark, folder):
+    one, other = Manifest(spark, folder), Manifest(spark, folder)
+    one.replace(0, {"a": 1})
+    with pytest.raises(FileExistsError):
+        other.replace(0, {"a": 2})
+    for n in range(1, 6):
+        other.replace(n, {"a": n})
+    assert one.newest() == (6, {"a": 5})
+    assert len(list(Path(folder).glob("v*.json"))) == 3
+
+
 def test_only_recent_dates_are_listed(spark, landing, log):
     for n in range(3):
         write(spark, landing, log, document(str(n), minute=n * 1440))
@@ -439,7 +675,8 @@ def test_compaction_runs_in_the_stream(spark, landing, folder):
     ingest(spark, landing, folder, "_offsets", max_files=1, compact_every=2)
     log = PositionLog(spark, folder + "_store")
     assert log.known_keys(99).count() == log.positions().count() == 5
-    assert [p.name for p in Path(log.compacted_path).glob("run_id=*/*")] == ["through=3"]
+    assert list(log.keys.manifest.newest()[1]["through"].values()) == [3]
+    assert list(log.manifest.newest()[1]["through"].values()) == [3]
 
 
 def test_malformed_payloads_are_kept_and_counted(spark, landing, folder):

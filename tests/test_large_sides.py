@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fleetgrid import session
-from fleetgrid.operators import dedup, numbering
+from fleetgrid.functions.simplify import kept_points
+from fleetgrid.operators import dedup, longlines, numbering
 from fleetgrid.plans import queries as q
 from fleetgrid.session import shared_folder
 
@@ -60,6 +62,31 @@ def test_long_routes(spark, nothing_is_small):
     assert 2 < len(whole) < 23
 
 
+def simplified(spark, monkeypatch, points, tolerance, **options):
+    """Positions kept by rounds of jobs, positions wanted, and in how many rounds segments were closed."""
+    offsets = np.array([0, len(points)])
+    wanted = np.flatnonzero(kept_points(points[:, 0], points[:, 1], offsets, tolerance)).tolist()
+    frame = spark.createDataFrame([("s", n, *xy) for n, xy in enumerate(points.tolist())], "k string, pos long, x double, y double")
+    rounds, closed = [], longlines.closed_at_once
+    monkeypatch.setattr(longlines, "closed_at_once", lambda *args: rounds.append(1) or closed(*args))
+    found = longlines.simplify_points(frame, "k", tolerance, **options)
+    return sorted(r.pos for r in found.collect()), wanted, len(rounds)
+
+
+def test_a_spiral_is_closed_at_once(spark, monkeypatch):
+    """100,000 points whose split tree is as deep as they are many: a segment that fits into a task takes no rounds."""
+    turn, far = np.arange(100_000) / 900, 100_000 - np.arange(100_000)
+    points = np.stack([np.cos(turn) * far, np.sin(turn) * far], 1) / 100
+    found, wanted, rounds = simplified(spark, monkeypatch, points, 0.5)
+    assert found == wanted and rounds == 1 and len(wanted) > 1000
+
+
+def test_large_segments_are_cut_until_they_fit(spark, monkeypatch):
+    points = np.cumsum(np.random.default_rng(5).normal(size=(6_000, 2)), axis=0)
+    found, wanted, rounds = simplified(spark, monkeypatch, points, 2.0, segment_points=1_000)
+    assert found == wanted and 1 < rounds < 12
+
+
 def test_hot_position_spreads_over_its_batches(spark, nothing_is_small):
     rows = [("hot" if i % 3 == 0 else str(i), "43.1", "-79.1", str(i), i // 2000) for i in range(6000)]
     log = spark.createDataFrame(rows, "id string, lat string, lon string, heading string, batch_id int")

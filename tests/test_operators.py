@@ -258,3 +258,16 @@ def test_rings_need_three_usable_vertices(spark):
     ]
     frame = spark.createDataFrame(rows, "id int, ring array<array<double>>")
     assert {r.id: r.ring for r in mapprep.drawable_rings(frame).collect()} == {1: good, 4: good}
+
+
+def test_documents_are_bounded_by_bytes(spark):
+    """A few huge features among small ones: a document ends where it is full."""
+    rows = [(f"f{n:03}" + "x" * (5000 if n % 10 == 3 else 20),) for n in range(100)]
+    frame = spark.createDataFrame(rows, "feature string").repartition(5)
+    found = features.feature_documents(frame, 40, 2000).orderBy("document").collect()
+    assert [r.document for r in found] == list(range(len(found)))
+    texts = [r.geojson.removeprefix('{"type":"FeatureCollection","features":[').removesuffix("]}").split(",") for r in found]
+    assert [t for part in texts for t in part] == sorted(r[0] for r in rows)
+    for part in texts:
+        assert sum(map(len, part[:-1])) <= 2000 and len(part) <= 40
+    assert max(map(len, texts)) > 1 and len(found) > 10

@@ -69,7 +69,7 @@ def test_small_batch_does_not_shuffle_the_history(spark, log, vehicles):
     fresh = dedup.new_positions(vehicles, log.known_keys(99), 5)
     lines = plan(fresh).splitlines()
     depth = {n: len(line) - len(line.lstrip(" :+-*()0123456789")) for n, line in enumerate(lines)}
-    scan = next(n for n, line in enumerate(lines) if "FileScan parquet" in line and "_keys" in line)
+    scan = next(n for n, line in enumerate(lines) if "FileScan parquet" in line and "_keys/recent" in line)
     above, level = [], depth[scan]
     for n in range(scan - 1, -1, -1):
         if depth[n] < level:
