@@ -2,8 +2,9 @@
 
 Archives are written and read by Spark's text source, so they may lie in any store that Spark
 reaches: a record is a row, and the two empty lines that end it are the separator. Reading cuts at
-the end of a record that a new record follows; a payload that holds that mark itself leaves a record
-shorter than its length field says, and the files where that happens are put together record by record.
+the lines that start with the version; a payload that holds such a line itself leaves a record
+shorter than its length field says, and the pieces of files where that happens are put together by a
+prefix sum over their lengths.
 
 Headers are grouped by payload digest and length: the record with the largest page id is the
 response, the others become revisits of it. Fresh archives are written from the joined records.
@@ -16,16 +17,19 @@ an empty archive.
 
 from __future__ import annotations
 
-import gzip
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetgrid.session import broadcast_if_small, durable
+
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 BETWEEN = CRLF * 2
-MARK = BETWEEN + VERSION + CRLF
+
+# No end of the mark is also its start, so marks never overlap; and it starts with a sign that the empty lines
+# before it do not repeat side by side, since Spark's line reader can lose a record where a split ends among those.
+MARK = "\n" + VERSION
 
 # Fixed values of RFC 4648 and of the WARC revisit profile.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -122,10 +126,19 @@ def field(head: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
+def block_end(piece: Column) -> Column:
+    """Bytes from the start of a piece to the end of its block, by the length field; null without one."""
+    head = F.substring_index(piece, BETWEEN, 1)
+    length = field(head, FIELDS["content_length"]).try_cast("int").cast("long")
+    return F.octet_length(head) + len(BETWEEN) + length
+
+
 def parsed(pieces: DataFrame) -> DataFrame:
-    """Records of pieces (file, piece): fields, payload, and whether the piece holds the whole block."""
-    raw = F.col("piece").cast("binary")
-    cut = pieces.withColumn("head_text", F.substring_index(F.col("piece"), BETWEEN, 1)).withColumn("raw", raw)
+    """Records of pieces (file, piece): fields, payload, and whether the piece holds the whole block.
+
+    A piece starts behind the version; the first of a file starts with it.
+    """
+    cut = pieces.withColumn("head_text", F.substring_index(F.col("piece"), BETWEEN, 1)).withColumn("raw", F.col("piece").cast("binary"))
     cut = cut.withColumn("block_from", F.octet_length("head_text") + len(BETWEEN))
     fields = {name: field(F.col("head_text"), title) for name, title in FIELDS.items()}
     records = cut.select("file", "raw", "block_from", *(value.alias(name) for name, value in fields.items()))
@@ -141,37 +154,67 @@ def parsed(pieces: DataFrame) -> DataFrame:
         F.col("payload_bytes").cast("long").alias("payload_bytes"),
         "refers_to_record",
         F.substring("raw", F.col("block_from") + head + 1, length - head).alias("payload"),
-        F.coalesce(F.octet_length("raw") >= F.col("block_from") + length, F.lit(False)).alias("complete"),
+        F.coalesce(F.octet_length("raw") >= F.col("block_from") + length.cast("long"), F.lit(False)).alias("complete"),
     )
 
 
-def whole_records(batches):
-    """Pieces of files read whole, by the length field of each record."""
-    for batch in batches:
-        for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data, at, found = content.as_py(), 0, []
-            data = gzip.decompress(data) if file.endswith(".gz") else data
-            while data.startswith(VERSION.encode(), at):
-                head_end = data.index(BETWEEN.encode(), at)
-                fields = dict(line.split(b": ", 1) for line in data[at:head_end].split(CRLF.encode())[1:])
-                end = head_end + len(BETWEEN) + int(fields[b"Content-Length"])
-                found.append(data[at + len(VERSION) + len(CRLF) : end])
-                at = end + len(BETWEEN)
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array(found, pa.binary())], ["file", "piece"])
+def pieces_of(spark: SparkSession, path: str, *more: Column) -> DataFrame:
+    """(file, ``more``, piece): the text of all archives in a folder, cut at every mark."""
+    lines = spark.read.option("lineSep", MARK).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), *more, F.col("value").alias("piece"))
+
+
+def record_starts(run: pd.DataFrame) -> pd.DataFrame:
+    """Where the record of each piece starts; the pieces of a run may lie in one another's blocks."""
+    run = run.sort_values("at")
+    starts, end = [], -1
+    for at, own_end in zip(run["at"], run["end"]):
+        if at > end:
+            start, end = at, own_end
+        starts.append(start)
+    return run.drop(columns=["run", "end"]).assign(start=starts)
+
+
+def mended(pieces: DataFrame) -> DataFrame:
+    """(file, piece) of pieces (file, block, place, piece) of which some are cut inside a block.
+
+    A prefix sum over lengths places every piece in its file. A piece that starts beyond the ends that all
+    earlier ones name starts a record; the pieces between two such places are a run, and only runs of several
+    pieces are walked, by lengths alone. Payloads move where they are joined to one record, no others.
+    """
+    order = Window.partitionBy("file").orderBy("block", "place")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    size = F.octet_length("piece").cast("long")
+    sized = pieces.select("file", "block", "place", size.alias("size"), F.greatest(size, block_end(F.col("piece"))).alias("reach"))
+    placed = sized.withColumn("at", F.coalesce(F.sum(F.col("size") + len(MARK)).over(earlier), F.lit(0)))
+    placed = placed.withColumn("end", F.col("at") + F.col("reach"))
+    fresh = F.coalesce(F.col("at") > F.max("end").over(earlier), F.lit(True))
+    runs = placed.withColumn("fresh", fresh.cast("long")).withColumn("run", F.sum("fresh").over(order))
+    runs = runs.withColumn("pieces", F.count("*").over(Window.partitionBy("file", "run")))
+    part = runs.filter("pieces > 1").select("file", "block", "place", "run", "at", "end")
+    starts = "file string, block long, place long, at long, start long"
+    known = durable(part.groupBy("file", "run").applyInPandas(record_starts, starts))
+    known = broadcast_if_small(known)
+    keys = ["file", "block", "place"]
+    listed = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    text = F.array_join(F.transform(listed, lambda one: one["piece"]), MARK)
+    joined = pieces.join(known, keys).groupBy("file", "start").agg(text.alias("piece"))
+    return pieces.join(known, keys, "left_anti").select("file", "piece").union(joined.select("file", "piece"))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Records of all archives in a folder."""
-    lines = spark.read.option("lineSep", MARK).text(path)
-    start = F.when(F.startswith("value", F.lit(VERSION + CRLF)), F.substring("value", len(VERSION + CRLF) + 1, 1 << 30))
-    pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.coalesce(start, "value").alias("piece"))
-    records = parsed(pieces)
-    torn = [row["file"] for row in records.filter("NOT complete").select("file").distinct().collect()]
-    if not torn:
+    records = parsed(pieces_of(spark, path))
+    torn = durable(records.filter("NOT complete").select("file").distinct())
+    files = torn.count()
+    if not files:
         return records.drop("complete", "file")
-    files = spark.read.format("binaryFile").load(torn).select("path", "content")
-    again = parsed(files.mapInArrow(whole_records, "file string, piece binary").select("file", F.col("piece").cast("string").alias("piece")))
-    return records.filter(~F.col("file").isin(torn)).union(again).drop("complete", "file")
+    torn = broadcast_if_small(torn, files)
+    block = F.col("_metadata.file_block_start").alias("block")
+    placed = pieces_of(spark, path, block, F.monotonically_increasing_id().alias("place"))
+    # A checkpoint fixes the places, which the parts below must agree on.
+    again = parsed(mended(durable(placed.join(torn, "file", "left_semi"))))
+    return records.join(torn, "file", "left_anti").select(again.columns).union(again).drop("complete", "file")
 
 
 def resolved(records: DataFrame, least_bytes: int = 0) -> DataFrame:

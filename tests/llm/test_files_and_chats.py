@@ -160,6 +160,23 @@ def test_revisits_point_to_the_largest_page(spark, pages, folder, least):
     assert found == sorted(wanted_pages(pages.collect(), least), key=str)
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_payloads_of_marks_are_put_together(spark, folder, compression):
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(name, "3000")
+    rng = random.Random(4)
+    record = "\r\n\r\nWARC/1.1\r\nContent-Length: "
+    parts = ["\r\n\r\nWARC/1.1\r\n", "\r\n\r\nWARC/1.1", "\r\n", "WARC/1.1\r\n", "ü", "", f"{record}2147483647\r\n\r\nx", f"{record}9\r\n\r\nx", f"{record}x\r\n\r\n"]
+    rows = [(n, f"u{n}", "".join(rng.choice(parts) for _ in range(rng.randrange(6)))) for n in range(120)]
+    rows += [(200 + n, "u", text) for n, text in enumerate(parts)]
+    records = page_records(spark.createDataFrame(rows, PAGE).repartition(3))
+    write_archive(records, folder, DATE, compression)
+    found = sorted((r.page_id, bytes(r.payload).decode(), r.record_id) for r in read_archive(spark, folder).collect())
+    assert found == sorted((r.page_id, bytes(r.payload).decode(), r.record_id) for r in records.collect())
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(name)
+
+
 def test_same_page_twice_stays_a_response(spark, folder):
     rows = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (0, "v", "a")], PAGE)
     verdicts = resolved(page_records(rows)).select("page_id", "record_type").collect()
