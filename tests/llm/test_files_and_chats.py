@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import base64
+import collections
 import gzip
 import hashlib
+import itertools
 import random
+import re
 from pathlib import Path
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -276,6 +280,76 @@ def test_long_chains_have_one_thread(spark):
     assert {r.turn: r.reply_to for r in found} == {n: n - 1 if n else None for n in range(30)}
 
 
+def plain(text):
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).strip(" ")
+
+
+def cut_units(text):
+    """(level, plain text) of every line, paragraph and passage of a message that counts."""
+    lines = []
+    for line in re.split("\r?\n", text):
+        marks = re.match("[ \t]*>[> \t]*", line)
+        lines.append((marks[0].count(">"), line[marks.end() :]) if marks else (0, line))
+    found = {(level, plain(body), False) for level, body in lines}
+    for level, passage in itertools.groupby(lines, key=lambda line: line[0]):
+        bodies = [body for _, body in passage]
+        found.add((level, plain(" ".join(bodies)), True))
+        starts = [0, *(n for n, body in enumerate(bodies) if not body.strip(" ")), len(bodies)]
+        found |= {(level, plain(" ".join(bodies[i:k])), False) for i, k in zip(starts, starts[1:])}
+    found.add((0, plain(" ".join(body for level, body in lines if not level)), True))
+    return {(level, words) for level, words, whole in found if words and (whole or not level or len(words) >= 8)}
+
+
+def linked_by_search(rows):
+    """(conv_id, turn) to (reply_to, ancestors, thread), every quoted unit sought in every earlier message."""
+    units = collections.defaultdict(set)
+    for conv, turn, _, text in rows:
+        units[conv, turn] |= cut_units(text or "")
+    links = {}
+    for (conv, turn), own in units.items():
+        votes = collections.defaultdict(collections.Counter)
+        for level, words in own:
+            holders = [t for (c, t), theirs in units.items() if c == conv and t < turn and (0, words) in theirs]
+            if level and holders:
+                votes[level][max(holders)] += len(words)
+        best = [max(votes[level].items(), key=lambda vote: (vote[1], vote[0]))[0] for level in sorted(votes)]
+        links[conv, turn] = (best[0] if best else None, best)
+
+    def first(conv, turn):
+        above = links[conv, turn][0]
+        return turn if above is None else first(conv, above)
+
+    return {key: (*link, first(*key)) for key, link in links.items()}
+
+
+@pytest.mark.parametrize("seed, bucket", [(1, 4), (2, 1024)])
+def test_links_equal_search(spark, monkeypatch, seed, bucket):
+    monkeypatch.setattr(quotes, "TURN_BUCKET", bucket)
+    rng = random.Random(seed)
+    words = "yes no Bread flour OVEN für 好的 two! wait, again hour > -- 12".split()
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(5)))
+    rows = []
+    for conv in range(6):
+        said = []
+        for turn in range(50):
+            parts = []
+            for _ in range(rng.randrange(1, 4)):
+                if said and rng.random() < 0.5:
+                    quoted = rng.choice(said).split("\n")
+                    start = rng.randrange(len(quoted))
+                    mark = rng.choice(["> ", ">", ">> ", " > > "])
+                    parts += [mark + rng.choice([str.upper, str])(q) for q in quoted[start : start + rng.randrange(1, 5)]]
+                else:
+                    parts += [line() for _ in range(rng.randrange(1, 4))]
+            said.append("\n".join(parts))
+            rows.append((conv, turn if rng.random() < 0.95 else max(turn - 1, 0), "user", said[-1]))
+    found = linked_conversations(spark.createDataFrame(rows, MESSAGE)).collect()
+    wanted = linked_by_search(rows)
+    assert len(found) == len(rows)
+    assert {(r.conv_id, r.turn): (r.reply_to, list(r.ancestors), r.thread) for r in found} == wanted
+    assert sum(link[0] is not None for link in wanted.values()) > 60
+
+
 def test_no_messages(spark):
     assert linked_conversations(spark.createDataFrame([], MESSAGE)).count() == 0
 
