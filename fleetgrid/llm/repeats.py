@@ -3,7 +3,7 @@
 Which documents to compare follows from anchors: places whose hash of ``GRAM`` bytes is the least
 of some window, chosen so that every ``match`` bytes hold one, and equal bytes hold equal ones. Anchors that
 meet no other document are done with. The others send the bytes around them to the bucket of their
-group: an area of the earliest document with the anchor, so that copies of one document meet there. What a text
+group: an area of the first document with the anchor, so that copies of one document meet there. What a text
 sends to a group are regions: the bytes that may match around its anchors, joined where they overlap.
 
 A bucket of groups keeps each distinct region once, with its earliest document; later copies of it are covered as a
@@ -11,9 +11,10 @@ whole. Regions that differ are cut into the bytes around their anchors. Of these
 the earliest, and those that differ around one anchor are streamed as matching statistics against run-length
 indexes of all but the latest of them. A long match removes ``match`` bytes if an earlier document holds them.
 
-Blocks of documents combine before every shuffle: an anchor hash, or a region, that a block
-holds in many documents is sent once, so a passage that a third of all documents share costs a row a block.
-An anchor with more than ``HOT_PLACES`` places sends all strings of ``match`` bytes around it instead, each to a group of
+Documents lie in blocks by a hash of id and text, shuffled once; each stage reads them from there and orders them anew.
+Hashes, answers, regions and spans go as one row per block and bucket, which numbers documents by their place in the
+block. Blocks combine before every shuffle: an anchor hash, or a region, that a block holds in many documents is sent
+once, so a passage that a third of all documents share is sent once a block. An anchor with more than ``HOT_PLACES`` places sends all strings of ``match`` bytes around it instead, each to a group of
 its own hash: equal ones still meet, and no bucket gets the anchor as a whole. A group therefore has at most
 ``HOT_PLACES`` places of each anchor in ``AREA`` bytes.
 
@@ -27,14 +28,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgrid.llm.blocks import blocks, total_bytes
+from fleetgrid.llm.blocks import text_bytes, total_bytes
 from fleetgrid.llm.rindex import RunIndex
-from fleetgrid.session import durable
 
 MATCH = 50
 GRAM = 20
@@ -43,10 +42,10 @@ HASH_BUCKET = 16_000_000
 BUCKET_BYTES = 8_000_000
 INDEX_SYMBOLS = 400_000
 HOT_PLACES = 4_000
+HOT_BUCKETS = 8
 AREA = 2_048
 CHUNK = 1 << 20
 LAST_ID = (1 << 63) - 1
-MANY = np.uint32(0xFFFFFFFF)
 FACTOR = 0xD6E8FEB86659FD93
 
 
@@ -109,8 +108,24 @@ def short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def as_blob(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as all their lowest bytes, then all their next ones, so that small numbers shrink when a shuffle compresses them."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def numbers(blob: bytes, kind: type) -> np.ndarray:
+    """The numbers that ``planes`` wrote, as 64 bits."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel().astype(np.int64)
+
+
+def steps(values: np.ndarray, kind: type) -> bytes:
+    """Ascending numbers as their differences."""
+    return planes(np.diff(values, prepend=0).astype(kind))
+
+
+def climbed(blob: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(numbers(blob, kind))
 
 
 def parts_of(sorted_: np.ndarray) -> list[tuple[int, int]]:
@@ -119,123 +134,110 @@ def parts_of(sorted_: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), [*first[1:].tolist(), len(sorted_)]))
 
 
-HASHES = (
-    "bucket int, docs binary, refs binary, keys binary, times binary, areas binary, own_refs binary, own_keys binary, own_areas binary"
-)
-HASH_NAMES = [part.split()[0] for part in HASHES.split(", ")]
-TYPES = (np.int64, *[np.uint32] * 7)
+def in_order(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """(ids, rows) of a block by id and mark; the shuffle gives the rows of a block in any order."""
+    at, mark = (table.column(n).to_numpy() for n in ("at", "mark"))
+    order = np.lexsort((mark, at))
+    return at[order], table.take(pa.array(order))
 
 
-def send_hashes(count: int, match: int):
-    """Task: per block and bucket the anchor hashes with their document, area of the text and number of places.
+class BlockAnchors:
+    """Anchors of the texts of a block, and its distinct anchor hashes in the order in which they go to their buckets.
 
-    Hashes that the block itself repeats come with all their documents. A row names the documents that its
-    hashes refer to, and no others.
+    A block is computed anew by each stage that needs it; equal rows give equal anchors, so answers need name no document.
     """
 
-    def work(batches):
-        for block, texts in blocks(batches, "text", BLOCK):
-            docs = np.stack([block.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
-            each = []
-            for text in texts:
-                places, hashes = anchors(text, match)
-                keys, at, times = np.unique(hashes, return_index=True, return_counts=True)
-                each.append((keys, times, places[at] // AREA))
-            keys, times, areas = (np.concatenate([e[k] for e in each]) for k in range(3))
-            refs = np.repeat(np.arange(len(each), dtype=np.uint32), [len(e[0]) for e in each])
-            order = np.argsort(keys, kind="stable")
-            keys, refs, times, areas = keys[order], refs[order], times[order], areas[order].astype(np.uint32)
-            first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-            last = np.concatenate([first[1:], [True]]) if len(keys) else first
-            single = first & last
-            sent, sent_keys, sent_areas = np.where(single, refs, MANY)[first], keys[first], areas[first]
-            sent_times = np.add.reduceat(times, np.flatnonzero(first)) if len(keys) else times
-            own, own_refs, own_areas = keys[~single], refs[~single], areas[~single]
-            buckets, own_buckets = (bucket_of(k, count) for k in (sent_keys, own))
-            # By document within a bucket, so that the references shrink to nothing when the shuffle compresses them.
-            order, own_order = np.lexsort((sent, buckets)), np.argsort(own_buckets, kind="stable")
-            own_buckets = own_buckets[own_order]
-            rows = []
-            for start, end in parts_of(buckets[order]):
-                here = order[start:end]
-                bucket = int(buckets[here[0]])
-                there = own_order[np.searchsorted(own_buckets, bucket) : np.searchsorted(own_buckets, bucket, "right")]
-                many = sent[here] == MANY
-                used = np.unique(np.concatenate([sent[here][~many], own_refs[there]]))
-                columns = (
-                    np.where(many, MANY, np.searchsorted(used, sent[here]).astype(np.uint32)),
-                    short(sent_keys[here]),
-                    np.minimum(sent_times[here], MANY).astype(np.uint32),
-                    sent_areas[here],
-                    np.searchsorted(used, own_refs[there]).astype(np.uint32),
-                    short(own[there]),
-                    own_areas[there],
-                )
-                rows.append((bucket, as_blob(docs[used]), *map(as_blob, columns)))
-            columns = list(zip(*rows)) or [()] * len(HASH_NAMES)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], HASH_NAMES
-            )
-
-    return work
+    def __init__(self, texts: list[bytes], buckets: int, match: int) -> None:
+        each = [anchors(text, match) for text in texts]
+        self.place, hashes = (np.concatenate([e[k] for e in each]) if each else np.zeros(0, np.int64) for k in (0, 1))
+        self.ref = np.repeat(np.arange(len(each)), [len(e[0]) for e in each])
+        order = np.argsort(hashes, kind="stable")
+        fresh = np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]]) if len(order) else np.zeros(0, bool)
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(order))[: len(first)] - 1
+        keys, refs = hashes[order[first]], self.ref[order[first]]
+        bucket = bucket_of(keys, buckets)
+        # By first document within a bucket, where references hardly climb.
+        sent = np.lexsort((refs, bucket))
+        self.bucket, self.keys, self.refs = bucket[sent], short(keys[sent]), refs[sent]
+        self.times = (last - first + 1)[sent]
+        self.many = (self.ref[order[last]] != refs)[sent]
+        self.areas = self.place[order[first]][sent] // AREA
+        number = np.empty(len(sent), np.int64)
+        number[sent] = np.arange(len(sent))
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = number[np.cumsum(fresh) - 1]
+
+
+HASHES = "bucket int, block int, keys binary, refs binary, times binary, areas binary, many binary"
+
+
+def send_hashes(buckets: int, match: int):
+    """Group: per bucket the distinct anchor hashes of a block, with first document, its area and number of places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        _, table = in_order(table)
+        own = BlockAnchors(text_bytes(table.column("text")), buckets, match)
+        rows = []
+        for start, end in parts_of(own.bucket):
+            here = slice(start, end)
+            small = (planes(v[here].astype(np.uint32)) for v in (own.times, own.areas))
+            many = np.packbits(own.many[here]).tobytes()
+            rows.append((int(own.bucket[start]), block, own.keys[here].tobytes(), steps(own.refs[here], np.uint32), *small, many))
+        return as_table(rows, HASHES)
+
+    return run
+
+
+def as_table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(part.split() for part in schema.split(", ")))
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.table([pa.array(c, kinds[t]) for c, t in zip(columns, types)], list(names))
 
 
 def bucket_of(hashes: np.ndarray, count: int) -> np.ndarray:
     return (hashes % np.uint64(count)).astype(np.int64)
 
 
-ANSWERS = "at long, mark long, places long, hot long, keys array<long>, groups array<long>"
+ANSWERS = "block int, bucket int, shared binary, groups binary"
 
 
 def answer_hashes(hot_places: int):
-    """Group: per document the anchor hashes that more than one document holds, with the group that compares them.
+    """Group: per block which of its anchor hashes more than one document holds, with the group that compares each.
 
-    A group is an area of the earliest document with the anchor; group 0 stands for anchors with very many places.
+    A group is an area of the first document of the first block with the anchor; group 0 stands for anchors with very many
+    places. Two groups with one number only meet in one bucket.
     """
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        blocks_ = [
-            [np.frombuffer(v.as_py(), t) for v, t in zip(row, TYPES)] for row in zip(*(table.column(n) for n in HASH_NAMES[1:]))
-        ]
-        docs = np.concatenate([b[0] for b in blocks_]).reshape(-1, 2)
-        offsets = np.cumsum([0] + [len(b[0]) // 2 for b in blocks_])[:-1]
-        refs, keys, times, areas, own_refs, own_keys, own_areas = (
-            np.concatenate([b[k].astype(np.int64) + (o if k in (1, 5) else 0) for b, o in zip(blocks_, offsets)]) for k in range(1, 8)
-        )
-        many = np.concatenate([b[1] == MANY for b in blocks_])
-        values, found, held = np.unique(keys, return_inverse=True, return_counts=True)
-        hot = np.bincount(found, times, len(values)) > hot_places
-        shared = held > 1
-        shared[found[many]] = True
-        # One entry per document and hash that others share.
-        asks = shared[found] & ~many
-        ref = np.concatenate([refs[asks], own_refs])
-        key = np.concatenate([found[asks], np.searchsorted(values, own_keys)])
-        area = np.concatenate([areas[asks], own_areas])
-        order = np.lexsort((ref, docs[ref, 1], docs[ref, 0], key))
-        heads = order[[a for a, _ in parts_of(key[order])]]
-        group_of = np.zeros(len(values), np.int64)
-        group_of[key[heads]] = mixed(docs[ref[heads], 0], docs[ref[heads], 1], area[heads])
-        group_of[hot] = 0
-
-        order = np.argsort(ref, kind="stable")
-        ref, key = ref[order], key[order]
-        parts = parts_of(ref)
-        starts = np.array([a for a, _ in parts] + [len(ref)], np.int32)
-        of = docs[ref[starts[:-1]]] if parts else docs[:0]
-        so_far = np.concatenate([[0], np.cumsum(hot[key])])
-        bounds = pa.array(starts)
-        return pa.table(
-            {
-                "at": pa.array(of[:, 0]),
-                "mark": pa.array(of[:, 1]),
-                "places": pa.array(np.diff(starts).astype(np.int64)),
-                "hot": pa.array(so_far[starts[1:]] - so_far[starts[:-1]]),
-                "keys": pa.ListArray.from_arrays(bounds, pa.array(values[key] | (bucket << 32))),
-                "groups": pa.ListArray.from_arrays(bounds, pa.array(group_of[key])),
-            }
-        )
+        rows = sorted(table.to_pylist(), key=lambda row: row["block"])
+        keys = [np.frombuffer(row["keys"], np.uint32) for row in rows]
+        sizes = [len(k) for k in keys]
+        refs = np.concatenate([climbed(row["refs"], np.uint32) for row in rows])
+        times, areas = (np.concatenate([numbers(row[n], np.uint32) for row in rows]) for n in ("times", "areas"))
+        many = np.concatenate([np.unpackbits(np.frombuffer(row["many"], np.uint8), count=n) for row, n in zip(rows, sizes)])
+        block = np.repeat([row["block"] for row in rows], sizes)
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        fresh = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])
+        first = np.flatnonzero(fresh)
+        shared = (np.diff(np.append(first, len(order))) > 1) | (np.add.reduceat(many[order].astype(np.int64), first) > 0)
+        heads = order[first]
+        group = (mixed(block[heads], refs[heads], areas[heads]) & 0xFFFFFFFF) | 1
+        group[np.add.reduceat(times[order], first) > hot_places] = 0
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        out, end = [], 0
+        for row, size in zip(rows, sizes):
+            here = number[end : end + size]
+            end += size
+            asked = shared[here]
+            if asked.any():
+                out.append((row["block"], bucket, np.packbits(asked).tobytes(), group[here[asked]].astype(np.uint32).tobytes()))
+        return as_table(out, ANSWERS)
 
     return run
 
@@ -249,105 +251,139 @@ def mixed(*columns: np.ndarray) -> np.ndarray:
     return ((found >> np.uint64(2)) | np.uint64(1)).astype(np.int64)
 
 
-REGIONS = "bucket int, at long, mark long, group long, start int, end int, around binary"
+REGIONS = "bucket int, block int, ats binary, refs binary, starts binary, sizes binary, around binary"
 
 
-def send_regions(bucket_count: int, count: int, match: int):
-    """Task: the regions of a text around repeated anchors, to the bucket of their group.
+def send_regions(buckets: int, count: int, hot_count: int, match: int):
+    """Group: the regions of a block around repeated anchors, to the bucket of their group.
 
     Of equal regions of a block the earliest document's goes; what it covers in later ones is sent as spans without bytes.
     """
 
-    def work(batches):
-        for block, texts in blocks(batches, "text", BLOCK):
-            ats, marks = block.column(0).to_pylist(), block.column(1).to_pylist()
-            entries: list[tuple[int, int, int, bytes]] = []
-            least: dict[tuple[int, bytes], int] = {}
-            for ref, text in enumerate(texts):
-                keys, groups = (block.column(k)[ref].values.flatten().to_numpy() for k in (3, 4))
-                at = ats[ref]
-                for start, end, group in regions_of(text, match, bucket_count, keys, groups):
-                    around = text[start:end]
-                    group = group or xxhash.xxh64_intdigest(around) >> 2
-                    entries.append((ref, start, group, around))
-                    if least.get((group, around), at) >= at:
-                        least[group, around] = at
-            rows: list[tuple] = []
-            done: dict[int, list[tuple[int, int]]] = {}
-            for ref, start, group, around in entries:
-                end = start + len(around)
-                if ats[ref] == least[group, around]:
-                    rows.append((group % count, ats[ref], marks[ref], group, start, end, around))
-                else:
-                    done.setdefault(ref, []).append((start, end))
-            for ref, spans in done.items():
-                for start, end in merged(np.array(spans, np.int64)).tolist():
-                    rows.append(((ats[ref] ^ marks[ref]) % count, ats[ref], marks[ref], 0, start, end, None))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], [part.split()[0] for part in REGIONS.split(", ")]
-            )
-
-    return work
-
-
-def regions_of(text: bytes, match: int, bucket_count: int, keys: np.ndarray, groups: np.ndarray):
-    """(start, end, group) of what a text sends: the bytes that may match around anchors of one group, joined where they overlap.
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not answers.num_rows:
+            return as_table([], REGIONS)
+        block = answers.column("block")[0].as_py()
+        at, table = in_order(table)
+        texts, ats = text_bytes(table.column("text")), at.tolist()
+        own = BlockAnchors(texts, buckets, match)
+        group_of = np.full(len(own.keys), -1)
+        for row in answers.to_pylist():
+            start, end = np.searchsorted(own.bucket, row["bucket"], "left"), np.searchsorted(own.bucket, row["bucket"], "right")
+            asked = np.unpackbits(np.frombuffer(row["shared"], np.uint8), count=end - start).astype(bool)
+            group_of[start + np.flatnonzero(asked)] = np.frombuffer(row["groups"], np.uint32)
+        group = group_of[own.number]
+        here = group >= 0
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        earliest: dict[tuple[int, bytes], int] = {}
+        sent: list[tuple[int, int, int, bytes]] = []
+        done: list[tuple[int, int, int]] = []
+        for ref, start, end, of in regions_of(own.ref[here], own.place[here], group[here], lengths, match):
+            around = texts[ref][start:end]
+            bucket = of % count if of else count + xxhash.xxh64_intdigest(around) % hot_count
+            # Documents come by id, so the first to hold a region is the earliest.
+            if earliest.setdefault((bucket, around), ats[ref]) == ats[ref]:
+                sent.append((bucket, ref, start, around))
+            else:
+                done.append((ref, start, end))
+        rows = []
+        sent.sort(key=lambda region: region[0])
+        for first, last in parts_of(np.fromiter((region[0] for region in sent), np.int64, len(sent))):
+            _, refs, starts, around = zip(*sent[first:last])
+            rows.append(region_row(sent[first][0], block, at, refs, starts, [len(a) for a in around], b"".join(around)))
+        if done:
+            refs, starts, ends = joined(*np.array(done, np.int64).T)
+            rows.append(region_row(block % count, block, at, refs, starts, ends - starts, None))
+        return as_table(rows, REGIONS)
+
+    return run
+
+
+def region_row(bucket: int, block: int, at: np.ndarray, refs, starts, sizes, around: bytes | None) -> tuple:
+    refs = np.asarray(refs, np.int64)
+    return (
+        bucket,
+        block,
+        steps(at[refs], np.int64),
+        steps(refs, np.uint32),
+        *(planes(np.asarray(v, np.uint32)) for v in (starts, sizes)),
+        around,
+    )
+
+
+def regions_of(ref: np.ndarray, place: np.ndarray, group: np.ndarray, lengths: np.ndarray, match: int):
+    """(document, start, end, group) of what a block sends, by document: the bytes that may match around anchors of one
+    group, joined where they overlap.
 
     Around a hot anchor (group 0) it is every string of ``match`` bytes.
     """
-    if not len(keys):
-        return
-    places, hashes = anchors(text, match)
-    codes = short(hashes).astype(np.int64) | (bucket_of(hashes, bucket_count) << 32)
-    order = np.argsort(keys, kind="stable")
-    keys, groups = keys[order], groups[order]
-    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-    here = keys[at] == codes
-    places, group = places[here], groups[at[here]]
-    reach, n = match - GRAM, len(text)
+    reach = match - GRAM
     usual = group > 0
-    starts, ends, of = np.maximum(places[usual] - reach, 0), np.minimum(places[usual] + match, n), group[usual]
+    refs, of = ref[usual], group[usual]
+    starts, ends = np.maximum(place[usual] - reach, 0), np.minimum(place[usual] + match, lengths[refs])
     if len(of):
-        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (starts[1:] > ends[:-1])]))
+        fresh = (refs[1:] != refs[:-1]) | (of[1:] != of[:-1]) | (starts[1:] > ends[:-1])
+        first = np.flatnonzero(np.concatenate([[True], fresh]))
         last = np.append(first[1:] - 1, len(of) - 1)
-        yield from zip(starts[first].tolist(), ends[last].tolist(), of[first].tolist())
-    if not usual.all():
-        windows = np.unique((places[~usual][:, None] - np.arange(reach + 1)).ravel())
-        for start in windows[(windows >= 0) & (windows + match <= n)].tolist():
-            yield start, start + match, 0
+        yield from zip(refs[first].tolist(), starts[first].tolist(), ends[last].tolist(), of[first].tolist())
+    hot = np.flatnonzero(~usual)
+    for a, b in parts_of(ref[hot]):
+        one = int(ref[hot[a]])
+        windows = np.unique((place[hot[a:b], None] - np.arange(reach + 1)).ravel())
+        for start in windows[(windows >= 0) & (windows + match <= lengths[one])].tolist():
+            yield one, start, start + match, 0
+
 
+SPANS = "block int, refs binary, starts binary, ends binary"
 
-def answer_regions(match: int):
-    """Group: per document the spans of a bucket that an earlier document also holds, as start and end in one number."""
+
+def answer_regions(count: int, match: int):
+    """Group: per block the spans of a bucket that an earlier document also holds.
+
+    Buckets from ``count`` on hold strings of ``match`` bytes alone, which only match where they are equal.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        has = table.column("around").is_valid().combine_chunks()
-        passed = table.filter(pc.invert(has))
-        table = table.filter(has)
-        out = [tuple(passed.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "start", "end"))]
-        if table.num_rows:
-            at, mark, start, end = (table.column(n).to_numpy().astype(np.int64) for n in ("at", "mark", "start", "end"))
-            coded = table.column("around").combine_chunks().dictionary_encode()
-            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        bucket = table.column("bucket")[0].as_py()
+        out, regions = [], []
+        for row in table.to_pylist():
+            refs, at = climbed(row["refs"], np.uint32), climbed(row["ats"], np.int64)
+            start, size = numbers(row["starts"], np.uint32), numbers(row["sizes"], np.uint32)
+            block = np.full(len(refs), row["block"])
+            if row["around"] is None:
+                out.append((block, refs, start, start + size))
+            else:
+                regions.append((block, refs, at, start, size, row["around"]))
+        if regions:
+            *columns, data = zip(*regions)
+            block, ref, at, start, size = (np.concatenate(column) for column in columns)
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            around = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))])
+            coded = around.dictionary_encode()
             which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
             bounds = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
             data = np.frombuffer(distinct.buffers()[2], np.uint8)
             owner = np.full(len(distinct), LAST_ID)
             np.minimum.at(owner, which, at)
             later = at > owner[which]
-            out.append(tuple(x[later] for x in (at, mark, start, end)))
-            region, first, last = long_matches(data, bounds[:-1], np.diff(bounds), owner, match)
-            rows = np.flatnonzero(~later)
-            low, high = np.searchsorted(region, which[rows], "left"), np.searchsorted(region, which[rows], "right")
-            times = high - low
-            rows = np.repeat(rows, times)
-            ends = np.cumsum(times)
-            span = np.repeat(low - (ends - times), times) + np.arange(len(rows))
-            out.append((at[rows], mark[rows], start[rows] + first[span], start[rows] + last[span]))
-        at, mark, start, end = (np.concatenate(column) for column in zip(*out))
-        return pa.table({"at": pa.array(at), "mark": pa.array(mark), "span": pa.array((start << 32) | end)})
+            out.append((block[later], ref[later], start[later], start[later] + size[later]))
+            if bucket < count:
+                region, first, last = long_matches(data, bounds[:-1], np.diff(bounds), owner, match)
+                rows = np.flatnonzero(~later)
+                low, high = np.searchsorted(region, which[rows], "left"), np.searchsorted(region, which[rows], "right")
+                times = high - low
+                rows = np.repeat(rows, times)
+                ends = np.cumsum(times)
+                span = np.repeat(low - (ends - times), times) + np.arange(len(rows))
+                out.append((block[rows], ref[rows], start[rows] + first[span], start[rows] + last[span]))
+        block, ref, start, end = (np.concatenate(column) for column in zip(*out))
+        order = np.lexsort((ref, block))
+        block, ref, start, end = block[order], ref[order], start[order], end[order]
+        rows = []
+        for a, b in parts_of(block):
+            columns = (planes(v[a:b].astype(np.uint32)) for v in (start, end))
+            rows.append((int(block[a]), steps(ref[a:b], np.uint32), *columns))
+        return as_table(rows, SPANS)
 
     return run
 
@@ -450,52 +486,37 @@ def content_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> n
     return (found ^ (found >> np.uint64(32))).view(np.int64)
 
 
-def merged(spans: np.ndarray) -> np.ndarray:
-    """Overlapping or touching spans as one."""
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    first = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
-    return np.stack([spans[first, 0], reach[np.append(first[1:] - 1, len(spans) - 1)]], 1)
-
-
-def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(at, mark, text): keys that are never null; the lowest bit of the mark says that the id is missing."""
+def marked(docs: DataFrame, id_col: str, text_col: str, count: int) -> DataFrame:
+    """(at, mark, text, block): keys that are never null; the lowest bit of the mark says that the id is missing."""
     id_ = F.col(id_col).cast("long")
     mark = F.xxhash64(text_col).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(id_.isNull().cast("long"))
-    return docs.select(F.coalesce(id_, F.lit(LAST_ID)).alias("at"), mark.alias("mark"), F.col(text_col).alias("text"))
+    texts = docs.select(F.coalesce(id_, F.lit(LAST_ID)).alias("at"), mark.alias("mark"), F.col(text_col).alias("text"))
+    return texts.withColumn("block", F.pmod(F.xxhash64("at", "mark"), F.lit(count)).cast("int"))
 
 
 def repeated_spans(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    match: int = MATCH,
-    hot_places: int = HOT_PLACES,
-    bucket_bytes: int = BUCKET_BYTES,
+    texts: DataFrame, size: int, match: int = MATCH, hot_places: int = HOT_PLACES, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
-    """(at, mark, spans): per document lists of the byte spans to remove, start and end in one number."""
+    """(block, refs, starts, ends): the byte spans to remove from the documents of a block, of ``size`` bytes of text."""
     if match <= GRAM:
         raise ValueError("a match must be longer than an anchor")
-    texts = marked(docs, id_col, text_col)
-    # A hash costs about sixteen bytes, an anchor comes every (match - GRAM + 2) / 2 bytes.
-    hash_bytes = total_bytes(docs, text_col) * 32 // (match - GRAM + 2)
-    hash_buckets = max(1, -(-hash_bytes // HASH_BUCKET))
-    long_enough = texts.filter(F.octet_length("text") >= match)
-    hashes = long_enough.mapInArrow(send_hashes(hash_buckets, match), HASHES)
-    answers = durable(hashes.groupBy("bucket").applyInArrow(answer_hashes(hot_places), ANSWERS))
-    places, hot = (n or 0 for n in answers.agg(F.sum("places"), F.sum("hot")).first())
-    # Regions overlap their neighbours: an anchor costs less than half of the bytes around it.
-    sent_bytes = (places - hot) * match + hot * match * (match - GRAM + 1)
-    count = max(1, -(-sent_bytes // bucket_bytes))
-    asked = answers.groupBy("at", "mark").agg(F.collect_list("keys").alias("keys"), F.collect_list("groups").alias("groups"))
-    # The same exchange of texts as for the removal, so the texts are shuffled once.
+    answers, buckets = answered(texts, size, match, hot_places)
+    # If all anchors were shared: one comes every (match - GRAM + 2) / 2 bytes, and regions overlap their neighbours. Strings
+    # around hot anchors have buckets of their own, larger ones, which hold no index: there may be one at every byte.
+    count = max(1, -(-size * 2 * match // ((match - GRAM + 2) * bucket_bytes)))
+    hot_count = max(1, -(-size * match // (HOT_BUCKETS * bucket_bytes)))
     regions = (
-        texts.join(asked, ["at", "mark"])
-        .select("at", "mark", "text", "keys", "groups")
-        .mapInArrow(send_regions(hash_buckets, count, match), REGIONS)
+        texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send_regions(buckets, count, hot_count, match), REGIONS)
     )
-    found = regions.groupBy("bucket").applyInArrow(answer_regions(match), "at long, mark long, span long")
-    return found.groupBy("at", "mark").agg(F.collect_list("span").alias("spans"))
+    return regions.groupBy("bucket").applyInArrow(answer_regions(count, match), SPANS)
+
+
+def answered(texts: DataFrame, size: int, match: int, hot_places: int) -> tuple[DataFrame, int]:
+    """(block, bucket, shared, groups), a row per block and bucket of hashes at most; and how many buckets there are."""
+    # A hash costs about sixteen bytes in a task.
+    buckets = max(1, -(-size * 32 // ((match - GRAM + 2) * HASH_BUCKET)))
+    hashes = texts.groupBy("block").applyInArrow(send_hashes(buckets, match), HASHES)
+    return hashes.groupBy("bucket").applyInArrow(answer_hashes(hot_places), ANSWERS), buckets
 
 
 def remove_repeats(
@@ -508,29 +529,34 @@ def remove_repeats(
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row of ``docs``."""
-    spans = repeated_spans(docs, id_col, text_col, match, hot_places, bucket_bytes)
-    doc_id = F.when(F.col("mark").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("at")).alias("doc_id")
-    texts = marked(docs, id_col, text_col)
-    joined = texts.join(spans, ["at", "mark"], "left").select(doc_id, "text", "spans")
-
-    def work(batches):
-        for block, texts_ in blocks(batches, "text"):
-            rows = []
-            for text, listed in zip(texts_, block.column(2)):
-                kept, removed, n_spans = text, 0, 0
-                if listed.is_valid:
-                    numbers = listed.values.to_numpy()
-                    cut = merged(np.stack([numbers >> 32, numbers & 0xFFFFFFFF], 1))
-                    removed, n_spans = int((cut[:, 1] - cut[:, 0]).sum()), len(cut)
-                    bounds = [0, *cut.ravel().tolist(), len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
-                row = (len(text), removed, n_spans, hashlib.sha256(kept).hexdigest())
-                rows.append((*row, kept) if with_kept else row)
-            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * with_kept
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names
-            )
+    size = total_bytes(docs, text_col)
+    # Every stage that needs texts reads them from one exchange by block.
+    texts = marked(docs, id_col, text_col, max(1, -(-size // BLOCK)))
+    spans = repeated_spans(texts, size, match, hot_places, bucket_bytes)
+
+    def run(table: pa.Table, spans: pa.Table) -> pa.Table:
+        _, table = in_order(table)
+        found = [
+            (climbed(row["refs"], np.uint32), numbers(row["starts"], np.uint32), numbers(row["ends"], np.uint32))
+            for row in spans.to_pylist()
+        ]
+        ref, start, end = joined(*(np.concatenate(c) for c in zip(*found))) if found else np.zeros((3, 0), np.int64)
+        cuts = np.stack([start, end], 1)
+        ids, marks = (table.column(n).to_pylist() for n in ("at", "mark"))
+        texts_ = text_bytes(table.column("text"))
+        low = np.searchsorted(ref, np.arange(len(texts_) + 1)).tolist()
+        rows = []
+        for i, text in enumerate(texts_):
+            kept, cut = text, cuts[low[i] : low[i + 1]]
+            if len(cut):
+                bounds = [0, *cut.ravel().tolist(), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
+            row = (None if marks[i] & 1 else ids[i], len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest())
+            rows.append((*row, kept) if with_kept else row)
+        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
     names = [part.split()[0] for part in schema.split(", ")]
-    return joined.mapInArrow(work, schema)
+    return texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(run, schema)

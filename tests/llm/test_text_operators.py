@@ -226,6 +226,26 @@ def test_hot_anchors_are_split(documents, hot, bucket):
     assert sum(r[2] > 0 for r in got) > 50
 
 
+@pytest.mark.parametrize("hot", [4_000, 2])
+def test_repeats_across_blocks(documents, corpus, monkeypatch, hot):
+    """Many blocks and buckets: each pair of them exchanges one row at most, however many documents a block has."""
+    rng = random.Random(21)
+    some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [some(rng.randrange(45, 200)) for _ in range(20)]
+    rows = [(k, some(rng.randrange(90)) + rng.choice(passages) + some(rng.randrange(90)) + rng.choice(passages)) for k in range(-40, 260)]
+    rows += [(1000 + k, t) for k, t in corpus] + [(2000, rows[7][1]), (2000, rows[7][1]), (2000, rows[9][1][5:]), (2001, None)]
+    docs = documents(*rng.sample(rows, len(rows)))
+    monkeypatch.setattr(repeats, "BLOCK", 9_000)
+    monkeypatch.setattr(repeats, "HASH_BUCKET", 4_000)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    blocks = -(-size // 9_000)
+    answers, buckets = repeats.answered(repeats.marked(docs, "doc_id", "text", blocks), size, 50, hot)
+    assert blocks > 5 and buckets > 5 and blocks < answers.count() <= blocks * buckets
+    got = sorted(tuple(r) for r in remove_repeats(docs, hot_places=hot, bucket_bytes=5_000).collect())
+    assert got == sorted(repeats_by_search([(k, (t or "").encode()) for k, t in rows], 50))
+    assert len({r[2] for r in got}) > 50
+
+
 def test_repeats_without_id_come_last(documents, corpus):
     text = next(t for _, t in corpus if t and len(t) > 100)
     got = {r.doc_id: r.n_removed for r in remove_repeats(documents((5, text), (None, text))).collect()}
