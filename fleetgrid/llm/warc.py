@@ -71,7 +71,7 @@ def record_id(page_id: Column, digest: Column) -> Column:
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One response record per page."""
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
+    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     url = F.coalesce(F.col(url_col), F.concat(F.lit("urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("none"))))
     url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
@@ -92,7 +92,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def write_archive(records: DataFrame, path: str, date: str, compression: str = "gzip") -> None:
     """Records with fresh headers; a revisit holds the HTTP head alone. ``date`` is an ISO time in UTC.
 
-    A file holds ``FILE_RECORDS`` records at most, so that no task reads a large file alone.
+    A file holds ``FILE_RECORDS`` records at most, so that no task reads a large file alone. Compression is the fastest
+    level of gzip: an eighth more bytes for a quarter of the time.
     """
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
@@ -117,13 +118,16 @@ def write_archive(records: DataFrame, path: str, date: str, compression: str = "
     ]
     text = F.concat(F.lit(VERSION + CRLF), *(F.coalesce(part, F.lit("")) for part in lines), F.lit(CRLF), block)
     writer = records.select(text.alias("value")).write.option("lineSep", BETWEEN)
-    writer.option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(path)
+    writer = writer.option("maxRecordsPerFile", FILE_RECORDS).option("zlib.compress.level", "BEST_SPEED")
+    writer.option("compression", compression).text(path)
 
 
 def field(head: Column, name: str) -> Column:
     """Value of a header field; null without it."""
-    value = F.regexp_extract(head, f"(?:^|\r\n){name}: ([^\r\n]*)", 1)
-    return F.when(value != "", value)
+    value = F.split_part(F.concat(F.lit(CRLF), head), F.lit(f"{CRLF}{name}: "), F.lit(2))
+    for end in CRLF:
+        value = F.substring_index(value, end, 1)
+    return F.nullif(value, F.lit(""))
 
 
 def block_end(piece: Column) -> Column:

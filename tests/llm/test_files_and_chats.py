@@ -9,6 +9,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +24,7 @@ from fleetgrid.llm.quotes import linked_conversations
 from fleetgrid.llm.separators import token_counts, write_token_files
 from fleetgrid.llm.warc import (
     deduplicate_archive,
+    field,
     page_records,
     read_archive,
     resolved,
@@ -156,6 +158,23 @@ def test_archive_round_trip(spark, pages, folder, compression):
     assert text.count(b"WARC-Date: 2024-02-03T04:05:06Z\r\n") == 11 and text.endswith(b"\r\n\r\n")
 
 
+def test_fields_are_cut_without_patterns(spark):
+    """The value behind the first line start with the name, up to any line end, found without a search by pattern."""
+    heads = ["A: 1\r\nB: 2", "\r\nA: 1\nx\r\nA: 2", "xA: 1", "\nA: 1", "\r\nA: \r\nA: 2", "\r\nA:  \rz", "A: A: 3", "", "\r\nAA: 1\r\nA: ü: é"]
+    found = spark.createDataFrame([(n, h) for n, h in enumerate(heads)], "n int, head string").select("n", field(F.col("head"), "A").alias("a"))
+    wanted = [(re.search("(?:^|\r\n)A: ([^\r\n]*)", h) or [None, None])[1] or None for h in heads]
+    assert [r.a for r in found.orderBy("n").collect()] == wanted
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_archives_are_compressed_fast(spark, folder):
+    rows = [(n, f"u{n}", " ".join(str(n * k % 997) for k in range(300))) for n in range(300)]
+    write_archive(page_records(spark.createDataFrame(rows, PAGE).coalesce(1)), folder, DATE)
+    raw = b"".join(p.read_bytes() for p in Path(folder).glob("part-*.gz"))
+    fast = len(zlib.compress(gzip.decompress(raw), 1))
+    assert abs(len(raw) - fast) < 0.02 * fast
+
+
 @pytest.mark.parametrize("least", [0, 6, 20])
 def test_revisits_point_to_the_largest_page(spark, pages, folder, least):
     write_archive(page_records(pages), folder, DATE)
