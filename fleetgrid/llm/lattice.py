@@ -27,10 +27,11 @@ from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgrid.llm.blocks import blocks, per_text, split_words, total_bytes
+from fleetgrid.llm.blocks import blocks, per_text, total_bytes
 from fleetgrid.session import durable
 
 SOURCE_BYTES = 32_000_000
@@ -189,14 +190,25 @@ def block_rows(batches):
         )
 
 
+def split_lower(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of all texts in order, by Arrow, and how many each text has."""
+    listed = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = listed.values.slice(listed.offsets[0].as_py(), listed.offsets[-1].as_py() - listed.offsets[0].as_py())
+    # White space at an end of a text leaves an empty string there.
+    real = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    bounds = listed.offsets.to_numpy().astype(np.int64)
+    each = np.diff(np.concatenate([[0], np.cumsum(real)])[bounds - bounds[0]])
+    return words.filter(pa.array(real)).cast(pa.binary()), each
+
+
 def words_of_source(table: pa.Table) -> pa.Table:
     """Distinct words of one source, the end among them."""
-    words: set[bytes] = {END}
-    for _, texts in blocks(iter(table.to_batches()), "text"):
-        for text in texts:
-            words.update(text.lower().split())
+    words = [pa.array([END], pa.binary())]
+    for block, _ in blocks(iter(table.to_batches()), "text"):
+        words.append(split_lower(block.column("text"))[0].unique())
+    found = pa.concat_arrays(words).unique()
     source = table.column("source")[0].as_py()
-    return pa.table({"source": pa.array([source] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary())})
+    return pa.table({"source": pa.array([source] * len(found), pa.int64()), "word": found})
 
 
 def lattice_scores(
@@ -256,15 +268,17 @@ def lattice_scores(
     of_source = in_source.join(scored, "word")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        index = {word: i for i, word in enumerate(right.column("word").to_pylist())}
+        words = right.column("word").combine_chunks()
+        end = pc.index_in(pa.array([END], pa.binary()), words)[0].as_py()
         seen = right.column("count").to_numpy()
         base, logs = np.log10(seen + 1.0) - base_below, right.column("log10").to_numpy()
         known = (seen > 0).astype(np.int64)
         parts: list[tuple[np.ndarray, ...]] = []
-        for _, found in blocks(iter(left.to_batches()), "text"):
-            listed, each = split_words([text.lower() for text in found])
-            at = np.fromiter(map(index.__getitem__, listed), np.int64, len(listed))
-            end = index[END]
+        for block, _ in blocks(iter(left.to_batches()), "text", COUNTED_BYTES):
+            listed, each = split_lower(block.column("text"))
+            # Each distinct word of the block is looked up once.
+            coded = listed.dictionary_encode()
+            at = pc.index_in(coded.dictionary, words).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
             parts.append(
                 (each + 1, per_text(known[at], each) + known[end], *(per_sum(v[at], each) + v[end] for v in (base, logs)))
             )

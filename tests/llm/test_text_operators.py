@@ -11,11 +11,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fleetgrid import session
-from fleetgrid.llm import bottomk, packing, repeats, seeds
+from fleetgrid.llm import bottomk, lattice, packing, repeats, seeds
 from fleetgrid.llm.bottomk import near_duplicates
 from fleetgrid.llm.fertility import Band, fertility
 from fleetgrid.llm.lattice import Lattice, first_weights, lattice_scores, vocabulary_pieces
@@ -509,6 +510,20 @@ def test_lattice_sums_all_segmentations():
     assert math.isfinite(lattice.forward("☃漢".encode())) and math.isfinite(lattice.forward(b"x" * 5000))
 
 
+def test_lattice_words_are_split_by_arrow():
+    """The words of bytes that Python splits and lowers, for slices too."""
+    rng = random.Random(3)
+    parts = [" ", "\t", "\n", "\v", "\f", "\r", "\x00", "\x1c", "\x1f", "\x85", "\u00a0", "\u2003", "A", "zÜ", "\u0130", "q", "\ufeff"]
+    texts = ["", " ", "\n\n", "a", " a", "a ", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(500))]
+    for part in (texts, texts[3:200], texts[:1], []):
+        array = pa.array(texts + ["end"], pa.string()).slice(texts.index(part[0]) if part else 0, len(part))
+        words, each = lattice.split_lower(array)
+        wanted = [text.encode().lower().split() for text in array.to_pylist()]
+        assert words.to_pylist() == [w for ws in wanted for w in ws] and each.tolist() == [len(ws) for ws in wanted]
+    found = lattice.words_of_source(pa.table({"text": pa.array(texts), "source": pa.array([4] * len(texts), pa.int64())}))
+    assert sorted(found.column("word").to_pylist()) == sorted({b"", *(w for t in texts for w in t.encode().lower().split())})
+
+
 def test_lattice_scores(documents, corpus):
     rows = [*corpus, (None, "THE end"), (3, corpus[8][1])]
     found = lattice_scores(documents(*rows), PIECES).collect()
