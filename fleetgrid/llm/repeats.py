@@ -18,6 +18,9 @@ once, so a passage that a third of all documents share is sent once a block. An
 its own hash: equal ones still meet, and no bucket gets the anchor as a whole. A group therefore has at most
 ``HOT_PLACES`` places of each anchor in ``AREA`` bytes.
 
+Rows between blocks and buckets grow with the square of the table, so there are no more buckets than the shared anchors
+fill, and large tables send up to ``WIDE`` buckets as one row, to one task that works on them one after the other.
+
 Defined results: a null text has no bytes; rows with one id don't remove each other's bytes; a row
 without an id has the rank of the largest id; texts shorter than ``match`` stay whole.
 """
@@ -43,6 +46,8 @@ BUCKET_BYTES = 8_000_000
 INDEX_SYMBOLS = 400_000
 HOT_PLACES = 4_000
 HOT_BUCKETS = 8
+WIDE = 8
+WIDE_GROUPS = 64
 AREA = 2_048
 CHUNK = 1 << 20
 LAST_ID = (1 << 63) - 1
@@ -201,14 +206,14 @@ def bucket_of(hashes: np.ndarray, count: int) -> np.ndarray:
     return (hashes % np.uint64(count)).astype(np.int64)
 
 
-ANSWERS = "block int, bucket int, shared binary, groups binary"
+ANSWERS = "block int, bucket int, shared binary, groups binary, places int, hot int"
 
 
 def answer_hashes(hot_places: int):
     """Group: per block which of its anchor hashes more than one document holds, with the group that compares each.
 
     A group is an area of the first document of the first block with the anchor; group 0 stands for anchors with very many
-    places. Two groups with one number only meet in one bucket.
+    places. Two groups with one number only meet in one bucket. ``places`` and ``hot`` count the shared places of the block.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -236,7 +241,9 @@ def answer_hashes(hot_places: int):
             end += size
             asked = shared[here]
             if asked.any():
-                out.append((row["block"], bucket, np.packbits(asked).tobytes(), group[here[asked]].astype(np.uint32).tobytes()))
+                groups, held = group[here[asked]], times[end - size : end][asked]
+                counts = int(held[groups > 0].sum()), int(held[groups == 0].sum())
+                out.append((row["block"], bucket, np.packbits(asked).tobytes(), groups.astype(np.uint32).tobytes(), *counts))
         return as_table(out, ANSWERS)
 
     return run
@@ -251,11 +258,24 @@ def mixed(*columns: np.ndarray) -> np.ndarray:
     return ((found >> np.uint64(2)) | np.uint64(1)).astype(np.int64)
 
 
-REGIONS = "bucket int, block int, ats binary, refs binary, starts binary, sizes binary, around binary"
+REGIONS = "bucket int, block int, fine binary, ats binary, refs binary, starts binary, sizes binary, around binary"
+
 
+def region_buckets(places: int, hot: int, size: int, match: int, bucket_bytes: int) -> tuple[int, int, int]:
+    """How many buckets the regions around so many shared places fill, how many of them are one row, and how many buckets
+    the strings around hot places fill."""
+    # A region has the bytes around an anchor; if all anchors were shared, one came every (match - GRAM + 2) / 2 bytes, and
+    # regions overlapped their neighbours. Strings around hot anchors have buckets of their own, larger ones, which hold no
+    # index: there may be one at every byte.
+    bytes_ = min(places * (2 * match - GRAM), size * 2 * match // (match - GRAM + 2))
+    count = max(1, -(-bytes_ // bucket_bytes))
+    hot_count = max(1, -(-min(hot * (match - GRAM + 1), size) * match // (HOT_BUCKETS * bucket_bytes)))
+    return count, max(1, min(WIDE, count // WIDE_GROUPS)), hot_count
 
-def send_regions(buckets: int, count: int, hot_count: int, match: int):
-    """Group: the regions of a block around repeated anchors, to the bucket of their group.
+
+def send_regions(buckets: int, size: int, match: int, bucket_bytes: int):
+    """Group: the regions of a block around repeated anchors, to the bucket of their group. Strings around hot anchors have
+    negative buckets.
 
     Of equal regions of a block the earliest document's goes; what it covers in later ones is sent as spans without bytes.
     """
@@ -263,47 +283,106 @@ def send_regions(buckets: int, count: int, hot_count: int, match: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows:
             return as_table([], REGIONS)
+        all_places, all_hot = (answers.column(n)[0].as_py() for n in ("all_places", "all_hot"))
+        count, wide, hot_count = region_buckets(all_places, all_hot, size, match, bucket_bytes)
         block = answers.column("block")[0].as_py()
         at, table = in_order(table)
         texts, ats = text_bytes(table.column("text")), at.tolist()
         own = BlockAnchors(texts, buckets, match)
         group_of = np.full(len(own.keys), -1)
-        for row in answers.to_pylist():
+        for row in answers.select(["bucket", "shared", "groups"]).to_pylist():
             start, end = np.searchsorted(own.bucket, row["bucket"], "left"), np.searchsorted(own.bucket, row["bucket"], "right")
             asked = np.unpackbits(np.frombuffer(row["shared"], np.uint8), count=end - start).astype(bool)
             group_of[start + np.flatnonzero(asked)] = np.frombuffer(row["groups"], np.uint32)
         group = group_of[own.number]
-        here = group >= 0
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         earliest: dict[tuple[int, bytes], int] = {}
-        sent: list[tuple[int, int, int, bytes]] = []
+        sent: list[tuple[int, int, int, int, bytes]] = []
         done: list[tuple[int, int, int]] = []
-        for ref, start, end, of in regions_of(own.ref[here], own.place[here], group[here], lengths, match):
+        usual = group > 0
+        for ref, start, end, of in regions_of(own.ref[usual], own.place[usual], group[usual], lengths, match):
             around = texts[ref][start:end]
-            bucket = of % count if of else count + xxhash.xxh64_intdigest(around) % hot_count
+            bucket = of % count
             # Documents come by id, so the first to hold a region is the earliest.
             if earliest.setdefault((bucket, around), ats[ref]) == ats[ref]:
-                sent.append((bucket, ref, start, around))
+                sent.append((bucket // wide, bucket % wide, ref, start, around))
             else:
                 done.append((ref, start, end))
         rows = []
         sent.sort(key=lambda region: region[0])
         for first, last in parts_of(np.fromiter((region[0] for region in sent), np.int64, len(sent))):
-            _, refs, starts, around = zip(*sent[first:last])
-            rows.append(region_row(sent[first][0], block, at, refs, starts, [len(a) for a in around], b"".join(around)))
-        if done:
-            refs, starts, ends = joined(*np.array(done, np.int64).T)
-            rows.append(region_row(block % count, block, at, refs, starts, ends - starts, None))
+            _, fine, refs, starts, around = zip(*sent[first:last])
+            rows.append(region_row(sent[first][0], block, at, fine, refs, starts, [len(a) for a in around], b"".join(around)))
+        covered = [np.array(done, np.int64).reshape(-1, 3).T]
+        hot = group == 0
+        if hot.any():
+            strings = HotStrings(texts, at, own.ref[hot], own.place[hot], lengths, match)
+            rows += strings.rows(block, hot_count)
+            covered.append(strings.covered())
+        refs, starts, ends = joined(*np.concatenate(covered, 1))
+        if len(refs):
+            rows.append(region_row(block % -(-count // wide), block, at, np.zeros(len(refs)), refs, starts, ends - starts, None))
         return as_table(rows, REGIONS)
 
     return run
 
 
-def region_row(bucket: int, block: int, at: np.ndarray, refs, starts, sizes, around: bytes | None) -> tuple:
+class HotStrings:
+    """All strings of ``match`` bytes around the hot anchors of a block, by document and place, and which of them an earlier
+    document of the block holds."""
+
+    def __init__(self, texts: list[bytes], at: np.ndarray, ref: np.ndarray, place: np.ndarray, lengths: np.ndarray, match: int) -> None:
+        self.at, self.match, data = at, match, b"".join(texts)
+        base = np.cumsum(lengths) - lengths
+        low, high = np.maximum(place - (match - GRAM), 0), np.minimum(place, lengths[ref] - match)
+        edges = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edges, base[ref] + low, 1)
+        np.add.at(edges, base[ref] + high + 1, -1)
+        self.place = np.flatnonzero(np.cumsum(edges, dtype=np.int32) > 0)
+        self.ref = np.searchsorted(base, self.place, "right") - 1
+        self.start = self.place - base[self.ref]
+        self.windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), match)
+        self.hashes = np.empty(len(self.place), np.uint64)
+        for begin in range(0, len(data), CHUNK):
+            a, b = np.searchsorted(self.place, (begin, begin + CHUNK))
+            if a < b:
+                self.hashes[a:b] = gram_hashes(data[begin : begin + CHUNK + match - 1], match)[self.place[a:b] - begin]
+        order = np.argsort(self.hashes, kind="stable")
+        fresh = np.concatenate([[True], self.hashes[order[1:]] != self.hashes[order[:-1]]])
+        first = np.empty(len(order), np.int64)
+        first[order] = order[fresh][np.cumsum(fresh) - 1]
+        # Documents come by id, so the first to hold a string is the earliest; another string with its hash is sent.
+        self.done = at[self.ref] != at[self.ref[first]]
+        later = np.flatnonzero(self.done)
+        for begin in range(0, len(later), CHUNK):
+            some = later[begin : begin + CHUNK]
+            self.done[some] = (self.windows[self.place[some]] == self.windows[self.place[first[some]]]).all(1)
+
+    def rows(self, block: int, hot_count: int) -> list[tuple]:
+        """Those to be compared with other blocks, by hash, to negative buckets."""
+        sent = np.flatnonzero(~self.done)
+        bucket = bucket_of(self.hashes[sent], hot_count)
+        order = np.argsort(bucket, kind="stable")
+        sent, bucket = sent[order], bucket[order]
+        out = []
+        for a, b in parts_of(bucket):
+            here = sent[a:b]
+            none, sizes = np.zeros(b - a), np.full(b - a, self.match)
+            around = self.windows[self.place[here]].tobytes()
+            out.append(region_row(-1 - int(bucket[a]), block, self.at, none, self.ref[here], self.start[here], sizes, around))
+        return out
+
+    def covered(self) -> np.ndarray:
+        """Documents, starts and ends of the strings that an earlier document of the block holds."""
+        return np.stack([self.ref[self.done], self.start[self.done], self.start[self.done] + self.match])
+
+
+def region_row(bucket: int, block: int, at: np.ndarray, fine, refs, starts, sizes, around: bytes | None) -> tuple:
     refs = np.asarray(refs, np.int64)
     return (
         bucket,
         block,
+        planes(np.asarray(fine, np.uint8)),
         steps(at[refs], np.int64),
         steps(refs, np.uint32),
         *(planes(np.asarray(v, np.uint32)) for v in (starts, sizes)),
@@ -313,34 +392,23 @@ def region_row(bucket: int, block: int, at: np.ndarray, refs, starts, sizes, aro
 
 def regions_of(ref: np.ndarray, place: np.ndarray, group: np.ndarray, lengths: np.ndarray, match: int):
     """(document, start, end, group) of what a block sends, by document: the bytes that may match around anchors of one
-    group, joined where they overlap.
-
-    Around a hot anchor (group 0) it is every string of ``match`` bytes.
-    """
-    reach = match - GRAM
-    usual = group > 0
-    refs, of = ref[usual], group[usual]
-    starts, ends = np.maximum(place[usual] - reach, 0), np.minimum(place[usual] + match, lengths[refs])
-    if len(of):
-        fresh = (refs[1:] != refs[:-1]) | (of[1:] != of[:-1]) | (starts[1:] > ends[:-1])
-        first = np.flatnonzero(np.concatenate([[True], fresh]))
-        last = np.append(first[1:] - 1, len(of) - 1)
-        yield from zip(refs[first].tolist(), starts[first].tolist(), ends[last].tolist(), of[first].tolist())
-    hot = np.flatnonzero(~usual)
-    for a, b in parts_of(ref[hot]):
-        one = int(ref[hot[a]])
-        windows = np.unique((place[hot[a:b], None] - np.arange(reach + 1)).ravel())
-        for start in windows[(windows >= 0) & (windows + match <= lengths[one])].tolist():
-            yield one, start, start + match, 0
+    group, joined where they overlap."""
+    if not len(ref):
+        return
+    starts, ends = np.maximum(place - (match - GRAM), 0), np.minimum(place + match, lengths[ref])
+    fresh = (ref[1:] != ref[:-1]) | (group[1:] != group[:-1]) | (starts[1:] > ends[:-1])
+    first = np.flatnonzero(np.concatenate([[True], fresh]))
+    last = np.append(first[1:] - 1, len(ref) - 1)
+    yield from zip(ref[first].tolist(), starts[first].tolist(), ends[last].tolist(), group[first].tolist())
 
 
 SPANS = "block int, refs binary, starts binary, ends binary"
 
 
-def answer_regions(count: int, match: int):
-    """Group: per block the spans of a bucket that an earlier document also holds.
+def answer_regions(match: int):
+    """Group: per block the spans of a row of buckets that an earlier document also holds.
 
-    Buckets from ``count`` on hold strings of ``match`` bytes alone, which only match where they are equal.
+    Negative buckets hold strings of ``match`` bytes alone, which only match where they are equal.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -353,29 +421,16 @@ def answer_regions(count: int, match: int):
             if row["around"] is None:
                 out.append((block, refs, start, start + size))
             else:
-                regions.append((block, refs, at, start, size, row["around"]))
+                regions.append((np.frombuffer(row["fine"], np.uint8), block, refs, at, start, size, row["around"]))
         if regions:
             *columns, data = zip(*regions)
-            block, ref, at, start, size = (np.concatenate(column) for column in columns)
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            around = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))])
-            coded = around.dictionary_encode()
-            which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-            bounds = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
-            data = np.frombuffer(distinct.buffers()[2], np.uint8)
-            owner = np.full(len(distinct), LAST_ID)
-            np.minimum.at(owner, which, at)
-            later = at > owner[which]
-            out.append((block[later], ref[later], start[later], start[later] + size[later]))
-            if bucket < count:
-                region, first, last = long_matches(data, bounds[:-1], np.diff(bounds), owner, match)
-                rows = np.flatnonzero(~later)
-                low, high = np.searchsorted(region, which[rows], "left"), np.searchsorted(region, which[rows], "right")
-                times = high - low
-                rows = np.repeat(rows, times)
-                ends = np.cumsum(times)
-                span = np.repeat(low - (ends - times), times) + np.arange(len(rows))
-                out.append((block[rows], ref[rows], start[rows] + first[span], start[rows] + last[span]))
+            fine, *columns = (np.concatenate(column) for column in columns)
+            offsets = np.concatenate([[0], np.cumsum(columns[-1])]).astype(np.int32)
+            around = pa.Array.from_buffers(pa.binary(), len(fine), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))])
+            order = np.argsort(fine, kind="stable")
+            for a, b in parts_of(fine[order]):
+                here = order[a:b]
+                out += covered_spans(*(column[here] for column in columns), around.take(pa.array(here)), bucket >= 0)
         block, ref, start, end = (np.concatenate(column) for column in zip(*out))
         order = np.lexsort((ref, block))
         block, ref, start, end = block[order], ref[order], start[order], end[order]
@@ -385,6 +440,26 @@ def answer_regions(count: int, match: int):
             rows.append((int(block[a]), steps(ref[a:b], np.uint32), *columns))
         return as_table(rows, SPANS)
 
+    def covered_spans(block, ref, at, start, size, around: pa.Array, indexed: bool):
+        """Spans of the regions of one bucket that an earlier document also holds."""
+        coded = around.dictionary_encode()
+        which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        bounds = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+        data = np.frombuffer(distinct.buffers()[2], np.uint8)
+        owner = np.full(len(distinct), LAST_ID)
+        np.minimum.at(owner, which, at)
+        later = at > owner[which]
+        yield block[later], ref[later], start[later], start[later] + size[later]
+        if indexed:
+            region, first, last = long_matches(data, bounds[:-1], np.diff(bounds), owner, match)
+            rows = np.flatnonzero(~later)
+            low, high = np.searchsorted(region, which[rows], "left"), np.searchsorted(region, which[rows], "right")
+            times = high - low
+            rows = np.repeat(rows, times)
+            ends = np.cumsum(times)
+            span = np.repeat(low - (ends - times), times) + np.arange(len(rows))
+            yield block[rows], ref[rows], start[rows] + first[span], start[rows] + last[span]
+
     return run
 
 
@@ -501,14 +576,12 @@ def repeated_spans(
     if match <= GRAM:
         raise ValueError("a match must be longer than an anchor")
     answers, buckets = answered(texts, size, match, hot_places)
-    # If all anchors were shared: one comes every (match - GRAM + 2) / 2 bytes, and regions overlap their neighbours. Strings
-    # around hot anchors have buckets of their own, larger ones, which hold no index: there may be one at every byte.
-    count = max(1, -(-size * 2 * match // ((match - GRAM + 2) * bucket_bytes)))
-    hot_count = max(1, -(-size * match // (HOT_BUCKETS * bucket_bytes)))
-    regions = (
-        texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send_regions(buckets, count, hot_count, match), REGIONS)
-    )
-    return regions.groupBy("bucket").applyInArrow(answer_regions(count, match), SPANS)
+    # The totals are computed beside the answers: a checkpoint of these would have the texts shuffled again.
+    totals = answers.agg(F.sum("places").alias("all_places"), F.sum("hot").alias("all_hot"))
+    asked = answers.drop("places", "hot").crossJoin(F.broadcast(totals))
+    send = send_regions(buckets, size, match, bucket_bytes)
+    regions = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(send, REGIONS)
+    return regions.groupBy("bucket").applyInArrow(answer_regions(match), SPANS)
 
 
 def answered(texts: DataFrame, size: int, match: int, hot_places: int) -> tuple[DataFrame, int]:

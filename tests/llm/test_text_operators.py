@@ -247,6 +247,39 @@ def test_repeats_across_blocks(documents, corpus, monkeypatch, hot):
     assert len({r[2] for r in got}) > 50
 
 
+def test_rows_between_blocks_and_buckets_are_few(documents, monkeypatch):
+    """Buckets follow the shared anchors, not all bytes, and several are one row; strings around hot anchors are dealt by hash."""
+    rng = random.Random(33)
+    some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line = "a line that all documents share"
+    passages = [some(150) for _ in range(30)]
+    rows = [(k, some(rng.randrange(300, 600)) + line + some(30) + rng.choice(passages)) for k in range(400)]
+    docs = documents(*rows)
+    monkeypatch.setattr(repeats, "BLOCK", 9_000)
+    monkeypatch.setattr(repeats, "WIDE_GROUPS", 2)
+    size = sum(len(t) for _, t in rows)
+    blocks = -(-size // 9_000)
+
+    def spied(*args):
+        task = send_regions(*args)
+
+        def run(table, answers):
+            sent = task(table, answers)
+            assert sent.num_rows <= 200
+            return sent
+
+        return run
+
+    send_regions = repeats.send_regions
+    monkeypatch.setattr(repeats, "send_regions", spied)
+    got = sorted(tuple(r) for r in remove_repeats(docs, hot_places=100, bucket_bytes=1_000).collect())
+    assert got == sorted(repeats_by_search([(k, t.encode()) for k, t in rows], 50))
+    # As many buckets as the bytes of all texts would fill were some 900 for regions and 1,600 for strings.
+    assert blocks > 20 and size * 100 // (32 * 1_000) > 600 and sum(r[2] > 0 for r in got) > 300
+    few = repeats.region_buckets(10, 0, size, 50, 1_000)
+    assert few == (1, 1, 1) and repeats.region_buckets(10**9, 0, size, 50, 1_000)[0] == -(-size * 100 // 32 // 1_000)
+
+
 def test_repeats_without_id_come_last(documents, corpus):
     text = next(t for _, t in corpus if t and len(t) > 100)
     got = {r.doc_id: r.n_removed for r in remove_repeats(documents((5, text), (None, text))).collect()}
