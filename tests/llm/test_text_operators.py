@@ -444,6 +444,31 @@ def test_outsiders_alone_are_sent_to_blocks(spark, documents, monkeypatch):
     assert groups
 
 
+def test_long_lists_are_listed_by_two_values(documents, monkeypatch):
+    """Documents that share common word pairs but no link: lists of two values leave few pairs, and no block."""
+    rng = random.Random(8)
+    common = [f"c{i} d{i}" for i in range(40)]
+    rows = []
+    for k in range(240):
+        parts = rng.sample(common, 3) + [f"own{rng.randrange(10**6)} x{rng.randrange(10**6)}" for _ in range(6)]
+        rng.shuffle(parts)
+        rows.append((k, " ".join(parts)))
+    rows += [(1000 + k, rows[k][1] + " tail") for k in range(0, 240, 7)]
+    pairs, blocks = [], []
+
+    def spied(found, *args):
+        pairs.append(found.count())
+        return confirmed(found, *args)
+
+    confirmed, visits = bottomk.confirmed, bottomk.visits
+    monkeypatch.setattr(bottomk, "confirmed", spied)
+    monkeypatch.setattr(bottomk, "visits", lambda *args: blocks.append(1) or visits(*args))
+    monkeypatch.setattr(bottomk, "FEW", 4)
+    monkeypatch.setattr(bottomk, "PAIRED", 6)
+    assert {tuple(r) for r in near_duplicates(documents(*rows), 2).collect()} == components_by_search(rows, 2)
+    assert len(pairs) == 2 and pairs[1] < 500 and not blocks
+
+
 def test_near_duplicates_defined_results(spark, documents):
     text = "one two three four five six"
     rows = near_duplicates(documents((None, text), (3, text), (3, "other words"), (4, ""), (5, None)), 2).collect()
