@@ -332,21 +332,22 @@ class HotStrings:
     document of the block holds."""
 
     def __init__(self, texts: list[bytes], at: np.ndarray, ref: np.ndarray, place: np.ndarray, lengths: np.ndarray, match: int) -> None:
-        self.at, self.match, data = at, match, b"".join(texts)
+        self.at, self.match, data = at, match, np.frombuffer(b"".join(texts), np.uint8)
         base = np.cumsum(lengths) - lengths
-        low, high = np.maximum(place - (match - GRAM), 0), np.minimum(place, lengths[ref] - match)
-        edges = np.zeros(len(data) + 1, np.int32)
-        np.add.at(edges, base[ref] + low, 1)
-        np.add.at(edges, base[ref] + high + 1, -1)
-        self.place = np.flatnonzero(np.cumsum(edges, dtype=np.int32) > 0)
-        self.ref = np.searchsorted(base, self.place, "right") - 1
-        self.start = self.place - base[self.ref]
-        self.windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), match)
-        self.hashes = np.empty(len(self.place), np.uint64)
+        low, high = base[ref] + np.maximum(place - (match - GRAM), 0), base[ref] + np.minimum(place, lengths[ref] - match)
+        place = np.flatnonzero(within(low, high + 1, len(data)))
+        self.ref = np.searchsorted(base, place, "right") - 1
+        self.start = place - base[self.ref]
+        # Only the bytes of these strings are hashed, one stretch after the other.
+        held = within(low, high + match, len(data))
+        self.place, data = (np.cumsum(held) - 1)[place], data[held]
+        self.windows = np.lib.stride_tricks.sliding_window_view(data, match)
+        self.hashes = np.empty(len(place), np.uint64)
         for begin in range(0, len(data), CHUNK):
             a, b = np.searchsorted(self.place, (begin, begin + CHUNK))
             if a < b:
-                self.hashes[a:b] = gram_hashes(data[begin : begin + CHUNK + match - 1], match)[self.place[a:b] - begin]
+                piece = data[begin : begin + CHUNK + match - 1].tobytes()
+                self.hashes[a:b] = gram_hashes(piece, match)[self.place[a:b] - begin]
         order = np.argsort(self.hashes, kind="stable")
         fresh = np.concatenate([[True], self.hashes[order[1:]] != self.hashes[order[:-1]]])
         first = np.empty(len(order), np.int64)
@@ -377,6 +378,14 @@ class HotStrings:
         return np.stack([self.ref[self.done], self.start[self.done], self.start[self.done] + self.match])
 
 
+def within(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in one of the spans."""
+    edges = np.zeros(size + 1, np.int32)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, ends, -1)
+    return np.cumsum(edges[:-1], dtype=np.int32) > 0
+
+
 def region_row(bucket: int, block: int, at: np.ndarray, fine, refs, starts, sizes, around: bytes | None) -> tuple:
     refs = np.asarray(refs, np.int64)
     return (
